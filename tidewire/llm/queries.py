@@ -6,19 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import media, mixing, packing, sharding, vectors
 from .common import table
 
 
+def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op2(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op3(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.op4(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
+def op8_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.op8(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_rendezvous_shards, op7_hierarchical_mix)
+    f.__name__: f
+    for f in (op2_curve_packing, op3_rendezvous_shards, op4_vector_near_dedup, op7_hierarchical_mix, op8_media_sniffing)
 }
-SQL: dict[str, str] = {"op7_hierarchical_mix": mixing.OP7_SQL}
+SQL: dict[str, str] = {"op4_vector_near_dedup": vectors.OP4_SQL, "op7_hierarchical_mix": mixing.OP7_SQL}
