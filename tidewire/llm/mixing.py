@@ -92,7 +92,8 @@ def mix(
         F.when(F.col("tokens") > 0, F.floor(F.col("target") / F.col("tokens"))).otherwise(0).cast("long").alias("_e"),
         "target", "tokens",
     ).withColumn("_rest", F.col("target") - F.col("_e") * F.col("tokens")).drop("target", "tokens")
-    rows = rows.join(target, names).withColumn("_h", h).withColumn("_g", F.substring("_h", 1, 3))
+    # dealt by leaf and range: the join alone would leave the rows dealt by leaf
+    rows = rows.join(target, names).withColumn("_h", h).withColumn("_g", F.substring("_h", 1, 3)).repartition(*names, "_g")
     # every range's tokens before it in its leaf's order
     sums = rows.groupBy(*names, "_g").agg(F.sum("n_tokens").alias("_s"))
     sums = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*names).orderBy("_g")) - F.col("_s")).drop("_s")
