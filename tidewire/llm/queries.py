@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, sharding, vectors
+from . import media, mixing, ngram_join, packing, sharding, vectors
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.op4(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.op5(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
@@ -32,6 +36,17 @@ def op8_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_curve_packing, op3_rendezvous_shards, op4_vector_near_dedup, op7_hierarchical_mix, op8_media_sniffing)
+    for f in (
+        op2_curve_packing,
+        op3_rendezvous_shards,
+        op4_vector_near_dedup,
+        op5_ngram_jaccard_join,
+        op7_hierarchical_mix,
+        op8_media_sniffing,
+    )
+}
+SQL: dict[str, str] = {
+    "op4_vector_near_dedup": vectors.OP4_SQL,
+    "op5_ngram_jaccard_join": ngram_join.sql(4, 85, 100),
+    "op7_hierarchical_mix": mixing.OP7_SQL,
 }
-SQL: dict[str, str] = {"op4_vector_near_dedup": vectors.OP4_SQL, "op7_hierarchical_mix": mixing.OP7_SQL}
