@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from .common import materialise, shuffle_partitions
 
 DIMS, BITS = 4, 15  # 60 bits of a key
 BUCKETS = 1024  # of the hashed term vector
-CACHE = 600_000  # encoded chunks that a worker remembers; forgetting them changes no result
+CACHE = 400_000  # encoded chunks that a worker remembers; forgetting them changes no result
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -61,46 +62,66 @@ def curve_points(ids: list[np.ndarray], projection: np.ndarray) -> np.ndarray:
     return np.minimum((1 << BITS) / (1 + np.exp(-1.702 * z)), (1 << BITS) - 1).astype(np.int64)
 
 
-class Encoder:
-    """Token ids of whole texts as 16-bit numbers. The tokenizer never merges across a space or a line end, so chunks
-    between them are encoded once each and remembered."""
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")  # what the fast path takes: printable ASCII and the letters of Latin-1
+_PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")  # the tokenizer's own split, on those characters
+_SHOWN = {b: chr(256 + n) for n, b in enumerate([*range(33), *range(127, 161), 173])}  # how byte-level BPE writes bytes
+
+
+class _Pieces(dict):
+    """Ids of lower-cased pieces that the tokenizer's BPE model gets one by one."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model = tokenizer.model
+
+    def __missing__(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(_SHOWN)
+        ids = self[piece] = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
+        return ids
+
+
+class Encoder(dict):
+    """Token ids of whole texts as 16-bit numbers. The tokenizer merges nothing across a space or a line end, so the chunks
+    between them are encoded once each and remembered. Chunks of plain letters skip its normaliser, which leaves them as
+    they are but for case; all others go through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({c for row in chunks for c in row if c not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known = {"": b""}
-            new = list({c for row in chunks for c in row if c})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u2").tobytes()
-        known = self.known
-        return [b"".join([known[c] for c in row]) for row in chunks]
+        self.pieces = _Pieces(self.tokenizer)
+
+    def __missing__(self, chunk: str) -> bytes:
+        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            ids = b"".join([self.pieces[p] for p in _PIECE.findall(chunk.lower())])
+        else:
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+        self[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+            self[""] = b""
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def tokenise(df: DataFrame, tokenizer: str, end_id: int, seed: int) -> DataFrame:
     """(doc_id, text) to (rid, doc_id, n, key, ids): rid is unique, ids are 16-bit little-endian."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, projection = Encoder(tokenizer), _projection(seed)
+        encoder, projection = Encoder(tokenizer), _projection(seed)
         end = np.array([end_id], "<u2").tobytes()
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [x + end for x in encode([t or "" for t in part.column(1).to_pylist()])]
+                ids = [encoder.encode(t or "") + end for t in part.column(1).to_pylist()]
                 key = hilbert_key(curve_points([np.frombuffer(x, "<u2") for x in ids], projection))
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(
