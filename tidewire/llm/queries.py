@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, ngram_join, packing, sharding, vectors
+from . import line_dedup, media, mixing, ngram_join, packing, sharding, vectors
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.op5(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_line_alignment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op6(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_rendezvous_shards,
         op4_vector_near_dedup,
         op5_ngram_jaccard_join,
+        op6_line_alignment_dedup,
         op7_hierarchical_mix,
         op8_media_sniffing,
     )
