@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, media, mixing, ngram_join, packing, sharding, vectors
+from . import crf, ctw, line_dedup, media, mixing, ngram_join, packing, sharding, vectors
 from .common import table
 
 
@@ -38,6 +38,14 @@ def op8_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op8(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.op9(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.op10(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -48,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_line_alignment_dedup,
         op7_hierarchical_mix,
         op8_media_sniffing,
+        op9_context_tree_scoring,
+        op10_crf_language,
     )
 }
 SQL: dict[str, str] = {
