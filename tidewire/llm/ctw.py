@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, materialise, shuffle_partitions
 from .shingles import WordHashes
 
-DEPTH = 4  # bytes of the longest context
+DEPTH = 5  # bytes of the longest context
 END = 10  # a line feed: no word holds it
 END_WORD = 0x0E5D  # the end's key among the word hashes
 CHUNK_BYTES = 12_000_000  # of text that one task scores, about

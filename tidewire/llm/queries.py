@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, ctw, line_dedup, media, mixing, ngram_join, packing, sharding, vectors
+from . import crf, ctw, html_text, line_dedup, media, mixing, ngram_join, packing, sharding, vectors
 from .common import table
 
 
+def op1_nearest_url_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op1(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op2(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -49,6 +53,7 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_nearest_url_text,
         op2_curve_packing,
         op3_rendezvous_shards,
         op4_vector_near_dedup,
