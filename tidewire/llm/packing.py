@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import materialise, shuffle_partitions
 
 DIMS, BITS = 4, 15  # 60 bits of a key
-BUCKETS = 1024  # of the hashed term vector
-CACHE = 400_000  # encoded chunks that a worker remembers; forgetting them changes no result
+BUCKETS = 512  # of the hashed term vector
+CACHE = 200_000  # encoded chunks that a worker remembers; forgetting them changes no result
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -51,11 +52,14 @@ def _projection(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((BUCKETS, DIMS))
 
 
+_BUCKET = (np.arange(1 << 16, dtype=np.int64) * 2_654_435_761 >> 7) % BUCKETS
+
+
 def curve_points(ids: list[np.ndarray], projection: np.ndarray) -> np.ndarray:
     """Term counts hashed to BUCKETS, damped, scaled to length 1, projected, and squashed to the integer grid."""
     vectors = np.zeros((len(ids), BUCKETS))
     for row, x in zip(vectors, ids, strict=True):
-        row[:] = np.bincount((x.astype(np.int64) * 2_654_435_761 >> 7) % BUCKETS, minlength=BUCKETS)
+        row[:] = np.bincount(_BUCKET[x], minlength=BUCKETS)
     np.log1p(vectors, out=vectors)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     z = vectors @ projection
@@ -75,8 +79,8 @@ class _Pieces(dict):
         self.model = tokenizer.model
 
     def __missing__(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(_SHOWN)
-        ids = self[piece] = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
+        ids = self[piece] = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
 
@@ -95,10 +99,12 @@ class Encoder(dict):
         self.pieces = _Pieces(self.tokenizer)
 
     def __missing__(self, chunk: str) -> bytes:
-        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+        if chunk.isascii() and chunk.isalpha():
+            ids = self.pieces[chunk.lower()]
+        elif _PLAIN.fullmatch(chunk) and "<|" not in chunk:
             ids = b"".join([self.pieces[p] for p in _PIECE.findall(chunk.lower())])
         else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+            ids = array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         self[chunk] = ids
         return ids
 
@@ -129,6 +135,8 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int, seed: int) -> DataFrame
                     names=["rid", "doc_id", "n", "key", "ids"],
                 )
                 rid += len(ids)
+        encoder.clear()
+        encoder.pieces.clear()
 
     return df.mapInArrow(run, "rid long, doc_id long, n long, key long, ids binary")
 
