@@ -17,7 +17,7 @@ from .common import materialise, shuffle_partitions
 
 DIMS, BITS = 4, 15  # 60 bits of a key
 BUCKETS = 512  # of the hashed term vector
-CACHE = 200_000  # encoded chunks that a worker remembers; forgetting them changes no result
+CACHE = 200_000  # encoded chunks that a worker remembers, and half the pieces; forgetting them changes no result
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -112,7 +112,7 @@ class Encoder(dict):
         if len(self) > CACHE:
             self.clear()
             self[""] = b""
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > 2 * CACHE:
             self.pieces.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
