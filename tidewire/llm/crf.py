@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod
 
 BUCKETS = 1 << 16  # of the hashed features
-CACHE = 300_000  # words whose scores a worker remembers; forgetting them changes no result
+CACHE = 150_000  # words whose scores a worker remembers; forgetting them changes no result
 ROWS_PER_LANGUAGE = 400  # labelled documents that the field is fitted on, at most
 ROW_BYTES = 65_536  # longer documents are not fitted on
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -154,11 +154,17 @@ class Scored(dict):
         self.new.append(word)
         return at
 
-    def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def forget(self) -> None:
         if len(self) > CACHE:
             self.clear()
-            self.table = self.table[:0]
-        out = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in texts]
+            self.table = np.empty((0, self.table.shape[1]))
+
+    def rows(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text, the table rows of its words, valid until forget()."""
+        out = []
+        for t in texts:
+            words = LETTERS.findall(t.lower())
+            out.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
         if self.new:
             self.table = np.concatenate([self.table, *[self.field.scores(self.new[i : i + 20_000]) for i in range(0, len(self.new), 20_000)]])
             self.new = []
@@ -167,7 +173,8 @@ class Scored(dict):
 
 def label(field: Field, scored: Scored, texts: list[str]) -> list[tuple[str, float]]:
     """(language, its mean marginal over the text's words) of whole texts; und where a text has no letters."""
-    rows = scored.rows([LETTERS.findall(t.lower()) for t in texts])
+    scored.forget()
+    rows = scored.rows(texts)
     out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
     order = sorted((i for i, r in enumerate(rows) if len(r)), key=lambda i: len(rows[i]))
     at = 0

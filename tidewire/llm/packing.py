@@ -17,7 +17,7 @@ from .common import materialise, shuffle_partitions
 
 DIMS, BITS = 4, 15  # 60 bits of a key
 BUCKETS = 512  # of the hashed term vector
-CACHE = 200_000  # encoded chunks that a worker remembers, and half the pieces; forgetting them changes no result
+CACHE = 120_000  # encoded chunks and pieces in a worker's memory, each twice at most; forgetting them changes no result
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -71,20 +71,39 @@ _PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-ö
 _SHOWN = {b: chr(256 + n) for n, b in enumerate([*range(33), *range(127, 161), 173])}  # how byte-level BPE writes bytes
 
 
-class _Pieces(dict):
+class _Remembered(dict):
+    """Results by key in two generations: what was asked for in the present or the last one is found again."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.compute(key)
+        self[key] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+
+class _Pieces(_Remembered):
     """Ids of lower-cased pieces that the tokenizer's BPE model gets one by one."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.model = tokenizer.model
 
-    def __missing__(self, piece: str) -> bytes:
+    def compute(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
-        ids = self[piece] = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return ids
+        return array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
 
-class Encoder(dict):
+class Encoder(_Remembered):
     """Token ids of whole texts as 16-bit numbers. The tokenizer merges nothing across a space or a line end, so the chunks
     between them are encoded once each and remembered. Chunks of plain letters skip its normaliser, which leaves them as
     they are but for case; all others go through the whole tokenizer."""
@@ -92,28 +111,22 @@ class Encoder(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.pieces = _Pieces(self.tokenizer)
 
-    def __missing__(self, chunk: str) -> bytes:
+    def compute(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha():
-            ids = self.pieces[chunk.lower()]
-        elif _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            ids = b"".join([self.pieces[p] for p in _PIECE.findall(chunk.lower())])
-        else:
-            ids = array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        self[chunk] = ids
-        return ids
+            return self.pieces[chunk.lower()]
+        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            return b"".join([self.pieces[p] for p in _PIECE.findall(chunk.lower())])
+        return array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-            self[""] = b""
-        if len(self.pieces) > 2 * CACHE:
-            self.pieces.clear()
+        self.trim()
+        self.pieces.trim()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -135,8 +148,6 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int, seed: int) -> DataFrame
                     names=["rid", "doc_id", "n", "key", "ids"],
                 )
                 rid += len(ids)
-        encoder.clear()
-        encoder.pieces.clear()
 
     return df.mapInArrow(run, "rid long, doc_id long, n long, key long, ids binary")
 
