@@ -1,6 +1,6 @@
 """The queries of the engine, by name."""
 
-from . import scalars  # noqa: F401
+from . import relational, scalars  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
