@@ -1,0 +1,27 @@
+"""What holds on all of a set of days."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .sequences import hourly, stretch
+
+STRETCH = "struct<from:int,to:int,kind:string,n:int>"
+
+
+def stretches(rows: DataFrame, group: list[str], day: Column, minute: str) -> DataFrame:
+    """(group, stretch): the longest stretch of hours that one gap or longest wait holds for on every day."""
+    lists = rows.groupBy(*group, day.alias("_day")).agg(F.array_sort(F.collect_set(F.col(minute).cast("int"))).alias("m"))
+    days = lists.groupBy(*group).agg(F.collect_list("m").alias("lists"))
+
+    @F.pandas_udf(STRETCH)
+    def said(lists: pd.Series) -> pd.DataFrame:
+        out = []
+        for each in lists:
+            found = stretch(hourly([list(x) for x in each])[0])
+            out.append(found or (None, None, None, None))
+        return pd.DataFrame(out, columns=["from", "to", "kind", "n"]).astype({"from": "Int32", "to": "Int32", "n": "Int32"})
+
+    return days.select(*group, said("lists").alias("stretch"))

@@ -28,7 +28,7 @@ def _words_sql(c: str) -> str:
 
 
 @query("x01_tidy_name", duck(r"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(\p{L})-[ ]*(?:_|\\n)[ ]*(\p{Ll})', '\1\2', 'g'), '(\p{L})-[ ]*(?:_|\\n)[ ]*(\S)', '\1-\2', 'g'), '_|\\[nt]', ' ', 'g'), '\s+', ' ', 'g')) AS tidy
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(\p{L})-[ ]*(?:_|\\n)[ ]*(\p{Ll})', '\1\2', 'g'), '(\p{L})-[ ]*(?:_|\\n)[ ]*(\p{Ll})', '\1\2', 'g'), '(\p{L})-[ ]*(?:_|\\n)[ ]*(\S)', '\1-\2', 'g'), '_|\\[nt]', ' ', 'g'), '\s+', ' ', 'g')) AS tidy
 FROM (SELECT doc_id, replace(substr(text, 1, 200), ' the ', '- _') AS t FROM {documents})"""))
 def x01(spark, d):
     t = F.replace(F.substring("text", 1, 200), F.lit(" the "), F.lit("- _"))
