@@ -17,7 +17,7 @@ from .common import materialise, shuffle_partitions
 
 DIMS, BITS = 4, 15  # 60 bits of a key
 BUCKETS = 512  # of the hashed term vector
-CACHE = 120_000  # encoded chunks and pieces in a worker's memory, each twice at most; forgetting them changes no result
+CACHE = 150_000  # encoded chunks and pieces in a worker's memory, each twice at most; forgetting them changes no result
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -66,8 +66,8 @@ def curve_points(ids: list[np.ndarray], projection: np.ndarray) -> np.ndarray:
     return np.minimum((1 << BITS) / (1 + np.exp(-1.702 * z)), (1 << BITS) - 1).astype(np.int64)
 
 
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")  # what the fast path takes: printable ASCII and the letters of Latin-1
-_PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")  # the tokenizer's own split, on those characters
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")  # what the fast path takes: ASCII text and the letters of Latin-1
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")  # the tokenizer's own split, on those characters
 _SHOWN = {b: chr(256 + n) for n, b in enumerate([*range(33), *range(127, 161), 173])}  # how byte-level BPE writes bytes
 
 
@@ -104,9 +104,9 @@ class _Pieces(_Remembered):
 
 
 class Encoder(_Remembered):
-    """Token ids of whole texts as 16-bit numbers. The tokenizer merges nothing across a space or a line end, so the chunks
-    between them are encoded once each and remembered. Chunks of plain letters skip its normaliser, which leaves them as
-    they are but for case; all others go through the whole tokenizer."""
+    """Token ids of whole texts as 16-bit numbers. Texts of plain letters skip the tokenizer's normaliser, which leaves them
+    as they are but for case, and are split into its pieces; other texts go chunk by chunk (it merges nothing across a space or
+    a line end) through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -118,15 +118,15 @@ class Encoder(_Remembered):
         self.pieces = _Pieces(self.tokenizer)
 
     def compute(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            return self.pieces[chunk.lower()]
         if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            return b"".join([self.pieces[p] for p in _PIECE.findall(chunk.lower())])
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(chunk.lower())))
         return array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         self.trim()
         self.pieces.trim()
+        if _PLAIN.fullmatch(text):
+            return self.compute(text)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
