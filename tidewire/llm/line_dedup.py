@@ -146,12 +146,12 @@ def dedup_lines(df: DataFrame, key: str, text: str, least_words: int = 5) -> Dat
     )
     gone = both.mapInPandas(_delete(least_words), "id long, ref long, gone array<int>")
     gone = gone.groupBy("id", "ref").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    out = df.select(*kept).withColumn("_d", doc).withColumns({"_id": F.col("_d.id"), "_ref": F.col("_d.ref")}).drop("_d")
-    out = out.join(gone.withColumnsRenamed({"id": "_id", "ref": "_ref"}), ["_id", "_ref"], "left")
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    out = df.select(*kept).withColumn("__d", doc).withColumns({"__id": F.col("__d.id"), "__ref": F.col("__d.ref")}).drop("__d")
+    out = out.join(gone.withColumnsRenamed({"id": "__id", "ref": "__ref", "gone": "__gone"}), ["__id", "__ref"], "left")
+    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     return out.select(
-        *[F.when(F.col("gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in kept],
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"),
+        *[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in kept],
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("removed_lines"),
     )
 
 

@@ -56,7 +56,7 @@ def budgets(leaves: DataFrame, levels: list[str], weights: Mapping[str, Mapping[
         total = F.sum("_free").over(by)
         share = F.round(F.col("_left") * F.col("_run") / F.col("_total")) - F.round(
             F.col("_left") * (F.col("_run") - F.col("_free")) / F.col("_total"))
-        parents = nodes.withColumns({"_run": run, "_total": total}).select(
+        parents = nodes.withColumns({"_run": run, "_total": F.nullif(total, F.lit(0.0))}).select(
             *path,
             F.when(F.col("_full"), F.col("_c")).otherwise(F.least(F.col("_c"), share.cast("long"))).alias("_b"),
         )
@@ -80,28 +80,28 @@ def mix(
     taken alike; an empty table gives an empty result. Columns of df named like a level, n_tokens or copies are replaced.
     """
     names = list(levels)
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_e").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__e").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
     kept = [c for c in df.columns if c not in {*names, "n_tokens", "copies"}]
     exprs = {"n_tokens": tokens.cast("long"), **{k: F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in levels.items()}}
     rows = df.withColumns(exprs).select(*kept, *names, "n_tokens")
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
-    whole = leaves.agg(F.floor(F.sum("tokens") * F.lit(float(fraction))).alias("_f"))
+    whole = leaves.agg(F.floor(F.sum("tokens") * F.lit(float(fraction))).alias("__f"))
     target = budgets(leaves, names, weights, F.coalesce(whole.scalar(), F.lit(0)), max_epochs)
     target = target.select(
         *names,
-        F.when(F.col("tokens") > 0, F.floor(F.col("target") / F.col("tokens"))).otherwise(0).cast("long").alias("_e"),
+        F.when(F.col("tokens") > 0, F.floor(F.col("target") / F.col("tokens"))).otherwise(0).cast("long").alias("__e"),
         "target", "tokens",
-    ).withColumn("_rest", F.col("target") - F.col("_e") * F.col("tokens")).drop("target", "tokens")
+    ).withColumn("__rest", F.col("target") - F.col("__e") * F.col("tokens")).drop("target", "tokens")
     # dealt by leaf and range: the join alone would leave the rows dealt by leaf
-    rows = rows.join(target, names).withColumn("_h", h).withColumn("_g", F.substring("_h", 1, 3)).repartition(*names, "_g")
+    rows = rows.join(target, names).withColumn("__h", h).withColumn("__g", F.substring("__h", 1, 3)).repartition(*names, "__g")
     # every range's tokens before it in its leaf's order
-    sums = rows.groupBy(*names, "_g").agg(F.sum("n_tokens").alias("_s"))
-    sums = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*names).orderBy("_g")) - F.col("_s")).drop("_s")
+    sums = rows.groupBy(*names, "__g").agg(F.sum("n_tokens").alias("__s"))
+    sums = sums.withColumn("__before", F.sum("__s").over(Window.partitionBy(*names).orderBy("__g")) - F.col("__s")).drop("__s")
     # equal hashes (repeated keys) stand or fall together
-    local = F.sum("n_tokens").over(Window.partitionBy(*names, "_g").orderBy("_h"))
-    rows = rows.withColumn("_local", local).join(sums, [*names, "_g"])
-    fits = (F.col("_before") + F.col("_local") <= F.col("_rest")).cast("int")
-    return rows.withColumn("copies", (F.col("_e") + fits).cast("int")).where("copies > 0").select(*kept, *names, "n_tokens", "copies")
+    local = F.sum("n_tokens").over(Window.partitionBy(*names, "__g").orderBy("__h"))
+    rows = rows.withColumn("__local", local).join(sums, [*names, "__g"])
+    fits = (F.col("__before") + F.col("__local") <= F.col("__rest")).cast("int")
+    return rows.withColumn("copies", (F.col("__e") + fits).cast("int")).where("copies > 0").select(*kept, *names, "n_tokens", "copies")
 
 
 # the weights of the production query; a source's domain is its number modulo 4

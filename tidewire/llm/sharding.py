@@ -48,18 +48,18 @@ def shard(
         out = out.withColumn("grown_shard", F.when(_score(k, new, grown[-1]) < old, F.lit(new)).otherwise(F.col("shard")))
     else:
         out = out.withColumn("grown_shard", _winner(k, grown))
-    out = out.withColumns({"_h": F.md5(k.cast("binary")), "_r": F.substring(F.md5(k.cast("binary")), 1, 2)})
-    count = out.groupBy("shard", "_r").agg(F.count(F.lit(1)).alias("_n"))
+    out = out.withColumns({"__h": F.md5(k.cast("binary")), "__r": F.substring(F.md5(k.cast("binary")), 1, 2)})
+    count = out.groupBy("shard", "__r").agg(F.count(F.lit(1)).alias("__n"))
     base = count.select(
-        "shard", "_r",
-        (F.sum("_n").over(Window.partitionBy("shard").orderBy("_r")) - F.col("_n")).alias("_base"),
+        "shard", "__r",
+        (F.sum("__n").over(Window.partitionBy("shard").orderBy("__r")) - F.col("__n")).alias("__base"),
     )
     ties = [F.col(c) for c, t in out.select(*kept).dtypes if not t.startswith(("map", "variant"))]
-    w = Window.partitionBy("shard", "_r").orderBy("_h", *ties)
+    w = Window.partitionBy("shard", "__r").orderBy("__h", *ties)
     return (
-        out.withColumn("_i", F.row_number().over(w))
-        .join(F.broadcast(base), ["shard", "_r"])  # at most 256 rows a shard
-        .select(*kept, "shard", (F.col("_base") + F.col("_i") - 1).cast("long").alias("slot"), "grown_shard")
+        out.withColumn("__i", F.row_number().over(w))
+        .join(F.broadcast(base), ["shard", "__r"])  # at most 256 rows a shard
+        .select(*kept, "shard", (F.col("__base") + F.col("__i") - 1).cast("long").alias("slot"), "grown_shard")
     )
 
 
