@@ -216,6 +216,9 @@ def plain_jaccard(rows, k, num, den):
 
 @pytest.mark.parametrize("block", [3, 1024])
 def test_jaccard_join(spark, docs, monkeypatch, block):
+    if block == 3:
+        monkeypatch.setattr(ngram_join, "HOT", 4)
+        monkeypatch.setattr(ngram_join, "SLICE", 16)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(5)
     chain = [text_of(500, 80).split()]

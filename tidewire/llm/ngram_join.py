@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .common import components, materialise, shuffle_partitions, text_key
 from .shingles import WordHashes, scramble, shingle_sets
 
-SLICE = 1_000  # documents whose tokens travel together
+SLICE, SLICE_BYTES = 8_000, 32_000_000  # documents and bytes of text whose tokens travel together, at most
+HOT = 64  # texts from which on the order of tokens tells no frequencies apart
 BUCKET_BYTES = 8_000_000  # of text whose tokens one bucket holds, about
 BLOCK = 1_024  # documents of a verified block
 ORDERS = (0x5BD1E9955BD1E995, 0xC2B2AE3D27D4EB4F)  # salts of the hash orders besides the frequency order
@@ -24,63 +25,93 @@ def _needed(n, num: int, den: int):
     return -(-num * n // den)
 
 
-def _ship(k: int, buckets: int):
-    """Each text's tokens, grouped by token bucket; its set size goes to bucket -1 - (key mod buckets)."""
+def _ship(k: int, buckets: int, held: int, docs: int):
+    """The tokens of slices of texts, in rows of four kinds. To a token's bucket: (keys, counts, tokens) of the texts that hold its
+    tokens, and of tokens that held or more texts of the slice hold the tokens alone. To a text's home, which is bucket
+    -1 - (key mod buckets): its set size, and its hot tokens. So no bucket gets more than held keys a token and slice."""
     names = ["bucket", "refs", "counts", "tokens"]
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+    def packed(to: np.ndarray, ref: np.ndarray, token: np.ndarray, kind: str) -> Iterator[tuple]:
+        if not len(to):
+            return
+        order = np.lexsort((ref, to))
+        to, ref, token = to[order], ref[order], token[order]
+        at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        for lo, hi in zip(at, [*at[1:], len(to)], strict=True):
+            r, c = np.unique(ref[lo:hi], return_counts=True)
+            yield int(to[lo]), r.tobytes(), c.astype("<u4").tobytes(), token[lo:hi].astype(kind).tobytes()
+
+    def rows_of(refs: np.ndarray, texts: list[bytes], words: WordHashes) -> list[tuple]:
+        refs, first = np.unique(refs, return_index=True)
+        sets = shingle_sets([texts[i] for i in first], k, words)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        token, ref, home = np.concatenate(sets), np.repeat(refs, sizes), refs % buckets
+        bucket = (token >> np.uint64(32)).astype(np.int64) % buckets
+        token = (bucket << 32) | (token & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        _, at, n = np.unique(token, return_inverse=True, return_counts=True)
+        hot = n[at] >= held
+        out = [(-1 - int(b), refs[home == b].tobytes(), sizes[home == b].astype("<u4").tobytes(), b"") for b in np.unique(home)]
+        out += packed(-1 - ref[hot] % buckets, ref[hot], token[hot], "<i8")
+        out += packed(bucket[~hot], ref[~hot], token[~hot] & 0xFFFFFFFF, "<u4")
+        each = np.unique(token[hot])
+        return out + [(int(b), b"", b"", (each[each >> 32 == b] & 0xFFFFFFFF).astype("<u4").tobytes()) for b in np.unique(each >> 32)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                refs, first = np.unique(part.column(0).to_numpy(), return_index=True)
-                texts = part.column(1).take(pa.array(first)).to_pylist()
-                sets = shingle_sets(texts, k, words)
-                sizes = np.array([len(s) for s in sets], np.int64)
-                token, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-                bucket = (token >> np.uint64(32)).astype(np.int64) % buckets
-                order = np.lexsort((doc, bucket)) if len(token) else np.empty(0, np.int64)
-                low, doc, bucket = (token & np.uint64(0xFFFFFFFF)).astype("<u4")[order], doc[order], bucket[order]
-                rows = []
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                for b in range(buckets):
-                    lo, hi = edges[b], edges[b + 1]
-                    if lo < hi:
-                        d, c = np.unique(doc[lo:hi], return_counts=True)
-                        rows.append((b, refs[d].tobytes(), c.astype("<u4").tobytes(), low[lo:hi].tobytes()))
-                home = refs % buckets
-                for b in np.unique(home):
-                    mine = home == b
-                    rows.append((-1 - int(b), refs[mine].tobytes(), sizes[mine].astype("<u4").tobytes(), b""))
-                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        words, refs, texts, size = WordHashes(), [], [], 0
+        for ref, text in _rows_then_end(batches):
+            if len(texts) == docs or size >= SLICE_BYTES or (ref is None and texts):
+                rows = rows_of(np.array(refs, np.int64), texts, words)
+                refs, texts, size = [], [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            if ref is not None:
+                refs.append(ref)
+                texts.append(text)
+                size += len(text)
 
     return run, "bucket int, refs binary, counts binary, tokens binary"
 
 
+def _rows_then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1_000):
+            part = batch.slice(at, 1_000)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+    yield None, None
+
+
 def _join(column: pd.Series, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
-def _frequencies(buckets: int):
-    """Of a token bucket, the tokens that two or more texts hold, with their frequency, sent back by text."""
+SIZES, HELD_HOT = -1, -2  # what a row for a home holds, in place of a bucket
+
+
+def _frequencies(buckets: int, most: int):
+    """Of a token bucket, the tokens that two or more texts hold, with their frequency up to most, sent back by text."""
     columns = ["home", "bucket", "refs", "counts", "tokens", "dfs"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         b = int(rows["bucket"].iloc[0])
         if b < 0:
-            return pd.DataFrame([(-1 - b, -1, b"".join(rows["refs"]), b"".join(rows["counts"]), b"", b"")], columns=columns)
+            plain = rows["tokens"].map(len) == 0
+            out = [(-1 - b, kind, b"".join(r["refs"]), b"".join(r["counts"]), b"".join(r["tokens"]), b"") for kind, r in ((SIZES, rows[plain]), (HELD_HOT, rows[~plain])) if len(r)]
+            return pd.DataFrame(out, columns=columns)
+        alone = rows["refs"].map(len) == 0
+        hot, rows = np.unique(_join(rows["tokens"][alone], "<u4")), rows[~alone]
         refs, counts, tokens = _join(rows["refs"], "<i8"), _join(rows["counts"], "<u4").astype(np.int64), _join(rows["tokens"], "<u4")
-        _, first = np.unique(refs, return_index=True)  # copies that other slices sent too
-        once = np.zeros(len(refs), bool)
-        once[first] = True
-        tokens, refs = tokens[np.repeat(once, counts)], np.repeat(refs[once], counts[once])
-        order = np.argsort(tokens, kind="stable")
+        # a copy that another slice sent too sent the same tokens but those hot there, which are hot here
+        refs = np.repeat(refs, counts)
+        order = np.lexsort((refs, tokens))
         tokens, refs = tokens[order], refs[order]
-        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        df = np.repeat(np.diff(np.r_[starts, len(tokens)]), np.diff(np.r_[starts, len(tokens)]))
+        once = np.r_[True, (tokens[1:] != tokens[:-1]) | (refs[1:] != refs[:-1])] if len(tokens) else np.zeros(0, bool)
+        tokens, refs = tokens[once], refs[once]
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[starts, len(tokens)])
+        df = np.minimum(np.repeat(n, n), most)
+        df[np.isin(tokens, hot)] = most
         shared = df > 1
-        tokens, refs, df = tokens[shared], refs[shared], np.minimum(df[shared], 65_535).astype("<u2")
+        tokens, refs, df = tokens[shared], refs[shared], df[shared].astype("<u2")
         home = refs % buckets
         order = np.lexsort((refs, home))
         tokens, refs, df, home = tokens[order], refs[order], df[order], home[order]
@@ -96,22 +127,31 @@ def _frequencies(buckets: int):
     return run, "home int, bucket int, refs binary, counts binary, tokens binary, dfs binary"
 
 
-def _prefixes(num: int, den: int):
+def _prefixes(num: int, den: int, most: int):
     """(ref, n, prefix): the shared tokens among the first n - needed + 1 in the order of rising frequency; null
     if there is none, as then the set links with no other. Tokens of one text only come first in that order."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sized = rows["bucket"] == -1
+        sized = rows["bucket"] == SIZES
         ref, at = np.unique(_join(rows["refs"][sized], "<i8"), return_index=True)
         n = _join(rows["counts"][sized], "<u4").astype(np.int64)[at]
-        rest = rows[~sized]
-        counts = _join(rest["counts"], "<u4").astype(np.int64)
-        holder = np.repeat(np.searchsorted(ref, _join(rest["refs"], "<i8")), counts)
-        token = _join(rest["tokens"], "<u4").astype(np.int64)
-        token |= np.repeat(rest["bucket"].to_numpy().astype(np.int64), [len(t) // 4 for t in rest["tokens"]]) << 32
-        df = _join(rest["dfs"], "<u2")
+        holder, token, df = [], [], []
+        for hot in (False, True):
+            rest = rows[~sized & ((rows["bucket"] == HELD_HOT) == hot)]
+            counts = _join(rest["counts"], "<u4").astype(np.int64)
+            holder.append(np.repeat(np.searchsorted(ref, _join(rest["refs"], "<i8")), counts))
+            if hot:
+                token.append(_join(rest["tokens"], "<i8"))
+                df.append(np.full(len(token[-1]), most))
+            else:
+                low = _join(rest["tokens"], "<u4").astype(np.int64)
+                token.append(low | np.repeat(rest["bucket"].to_numpy().astype(np.int64), [len(t) // 4 for t in rest["tokens"]]) << 32)
+                df.append(_join(rest["dfs"], "<u2").astype(np.int64))
+        holder, token, df = np.concatenate(holder), np.concatenate(token), np.concatenate(df)
         order = np.lexsort((token, df, holder))
         holder, token = holder[order], token[order]
+        once = np.r_[True, (token[1:] != token[:-1]) | (holder[1:] != holder[:-1])] if len(token) else np.zeros(0, bool)
+        holder, token = holder[once], token[once]
         have = np.bincount(holder, minlength=len(ref))
         starts = np.cumsum(have) - have
         take = np.minimum((n - _needed(n, num, den) + 1) - (n - have), have)
@@ -195,7 +235,8 @@ def jaccard_join(df: DataFrame, key: str, text: str, k: int = 5, num: int = 80,
     distinct k-word shingles; component_id is the smallest key reachable over links, the own key included.
 
     Equal texts are one set from the start. Token buckets count frequencies and tell each set which of its tokens others hold;
-    a set whose frequency-order prefix holds none of them is out. Sets that share prefix tokens (transitively) form
+    a set whose frequency-order prefix holds none of them is out. A token that many texts of a slice hold is counted by its
+    slices and goes to its bucket without them, so a token that a third of the corpus holds is no group of that size. Sets that share prefix tokens (transitively) form
     blocks; a block of more than BLOCK sets is verified in pairs of parts, each its own task, and yields a
     spanning forest, so neither copies nor near copies are expanded into pairs. The bucket key is part of a
     64-bit hash: a collision can add a candidate, never lose one.
@@ -210,8 +251,8 @@ def jaccard_join(df: DataFrame, key: str, text: str, k: int = 5, num: int = 80,
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 2 * max(shuffle_partitions(spark), -(-size // (2 * BUCKET_BYTES)))
     docs = rows.where("ref IS NOT NULL").select("ref", "text")
-    sets = docs.mapInArrow(*_ship(k, buckets)).groupBy("bucket").applyInPandas(*_frequencies(buckets))
-    sets = materialise(sets.groupBy("home").applyInPandas(*_prefixes(num, den)), "sets")
+    sets = docs.mapInArrow(*_ship(k, buckets, HOT, SLICE)).groupBy("bucket").applyInPandas(*_frequencies(buckets, HOT))
+    sets = materialise(sets.groupBy("home").applyInPandas(*_prefixes(num, den, HOT)), "sets")
     # blocks: documents that share prefix tokens, each token's holders tied to the smallest of them
     held = sets.where("prefix IS NOT NULL").select("ref", F.explode("prefix").alias("token"))
     hub = held.groupBy("token").agg(F.min("ref").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
