@@ -13,28 +13,28 @@ def one(spark, **columns):
 
 
 @pytest.mark.parametrize(("given", "want"), [
-    ("Meistersinger- _halle", "Meistersingerhalle"), ("Hammerstatt-\\nIndustriegebiet", "Hammerstatt-Industriegebiet"), ("A_B\\tC  d ", "A B C d"), ("Ulm - _Süd", "Ulm - Süd")])
+    ("Garten- _halle", "Gartenhalle"), ("Altstadt-\\nIndustriehof", "Altstadt-Industriehof"), ("A_B\\tC  d ", "A B C d"), ("Ulm - _Süd", "Ulm - Süd")])
 def test_tidy_name(spark, given, want):
     assert one(spark, x=text.tidy_name(F.lit(given))).x == want
 
 
-@pytest.mark.parametrize(("given", "want"), [("Nürnberg Plärrer", "nuernberg-plaerrer"), ("Ærø Łódź", "aero-lodz"), ("--", "-"), ("Straße 5", "strasse-5"), ("Café à é", "cafe-a-e")])
+@pytest.mark.parametrize(("given", "want"), [("München Süd", "muenchen-sued"), ("Ærø Łódź", "aero-lodz"), ("--", "-"), ("Straße 5", "strasse-5"), ("Café à é", "cafe-a-e")])
 def test_slug(spark, given, want):
     assert one(spark, x=text.slug(F.lit(given))).x == want
 
 
 def test_fold_and_words(spark):
-    r = one(spark, f=text.fold(F.lit("Plärrer Straße é")), w=text.folded_words(F.lit("Halle(Saale)Hbf")), c=text.compact(F.lit("RE 10")))
-    assert (r.f, r.w, r.c) == ("plarrer strasse e", ["halle", "saale", "hbf"], "re10")
+    r = one(spark, f=text.fold(F.lit("Müller Straße é")), w=text.folded_words(F.lit("Berg(Saale)Bf")), c=text.compact(F.lit("RE 10")))
+    assert (r.f, r.w, r.c) == ("muller strasse e", ["berg", "saale", "bf"], "re10")
 
 
 @pytest.mark.parametrize(("name", "town", "want"), [
-    ("Marienplatz", "München", "München"), ("Nürnberg Plärrer", "Nürnberg", None), ("Frankfurt (Main) Hauptwache", "Frankfurt am Main", None), ("Nürnberger Straße", "Nürnberg", "Nürnberg"), ("Markt", None, None)])
+    ("Rathausplatz", "München", "München"), ("Lübeck Süd", "Lübeck", None), ("Neustadt (Aisch) Markt", "Neustadt an der Aisch", None), ("Lübecker Straße", "Lübeck", "Lübeck"), ("Markt", None, None)])
 def test_town_to_show(spark, name, town, want):
     assert one(spark, x=text.town_to_show(F.lit(name), F.lit(town).cast("string"))).x == want
 
 
-@pytest.mark.parametrize(("given", "want"), [("800714 DB Regio AG Bayern", "DB Regio AG Bayern"), ("kvv22E KVV", "KVV"), ("KomBus GmbH", "KomBus GmbH"), ("800714", "800714")])
+@pytest.mark.parametrize(("given", "want"), [("90A714 Nordbahn AG", "Nordbahn AG"), ("xyz22E Bahn", "Bahn"), ("Linien GmbH", "Linien GmbH"), ("907714", "907714")])
 def test_operator_name(spark, given, want):
     assert one(spark, x=text.operator_name(F.lit(given))).x == want
 
@@ -43,11 +43,11 @@ def test_addresses(spark):
     parse = lambda s: one(spark, x=text.parse_address(F.lit(s))).x
     stop = parse("stop/ulm-hbf/2")
     assert (stop.type, stop.name, stop.number) == ("stop", "ulm-hbf", 2)
-    line = parse("line/vgn/tram/4@49.45,11.08")
-    assert (line.agency, line.mode, line.name, line.lat, line.lon) == ("vgn", "tram", "4", 49.45, 11.08)
+    line = parse("line/abc/tram/4@49.45,11.08")
+    assert (line.agency, line.mode, line.name, line.lat, line.lon) == ("abc", "tram", "4", 49.45, 11.08)
     trip = parse("trip/db/regional/re-10/2026-10-01/0915-ulm-hbf")
     assert (trip.day, trip.time, trip.start) == ("2026-10-01", "0915", "ulm-hbf")
-    assert parse("line/vgn/zeppelin/4") is None and parse("stop/a@95,10") is None and parse("x") is None
+    assert parse("line/abc/zeppelin/4") is None and parse("stop/a@95,10") is None and parse("x") is None
     r = one(spark, s=text.stop_path(F.lit("a"), F.lit(2)), p=text.stop_path_at(F.lit("Ä b"), F.lit(49.12345), F.lit(11.0)))
     assert (r.s, r.p) == ("stop/a/2", "stop/ae-b@49.1235,11.0000") or (r.s, r.p) == ("stop/a/2", "stop/ae-b@49.1234,11.0000")
 

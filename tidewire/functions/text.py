@@ -13,6 +13,18 @@ MODES = ["subway", "tram", "bus", "suburban", "regional", "longdistance", "ferry
 LETTERS = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "þ": "th"}
 
 
+# fixed values: the patterns of names, addresses and keys
+BROKEN = r"(\p{L})-[ ]*(?:_|\\n)[ ]*"  # a word broken at a line's end
+GAP = r"_|\\[nt]"
+OPERATOR_CODE = r"^(?=[A-Za-z]*\d)[A-Za-z\d]{6} +(?=\S)"
+PLACE = r"@(-?\d{1,2}(?:\.\d{1,7})?),(-?\d{1,3}(?:\.\d{1,7})?)"
+STOP_ADDRESS = rf"^stop/([a-z0-9-]+)(?:/([1-9]\d{{0,2}})|{PLACE})?$"
+LINE_ADDRESS = rf"^line/([a-z0-9-]+)/([a-z]+)/([a-z0-9-]+)(?:{PLACE})?$"
+TRIP_ADDRESS = r"^trip/([a-z0-9-]+)/([a-z]+)/([a-z0-9-]+)/(\d{4}-\d{2}-\d{2})/((?:[01]\d|2[0-3])[0-5]\d)-([a-z0-9-]+)$"
+CHOICE = r"^([a-z]+)/([a-z0-9-]+)(?:~([a-z0-9-]+))?$"
+SUBURBAN, LONG_DISTANCE, UNDERGROUND = r"^S\s?\d", r"^(ICE|IC|ECE|EC|RJX|RJ|NJ|EN|TGV|FLX|D)\s?\d", r"^U\s?\d+$"
+
+
 def _plain() -> tuple[str, str]:
     """Lower-case letters with marks and the letters without, for Latin letters that decompose to one letter."""
     pairs = []
@@ -34,9 +46,9 @@ def without_marks(c: Column) -> Column:
 
 def tidy_name(c: Column) -> Column:
     """A word broken at a line's end is one word again, with its hyphen before a capital; marks for gaps are spaces."""
-    c = F.regexp_replace(c, r"(\p{L})-[ ]*(?:_|\\n)[ ]*(?=\p{Ll})", "$1")
-    c = F.regexp_replace(c, r"(\p{L})-[ ]*(?:_|\\n)[ ]*(?=\S)", "$1-")
-    c = F.regexp_replace(c, r"_|\\[nt]", " ")
+    c = F.regexp_replace(c, BROKEN + r"(?=\p{Ll})", "$1")
+    c = F.regexp_replace(c, BROKEN + r"(?=\S)", "$1-")
+    c = F.regexp_replace(c, GAP, " ")
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
@@ -72,7 +84,7 @@ def town_to_show(name: Column, town: Column) -> Column:
 
 def operator_name(c: Column) -> Column:
     """Without a first word of six letters and digits that holds a digit."""
-    return F.regexp_replace(c, r"^(?=[A-Za-z]*\d)[A-Za-z\d]{6} +(?=\S)", "")
+    return F.regexp_replace(c, OPERATOR_CODE, "")
 
 
 def agency_key(c: Column) -> Column:
@@ -101,10 +113,7 @@ def trip_path(agency: Column, mode: Column, name: Column, day: Column, time: Col
 
 def parse_address(c: Column) -> Column:
     """The parts of a stop, line or trip address as a struct; null for any other text."""
-    place = r"@(-?\d{1,2}(?:\.\d{1,7})?),(-?\d{1,3}(?:\.\d{1,7})?)"
-    stop = rf"^stop/([a-z0-9-]+)(?:/([1-9]\d{{0,2}})|{place})?$"
-    line = rf"^line/([a-z0-9-]+)/([a-z]+)/([a-z0-9-]+)(?:{place})?$"
-    trip = r"^trip/([a-z0-9-]+)/([a-z]+)/([a-z0-9-]+)/(\d{4}-\d{2}-\d{2})/((?:[01]\d|2[0-3])[0-5]\d)-([a-z0-9-]+)$"
+    stop, line, trip = STOP_ADDRESS, LINE_ADDRESS, TRIP_ADDRESS
 
     def part(pattern: str, i: int) -> Column:
         return F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
@@ -133,11 +142,11 @@ def route_mode(kind: Column, short: Column) -> Column:
     """The kind of transport of a GTFS route type and a line's short name."""
     name = F.coalesce(short, F.lit(""))
     train = (
-        F.when(name.rlike(r"^S\s?\d"), "suburban")
-        .when(name.rlike(r"^(ICE|IC|ECE|EC|RJX|RJ|NJ|EN|TGV|FLX|D)\s?\d"), "longdistance").otherwise("regional")
+        F.when(name.rlike(SUBURBAN), "suburban")
+        .when(name.rlike(LONG_DISTANCE), "longdistance").otherwise("regional")
     )
     return (
-        F.when(kind == 0, F.when(name.rlike(r"^U\s?\d+$"), "subway").otherwise("tram"))
+        F.when(kind == 0, F.when(name.rlike(UNDERGROUND), "subway").otherwise("tram"))
         .when(kind == 1, "subway")
         .when(kind.isin(3, 11) | kind.between(800, 899), "bus")
         .when(kind == 2, train)
@@ -158,7 +167,7 @@ def choice_key(mode: Column, line: Column, following: Column | None = None) -> C
 def read_choice(c: Column, most: int = 64) -> Column:
     """The distinct well-formed keys of a comma-separated text, in order, at most so many."""
     keys = F.transform(F.split(F.lower(c), ","), lambda k: F.trim(k))
-    good = F.filter(keys, lambda k: k.rlike(r"^([a-z]+)/([a-z0-9-]+)(?:~([a-z0-9-]+))?$") & F.substring_index(k, "/", 1).isin(MODES))
+    good = F.filter(keys, lambda k: k.rlike(CHOICE) & F.substring_index(k, "/", 1).isin(MODES))
     return F.coalesce(F.slice(F.array_distinct(good), 1, most), F.array().cast("array<string>"))
 
 

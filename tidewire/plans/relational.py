@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, time
 from ..operators import aggregates as ag
-from ..operators import graph, joins, sets, topk
+from ..operators import graph, joins, map_view, sets, topk
 from ..operators import sequences as seq
 from .registry import query
 from .transit import duck, table, view
@@ -606,7 +606,7 @@ def o01(spark, d):
 
 @query("o02_byte_order", duck("SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) AS n FROM {part}"))
 def o02(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(Window.orderBy("p_name", "p_partkey")).alias("n"))
+    return map_view.global_rank(table(spark, d, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"]).select("p_partkey", F.col("rank").alias("n"))
 
 
 @query("o04_departure_board", duck(f"""
@@ -627,8 +627,8 @@ def o06(spark, d):
 def o08(spark, d):
     from ..functions.text import natural_key
 
-    w = Window.orderBy(F.col("s_nationkey") % 3, natural_key(F.concat(F.lit("Bus "), F.col("s_suppkey").cast("string"))))
-    return table(spark, d, "supplier").select("s_suppkey", F.row_number().over(w).alias("n"))
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") % 3).alias("mode"), natural_key(F.concat(F.lit("Bus "), F.col("s_suppkey").cast("string"))).alias("name"))
+    return map_view.global_rank(s, ["mode", "name"]).select("s_suppkey", F.col("rank").alias("n"))
 
 
 @query("o09_merged_board", duck(f"""
@@ -781,7 +781,7 @@ def v35(spark, d):
 
 @query("k08_sitemap_files", duck("SELECT (n - 1) // 400 AS file, count(*) AS urls, min(o_orderkey) AS first FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM {orders}) GROUP BY ALL"))
 def k08(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.row_number().over(Window.orderBy("o_orderkey")).alias("n"))
+    o = map_view.global_rank(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"]).select("o_orderkey", F.col("rank").alias("n"))
     return o.groupBy(F.floor((F.col("n") - 1) / 400).alias("file")).agg(F.count(F.lit(1)).alias("urls"), F.min("o_orderkey").alias("first"))
 
 
