@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import components, materialise, shuffle_partitions, text_key
 from .shingles import WordHashes, scramble, shingle_sets
 
-SLICE, SLICE_BYTES = 8_000, 32_000_000  # documents and bytes of text whose tokens travel together, at most
-HOT = 64  # texts from which on the order of tokens tells no frequencies apart
+SLICE, SLICE_TOKENS = 8_000, 2_000_000  # documents and tokens that travel together, about
+HOT = 32  # texts from which on the order of tokens tells no frequencies apart
 BUCKET_BYTES = 8_000_000  # of text whose tokens one bucket holds, about
 BLOCK = 1_024  # documents of a verified block
 ORDERS = (0x5BD1E9955BD1E995, 0xC2B2AE3D27D4EB4F)  # salts of the hash orders besides the frequency order
@@ -42,42 +42,45 @@ def _ship(k: int, buckets: int, held: int, docs: int):
             r, c = np.unique(ref[lo:hi], return_counts=True)
             yield int(to[lo]), r.tobytes(), c.astype("<u4").tobytes(), token[lo:hi].astype(kind).tobytes()
 
-    def rows_of(refs: np.ndarray, texts: list[bytes], words: WordHashes) -> list[tuple]:
-        refs, first = np.unique(refs, return_index=True)
-        sets = shingle_sets([texts[i] for i in first], k, words)
+    def rows_of(refs: np.ndarray, sets: list[np.ndarray]) -> list[tuple]:
         sizes = np.array([len(s) for s in sets], np.int64)
-        token, ref, home = np.concatenate(sets), np.repeat(refs, sizes), refs % buckets
-        bucket = (token >> np.uint64(32)).astype(np.int64) % buckets
-        token = (bucket << 32) | (token & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        _, at, n = np.unique(token, return_inverse=True, return_counts=True)
-        hot = n[at] >= held
+        home = refs % buckets
         out = [(-1 - int(b), refs[home == b].tobytes(), sizes[home == b].astype("<u4").tobytes(), b"") for b in np.unique(home)]
+        token = np.concatenate(sets)
+        token = ((token >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | token & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        ref = np.repeat(refs, sizes)
+        order = np.sort(token)
+        each = order[held - 1 :][order[held - 1 :] == order[: len(order) - held + 1]] if len(order) >= held else order[:0]
+        each = each[np.r_[True, each[1:] != each[:-1]]] if len(each) else each
+        del order
+        hot = np.isin(token, each)
         out += packed(-1 - ref[hot] % buckets, ref[hot], token[hot], "<i8")
-        out += packed(bucket[~hot], ref[~hot], token[~hot] & 0xFFFFFFFF, "<u4")
-        each = np.unique(token[hot])
-        return out + [(int(b), b"", b"", (each[each >> 32 == b] & 0xFFFFFFFF).astype("<u4").tobytes()) for b in np.unique(each >> 32)]
+        out += [(int(b), b"", b"", (each[each >> 32 == b] & 0xFFFFFFFF).astype("<u4").tobytes()) for b in np.unique(each >> 32)]
+        token, ref = token[~hot], ref[~hot]
+        return out + list(packed(token >> 32, ref, token & 0xFFFFFFFF, "<u4"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, refs, texts, size = WordHashes(), [], [], 0
-        for ref, text in _rows_then_end(batches):
-            if len(texts) == docs or size >= SLICE_BYTES or (ref is None and texts):
-                rows = rows_of(np.array(refs, np.int64), texts, words)
-                refs, texts, size = [], [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-            if ref is not None:
-                refs.append(ref)
-                texts.append(text)
-                size += len(text)
+        words, seen, sets, tokens = WordHashes(), {}, [], 0
 
-    return run, "bucket int, refs binary, counts binary, tokens binary"
+        def flush() -> pa.RecordBatch:
+            rows = rows_of(np.array(list(seen), np.int64), sets)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                new = {r: t for r, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if r not in seen}
+                found = shingle_sets(list(new.values()), k, words)
+                seen |= dict.fromkeys(new)
+                sets += found
+                tokens += sum(map(len, found))
+                if len(sets) >= docs or tokens >= SLICE_TOKENS:
+                    yield flush()
+                    seen, sets, tokens = {}, [], 0
+        if sets:
+            yield flush()
 
-def _rows_then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1_000):
-            part = batch.slice(at, 1_000)
-            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-    yield None, None
+    return run, "bucket int, refs binary, counts binary, tokens binary"
 
 
 def _join(column: pd.Series, kind: str) -> np.ndarray:
