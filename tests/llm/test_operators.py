@@ -190,6 +190,31 @@ def test_vector_recall(spark):
     assert got >= 0.99 * sum(map(len, links.values()))
 
 
+@pytest.mark.parametrize("rank", [4, 64])
+def test_every_link_counts_for_both_ends(spark, monkeypatch, rank):
+    monkeypatch.setattr(vectors, "BLOCK", 200)
+    rng = np.random.default_rng(rank)
+    base = rng.normal(size=(900, rank)) @ rng.normal(size=(rank, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    step = rng.normal(size=base.shape)
+    step -= (step * base).sum(axis=1, keepdims=True) * base
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    x = np.concatenate([base, base + step * np.tan(np.arccos(rng.uniform(0.951, 0.97, size=(900, 1))))]).astype(np.float32).astype(float)
+    got = {r.vec_id: r for r in vectors.op4(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.95
+    np.fill_diagonal(hit, False)
+    low = np.arange(len(x))
+    while True:
+        after = np.minimum(low, np.where(hit, low, len(x)).min(axis=1))
+        if (after == low).all():
+            break
+        low = after
+    assert hit.sum() >= 1800
+    assert [got[i].n_links for i in range(len(x))] == hit.sum(axis=1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == low.tolist()
+
+
 # ---- 5
 
 def plain_jaccard(rows, k, num, den):

@@ -17,8 +17,9 @@ from .common import components, materialise
 
 SAMPLE_ROWS = 16_384  # about so many distinct vectors fit the centroids; all vectors are indexed and compared
 MOST_CELLS = 16_384  # bounds the broadcast centroids: 8 MB at 64 dimensions
-PLACES = "array<struct<i:int,j:int,on_left:boolean,on_right:boolean>>"
-BLOCK = 2_048  # rows of a block; a product of two blocks is 32 MB of doubles
+BLOCK = 8_192  # home rows of a tile, the unit of comparison
+CELLS = 2_097_152  # entries of a product held at once, 8 MB of floats
+SLACK = 1e-6  # of the bounds, above the rounding of doubles
 
 
 def centroids(vectors: DataFrame, rows: int, cells: int, seed: int) -> np.ndarray:
@@ -36,70 +37,152 @@ def _unit(column: pa.Array, dims: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def assign(vectors: DataFrame, centres: np.ndarray, threshold: float, width: float) -> DataFrame:
-    """(cell, home, v, m, vec): each vector in its nearest cell, and as a guest in every cell that a vector linked with it
-    may have as its nearest: those whose bisector with the home cell is nearer than width standard deviations of
-    the step that a pair at the threshold makes in a random direction."""
+def _slices(n: int, width: int) -> Iterator[slice]:
+    step = max(1, CELLS // max(1, width))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def homes(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(cell, near, v, m, vec): each vector with its nearest cell and its cosine with that cell's centre."""
     dims = centres.shape[1]
-    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
-    reach = width * math.sqrt(2 - 2 * threshold) / math.sqrt(dims) * apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = _unit(batch.column(2), dims) @ centres.T
-            home = near.argmax(1)
-            best = near[np.arange(len(home)), home]
-            row, cell = np.nonzero(near >= best[:, None] - reach[home])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.astype(np.int32)), pa.array(home[row] == cell), *[batch.column(i).take(pa.array(row)) for i in range(3)]],
-                names=["cell", "home", "v", "m", "vec"],
-            )
+            x = _unit(batch.column(2), dims)
+            cell, best = np.zeros(len(x), np.int32), np.zeros(len(x))
+            for part in _slices(len(x), len(centres)):
+                near = x[part] @ centres.T
+                cell[part] = near.argmax(axis=1)
+                best[part] = near.max(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(best), *batch.columns], names=["cell", "near", "v", "m", "vec"])
+
+    return vectors.select("v", "m", "vec").mapInArrow(run, "cell int, near double, v long, m long, vec array<float>")
+
+
+def tiles(centres: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first tile, number of tiles) of each cell: neighbouring cells share a tile of at most BLOCK vectors, a cell of more is dealt
+    over tiles of its own. The cells are halved along their widest direction."""
+    first, many = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    todo, n = [np.flatnonzero(sizes)], 0
+    while todo:
+        cells = todo.pop()
+        total = sizes[cells].sum()
+        if total <= BLOCK or len(cells) == 1:
+            first[cells], many[cells] = n, -(-total // BLOCK)
+            n += int(-(-total // BLOCK))
+            continue
+        c = centres[cells] - centres[cells].mean(axis=0)
+        cells = cells[np.argsort(c @ np.linalg.eigh(c.T @ c)[1][:, -1], kind="stable")]
+        cut = int(np.searchsorted(np.cumsum(sizes[cells]), total / 2)) + 1
+        cut = min(cut, len(cells) - 1)
+        todo += [cells[cut:], cells[:cut]]
+    return first, many
+
+
+def meetings(home: DataFrame, centres: np.ndarray, sizes: np.ndarray, lows: np.ndarray, threshold: float) -> DataFrame:
+    """(i, j, on_left, v, m, vec): each vector in every pair of tiles i <= j in which it may have a link, on the side of its own tile.
+
+    The bounds are exact. A vector linked with y is at most the threshold's angle away; one whose nearest centre is c lies on c's
+    side of the bisector of c and y's own centre, and no farther from c than c's farthest home vector. So y skips a cell only
+    if it is beyond that angle from the bisector, or from the ball around c; both sides of a link meet in the same pair of tiles.
+    """
+    dims = centres.shape[1]
+    angle = math.acos(max(-1.0, min(1.0, threshold)))
+    step = math.sin(angle) if threshold > 0 else 1.0
+    first, many = tiles(centres, sizes)
+    ball = np.cos(np.minimum(np.arccos(np.clip(lows, -1, 1)) + angle, math.pi))
+    ball[sizes == 0] = 2.0  # no vector at home there
+    n_tiles = int((first + many)[sizes > 0].max())
+    long = np.einsum("ij,ij->i", centres, centres)
+    # cells in the order of their tiles: a tile is reached if one of its cells is
+    order = np.argsort(first, kind="stable")
+    order = order[sizes[order] > 0]
+    starts = np.flatnonzero(np.r_[True, np.diff(first[order]) > 0])
+    tile, copies = first[order][starts], many[order][starts]
+    spread = np.repeat(np.arange(len(tile)), copies)  # of each tile, its run of cells
+    assert len(spread) == n_tiles
 
-    return vectors.select("v", "m", "vec").mapInArrow(run, "cell int, home boolean, v long, m long, vec array<float>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, v = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            x = _unit(batch.column(4), dims)
+            own = first[cell] + v % many[cell]
+            for part in _slices(len(x), max(len(centres), n_tiles)):
+                c = cell[part]
+                near = x[part] @ centres.T
+                apart = np.sqrt(np.maximum(long[c][:, None] + long[None, :] - 2 * centres[c] @ centres.T, 0))
+                meets = near >= near[np.arange(len(c)), c][:, None] - step * apart - SLACK
+                meets &= near >= ball - SLACK
+                meets[np.arange(len(c)), c] = True
+                at = np.logical_or.reduceat(meets[:, order], starts, axis=1)[:, spread]
+                row, other = np.nonzero(at)
+                mine = own[part][row]
+                take = pa.array(row + part.start)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(mine, other).astype(np.int32)), pa.array(np.maximum(mine, other).astype(np.int32)), pa.array(mine <= other),
+                     *[batch.column(i).take(take) for i in (2, 3, 4)]],
+                    names=["i", "j", "on_left", "v", "m", "vec"],
+                )
+
+    return home.select("cell", "near", "v", "m", "vec").mapInArrow(run, "i int, j int, on_left boolean, v long, m long, vec array<float>")
 
 
 def _block(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("v")
+        same = rows["i"].iat[0] == rows["j"].iat[0]
         x = np.stack(rows["vec"].to_numpy()).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        v, m = rows["v"].to_numpy(), rows["m"].to_numpy()
-        left, right = np.flatnonzero(rows["on_left"].to_numpy()), np.flatnonzero(rows["on_right"].to_numpy())
-        if not len(left) or not len(right):
-            return pd.DataFrame({"v": [], "links": [], "root": []}).astype("int64")
-        hit = x[left] @ x[right].T >= threshold
-        hit &= v[left][:, None] != v[right][None, :]
-        links = hit @ m[right]
-        # components within the block: the smallest label spreads over the links, both ways
-        label = v.copy()
-        a, b = np.nonzero(hit)
-        a, b = left[a], right[b]
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            after = label.copy()
-            np.minimum.at(after, a, low)
-            np.minimum.at(after, b, low)
-            # the same vector may stand on both sides
-            if (after == label).all():
-                break
-            label = after
-        out = pd.DataFrame({"v": v, "links": 0, "root": label})
-        out.loc[left, "links"] = links
-        return out[(out["links"] > 0) | (out["v"] != out["root"])]
+        v, m, on_left = rows["v"].to_numpy(), rows["m"].to_numpy(), rows["on_left"].to_numpy()
+        left, right = np.flatnonzero(on_left), np.flatnonzero(on_left if same else ~on_left)
+        links, root = np.zeros(len(v)), np.arange(len(v))
+        # floats find the candidates, doubles decide near the threshold
+        rough, margin = x.astype(np.float32), 1e-6 + 2e-7 * x.shape[1]
+        theirs = rough[right].T
+        for part in _slices(len(left), len(right)):
+            cosine = rough[left[part]] @ theirs
+            a, b = np.nonzero(cosine >= threshold - margin)
+            close = cosine[a, b] < threshold + margin
+            a, b = left[part][a], right[b]
+            keep = a != b
+            near = np.flatnonzero(close & keep)
+            for some in _slices(len(near), x.shape[1]):
+                at = near[some]
+                keep[at] = np.einsum("ij,ij->i", x[a[at]], x[b[at]]) >= threshold
+            a, b = a[keep], b[keep]
+            links += np.bincount(a, weights=m[b], minlength=len(v))
+            if not same:
+                links += np.bincount(b, weights=m[a], minlength=len(v))
+            # components so far, joined by this part's links; a root is its component's first row
+            p, q = root[a], root[b]
+            p, q = p[p != q], q[p != q]
+            low = np.arange(len(v))
+            while len(p):
+                both, before = np.minimum(low[p], low[q]), low.copy()
+                np.minimum.at(low, p, both)
+                np.minimum.at(low, q, both)
+                low = low[low]
+                if (low == before).all():
+                    break
+            root = low[root]
+        out = pd.DataFrame({"v": v, "links": links.astype(np.int64), "root": v[root]})
+        return out[out["links"] > 0]
 
     return run
 
 
 def near_duplicates(
-    df: DataFrame, key: str, vector: str, threshold: float = 0.95, width: float = 2.0, seed: int = 11, cells: int | None = None,
+    df: DataFrame, key: str, vector: str, threshold: float = 0.95, seed: int = 11, cells: int | None = None,
 ) -> DataFrame:
     """(key, n_links, component_id, kept) for every row of df: how many other rows have a cosine of threshold or more, the
     smallest key reachable over such links, and whether the row is its component's representative.
 
     Equal vectors are one row with a count from the start, so copies cost nothing and are never paired. The k-means cells
-    (square root of the distinct vectors) are fitted on about SAMPLE_ROWS vectors; all vectors are assigned. A cell of more than BLOCK
-    home vectors is compared block by block, each pair of blocks a task of its own. A block gives counts and the edges of its
-    components (at most one a row), not pairs. A wider guest rule finds more of the pairs
-    that straddle cells and copies more vectors; at 2 deviations recall against brute force is measured in the tests.
+    (square root of the distinct vectors) are fitted on about SAMPLE_ROWS vectors; all vectors are assigned. Cells lie in tiles of
+    BLOCK vectors, and each pair of tiles that may hold a link is a task of its own: every link is found once and counts for both
+    ends. The bounds that leave out pairs of tiles are exact, so the result is, on any data; where vectors have no
+    clusters, nothing can be left out, and every pair is compared. A task gives counts and the edges of its components (at most
+    one a row), not pairs.
 
     Null, empty and zero vectors and vectors with null or non-finite components link with nothing and are kept. Vectors of
     different lengths never link. Null keys stand last: a component of null keys only has a null id. Repeated rows link with
@@ -115,21 +198,15 @@ def near_duplicates(
         part = groups.where(F.size("vec") == dims)
         k = cells or max(1, min(MOST_CELLS, math.isqrt(n)))
         centres = centroids(part, n, k, seed) if k > 1 else np.ones((1, dims)) / math.sqrt(dims)
-        placed = assign(part, centres, threshold, width)
-        placed = placed.withColumn("dims", F.lit(dims))
+        home = materialise(homes(part, centres), "homes")
+        sizes, lows = np.zeros(len(centres), np.int64), np.ones(len(centres))
+        for r in home.groupBy("cell").agg(F.count(F.lit(1)), F.min("near")).collect():  # one row a cell
+            sizes[r[0]], lows[r[0]] = r[1], r[2]
+        placed = meetings(home, centres, sizes, lows, threshold).withColumn("dims", F.lit(dims))
         found = placed if found is None else found.unionByName(placed)
     if found is None:
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    placed = materialise(found, "cells")
-    blocks = placed.groupBy("dims", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nb"))
-    placed = placed.join(blocks, ["dims", "cell"]).withColumn("i", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("nb") - 1)
-    own = F.struct(F.col("i").alias("i"), F.col("i").alias("j"), F.col("home").alias("on_left"), F.lit(True).alias("on_right"))
-    as_left = F.when(F.col("home"), F.transform(every, lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), F.lit(True).alias("on_left"), F.lit(False).alias("on_right"))))
-    as_right = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("i").alias("j"), F.lit(False).alias("on_left"), F.lit(True).alias("on_right")))
-    others = F.filter(F.concat(F.coalesce(as_left, F.array().cast(PLACES)), as_right), lambda s: s["i"] != s["j"])
-    placed = placed.select("dims", "cell", "v", "m", "vec", F.inline(F.concat(F.array(own), others)))
-    pairs = placed.groupBy("dims", "cell", "i", "j").applyInPandas(_block(threshold), "v long, links long, root long")
+    pairs = found.groupBy("dims", "i", "j").applyInPandas(_block(threshold), "v long, links long, root long")
     pairs = materialise(pairs, "links")
     counts = pairs.groupBy("v").agg(F.sum("links").alias("links"))
     roots = components(pairs.select(F.col("v").alias("src"), F.col("root").alias("dst")))
