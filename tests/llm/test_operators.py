@@ -285,6 +285,19 @@ def test_every_line_survives_once(spark, docs):
     assert before == after
 
 
+def test_blocks_of_short_lines_that_stand_alone_before(spark):
+    verse = [f"{a} {b} of {a}" for a in ("stone", "tree", "lamp", "glass") for b in ("red", "blue", "green")]
+    long = "a line of six words here"
+    rows = [(i, f"own words of document number {i}\n{x}") for i, x in enumerate([*verse, long])]
+    rows += [(20, "\n".join(["text of twenty comes here first", *verse, "", long, "short end"])), (30, "\n".join(["thirty", "", *verse, "last words"]))]
+    rows += [(31, f"short end\n\n{long}\nshort end\nmore"), (32, "\n".join([*verse[:1], "x", *verse[5:7]])), (33, "\n\t\n".join(verse[:2])), (34, "\n \n".join(verse[:2]))]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert out[20].text == "\n".join(["text of twenty comes here first", *verse, "", "short end"])  # the long line stands in 12
+    assert out[30].text == "thirty\n\nlast words" and out[30].removed_lines == len(verse)
+    assert out[31].text == "short end\n\nmore" and out[32].text == f"{verse[0]}\nx"
+    assert out[33].text == rows[-2][1] and out[34].text == rows[-1][1]
+
+
 # ---- 7
 
 def plain_budget(tree, budget, weights):

@@ -3,17 +3,20 @@ blocks are deleted from the later document."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, text_key
 
 LAST = (1 << 63) - 1
+WINDOW = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def _longest_rise(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -102,6 +105,47 @@ def _delete(least_words: int):
     return run
 
 
+def windows(text: str, least_words: int) -> list[tuple[int, int, int]]:
+    """(hash, line number, lines) of the shortest runs of two or more neighbouring lines that reach least_words words, from every
+    short line on and up to every short line. They cover every line of every longer run (lines without words only inside it),
+    and a line stands in at most twice least_words of them."""
+    lines = [x.strip(" ").encode() for x in text.split("\n")]
+    total = [0]
+    for x in lines:
+        total.append(total[-1] + len(x.split(None, least_words)))
+    found, start = set(), 0
+    for end in range(len(lines) + 1):
+        if end < len(lines) and lines[end]:
+            continue
+        for p in range(start, end):
+            if 0 < total[p + 1] - total[p] < least_words:
+                stop = bisect_left(total, total[p] + least_words, p + 1, end + 1)
+                if stop <= end:
+                    found.add((p, stop))
+                first = bisect_right(total, total[p + 1] - least_words, start, p + 1) - 1
+                if first >= start:
+                    found.add((first, p + 1))
+        start = end + 1
+    return [(xxhash.xxh3_64_intdigest(b"\n".join(lines[a:b])) - (1 << 63), a, b - a) for a, b in sorted(found)]
+
+
+def _windows(least_words: int):
+    names = ["id", "ref", "h", "pos", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, ref, text in zip(*batch.columns, strict=True):
+                out += [(key.as_py(), ref.as_py(), *w) for w in windows(text.as_py(), least_words)]
+                if len(out) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), WINDOW, strict=True)], names=names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), WINDOW, strict=True)], names=names)
+
+    return run
+
+
 def _line(x: Column) -> Column:
     return F.trim(x)
 
@@ -113,7 +157,9 @@ def dedup_lines(df: DataFrame, key: str, text: str, least_words: int = 5) -> Dat
     key, then by its text's hash. Every line that several documents hold pairs each of its later holders with its first
     holder, so that pairs grow with the lines, however common one is, and every line survives in its first document. A pair's
     shared lines are aligned (patience diff, repeated on the rest for moved blocks); aligned blocks of least_words words
-    or more are deleted from the later document. Counts are pre-aggregated by line; the joins on a line's hash
+    or more are deleted from the later document. Blocks of short lines whose lines have other first holders, each on its own, are
+    found by their windows (the shortest runs of neighbouring lines that reach least_words): a window that an earlier document holds
+    is deleted too, so that a block goes whichever earlier document holds it. Counts are pre-aggregated by line; the joins on a line's hash
     have one row a line on one side, so a line that a third of the corpus holds is a skewed probe side, which AQE splits.
 
     Null texts stay null and empty texts empty. Null keys come last, in their hash order. Rows of equal key and text are one
@@ -145,6 +191,12 @@ def dedup_lines(df: DataFrame, key: str, text: str, least_words: int = 5) -> Dat
         F.filter("their", lambda x: F.array_contains(mine, x["h"])).alias("earlier"),
     )
     gone = both.mapInPandas(_delete(least_words), "id long, ref long, gone array<int>")
+    some = df.where(F.contains(F.col(text), F.lit("\n"))).select(doc.alias("doc"), F.col(text).alias("text"))
+    runs = some.select("doc.id", "doc.ref", "text").mapInArrow(_windows(least_words), "id long, ref long, h long, pos int, n int")
+    runs = materialise(runs, "windows").withColumn("doc", F.struct("id", "ref"))
+    known = runs.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "first")
+    known = runs.join(known, "h").where("doc > first")
+    gone = gone.unionByName(known.select("id", "ref", F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1).alias("gone")))
     gone = gone.groupBy("id", "ref").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     out = df.select(*kept).withColumn("__d", doc).withColumns({"__id": F.col("__d.id"), "__ref": F.col("__d.ref")}).drop("__d")
     out = out.join(gone.withColumnsRenamed({"id": "__id", "ref": "__ref", "gone": "__gone"}), ["__id", "__ref"], "left")
