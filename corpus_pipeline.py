@@ -28,13 +28,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, that of the smallest doc_id.
-    Documents without an id come after all ids, by their text's hash; rows repeated in full become one."""
-    late = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    keyed = docs.select(*COLUMNS).withColumn("_key", F.coalesce(F.col("doc_id"), late))
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, that of the smallest doc_id, then
+    of the smallest text hash: documents that share an id but not their text are documents of their own. Documents without
+    an id come after all ids, by their text's hash. Rows of equal id and text become one; those without words only if equal in full."""
+    at = F.xxhash64("text")
+    late = F.lit(1 << 62) + F.pmod(at, F.lit(1 << 61))
+    keyed = docs.select(*COLUMNS).withColumn("_key", F.struct(F.coalesce(F.col("doc_id"), late).alias("id"), at.alias("ref")))
     groups = ngram_join.jaccard_join(keyed.select("_key", "text"), "_key", "text", 5, 80, 100)
     first = groups.where(F.col("_key") == F.col("component_id")).select("_key").distinct()
-    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    wordless = F.when(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.to_json(F.struct(*COLUMNS)))
+    return keyed.join(first, "_key", "left_semi").withColumn("_row", wordless).dropDuplicates(["_key", "_row"]).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import corpus_pipeline as pipeline
 import pytest
 from tidewire.llm.common import materialise
 
+from .conftest import DOCS, text_of
 from .test_operators import plain_jaccard
 
 STAGES = dict(pipeline.STAGES)
@@ -49,6 +50,13 @@ def test_one_document_a_group(spark, docs, stages):
     assert sum(d is None for d, _ in got) == 1
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    a, b, c = (text_of(i) for i in (900, 901, 902))
+    found = [(5, a, "en", "s", 1), (7, a, "en", "s", 1), (7, b, "en", "s", 1), (7, b, "en", "s", 1), (7, c, "en", "s", 1), (8, None, "en", "s", None), (8, None, "en", "t", None)]
+    out = STAGES["ngram_join"](spark, spark.createDataFrame(found, DOCS), "unused")
+    assert sorted((r.doc_id, r.text or "", r.source) for r in out.collect()) == sorted([(5, a, "s"), (7, b, "s"), (7, c, "s"), (8, "", "s"), (8, "", "t")])
+
+
 def test_mixing_takes_no_document_twice(spark, stages):
     before, after = stages["mixing"]
     assert set(rows(after)) <= set(rows(before)) and len(rows(after)) == len(set(rows(after)))
