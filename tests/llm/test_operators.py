@@ -445,18 +445,27 @@ def test_context_trees(spark, docs):
     assert ctw.op9(empty(docs)).count() == 0
 
 
-def test_model_is_a_distribution():
-    keys, _ = ctw.grams([[b"abab", b"ba"], [b"abba"]])
+def test_model_is_a_distribution(spark):
+    part = next(ctw.parts(enumerate([b"abab ba", b"abba"])))
+    keys, _ = part.grams()
     asked = np.unique(np.r_[keys, (keys[0] >> 8 << 8) + np.arange(256)])
-    counts = np.array([(keys == k).sum() for k in asked])
-    first = ctw.levels(asked, counts, 1)[1]
-    at_root, at = np.unique(first.keys & 255, return_inverse=True)
-    root = ctw.Level(at_root, *[np.bincount(at, x, len(at_root)) for x in (first.n0, first.n1, first.weighted)])
-    import pandas as pd
-
-    p = ctw._predict(first, root)(pd.DataFrame({"key": asked, "total": counts}))
-    mine = p["value"][(asked >> 8) == (keys[0] >> 8)]
-    assert abs((10**mine).sum() - 1) < 1e-9
+    counts = spark.createDataFrame([(int(k), int((keys == k).sum())) for k in asked], "key long, n long")
+    p = {r.key: r.value for r in ctw.predictions(counts).collect()}
+    assert len(p) == len(asked) and abs(sum(10 ** p[int(k)] for k in asked if k >> 8 == keys[0] >> 8) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_pieces_of_a_text_are_its_bytes(monkeypatch, size):
+    monkeypatch.setattr(ctw, "PART_BYTES", size)
+    for text in (b"", b" ", b"a", b" A  bc\td\ne ", text_of(4).encode(), b"x" * 40, b"\n\n ab   "):
+        got = list(ctw.pieces(text))
+        words = text.lower().split()
+        whole = b" ".join(words) + bytes([ctw.END])
+        assert b"".join(b for _, b, _ in got) == whole and [w for _, _, x in got for w in x] == words
+        at = 0
+        for pad, body, _ in got:
+            assert pad == (bytes([ctw.END]) * ctw.DEPTH + whole)[at : at + ctw.DEPTH]
+            at += len(body)
 
 
 def test_model_beats_words_on_held_out_texts(spark):

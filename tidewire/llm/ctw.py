@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise, shuffle_partitions
+from .common import crc_mod, materialise
 from .shingles import WordHashes
 
 DEPTH = 5  # bytes of the longest context
 END = 10  # a line feed: no word holds it
 END_WORD = 0x0E5D  # the end's key among the word hashes
-CHUNK_BYTES = 12_000_000  # of text that one task scores, about
-PART_BYTES = 2_000_000  # of text that is worked on at once
+CHUNK_BYTES = 16_000_000  # of text that asks for its contexts together, about
+PART_BYTES = 1_000_000  # of text that is worked on at once
+GRAM, WORD_KEY, DOC = 0, 1, 2  # kinds of rows, in the order in which a chunk reads them
 LOG_HALF = math.log(0.5)
+SPACES = re.compile(rb"[\x20\x09-\x0D]")
+BITS = range(8)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -35,162 +42,248 @@ def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
-
-
-def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, number of keys of each text). A text's bytes are its words joined by single spaces, then the end; a key holds, from
-    its highest byte down, the DEPTH bytes before a byte, the nearest first, and that byte. Before a text stand ends."""
-    pad = bytes([END]) * DEPTH
-    bodies = [b" ".join(w) for w in texts]
-    sizes = np.array([len(b) + 1 for b in bodies], np.int64)
-    joined = np.frombuffer(b"".join([pad + b + bytes([END]) for b in bodies]), np.uint8).astype(np.int64)
-    n = len(joined) - DEPTH
-    key = np.zeros(n, np.int64)
-    for back in range(1, DEPTH + 1):
-        key = (key << 8) | joined[DEPTH - back : DEPTH - back + n]
-    key = (key << 8) | joined[DEPTH:]
-    # positions of the next text's pad are no predictions
-    real = np.ones(len(joined), bool)
-    starts = np.cumsum(sizes + DEPTH) - sizes - DEPTH
-    for i in range(DEPTH):
-        real[starts + i] = False
-    return key[real[DEPTH:]], sizes
-
-
-class Level:
-    """Nodes of one depth: sorted keys (context << 8 | bits of the byte so far), counts, ln of the weighted probability."""
-
-    def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None):
-        self.keys, self.n0, self.n1 = keys, n0, n1
-        self.own = kt_block(n0, n1)
-        self.weighted = self.own if below is None else LOG_HALF + np.logaddexp(self.own, below)
-
-    def share(self) -> np.ndarray:
-        """The weight of a node's own estimate against its children's."""
-        return np.exp(LOG_HALF + self.own - self.weighted)
-
-
-def bits_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each key's byte, for its 8 bits: (the bits before, led by a 1; the bit), as (8, n)."""
-    x = keys & 255
-    at = np.arange(8)[:, None]
-    return (1 << at) | (x >> (8 - at)), (x >> (7 - at)) & 1
-
-
-def levels(keys: np.ndarray, counts: np.ndarray, top: int) -> dict[int, Level]:
-    """The nodes of depths DEPTH down to top over whole subtrees of that depth."""
-    before, bit = bits_of(keys)
-    node = ((keys >> 8) << 8)[None, :] | before
-    found, at = np.unique(node.ravel(), return_inverse=True)
-    c = np.broadcast_to(counts, node.shape).ravel().astype(np.float64)
-    n1 = np.bincount(at, c * bit.ravel(), len(found))
-    n0 = np.bincount(at, c, len(found)) - n1
-    out = {DEPTH: Level(found, n0, n1, None)}
-    for depth in range(DEPTH - 1, top - 1, -1):
-        lower = out[depth + 1]
-        parent = ((lower.keys >> 16) << 8) | (lower.keys & 255)
-        found, at = np.unique(parent, return_inverse=True)
-        out[depth] = Level(found, *[np.bincount(at, x, len(found)) for x in (lower.n0, lower.n1, lower.weighted)])
-    return out
-
-
-def _upper(rows: pd.DataFrame) -> pd.DataFrame:
-    got = levels(rows["key"].to_numpy(), rows["total"].to_numpy(), 2)[2]
-    return pd.DataFrame({"key": ((got.keys >> 16) << 8) | (got.keys & 255), "n0": got.n0, "n1": got.n1, "below": got.weighted})
-
-
-def _predict(first: Level, root: Level):
-    """ln of the mixed probability of every key's byte; rows hold whole subtrees of depth 2."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = rows["key"].to_numpy()
-        tree = levels(keys, rows["total"].to_numpy(), 2) | {1: first, 0: root}
-        before, bit = bits_of(keys)
-        p = None
-        for depth in range(DEPTH, -1, -1):
-            context = keys >> 8 * (DEPTH - depth + 1)
-            level = tree[depth]
-            at = np.searchsorted(level.keys, (context << 8)[None, :] | before)
-            n1, n = level.n1[at], level.n0[at] + level.n1[at]
-            own = (np.where(bit == 1, n1, n - n1) + 0.5) / (n + 1)
-            p = own if p is None else (w := level.share()[at]) * own + (1 - w) * p
-        return pd.DataFrame({"key": keys, "value": np.log10(p).sum(axis=0)})
+# ---- from texts to bytes in their contexts
+
+
+class Part:
+    """About PART_BYTES of texts: pieces of bytes with the DEPTH bytes before each, their words, and the row each comes from."""
+
+    def __init__(self):
+        self.rows, self.pads, self.bodies, self.words, self.size = [], [], [], [], 0
+
+    def add(self, row: int, pad: bytes, body: bytes, words: list[bytes]) -> None:
+        self.rows.append(row)
+        self.pads.append(pad)
+        self.bodies.append(body)
+        self.words.append(words)
+        self.size += len(body)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, number of keys of each piece). A key holds, from its highest byte down, the DEPTH bytes before a byte, the
+        nearest first, and that byte."""
+        sizes = np.array([len(b) for b in self.bodies], np.int64)
+        joined = np.frombuffer(b"".join([x for pair in zip(self.pads, self.bodies, strict=True) for x in pair]), np.uint8).astype(np.int64)
+        n = len(joined) - DEPTH
+        key = np.zeros(n, np.int64)
+        for back in range(1, DEPTH + 1):
+            key <<= 8
+            key |= joined[DEPTH - back : DEPTH - back + n]
+        key <<= 8
+        key |= joined[DEPTH:]
+        # positions of the next piece's pad are no predictions
+        real = np.ones(len(joined), bool)
+        starts = np.cumsum(sizes + DEPTH) - sizes - DEPTH
+        for i in range(DEPTH):
+            real[starts + i] = False
+        return key[real[DEPTH:]], sizes
+
+
+def pieces(text: bytes | None) -> Iterator[tuple[bytes, bytes, list[bytes]]]:
+    """(bytes before, bytes, words) of a text's pieces. A text's bytes are its words, lower-cased in A-Z, with single spaces between,
+    and an end; before it stand ends. Texts of more than PART_BYTES are cut at white space."""
+    pad, at, text = bytes([END]) * DEPTH, 0, text or b""
+    first = True
+    while True:
+        cut = len(text)
+        if cut - at > PART_BYTES:
+            space = SPACES.search(text, at + PART_BYTES)
+            cut = space.start() if space else cut
+        words = text[at:cut].lower().split()
+        body = b" ".join(words) if first or not words else b" " + b" ".join(words)
+        first = first and not words
+        if cut == len(text):
+            yield pad, body + bytes([END]), words
+            return
+        if body:
+            yield pad, body, words
+            pad = (pad + body)[-DEPTH:]
+        at = cut
+
+
+def parts(texts: Iterator[tuple[int, bytes | None]]) -> Iterator[Part]:
+    part = Part()
+    for row, text in texts:
+        for piece in pieces(text):
+            part.add(row, *piece)
+            if part.size >= PART_BYTES:
+                yield part
+                part = Part()
+    if part.rows:
+        yield part
+
+
+def _tokens(part: Part, words: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, number of keys of each piece) of the words, and of the end with a text's last piece."""
+    last = np.array([b[-1] == END for b in part.bodies])
+    h, counts = words.of_words(part.words)
+    sizes = counts + last
+    keys = np.empty(int(sizes.sum()), np.int64)
+    inner = np.ones(len(keys), bool)
+    inner[(np.cumsum(sizes) - 1)[last]] = False
+    keys[inner], keys[~inner] = h.view(np.int64), END_WORD
+    return keys, sizes
+
+
+def _counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes, found = pd.factorize(keys)
+    return found, np.bincount(codes, learn, len(found)).astype(np.int64)
+
+
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return [(keys, np.bincount(at, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64))]
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's distinct keys of bytes and words with their counts in its training texts."""
+    words, now, found = WordHashes(), None, {GRAM: [], WORD_KEY: []}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for kind, have in found.items():
+            if have:
+                keys, n = _summed(have)[0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(keys), x, np.int32)) for x in (now, kind)] + [pa.array(keys), pa.array(n)], names=["chunk", "kind", "key", "n"])
+                found[kind] = []
+
+    for chunk, _, rows in runs(batches):
+        if chunk != now:
+            yield from flush()
+            now = chunk
+        learn = ~rows.column("held_out").to_numpy(zero_copy_only=False)
+        for part in parts((i, x.as_py()) for i, x in enumerate(rows.column("text"))):
+            mine = learn[part.rows].astype(float)
+            for kind, (keys, sizes) in ((GRAM, part.grams()), (WORD_KEY, _tokens(part, words))):
+                found[kind].append(_counted(keys, np.repeat(mine, sizes)))
+                if len(found[kind]) > 8:
+                    found[kind] = _summed(found[kind])
+    yield from flush()
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(chunk, kind, rows) of runs of rows whose first two columns are the same."""
+    for batch in batches:
+        if batch.num_rows:
+            chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1]), True])
+            for a, b in pairwise(cuts):
+                yield int(chunk[a]), int(kind[a]), batch.slice(a, b - a)
+
+
+# ---- the trees, one depth at a time: a row for each context and byte in it
+
+
+def columns(name: str) -> list[str]:
+    """A column for each of a byte's eight binary decisions, the highest bit first."""
+    return [f"{name}{i}" for i in BITS]
+
+
+NODE_COLUMNS = ["ctx", "byte", "n", *columns("own"), *columns("share"), *columns("ln")]
+NODES = "ctx long, byte int, n long, " + ", ".join(f"{c} double" for c in NODE_COLUMNS[3:])
+
+
+def nodes_of(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray, below: list[np.ndarray] | None) -> list[np.ndarray]:
+    """Of whole contexts' rows in order: for each bit of a row's byte the node's own estimate of it, that estimate's weight against the
+    children's, and (in the node's first row, 0 in its others) ln of the weighted probability of all that the node saw.
+    below holds that of the children, in any rows of their node; None at the deepest contexts."""
+    own, share, ln = [], [], []
+    new, n = np.r_[True, ctx[1:] != ctx[:-1]], n.astype(float)
+    for i in BITS:
+        head = byte >> (8 - i)
+        first = new.copy()
+        first[1:] |= head[1:] != head[:-1]
+        starts, node = np.flatnonzero(first), np.cumsum(first) - 1
+        bit = byte >> (7 - i) & 1
+        total, ones = np.add.reduceat(n, starts), np.add.reduceat(n * bit, starts)
+        mine = kt_block(total - ones, ones)
+        mixed = mine if below is None else LOG_HALF + np.logaddexp(mine, np.add.reduceat(below[i], starts))
+        own.append((np.where(bit == 1, ones[node], (total - ones)[node]) + 0.5) / (total[node] + 1))
+        share.append(np.exp((mine if below is None else LOG_HALF + mine) - mixed)[node])
+        row = np.zeros(len(byte))
+        row[starts] = mixed
+        ln.append(row)
+    return [*own, *share, *ln]
+
+
+def _nodes(deepest: bool):
+    """nodes_of over rows sorted by context; a context's rows, 256 at most, are held back until they are complete."""
+
+    def done(x: list[np.ndarray]) -> pa.RecordBatch:
+        got = nodes_of(*x[:3], None if deepest else x[3:])
+        return pa.RecordBatch.from_arrays([*map(pa.array, x[:3]), *map(pa.array, got)], names=NODE_COLUMNS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            x = [c.to_numpy() for c in batch.columns]
+            x = x if rest is None else [np.concatenate(p) for p in zip(rest, x, strict=True)]
+            if len(x[0]):
+                cut = np.searchsorted(x[0], x[0][-1])
+                if cut:
+                    yield done([c[:cut] for c in x])
+                rest = [c[cut:] for c in x]
+        if rest is not None:
+            yield done(rest)
 
     return run
 
 
-def _gather(rows: pd.DataFrame) -> pd.DataFrame:
-    """A chunk's distinct keys of bytes (kind 0) and words (kind 1) with their counts in its training texts."""
-    words, found = WordHashes(), {0: [], 1: []}
-    chunk = int(rows["chunk"].iloc[0])
-    for learn, part in _parts(rows):
-        tokens = [words_of(t) for t in part]
-        key, _ = grams(tokens)
-        found[0].append(_counted(key, learn))
-        h, _ = words.of(part)
-        found[1].append(_counted(np.r_[h.view(np.int64), np.full(len(part), END_WORD)], learn))
-    out = []
-    for kind, pairs in found.items():
-        keys, at = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
-        out.append(pd.DataFrame({"chunk": chunk, "kind": kind, "key": keys, "n": np.bincount(at, np.concatenate([c for _, c in pairs]), len(keys)).astype(np.int64)}))
-    return pd.concat(out)
-
-
-def _counted(keys: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
-    found, n = np.unique(keys, return_counts=True)
-    return found, n if learn else np.zeros(len(n), np.int64)
-
-
-def _parts(rows: pd.DataFrame):
-    """Texts of about PART_BYTES at a time (one longer text is a part of its own), all for training or none."""
-    for learn in (True, False):
-        part, size = [], 0
-        for t in rows["text"][rows["held_out"] != learn]:
-            part.append(t or b"")
-            size += len(part[-1])
-            if size >= PART_BYTES:
-                yield learn, part
-                part, size = [], 0
-        if part:
-            yield learn, part
+def predictions(counts: DataFrame) -> DataFrame:
+    """(key, value) of (key, n): log10 of the mixed probability of every key's byte in its context.
+
+    Counts and ln of weighted probabilities go up the tree as sums, level by level; estimates and weights come down it by joins. The unit of
+    work is a context, which has 256 bytes at most, however often it occurs."""
+    rows = counts.select(F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(255).cast("int").alias("byte"), "n")
+    tree = {}
+    for depth in range(DEPTH, -1, -1):
+        nodes = rows.repartition("ctx").sortWithinPartitions("ctx", "byte").mapInArrow(_nodes(depth == DEPTH), NODES)
+        tree[depth] = materialise(nodes, f"nodes{depth}")
+        sums = [F.sum(c).alias(c) for c in ("n", *columns("ln"))]
+        rows = tree[depth].groupBy(F.shiftright("ctx", 8).alias("ctx"), "byte").agg(*sums)
+    # a: what the shallower estimates have decided; b: the weight left for the deeper ones
+    own, share, a, b = ([F.col(c) for c in columns(x)] for x in ("own", "share", "a", "b"))
+    path = tree[0].select("ctx", "byte", *[(share[i] * own[i]).alias(f"a{i}") for i in BITS], *[(1 - share[i]).alias(f"b{i}") for i in BITS])
+    for depth in range(1, DEPTH + 1):
+        path = tree[depth].withColumn("above", F.shiftright("ctx", 8)).join(path.withColumnRenamed("ctx", "above"), ["above", "byte"])
+        if depth < DEPTH:
+            path = path.select("ctx", "byte", *[(a[i] + b[i] * share[i] * own[i]).alias(f"a{i}") for i in BITS], *[(b[i] * (1 - share[i])).alias(f"b{i}") for i in BITS])
+    value = sum((F.log10(a[i] + b[i] * own[i]) for i in BITS), F.lit(0.0))
+    return path.select(F.shiftleft("ctx", 8).bitwiseOR(F.col("byte").cast("long")).alias("key"), value.alias("value"))
 
 
 def _score(total: int, kinds: int):
-    """Rows of a chunk with their sums: base is the unigram score of the tokens, score the mixed byte score."""
-
-    def run(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        index, value = {}, {}
-        for kind in (0, 1):
-            mine = known[known["kind"] == kind]
-            index[kind], value[kind] = pd.Index(mine["key"].to_numpy()), mine["value"].to_numpy()
-        words, out, part, size = WordHashes(), [], [], 0
-        rows = docs.reset_index(drop=True)
-        for i, t in enumerate(rows["text"]):
-            part.append(t or b"")
-            size += len(part[-1])
-            if size >= PART_BYTES or i + 1 == len(rows):
-                key, sizes = grams([words_of(t) for t in part])
-                score = np.add.reduceat(value[0][index[0].get_indexer(key)], np.cumsum(sizes) - sizes)
-                h, counts = words.of(part)
-                ends = np.cumsum(counts + 1) - 1
-                tokens = np.full(len(h) + len(part), END_WORD, np.int64)
-                inner = np.ones(len(tokens), bool)
-                inner[ends] = False
-                tokens[inner] = h.view(np.int64)
-                c = value[1][index[1].get_indexer(tokens)]
-                base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
-                starts = ends - counts
-                out.append(pd.DataFrame({
-                    "n_tokens": counts + 1, "n_known": np.add.reduceat((c > 0).astype(np.int64), starts),
-                    "base_score": np.add.reduceat(base, starts), "score": score, "n_bytes": sizes}))
-                part, size = [], 0
-        done = pd.concat(out, ignore_index=True)
-        done.insert(0, "doc_id", rows["doc_id"])
-        done.insert(1, "held_out", rows["held_out"])
-        done["train_tokens"] = total
-        return done
+    """Rows of a chunk's documents with their sums: base is the unigram score of the words and end, score the mixed byte score."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes", "train_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, now, read, index = WordHashes(), None, {GRAM: [], WORD_KEY: []}, {}
+        for chunk, kind, rows in runs(batches):
+            if chunk != now:
+                now, read, index = chunk, {GRAM: [], WORD_KEY: []}, {}
+            if kind != DOC:
+                read[kind].append((rows.column("key").to_numpy(), rows.column("value").to_numpy()))
+                continue
+            if not index:
+                for k, have in read.items():
+                    index[k] = (pd.Index(np.concatenate([x for x, _ in have])), np.concatenate([x for _, x in have]))
+                read = {}
+            size = rows.num_rows
+            tokens, known, n_bytes, base, score = (np.zeros(size) for _ in range(5))
+            for part in parts((i, x.as_py()) for i, x in enumerate(rows.column("text"))):
+                at = np.array(part.rows)
+                key, sizes = part.grams()
+                value = index[GRAM][1][index[GRAM][0].get_indexer(key)]
+                n_bytes += np.bincount(at, sizes, size)
+                score += np.bincount(np.repeat(at, sizes), value, size)
+                key, sizes = _tokens(part, words)
+                c = index[WORD_KEY][1][index[WORD_KEY][0].get_indexer(key)]
+                tokens += np.bincount(at, sizes, size)
+                known += np.bincount(np.repeat(at, sizes), c > 0, size)
+                base += np.bincount(np.repeat(at, sizes), np.log10((c + 0.1) / (total + 0.1 * (kinds + 1))), size)
+            counts = [pa.array(x.astype(np.int64)) for x in (tokens, known)]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), rows.column("held_out"), *counts, pa.array(base), pa.array(score), pa.array(n_bytes.astype(np.int64)), pa.array(np.full(size, total))],
+                names=names)
 
     return run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, train_tokens long"
 
@@ -199,40 +292,33 @@ def score_texts(df: DataFrame, key: str, text: str, folds: int = 10) -> DataFram
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row of df.
 
     The model learns from the rows whose crc32(key) mod folds is not 0: a context tree over the DEPTH bytes before each bit of
-    a text (words lower-cased in A-Z, single spaces between, an end), every node a Krichevsky-Trofimov estimate, mixed with
-    weight 1/2 against its children. score is the log10 probability of the text's bytes and end, base_score the add-0.1 unigram
-    score of its words and end.
+    a text, every node a Krichevsky-Trofimov estimate, mixed with weight 1/2 against its children. What is scored is the text's
+    words, lower-cased in A-Z, with single spaces between, and an end: score is the log10 probability of these bytes, base_score
+    the add-0.1 unigram score of its words and end.
 
     Texts are dealt to chunks of about CHUNK_BYTES by hash. A chunk sends each distinct byte context and word it holds once, with
-    its count, so what travels is a fraction of the text and grows with it; sums come back to the chunks that asked, so no task and
-    no broadcast holds the model. Subtrees of depth 2 are built each in one task; the driver sees only the nodes of depth
-    1, which are 65,280 at most, and sends them on.
+    its count, so what travels is a fraction of the text and grows with it; the values come back to the chunks that asked, and a chunk
+    streams its texts past them. No task and no broadcast holds the model: the tree is built a depth at a time in groups of
+    one context.
 
-    Null and empty texts are an end alone. Null keys hash as the empty text and are held out with their fold. Repeated rows count each
-    time. With no training row every estimate is the uniform one and unknown words have probability 1/(kinds + 1) of nothing
-    learnt, as the formula says. An empty table gives an empty result. Other columns are ignored.
+    Null and empty texts are an end alone. Long texts are worked on in pieces. Null keys hash as the empty text and are held out with
+    their fold. Repeated rows count each time. With no training row every estimate is 1/2, and the formula gives every token the same
+    share. An empty table gives an empty result. Other columns are ignored.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), (crc_mod(key, folds) == 0).alias("held_out"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = max(shuffle_partitions(spark), -(-size // CHUNK_BYTES))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    gathered = rows.groupBy("chunk").applyInPandas(_gather, "chunk int, kind int, key long, n long")
-    by_key = Window.partitionBy("kind", "key")
-    asked = gathered.select(
-        "chunk", "kind", "key", F.sum("n").over(by_key).alias("total"), (F.row_number().over(by_key.orderBy("chunk")) == 1).alias("once"))
-    asked = materialise(asked, "asked")
-    total, kinds = asked.where("kind = 1 AND once").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0)).first()
-    nodes = asked.where("kind = 0 AND once").select("key", "total", F.pmod(F.xxhash64(F.shiftright("key", 8 * (DEPTH - 1))), F.lit(chunks)).alias("bin"))
-    upper = nodes.groupBy("bin").applyInPandas(_upper, "key long, n0 double, n1 double, below double")
-    upper = upper.groupBy("key").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).toPandas().sort_values("key")  # 256 x 255 rows at most
-    first = Level(*[upper.iloc[:, i].to_numpy() for i in range(4)])
-    at_root, at = np.unique(first.keys & 255, return_inverse=True)
-    root = Level(at_root, *[np.bincount(at, x, len(at_root)) for x in (first.n0, first.n1, first.weighted)])
-    mixed = nodes.groupBy("bin").applyInPandas(_predict(first, root), "key long, value double")
-    known = asked.where("kind = 0").select("chunk", "kind", "key").join(mixed, "key").select("chunk", "kind", "key", "value")
-    known = known.unionByName(asked.where("kind = 1").select("chunk", "kind", "key", F.col("total").cast("double").alias("value")))
-    out = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(*_score(total, kinds))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    chunks = max(1, -(-size // CHUNK_BYTES))
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(DOC).alias("kind"), "doc_id", "held_out", "text")
+    gathered = rows.repartitionById(chunks, "chunk").mapInArrow(_gather, "chunk int, kind int, key long, n long")
+    gathered = materialise(gathered, "gathered")
+    counts = gathered.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    words = materialise(counts.where(F.col("kind") == WORD_KEY), "words")
+    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    values = predictions(counts.where(F.col("kind") == GRAM).select("key", "n")).select(F.lit(GRAM).alias("kind"), "key", "value")
+    values = values.unionByName(words.select("kind", "key", F.col("n").cast("double").alias("value")))
+    known = gathered.select("chunk", "kind", "key").join(values, ["kind", "key"]).select("chunk", "kind", "key", "value")
+    both = known.unionByName(rows, allowMissingColumns=True)
+    out = both.repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(*_score(total, kinds))
     return out.select(
         F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
         (-F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))

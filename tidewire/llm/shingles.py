@@ -24,9 +24,11 @@ class WordHashes(dict):
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all words, number of words of each text); A-Z lower-cased, words between ASCII white space."""
+        return self.of_words([t.lower().split() for t in texts])
+
+    def of_words(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > CACHE:
             self.clear()
-        words = [t.lower().split() for t in texts]
         counts = np.array([len(w) for w in words], np.int64)
         out = np.empty(int(counts.sum()), np.uint64)
         at = 0
