@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +12,37 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a folder of our own only where it is unset."""
+    """The folder that all executors share, as the session names it (spark.checkpoint.dir)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", f"tidewire-{uuid.uuid4().hex}")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: what is used twice is written there")
     return found
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: the lineage ends there and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df once to the shared folder and read it back: the lineage ends there and a lost executor loses nothing. The write's shuffle
+    files, which nothing reads again, go with it; the session's setting for that is put back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -36,6 +53,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """names, led by as many underscores as keep them apart from a caller's columns."""
+    taken = {c.lower() for c in columns}
+    lead = "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def text_key(text: str | Column) -> Column:
     """64-bit key of a text; rows with equal texts share it."""
     return F.xxhash64(text)
@@ -68,7 +94,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialise(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        now = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).where(u != v).distinct(), "edges")
+        old, now = now, materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).where(u != v).distinct(), "edges")
+        discard(old, large)
         after = _mark(now)
         if after == mark:
             break

@@ -13,14 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise
+from .common import crc_mod, discard, materialise
 from .shingles import WordHashes
 
 DEPTH = 5  # bytes of the longest context
 END = 10  # a line feed: no word holds it
 END_WORD = 0x0E5D  # the end's key among the word hashes
-CHUNK_BYTES = 16_000_000  # of text that asks for its contexts together, about
+CHUNK_BYTES = 32_000_000  # of text that asks for its contexts together, about
 PART_BYTES = 1_000_000  # of text that is worked on at once
+PACK = 1_000_000  # values on their way back that are packed together, about
 GRAM, WORD_KEY, DOC = 0, 1, 2  # kinds of rows, in the order in which a chunk reads them
 LOG_HALF = math.log(0.5)
 SPACES = re.compile(rb"[\x20\x09-\x0D]")
@@ -248,7 +249,32 @@ def predictions(counts: DataFrame) -> DataFrame:
         if depth < DEPTH:
             path = path.select("ctx", "byte", *[(a[i] + b[i] * share[i] * own[i]).alias(f"a{i}") for i in BITS], *[(b[i] * (1 - share[i])).alias(f"b{i}") for i in BITS])
     value = sum((F.log10(a[i] + b[i] * own[i]) for i in BITS), F.lit(0.0))
-    return path.select(F.shiftleft("ctx", 8).bitwiseOR(F.col("byte").cast("long")).alias("key"), value.alias("value"))
+    out = materialise(path.select(F.shiftleft("ctx", 8).bitwiseOR(F.col("byte").cast("long")).alias("key"), value.alias("value")), "values")
+    discard(*tree.values())
+    return out
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, kind, key, value) as few long rows a chunk and kind; about PACK of them are held."""
+    names, have, size = ["chunk", "kind", "keys", "values"], [], 0
+
+    def flush() -> pa.RecordBatch:
+        chunk, kind, key, value = (np.concatenate(x) for x in zip(*have, strict=True))
+        order = np.lexsort((key, kind, chunk))
+        chunk, kind, key, value = chunk[order], kind[order], key[order], value[order]
+        starts = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])])
+        cuts = pa.array(np.r_[starts, len(key)], pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (key, value)]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), pa.array(kind[starts]), *lists], names=names)
+
+    for batch in batches:
+        have.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= PACK:
+            yield flush()
+            have, size = [], 0
+    if size:
+        yield flush()
 
 
 def _score(total: int, kinds: int):
@@ -261,11 +287,12 @@ def _score(total: int, kinds: int):
             if chunk != now:
                 now, read, index = chunk, {GRAM: [], WORD_KEY: []}, {}
             if kind != DOC:
-                read[kind].append((rows.column("key").to_numpy(), rows.column("value").to_numpy()))
+                read[kind].append([rows.column(c).flatten().to_numpy() for c in ("keys", "values")])
                 continue
             if not index:
                 for k, have in read.items():
-                    index[k] = (pd.Index(np.concatenate([x for x, _ in have])), np.concatenate([x for _, x in have]))
+                    keys, values = (np.concatenate(x) for x in zip(*have, strict=True))
+                    index[k] = (pd.Index(keys), values)
                 read = {}
             size = rows.num_rows
             tokens, known, n_bytes, base, score = (np.zeros(size) for _ in range(5))
@@ -314,9 +341,11 @@ def score_texts(df: DataFrame, key: str, text: str, folds: int = 10) -> DataFram
     counts = gathered.groupBy("kind", "key").agg(F.sum("n").alias("n"))
     words = materialise(counts.where(F.col("kind") == WORD_KEY), "words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    values = predictions(counts.where(F.col("kind") == GRAM).select("key", "n")).select(F.lit(GRAM).alias("kind"), "key", "value")
-    values = values.unionByName(words.select("kind", "key", F.col("n").cast("double").alias("value")))
+    grams = predictions(counts.where(F.col("kind") == GRAM).select("key", "n"))
+    values = grams.select(F.lit(GRAM).alias("kind"), "key", "value").unionByName(words.select("kind", "key", F.col("n").cast("double").alias("value")))
     known = gathered.select("chunk", "kind", "key").join(values, ["kind", "key"]).select("chunk", "kind", "key", "value")
+    known = materialise(known.mapInArrow(_packed, "chunk int, kind int, keys array<long>, values array<double>"), "known")
+    discard(gathered, grams, words)
     both = known.unionByName(rows, allowMissingColumns=True)
     out = both.repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(*_score(total, kinds))
     return out.select(
