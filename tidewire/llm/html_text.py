@@ -7,13 +7,14 @@ from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import fresh, materialise, shuffle_partitions
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>?""", re.S)
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -23,43 +24,101 @@ BLOCK = {
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre",
     "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-DROP = {"nav", "aside", "footer", "form", "menu", "head", "select", "button", "noscript", "template", "svg", "dialog", "canvas", "object", "audio", "video"}
+HARD = {"nav", "aside", "footer", "menu", "head", "select", "button", "noscript", "template", "svg", "dialog", "canvas", "object", "audio", "video"}
 CLOSES_P = BLOCK - {"br"}
-#: words of class, id and role that name what is not the article
-ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|masthead|footer|sidebar|side|aside|complementary|contentinfo|widget|promo|promotion|"
-    r"ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comment|comments|reply|replies|respond|disqus|"
-    r"pagination|pager|toolbar|skip|copyright|legal)(?:$|[\s_-])", re.I)
+SELF_CLOSING = {"li", "dd", "dt", "option", "td", "th", "tr"}
+NEVER_NAMED = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: what names an element that is not the article: a word of its class or id whose hyphenated parts are all of these and fillers
+NAMES = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
+    "copyright", "disqus", "footer", "gdpr", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification",
+    "pager", "pagination", "popup", "promo", "promotion", "replies", "respond", "sidebar", "signup", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+}
+FILLERS = {
+    "area", "bar", "block", "body", "bottom", "box", "col", "column", "container", "content", "desktop", "global", "group", "header", "inner", "item", "items", "label",
+    "left", "list", "main", "mobile", "outer", "page", "panel", "primary", "right", "row", "secondary", "section", "site", "slot", "text", "top", "unit", "wrap",
+    "wrapper", "zone",
+}
+READERS = {"comment", "comments", "disqus", "replies", "respond"}
+ROLES = {"navigation", "complementary", "contentinfo", "banner", "search", "dialog", "alert", "menu", "menubar", "toolbar"}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+PARTS = re.compile(r"[-_\d]+")
 SPACE = re.compile(r"\s+")
-CONTENT, OPEN, CHROME = 2, 1, 0
+#: of a block: in an article, in no such element, in an article within a form or a part named otherwise, in a form, in such a part, no content at all
+CONTENT, OPEN, LIFTED, FORM, NAMED, CHROME = 5, 4, 3, 2, 1, 0
+REACH = 8  # neighbours on either side of a page in its host's order, and how many of them are its witnesses
+COPY, IN_ARTICLE = 0.8, 0.5  # of both pages' words that are shared: from there on a page is a copy and no witness
+SPAN = 512  # pages that are compared in one group
 
 
-def _aside(tag: str, attributes: str) -> bool:
-    if tag in ("html", "body", "main", "article") or not attributes:
-        return False
+def _named(tag: str, attributes: str) -> int | None:
+    """NAMED or CHROME, if attributes name the element as no article; what is hidden or a reader's comment holds no article either."""
+    if tag in NEVER_NAMED or not attributes:
+        return None
     for name, value in ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'")
-        if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true") or (name.lower() in ("class", "id", "role") and ASIDE.search(value)):
-            return True
-    return False
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return CHROME
+        if name == "role" and value in ROLES:
+            return NAMED
+        if name in ("class", "id"):
+            for word in value.split():
+                found = [x for x in PARTS.split(word) if x]
+                if not NAMES.isdisjoint(found) and all(x in NAMES or x in FILLERS for x in found):
+                    return NAMED if READERS.isdisjoint(found) else CHROME
+    return None
+
+
+class _Open:
+    """The open elements, with the places of each tag and of the blocks among them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, kind: int, inside: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, kind, inside))
+
+    def last(self, tag: str) -> int:
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def block_after(self, at: int) -> bool:
+        return bool(self.blocks) and self.blocks[-1] > at
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    @property
+    def kind(self) -> int:
+        return self.stack[-1][1] if self.stack else OPEN
+
+    @property
+    def inside(self) -> bool:
+        return bool(self.stack) and self.stack[-1][2]
 
 
 def blocks(html: str) -> list[tuple[int, str]]:
-    """The page's text blocks in order as (kind, text): in an article or main element (CONTENT), in a part that its tag or
-    name marks as no content (CHROME), or elsewhere (OPEN). Character references are decoded, white space inside a
-    block is one space. Elements that are left open end with their parents, as browsers do; a cut-off tag is markup."""
+    """The page's text blocks in order as (kind, text). Character references are decoded, white space inside a block is one
+    space. Elements that are left open end with their parents, as browsers do; a cut-off tag is markup."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
     parts: list[str] = []
-    kind, at, n = OPEN, 0, len(html)
+    elements = _Open()
+    at, n = 0, len(html)
 
     def flush() -> None:
         if parts:
             text = SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append((kind, text))
+                out.append((elements.kind, text))
             parts.clear()
 
     while at < n:
@@ -74,16 +133,14 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if not tag:
             continue
         if m.group(1):
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                flush()
-            at_stack = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if tag not in BLOCK and any(t in BLOCK for t, _ in stack[at_stack + 1 :]):
-                at_stack = -1  # an inline end does not close blocks
-            if at_stack >= 0:
-                if tag in BLOCK or stack[at_stack][1] != kind:
+            place = elements.last(tag)
+            if place < 0:
+                if tag == "p":
+                    flush()
+            elif tag in BLOCK or not elements.block_after(place):  # an inline end does not close blocks
+                if tag in BLOCK or (elements.stack[place - 1][1] if place else OPEN) != elements.kind:
                     flush()
-                del stack[at_stack:]
-                kind = stack[-1][1] if stack else OPEN
+                elements.cut(place)
             continue
         attributes = m.group(3) or ""
         if tag in RAW:
@@ -92,41 +149,46 @@ def blocks(html: str) -> list[tuple[int, str]]:
             close = TAG.match(html, at)
             at = close.end() if close else n
             continue
-        if tag in CLOSES_P and any(t == "p" for t, _ in stack):
-            i = max(i for i, (t, _) in enumerate(stack) if t == "p")
-            if not any(t in BLOCK for t, _ in stack[i + 1 :]):
-                flush()
-                del stack[i:]
-                kind = stack[-1][1] if stack else OPEN
-        if tag == "li" or tag in ("dd", "dt", "option", "td", "th", "tr"):
-            if stack and stack[-1][0] == tag:
-                flush()
-                stack.pop()
-                kind = stack[-1][1] if stack else OPEN
+        p = elements.last("p") if tag in CLOSES_P else -1
+        if p >= 0 and not elements.block_after(p):
+            flush()
+            elements.cut(p)
+        if tag in SELF_CLOSING and elements.stack and elements.stack[-1][0] == tag:
+            flush()
+            elements.cut(len(elements.stack) - 1)
         if tag in BLOCK:
             flush()
-        if tag in VOID or attributes.rstrip().endswith("/"):
+        if tag in VOID:
             continue
-        inside = any(t in ("article", "main") for t, _ in stack)
-        now = kind
-        if tag in DROP or (tag == "header" and not inside) or _aside(tag, attributes):
+        now, article = elements.kind, tag in ("article", "main")
+        if tag in HARD or (tag == "header" and not elements.inside):
             now = CHROME
-        elif tag in ("article", "main") and kind == OPEN:
+        elif article and not elements.inside and now == OPEN:
             now = CONTENT
-        if now != kind:
+        elif article and not elements.inside and now in (FORM, NAMED):
+            now = LIFTED
+        elif tag == "form" or (named := _named(tag, attributes)) is not None:
+            now = CHROME if now in (CONTENT, LIFTED) else min(now, FORM if tag == "form" else named)
+        if now != elements.kind:
             flush()
-        stack.append((tag, now))
-        kind = now
+        elements.push(tag, now, elements.inside or article)
     flush()
     return out
 
 
-def line_hashes(html: str | None) -> list[int]:
-    """Hashes of the blocks that structure does not decide, in page order."""
+def lines_of(html: str | None) -> tuple[bool, list[str]]:
+    """(whether elements name the article, its lines): the blocks of the articles; else of articles within parts named otherwise; else those
+    that no element decides; else those of forms."""
     found = blocks(html) if html else []
-    if any(k == CONTENT for k, _ in found):
-        return []
-    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for k, t in found if k == OPEN]
+    for kind in (CONTENT, LIFTED, OPEN, FORM):
+        if mine := [t for k, t in found if k == kind]:
+            return kind in (CONTENT, LIFTED), mine
+    return False, []
+
+
+def line_keys(lines: list[str]) -> list[int]:
+    """Of each line 48 bits of its hash, above its number of words."""
+    return [(xxhash.xxh3_64_intdigest(t) >> 16 << 16 | min(t.count(" ") + 1, 0xFFFF)) - (1 << 63) for t in lines]
 
 
 def common_lines(one: list[int], two: list[int]) -> list[int]:
@@ -155,14 +217,31 @@ def common_lines(one: list[int], two: list[int]) -> list[int]:
     return out[::-1]
 
 
-def main_text(html: str | None, shared: list[int] | None) -> str:
-    """The blocks of the article, joined by a space; on pages without one, the undecided blocks less the shared ones."""
-    found = blocks(html) if html else []
-    if any(k == CONTENT for k, _ in found):
-        return " ".join(t for k, t in found if k == CONTENT)
-    gone = set(shared or ())
-    opened = [t for k, t in found if k == OPEN]
-    return " ".join(t for i, t in enumerate(opened) if i not in gone)
+def template_lines(lines: list[int], decided: bool, others: list[list[int]]) -> list[int]:
+    """Positions of the lines that the page has from its host's template, by the pages of the nearest URLs.
+
+    The longest common subsequence with each is what both share. A page that shares nearly all words is a copy and says nothing about the
+    template. A line that at least half of the other witnesses share goes; in an article that elements name only if there are REACH
+    witnesses and all of them share it, as articles may have passages in common."""
+    words = [x & 0xFFFF for x in lines]
+    votes, witnesses = [0] * len(lines), 0
+    for other in others:
+        both = common_lines(lines, other)
+        shared = sum(words[i] for i in both)
+        if shared >= (IN_ARTICLE if decided else COPY) * max(sum(words), sum(x & 0xFFFF for x in other)):
+            continue
+        witnesses += 1
+        for i in both:
+            votes[i] += 1
+    if not witnesses or (decided and witnesses < REACH):
+        return []
+    return [i for i, v in enumerate(votes) if (v == witnesses if decided else 0 < witnesses <= 2 * v)]
+
+
+def main_text(html: str | None, template: list[int] | None) -> str:
+    """The lines of the article less those of the template, joined by a space."""
+    gone = set(() if template is None else template)
+    return " ".join(t for i, t in enumerate(lines_of(html)[1]) if i not in gone)
 
 
 def host(url: Column) -> Column:
@@ -182,63 +261,74 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def _shared(frames):
-    for f in frames:
-        gone = []
-        for lines, before, after in zip(f["lines"], f["before"], f["after"], strict=True):
-            lines = list(lines)
-            sides = [common_lines(lines, list(x)) for x in (before, after) if x is not None]
-            gone.append(sorted({i for s in sides for i in s}))
-        f["shared"] = gone
-        yield f[["k", "shared"]]
+def _common_prefix(one: list[str], two: list[str]) -> int:
+    n = 0
+    while n < min(len(one), len(two)) and one[n] == two[n]:
+        n += 1
+    return n
+
+
+def _differences(span: int):
+    """(k, gone) of the pages of one span, from all pages within REACH of them: the nearest URLs have the longest common path."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank", ignore_index=True)
+        hosts, paths, lines = rows["h"].tolist(), [p.split("/") for p in rows["p"]], [x.tolist() for x in rows["lines"]]
+        out = []
+        for i in np.flatnonzero((rows["rank"] // span == rows["span"]).to_numpy()):
+            near = [j for j in range(max(0, i - REACH), min(len(rows), i + REACH + 1)) if j != i and hosts[j] == hosts[i]]
+            near.sort(key=lambda j, i=i: (-_common_prefix(paths[i], paths[j]), abs(j - i), j))
+            gone = template_lines(lines[i], rows["decided"].iat[i], [lines[j] for j in near[:REACH]])
+            if gone:
+                out.append((rows["k"].iat[i], gone))
+        return pd.DataFrame(out, columns=["k", "gone"])
+
+    return run
 
 
 def extract(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """df with text (string, empty if none) and n_chars (long).
 
-    The pages of a host are ordered by URL path (ties by key, then by page); each is compared with its neighbours in
-    that order, the two nearest URLs: the longest common subsequence of text lines is the host's template and is deleted.
-    Where elements decide already, they do: an article or main element is the page's text, less the parts in it that
-    their tag or name marks as menus, notices, adverts, forms or comments; lines in such parts never count. Lines
-    that differ from page to page but are no content (footers with the page's name) are so caught too, and
-    articles that two pages of a host share are not deleted.
+    Elements give the lines that may be the article: those of article and main elements, less the parts in them that are
+    menus, notices, adverts, forms or comments by tag or name; where no element names the article, all lines outside such
+    parts. Then the pages of a host are ordered by URL path (ties by key, then by page), and each is compared with the REACH
+    nearest URLs of its host around it, those with the longest common path: the longest common subsequence of lines shows
+    what both share, and what at least half of them share is the host's template and is deleted (see template_lines, also for pages
+    that are copies and for articles that elements name).
 
-    Only hashes of undecided lines are ordered and joined; pages of one host are ranked by a range sort and meet by rank, so a
-    host of any size is spread. A page's html is read where it lies.
+    Only hashes of lines are ordered and compared; pages are ranked by a range sort and compared in spans of SPAN ranks, to which the REACH
+    pages around them come too, so a host of any size is spread. A page's html is read where it lies.
 
     Null html and html without text give the empty text; a null or relative url is its own host "" with an empty path; null and repeated
-    keys stay rows of their own (rows equal in key, url and html get equal results); an empty table stays empty. Columns of df
-    named text or n_chars are replaced, unless they are the input.
+    keys stay rows of their own (rows equal in key, url and html get equal results and count as one page); an empty table stays empty.
+    Columns of df named text or n_chars are replaced, unless they are the input.
     """
     spark = df.sparkSession
     u = F.coalesce(F.col(url), F.lit(""))
     page = F.xxhash64(F.col(key), u, F.col(html))
-    base = df.select(page.alias("k"), host(u).alias("h"), path(u).alias("p"), F.col(key).alias("id"), F.col(html).alias("html"))
+    base = df.select(page.alias("k"), host(u).alias("h"), path(u).alias("p"), F.col(html).alias("html"))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [line_hashes(x) for x in batch.column(4).to_pylist()]
-            some = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+            found = [lines_of(x) for x in batch.column(3).to_pylist()]
+            some = pa.array([i for i, (_, x) in enumerate(found) if x], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i).take(some) for i in range(3)], pa.array([x for x in found if x], pa.list_(pa.int64()))], names=["k", "h", "p", "lines"])
+                [*[batch.column(i).take(some) for i in range(3)], pa.array([d for d, x in found if x], pa.bool_()), pa.array([line_keys(x) for _, x in found if x], pa.list_(pa.int64()))],
+                names=["k", "h", "p", "decided", "lines"])
 
-    undecided = base.mapInArrow(lines, "k long, h string, p string, lines array<long>").dropDuplicates(["k"])
-    undecided = materialise(undecided, "lines")
-    order = undecided.select("h", "p", "k").repartitionByRange(shuffle_partitions(spark), "h", "p", "k").sortWithinPartitions("h", "p", "k")
-    order = materialise(order.mapInArrow(_rank, "h string, p string, k long, part int, i long"), "order")
+    fields = "k long, h string, p string, decided boolean, lines array<long>"
+    found = materialise(base.mapInArrow(lines, fields).dropDuplicates(["k"]), "lines")
+    order = found.repartitionByRange(shuffle_partitions(spark), "h", "p", "k").sortWithinPartitions("h", "p", "k")
+    order = materialise(order.mapInArrow(_rank, f"{fields}, part int, i long"), "order")
     sizes = order.groupBy("part").agg(F.max("i").alias("top"))
     sizes = sizes.select("part", (F.sum(F.col("top") + 1).over(Window.orderBy("part")) - F.col("top") - 1).alias("base"))
-    ranked = order.join(F.broadcast(sizes), "part").select("k", (F.col("base") + F.col("i")).alias("rank"))  # a row a partition
-    ranked = materialise(undecided.select("k", "h", "lines").join(ranked, "k"), "ranked")
-
-    def neighbour(step: int, name: str) -> DataFrame:
-        return ranked.select((F.col("rank") + step).alias("rank"), "h", F.col("lines").alias(name))
-
-    pairs = ranked.join(neighbour(1, "before"), ["rank", "h"], "left").join(neighbour(-1, "after"), ["rank", "h"], "left")
-    gone = pairs.select("k", "lines", "before", "after").mapInPandas(_shared, "k long, shared array<int>")
+    ranked = order.join(F.broadcast(sizes), "part").withColumn("rank", F.col("base") + F.col("i"))  # a row a partition
+    spans = F.array_distinct(F.transform(F.array(*map(F.lit, (-REACH, 0, REACH))), lambda x: F.floor((F.col("rank") + x) / SPAN)))
+    ranked = ranked.select("k", "h", "p", "decided", "lines", "rank", F.explode(spans).alias("span"))
+    gone = ranked.groupBy("span").applyInPandas(_differences(SPAN), "k long, gone array<int>")
     kept = [c for c in df.columns if c not in {"text", "n_chars"} - {html}]
-    gone = gone.withColumnsRenamed({"k": "__k", "shared": "__shared"})
-    out = df.select(*kept).withColumn("__k", page).join(gone, "__k", "left").drop("__k")
+    row = df.select(page.alias("k"), F.struct(*kept).alias("row"))  # one struct: no name of the caller's can clash
+    out = row.join(gone, "k", "left").select("row.*", F.col("gone").alias(*fresh(kept, "gone")))
     at, names = kept.index(html), [*kept, "text", "n_chars"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema) + ", text string, n_chars long"
 
