@@ -5,37 +5,87 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import aggregates, graph, joins, map_view, search, sequences, sets, topk
+from tidewire.operators import aggregates, frequency, graph, joins, map_view, search, sequences, sets, topk
 
 
 def every(n, start, end):
     return list(range(start, end, n))
 
 
-def test_hourly_runs_of_two_beats():
-    minutes = every(10, 6 * 60, 20 * 60) + every(20, 20 * 60, 23 * 60 + 41)
-    assert sequences.hourly([minutes])[1] == [(6, 20, "every", 10, 10), (20, 23, "every", 20, 20)]
-
-
-def test_hourly_counts_gaps_and_none():
-    _, runs = sequences.hourly([[360, 372, 383, 394, 405, 420, 500, 530, 700, 760]])
-    assert runs[0] == (6, 7, "atMost", 15, 15) and runs[-1][1] == 12
-    assert sequences.hourly([[5]]) == ([], []) and sequences.hourly([]) == ([], [])
-    assert ("none", 0, 0) in [r[2:] for r in sequences.hourly([[360, 375, 391, 600, 615, 640]])[1]]
-
-
-def test_a_beat_spreads_to_hours_that_keep_it():
-    hours, runs = sequences.hourly([every(40, 6 * 60, 12 * 60 + 1)])
-    assert runs == [(6, 12, "every", 40, 40)] and all(h["beat"] == 40 for h in hours)
-
-
-def test_once_an_hour_is_said_one_way():
-    assert sequences.one_word([[(6, 8, "every", 60, 60), (8, 9, "perHour", 1, 1)]]) == [[(6, 9, "perHour", 1, 1)]]
-
-
-def test_longest_stretch():
-    hours, _ = sequences.hourly([every(10, 360, 900) + every(30, 900, 1200)])
-    assert sequences.stretch(hours) == (6, 15, "every", 10)
+def turns(gaps, start, end):
+    out, k = [], 0
+    while start < end:
+        out.append(start)
+        start, k = start + gaps[k % len(gaps)], k + 1
+    return out
+
+
+H = 60
+HOURLY = [  # (days of departures, runs)
+    ([every(10, 6 * H, 20 * H) + every(20, 20 * H, 23 * H + 41)], [(6, 20, "every", 10, 10), (20, 23, "every", 20, 20)]),
+    ([turns([3, 4, 3], 6 * H, 12 * H + 1)], [(6, 12, "atMost", 4, 4)]),
+    ([turns([20, 40], 6 * H, 12 * H + 1)], [(6, 12, "perHour", 2, 2)]),
+    ([[*every(10, 6 * H, 11 * H + 1), 485]], [(6, 11, "atMost", 10, 10)]),
+    ([every(120, 6 * H, 20 * H + 1)], [(6, 20, "every", 120, 120)]),
+    ([[360, 410, 470, 520, 580]], [(6, 8, "perHour", 1, 2), (8, 9, "every", 60, 60)]),
+    ([[468, 528, 588, 648, 708, 738, 762, 768, 805, 809, 818, 831, 888, 948]], [(8, 12, "every", 60, 60), (12, 14, "perHour", 3, 4), (14, 15, "every", 60, 60)]),
+    ([every(20, 497, 538) + every(40, 577, 818) + every(20, 837, 900)], [(9, 13, "every", 40, 40), (13, 14, "every", 20, 20)]),
+    ([[*every(20, 497, 538), 577, *every(20, 617, 660)]], [(9, 10, "perHour", 1, 1)]),
+    ([[468, 528, 588, 648, 708, 830, 890]], [(8, 12, "every", 60, 60), (12, 13, "none", 0, 0), (13, 14, "every", 60, 60)]),
+    ([every(20, 377, 538) + every(40, 577, 758)], [(7, 9, "every", 20, 20), (9, 12, "every", 40, 40)]),
+    ([[377, 397, 417, 437, 457, 477, 497, 517, 537, 560, 580, 600, 620, 640]], [(7, 8, "every", 20, 20), (8, 9, "perHour", 3, 3), (9, 10, "every", 20, 20)]),
+    ([[*every(20, 377, 558), 630, 660]], [(7, 9, "every", 20, 20), (9, 11, "perHour", 1, 1)]),
+    ([[500, 560, 620, 694, 754, 814, 860, 934, 994, 1040, 1100, 1174, 1234]], [(9, 20, "perHour", 1, 1)]),
+    ([every(60, 528, 1430)], [(9, 23, "every", 60, 60)]),
+    ([[600, 630, 660, 690, 735, 760, 780, 810, 840, 870, 900]], [(10, 12, "every", 30, 30), (12, 13, "perHour", 2, 2), (13, 15, "every", 30, 30)]),
+    ([[360, 375, 400, 445, 490, 530, 600]], [(6, 7, "perHour", 3, 3), (7, 9, "perHour", 1, 2), (9, 10, "none", 0, 0)]),
+    ([[1300, 1434, 1444, 1454]], [(22, 23, "none", 0, 0), (23, 24, "perHour", 1, 1)]),
+    ([[360, 420, 545, 605, 665]], [(6, 8, "every", 60, 60), (8, 9, "none", 0, 0), (9, 11, "every", 60, 60)]),
+    ([[360, 420, 480, 540], [360, 400, 540]], [(6, 7, "perHour", 1, 2), (7, 9, "perHour", 0, 1)]),
+    ([every(10, 360, 601), every(10, 365, 606)], [(7, 10, "every", 10, 10)]),
+    ([every(10, 360, 601), every(12, 360, 601)], [(6, 10, "atMost", 12, 12)]),
+    ([every(20, 360, 541), every(30, 360, 541)], [(6, 9, "perHour", 2, 3)]),
+    ([every(10, 360, 601), every(10, 480, 721), []], [(8, 10, "every", 10, 10)]),
+    ([[*every(10, 360, 481), 400, None]], [(6, 8, "every", 10, 10)]),
+    ([[5]], []),
+]
+
+
+def test_hourly_words(spark):
+    rows = [(g, day, m) for g, (days, _) in enumerate(HOURLY) for day, ms in enumerate(days) for m in ms]
+    df = spark.createDataFrame(rows, "g int, day int, m int")
+    got = {}
+    for r in frequency.hourly(df, ["g"], "day", "m").collect():
+        got.setdefault(r.g, []).append(tuple(r)[1:])
+    for g, (_, want) in enumerate(HOURLY):
+        assert sorted(got.get(g, [])) == want, g
+    assert frequency.hourly(df.where("false"), ["g"], "day", "m").count() == 0
+
+
+def test_once_an_hour_is_said_one_way(spark):
+    def say(lists):
+        rows = [(0, g, *r) for g, runs in enumerate(lists) for r in runs]
+        df = spark.createDataFrame(rows, "s int, g int, from int, to int, kind string, low int, high int")
+        got = [tuple(r) for r in frequency.one_word(df, ["s"], ["s", "g"]).collect()]
+        return [sorted(r[2:] for r in got if r[1] == g) for g in range(len(lists))]
+
+    sunday = [(9, 21, "perHour", 1, 1), (21, 22, "none", 0, 0)]
+    assert say([[(9, 23, "every", 60, 60)], sunday]) == [[(9, 23, "perHour", 1, 1)], sunday]
+    assert say([[(6, 9, "every", 60, 60), (9, 12, "perHour", 1, 1), (12, 14, "every", 30, 30)]]) == [[(6, 12, "perHour", 1, 1), (12, 14, "every", 30, 30)]]
+    kept = [[(6, 9, "every", 30, 30), (9, 12, "every", 10, 10)], [(9, 12, "perHour", 2, 2), (12, 14, "every", 20, 20)], [(12, 14, "perHour", 3, 3), (14, 16, "perHour", 0, 1), (16, 18, "every", 60, 60)]]
+    assert say(kept) == kept
+
+
+def test_longest_stretch(spark):
+    days = [
+        every(10, 360, 1200) + every(20, 1200, 1421),
+        turns([3, 4], 300, 540) + turns([7, 6], 540, 720) + turns([3, 4], 720, 1200) + every(12, 1200, 1439),
+        [360, 380, 420, 425, 480, 540, 545, 600],
+        every(10, 360, 900) + every(30, 900, 1200),
+    ]
+    df = spark.createDataFrame([(g, 0, m) for g, d in enumerate(days) for m in d], "g int, day int, m int")
+    got = {r.g: tuple(r)[1:] for r in frequency.stretches(frequency.hours(df, ["g"], "day", "m"), ["g"]).collect()}
+    assert got == {0: (6, 20, "every", 10), 1: (5, 20, "atMost", 7), 3: (6, 15, "every", 10)}
 
 
 def test_fill_times(spark):

@@ -79,7 +79,7 @@ def zz(v):
     return varint((v << 1) ^ (v >> 63))
 
 
-def pbf(path, nodes, ways, relations):
+def pbf(path, nodes, ways, relations, sort=False):
     texts = [""]
 
     def at(t):
@@ -90,7 +90,7 @@ def pbf(path, nodes, ways, relations):
     def deltas(numbers):
         return b"".join(zz(b - a) for a, b in zip([0, *numbers], numbers, strict=False))
 
-    dense = data(2, data(1, deltas([n[0] for n in nodes])) + data(8, deltas([round(n[1] * 1e7) for n in nodes])) + data(9, deltas([round(n[2] * 1e7) for n in nodes])))
+    dense = b"" if not nodes else data(2, data(1, deltas([n[0] for n in nodes])) + data(8, deltas([round(n[1] * 1e7) for n in nodes])) + data(9, deltas([round(n[2] * 1e7) for n in nodes])))
     tags = lambda t: data(2, b"".join(varint(at(k)) for k in t)) + data(3, b"".join(varint(at(v)) for v in t.values()))
     way = b"".join(data(3, number(1, i) + tags(t) + data(8, deltas(refs))) for i, refs, t in ways)
     kinds = {"node": 0, "way": 1, "relation": 2}
@@ -98,7 +98,7 @@ def pbf(path, nodes, ways, relations):
     groups = [dense, way, rel]
     block = data(1, b"".join(data(1, t) for t in texts)) + b"".join(data(2, g) for g in groups)
     with open(path, "wb") as f:
-        for kind, body in (("OSMHeader", b""), ("OSMData", block)):
+        for kind, body in (("OSMHeader", data(5, "Sort.Type_then_ID") if sort else b""), ("OSMData", block)):
             blob = data(3, zlib.compress(body)) + number(2, len(body))
             head = data(1, kind) + number(3, len(blob))
             f.write(struct.pack(">i", len(head)) + head + blob)
@@ -109,10 +109,10 @@ def test_extract(spark, tmp_path):
     square = [(1, 49.0, 11.0), (2, 49.0, 11.2), (3, 49.2, 11.2), (4, 49.2, 11.0), (5, 49.1, 11.1)]
     pbf(path, square, [(10, [1, 2, 3], {"highway": "primary", "oneway": "yes", "maxspeed": "30 mph"}), (11, [3, 4, 1], {}), (12, [5, 99], {"highway": "service"})],
         [(20, {"boundary": "administrative", "name": "Town", "admin_level": "8"}, [("way", 10, "outer"), ("way", 11, "outer")])])
-    nodes, edges = osm.network(spark, path, ["highway"])
-    assert sorted((r.a, r.b) for r in edges.collect()) == [(1, 2), (2, 3)] and {r.id for r in nodes.collect()} >= {1, 2, 3}
-    w = osm.read(spark, path, "way").where("id = 10").select(osm.classify_way(F.col("tags"), "road").alias("c"), osm.oneway(F.col("tags")).alias("o"), osm.maxspeed(F.col("tags")["maxspeed"]).alias("s")).first()
-    assert (w.c, w.o, round(w.s, 1)) == (100, 1, 48.3)
+    nodes, edges = osm.networks(spark, path)
+    assert sorted((r.net, r.way, r.a, r.b, r.cost, r.direction, r.shared) for r in edges.collect()) == [("road", 10, 1, 2, 100, 1, False), ("road", 10, 2, 3, 100, 1, False)]
+    assert {r.id for r in nodes.collect()} >= {1, 2, 3} and {r.speed for r in edges.collect()} == {14}
+    assert {r.id for r in osm.read(spark, path, "way").collect()} == {10, 11, 12} and {r.id for r in osm.read(spark, path, "way", ["highway"]).collect()} == {10, 12}
     border = osm.boundaries(spark, path, ["8"])
     from tidewire.operators import joins
 
@@ -120,6 +120,34 @@ def test_extract(spark, tmp_path):
     assert [r.k for r in joins.point_in_polygon(points, ("lat", "lon"), "k", border, "name").collect()] == [1]
 
 
+def test_networks_share_tracks_and_end_where_nodes_are_missing(spark, tmp_path):
+    path = str(tmp_path / "y.osm.pbf")
+    nodes = [(i, 49.0 + i / 100, 11.0) for i in (10, 11, 20, 21, 22, 23)]
+    pbf(path, nodes, [(100, [10, 11, 20, 21], {"highway": "residential"}), (101, [10, 11], {"building": "yes"}), (102, [20, 21, 99, 22, 23], {"railway": "tram", "oneway": "yes"}), (103, [10, 22], {"highway": "footway"})], [])
+    got = sorted((r.net, r.a, r.b, r.cost, r.direction, r.shared) for r in osm.networks(spark, path)[1].collect())
+    assert got == [(net, a, b, cost, 1, shared) for net, cost, shared in (("rail", 150, True),) for a, b in ((20, 21), (22, 23))] + [
+        ("road", 10, 11, 130, 0, False), ("road", 11, 20, 130, 0, False), ("road", 20, 21, 130, 0, False)] + [
+        (net, a, b, cost, 1, shared) for net, cost, shared in (("subway", 150, True), ("tram", 100, False)) for a, b in ((20, 21), (22, 23))]
+
+
+def test_blocks_of_other_kinds_are_skipped_unread(tmp_path, monkeypatch):
+    path = str(tmp_path / "z.osm.pbf")
+    with open(path, "wb") as out:
+        parts = [("n", i) for i in range(20)] + [("w", i) for i in range(9)] + [("r", i) for i in range(3)]
+        for n, (kind, i) in enumerate(parts):
+            one = str(tmp_path / "one")
+            pbf(one, [(i, 49.0, 11.0)] if kind == "n" else [], [(i, [1, 2], {"highway": "primary"})] if kind == "w" else [], [(i, {"boundary": "administrative"}, [])] if kind == "r" else [], sort=n == 0)
+            raw = open(one, "rb").read()
+            out.write(raw if n == 0 else raw[raw.index(b"OSMData") - 6 :])
+    spans, is_sorted = osm.blobs(path)
+    assert is_sorted and len(spans) == 32
+    assert [osm.span_of(path, spans, k) for k in ("node", "way", "relation")] == [spans[:20], spans[20:29], spans[29:]]
+    read, plain = [], osm._blob
+    monkeypatch.setattr(osm, "_blob", lambda f, at, size: read.append(at) or plain(f, at, size))
+    osm.span_of(path, spans, "relation")
+    assert len(read) <= 12
+
+
 def test_geojson(spark, tmp_path):
     ring = [[11.0, 49.0], [11.2, 49.0], [11.2, 49.2], [11.0, 49.0]]
     doc = {"type": "FeatureCollection", "features": [{"geometry": {"type": "Polygon", "coordinates": [ring]}}, {"geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}]}

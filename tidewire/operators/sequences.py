@@ -1,8 +1,7 @@
-"""Operators over ordered rows: windows first, Python only where each choice depends on the one before."""
+"""Operators over ordered rows, as windows."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,133 +120,3 @@ def position_at(knots: DataFrame, group: list[str], t: str, now: Column, values:
     share = F.when((now < F.col("_t")) | F.col("_u").isNull() | (F.col("_u") == F.col("_t")), F.lit(0.0)).otherwise((now - F.col("_t")) / (F.col("_u") - F.col("_t")))
     return x.where(here).select(*group, *[(F.col(v) + F.when(share == 0, F.lit(0.0)).otherwise((F.col(f"_{v}") - F.col(v)) * share)).alias(v) for v in values])
 
-
-# ---- how often departures leave, hour by hour
-
-AT_MOST_MIN, COUNTED_MAX, STRETCH_HOURS = 15, 3, 3
-RUNS = "array<struct<from:int,to:int,kind:string,low:int,high:int>>"
-
-
-def _hour_says(lists: list[list[int]], h: int) -> dict:
-    """What one hour of all lists says: its gaps (those that begin in it, or the one across it), its counts, and the words."""
-    gaps, counts = [], []
-    for times in lists:
-        inside = [i for i, t in enumerate(times) if h * 60 <= t < (h + 1) * 60]
-        counts.append(len(inside))
-        if inside:
-            gaps += [times[i + 1] - times[i] for i in inside]
-        else:
-            after = next(i for i, t in enumerate(times) if t >= (h + 1) * 60)
-            gaps.append(times[after] - times[after - 1])
-    regular = len(set(gaps)) == 1 and (min(counts) > 1 or gaps[0] % 60 == 0)
-    if regular:
-        says = ("every", gaps[0], gaps[0])
-    elif max(counts) == 0:
-        says = ("none", 0, 0)
-    elif min(counts) > COUNTED_MAX and max(gaps) <= AT_MOST_MIN:
-        says = ("atMost", max(gaps), max(gaps))
-    else:
-        says = ("perHour", min(counts), max(counts))
-    return {"h": h, "beat": gaps[0] if regular else None, "longest": max(gaps), "says": says}
-
-
-def _on_beat(lists: list[list[int]], h: int, n: int, closes) -> bool:
-    """Whether every list has departures in the hour, each n after the one before it, and the last one's next gap closes."""
-    for times in lists:
-        inside = [i for i, t in enumerate(times) if h * 60 <= t < (h + 1) * 60]
-        if not inside or any(i == 0 or times[i] - times[i - 1] != n for i in inside) or not closes(times[inside[-1] + 1] - times[inside[-1]], times[inside[-1]]):
-            return False
-    return True
-
-
-def hourly(series: list[list[int]]) -> tuple[list[dict], list[tuple]]:
-    """(hours, runs) of lists of minutes of a service day. Hours next to a beat that keep it are on it; hours that say the same
-    are one run: (from, to, kind, low, high)."""
-    lists = [x for x in (sorted(set(s)) for s in series) if len(x) > 1]
-    if not lists:
-        return [], []
-    hours = [_hour_says(lists, h) for h in range(max(-(-x[0] // 60) for x in lists), min(x[-1] // 60 for x in lists))]
-
-    def join_beat(hour: dict, n: int) -> None:
-        hour.update(beat=n, longest=n, says=("every", n, n))
-
-    for k, hour in enumerate(hours[1:], 1):
-        n, later = hours[k - 1]["beat"], hours[k + 1]["beat"] if k + 1 < len(hours) else None
-        if n and hour["beat"] is None and _on_beat(lists, hour["h"], n, lambda gap, last, n=n, hour=hour, later=later: gap <= n or (last + n >= (hour["h"] + 1) * 60 and later != n)):
-            join_beat(hour, n)
-    for k in range(len(hours) - 2, -1, -1):
-        n = hours[k + 1]["beat"]
-        if n and hours[k]["beat"] is None and _on_beat(lists, hours[k]["h"], n, lambda gap, _, n=n: gap == n):
-            join_beat(hours[k], n)
-    runs: list[tuple] = []
-    for hour in hours:
-        both = merged(runs[-1][2:], hour["says"]) if runs and runs[-1][1] == hour["h"] else None
-        if both:
-            runs[-1] = (runs[-1][0], hour["h"] + 1, *both)
-        else:
-            runs.append((hour["h"], hour["h"] + 1, *hour["says"]))
-    return hours, one_word([runs])[0]
-
-
-def merged(a: tuple, b: tuple) -> tuple | None:
-    """What two neighbouring hours say as one, if they do: the same gap, none, or counts within one of each other."""
-    if a[0] in ("every", "atMost") and b[0] in ("every", "atMost"):
-        return (("every" if a[0] == b[0] == "every" else "atMost"), a[1], a[1]) if a[1] == b[1] else None
-    if a[0] == b[0] == "none":
-        return a
-    if a[0] == b[0] == "perHour" and (a[1] == 0) == (b[1] == 0):
-        low, high = min(a[1], b[1]), max(a[2], b[2])
-        return ("perHour", low, high) if high - low <= 1 else None
-    return None
-
-
-def one_word(lists: list[list[tuple]]) -> list[list[tuple]]:
-    """Lists read together say once an hour one way: as the count if any of them counts, and equal neighbours are one run."""
-    counted = any(r[2:] == ("perHour", 1, 1) for runs in lists for r in runs)
-    out = []
-    for runs in lists:
-        said: list[tuple] = []
-        for r in runs:
-            r = (r[0], r[1], "perHour", 1, 1) if counted and r[2:] == ("every", 60, 60) else r
-            if said and said[-1][1] == r[0] and said[-1][2] == "perHour" and said[-1][2:] == r[2:]:
-                said[-1] = (said[-1][0], r[1], *r[2:])
-            else:
-                said.append(r)
-        out.append(said)
-    return out
-
-
-def stretch(hours: list[dict]) -> tuple | None:
-    """The longest stretch of hours that one gap, else one longest wait, holds for; at least half of the hours."""
-    need = max(STRETCH_HOURS, len(hours) / 2)
-
-    def longest(holds) -> tuple[int, int] | None:
-        best, start = None, None
-        for k, hour in enumerate(hours):
-            if not holds(hour):
-                start = None
-                continue
-            start = k if start is None else start
-            if best is None or k + 1 - start > best[1] - best[0]:
-                best = (start, k + 1)
-        return (hours[best[0]]["h"], hours[best[1] - 1]["h"] + 1) if best and best[1] - best[0] >= need else None
-
-    for n in sorted({h["beat"] for h in hours if h["beat"] is not None}):
-        if found := longest(lambda h, n=n: h["beat"] == n):
-            return (*found, "every", n)
-    for n in sorted({h["longest"] for h in hours if h["longest"] <= AT_MOST_MIN}):
-        if found := longest(lambda h, n=n: h["longest"] <= n and h["says"][0] != "perHour"):
-            return (*found, "atMost", n)
-    return None
-
-
-def hourly_runs(rows: DataFrame, group: list[str], minute: str) -> DataFrame:
-    """(group, runs): the hourly words of each group's departures. The beat spreads from hour to hour, so the words of a list
-    are found in Python; lists are collected by Spark and are a day's departures at most."""
-    lists = rows.groupBy(*group).agg(F.array_sort(F.collect_set(F.col(minute).cast("int"))).alias("m"))
-
-    @F.pandas_udf(RUNS)
-    def runs(m: pd.Series) -> pd.Series:
-        return m.map(lambda x: [dict(zip(("from", "to", "kind", "low", "high"), r, strict=True)) for r in hourly([list(x)])[1]])
-
-    return lists.select(*group, runs("m").alias("runs"))

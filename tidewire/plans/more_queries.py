@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, paths, realtime, text
+from ..functions import geo, paths, realtime, text, ways
 from ..operators import aggregates as ag
 from ..operators import graph, joins, map_view, search
 from ..operators import sequences as seq
 from ..operators.tables import materialise, shared_dir
-from ..sources import files, gtfs, osm
+from ..sources import files, gtfs
 from .registry import query
 from .transit import duck, table, view
 
@@ -194,11 +194,23 @@ def m10(spark, d):
     return paths.cut_steps(p, ["trip_id"], "pos", "v", 1000).select("trip_id", "pos", "piece", "v")
 
 
-@query("m11_max_speed", duck("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size * 1.609344e0 WHEN 2 THEN 50e0 END AS kmh FROM {part}"))
+def _literal(values: list[dict[str, str]]):
+    none = F.create_map().cast("map<string,string>")
+    return F.array(*[F.create_map(*[F.lit(x) for kv in v.items() for x in kv]) if v else none for v in values])
+
+
+#: tags and the limit in km/h that they say
+LIMITS = [
+    ({"maxspeed": "50"}, 50.0), ({"maxspeed": "100 mph"}, 160.9), ({"maxspeed": "DE:urban"}, 50.0), ({"maxspeed": "DE:rural"}, 100.0), ({"maxspeed": "none"}, 130.0),
+    ({"maxspeed": "walk"}, 7.0), ({"maxspeed:forward": "70"}, 70.0), ({"maxspeed:backward": "30"}, 30.0), ({"maxspeed": "signals"}, None), ({}, None), ({"maxspeed": "60; 50"}, 60.0),
+]
+_LIMITS = ", ".join(f"({i}, {'NULL' if v is None else f'{v}e0'})" for i, (_, v) in enumerate(LIMITS))
+
+
+@query("m11_max_speed", duck(f"SELECT p_partkey, kmh FROM {{part}} JOIN (VALUES {_LIMITS}) AS t(i, kmh) ON i = p_partkey % {len(LIMITS)}"))
 def m11(spark, d):
-    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
-    tag = F.when(k == 0, size).when(k == 1, F.concat(size, F.lit(" mph"))).when(k == 2, "DE:urban").otherwise("none")
-    return table(spark, d, "part").select("p_partkey", osm.maxspeed(tag).alias("kmh"))
+    tags = F.element_at(_literal([t for t, _ in LIMITS]), (F.col("p_partkey") % len(LIMITS) + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.round(ways.maxspeed(tags), 6).alias("kmh"))
 
 
 @query("m12_lite_two_moments", duck("""
@@ -227,12 +239,37 @@ def r01(spark, d):
     return l.select("trip_id", F.filter("l", lambda x: x % 2 == 0).alias("even"), F.when(at > 0, at).alias("at"), F.size("l").alias("n"))
 
 
-@query("r04_classify_ways", duck("SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 3 = 0 THEN 100 WHEN p_size % 3 = 1 THEN 130 ELSE 200 END AS cost, CASE WHEN p_size % 5 = 0 THEN 1 WHEN p_size % 5 = 1 THEN -1 ELSE 0 END AS way FROM {part}"))
+#: tags and what they say: network, cost in per cent, direction, networks it is shared with, main road, half the km/h
+WAYS = [
+    ({"highway": "primary"}, ("road", 100, 0, "", True, 15)), ({"highway": "primary", "maxspeed": "70"}, ("road", 100, 0, "", True, 28)),
+    ({"highway": "primary", "maxspeed": "100"}, ("road", 100, 0, "", True, 40)), ({"highway": "motorway"}, ("road", 100, 1, "", True, 50)),
+    ({"highway": "motorway_link"}, ("road", 100, 0, "", True, 50)), ({"highway": "trunk", "maxspeed": "120"}, ("road", 100, 0, "", True, 50)),
+    ({"highway": "motorway", "maxspeed": "none", "oneway": "maybe"}, ("road", 100, 0, "", True, 50)),
+    ({"highway": "unclassified"}, ("road", 115, 0, "", False, 12)), ({"highway": "residential", "oneway": "yes"}, ("road", 130, 1, "", False, 9)),
+    ({"highway": "residential", "oneway": "-1"}, ("road", 130, -1, "", False, 9)), ({"highway": "residential", "oneway": "yes", "oneway:bus": "no"}, ("road", 130, 0, "", False, 9)),
+    ({"highway": "tertiary", "junction": "roundabout"}, ("road", 100, 1, "", False, 15)), ({"highway": "secondary_link"}, ("road", 100, 0, "", False, 15)),
+    ({"highway": "service"}, ("road", 160, 0, "", False, 6)), ({"highway": "service", "access": "private"}, None),
+    ({"highway": "service", "access": "private", "bus": "yes"}, ("road", 100, 0, "", False, 6)), ({"highway": "service", "service": "parking_aisle"}, None),
+    ({"highway": "service", "access": "private", "vehicle": "yes"}, ("road", 160, 0, "", False, 6)), ({"highway": "tertiary", "motor_vehicle": "forestry"}, None),
+    ({"highway": "living_street"}, ("road", 200, 0, "", False, 3)), ({"highway": "pedestrian"}, None), ({"highway": "pedestrian", "psv": "yes"}, ("road", 100, 0, "", False, 3)),
+    ({"highway": "footway"}, None), ({"highway": "primary", "area": "yes"}, None), ({"route": "ferry"}, ("ferry", 100, 0, "", False, 10)),
+    ({"railway": "rail"}, ("rail", 100, 0, "", False, 50)), ({"railway": "rail", "oneway": "yes", "maxspeed": "300"}, ("rail", 100, 0, "", False, 150)),
+    ({"railway": "rail", "service": "yard"}, ("rail", 300, 0, "", False, 50)), ({"railway": "rail", "service": "siding", "rack": "no"}, ("rail", 150, 0, "", False, 50)),
+    ({"railway": "tram", "oneway": "yes"}, ("tram", 100, 1, "subway,rail", False, 20)), ({"railway": "subway"}, ("subway", 100, 0, "tram", False, 30)),
+    ({"railway": "light_rail"}, ("rail", 100, 0, "subway,tram", False, 35)), ({"railway": "abandoned"}, None), ({"railway": "monorail", "service": "yard"}, ("cable", 300, 0, "", False, 20)),
+    ({"railway": "narrow_gauge"}, ("cable", 100, 0, "rail", False, 20)), ({"railway": "narrow_gauge", "rack": "abt"}, ("cable", 100, 0, "", False, 20)),
+    ({"railway": "tram", "rack": "riggenbach"}, ("cable", 100, 0, "", False, 20)), ({"aerialway": "gondola"}, ("cable", 100, 0, "", False, 10)), ({"aerialway": "drag_lift"}, None),
+]
+_WAYS = ", ".join(f"({i}, '{w[0]}', {w[1]}, {w[2]}, '{w[3]}', {w[4]}, {w[5]})" for i, (_, w) in enumerate(WAYS) if w)
+
+
+@query("r04_classify_ways", duck(f"""
+SELECT p_partkey, net, cost, direction, shared, main, speed FROM {{part}} LEFT JOIN (VALUES {_WAYS}) AS t(i, net, cost, direction, shared, main, speed) ON i = p_partkey % {len(WAYS)}"""))
 def r04(spark, d):
-    s = F.col("p_size")
-    road = F.when(s % 3 == 0, "primary").when(s % 3 == 1, "residential").otherwise("service")
-    tags = F.create_map(F.lit("highway"), road, F.lit("access"), F.when(s % 7 == 0, "private").otherwise("yes"), F.lit("oneway"), F.when(s % 5 == 0, "yes").when(s % 5 == 1, "-1").otherwise("no"))
-    return table(spark, d, "part").select("p_partkey", osm.classify_way(tags, "road").alias("cost"), osm.oneway(tags).alias("way"))
+    tags = F.element_at(_literal([t for t, _ in WAYS]), (F.col("p_partkey") % len(WAYS) + 1).cast("int"))
+    w = table(spark, d, "part").select("p_partkey", ways.classify(tags).alias("w"))
+    return w.select("p_partkey", "w.net", F.round(F.col("w.factor") * 100).cast("int").alias("cost"), "w.direction", F.concat_ws(",", "w.shared").alias("_s"), "w.main", "w.speed").select(
+        "p_partkey", "net", "cost", "direction", F.when(F.col("net").isNotNull(), F.col("_s")).alias("shared"), "main", "speed")
 
 
 @query("q11_leaving_with_delays", duck("""
@@ -296,10 +333,10 @@ def q16(spark, d):
 
 
 @query("g06_rejected_updates", duck("""
-WITH u AS (SELECT trip_id, CAST(pos AS INT) AS pos, CAST(event_id % 25 AS INT) AS stop_id FROM {dv_updates} WHERE event_id % 4 = 1)
+WITH u AS (SELECT trip_id, CAST(pos AS INT) AS pos, CAST(event_id % 25 AS INT) AS stop_id FROM {dv_updates})
 SELECT DISTINCT u.trip_id FROM u JOIN {dv_stop_times} s ON s.trip_id = u.trip_id AND s.pos = u.pos WHERE s.stop_id <> u.stop_id"""))
 def g06(spark, d):
-    u = view(spark, d, "dv_updates").where("event_id % 4 = 1").select("trip_id", F.col("pos").cast("int").alias("pos"), (F.col("event_id") % 25).cast("int").alias("stop_id"), F.lit(1).alias("x"))
+    u = view(spark, d, "dv_updates").select("trip_id", F.col("pos").cast("int").alias("pos"), (F.col("event_id") % 25).cast("int").alias("stop_id"), F.lit(1).alias("x"))
     good = joins.reject_mismatched(u, view(spark, d, "dv_stop_times"), "trip_id", ["pos"], "stop_id")
     return u.join(good.select("trip_id").distinct(), "trip_id", "left_anti").select("trip_id").distinct()
 

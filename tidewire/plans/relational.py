@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, time
 from ..operators import aggregates as ag
-from ..operators import graph, joins, map_view, sets, topk
+from ..operators import frequency, graph, joins, map_view, sets, topk
 from ..operators import sequences as seq
+from . import frequency_sql
 from .registry import query
 from .transit import duck, table, view
 
@@ -102,11 +103,11 @@ def j10(spark, d):
 
 
 @query("j11_reject_mismatched_updates", duck("""
-WITH u AS (SELECT trip_id, CAST(pos AS INT) AS pos, CAST(event_id % 25 AS INT) AS stop_id, delay FROM {dv_updates} WHERE event_id % 3 = 0),
+WITH u AS (SELECT trip_id, CAST(pos AS INT) AS pos, CAST(event_id % 25 AS INT) AS stop_id, delay FROM {dv_updates}),
 w AS (SELECT u.trip_id FROM u JOIN {dv_stop_times} s ON s.trip_id = u.trip_id AND s.pos = u.pos WHERE s.stop_id <> u.stop_id)
 SELECT trip_id, pos, delay FROM u WHERE trip_id NOT IN (SELECT trip_id FROM w)"""))
 def j11(spark, d):
-    u = view(spark, d, "dv_updates").where("event_id % 3 = 0").select("trip_id", F.col("pos").cast("int").alias("pos"), (F.col("event_id") % 25).cast("int").alias("stop_id"), "delay")
+    u = view(spark, d, "dv_updates").select("trip_id", F.col("pos").cast("int").alias("pos"), (F.col("event_id") % 25).cast("int").alias("stop_id"), "delay")
     return joins.reject_mismatched(u, view(spark, d, "dv_stop_times"), "trip_id", ["pos"], "stop_id").select("trip_id", "pos", "delay")
 
 
@@ -294,14 +295,14 @@ def w08(spark, d):
 
 
 @query("w09_cyclic_day_span", duck(f"""
-WITH t AS (SELECT DISTINCT station_id, dep_s % 86400 AS t FROM ({_STN}) WHERE dep_s % 86400 < 20000 OR dep_s % 86400 > 60000),
+WITH t AS (SELECT DISTINCT station_id, dep_s % 86400 AS t FROM ({_STN})),
 g AS (SELECT *, lag(t) OVER (PARTITION BY station_id ORDER BY t) AS p FROM t),
 m AS (SELECT station_id, min(t) AS lo, max(t) AS hi, max(t - p) AS gap FROM g GROUP BY station_id),
 b AS (SELECT g.station_id, min(g.t) AS f FROM g JOIN m ON m.station_id = g.station_id WHERE g.t - g.p = m.gap GROUP BY g.station_id),
 r AS (SELECT m.station_id, CASE WHEN gap > lo + 86400 - hi THEN f ELSE lo END AS first, CASE WHEN gap > lo + 86400 - hi THEN f - gap ELSE hi END AS last FROM m LEFT JOIN b ON b.station_id = m.station_id)
 SELECT station_id, first, CASE WHEN last < first THEN last + 86400 ELSE last END AS last FROM r"""))
 def w09(spark, d):
-    t = _stations(spark, d).where("dep_s % 86400 < 20000 OR dep_s % 86400 > 60000")
+    t = _stations(spark, d)
     return seq.span_of_day(t, ["station_id"], "dep_s")
 
 
@@ -310,10 +311,23 @@ def w10(spark, d):
     return view(spark, d, "dv_stop_times").select("trip_id", "pos", seq.in_day(F.col("dep_s"), F.lit(14_400)).alias("dep_s"))
 
 
-@query("w11_hourly_frequency")
+_DEPARTURES = f"SELECT station_id, 0 AS day, CAST(floor(dep_s / 60.0e0) AS BIGINT) AS m FROM ({_STN})"
+
+
+@query("w11_hourly_frequency", duck(frequency_sql.hourly(_DEPARTURES, ["station_id"])))
 def w11(spark, d):
-    """Tested with literal lists."""
-    return seq.hourly_runs(_stations(spark, d).withColumn("minute", F.floor(F.col("dep_s") / 60)), ["station_id"], "minute")
+    return frequency.hourly(_stations(spark, d).withColumns({"minute": F.floor(F.col("dep_s") / 60), "day": F.lit(0)}), ["station_id"], "day", "minute")
+
+
+_TIMED = f"SELECT s.station_id, line, service_date AS day, CAST(floor(dep_s / 60.0e0) AS BIGINT) AS m FROM ({_STN}) s JOIN {{dv_trips}} USING (trip_id)"
+
+
+@query("w13_one_word", duck(frequency_sql.hourly(f"SELECT line, station_id, 0 AS day, m FROM ({_TIMED}) WHERE m >= 1000", ["station_id", "line"], ["station_id"])))
+def w13(spark, d):
+    """The evening hours of a station's lines, read together."""
+    t = _stations(spark, d).join(view(spark, d, "dv_trips"), "trip_id").withColumns({"minute": F.floor(F.col("dep_s") / 60), "day": F.lit(0)}).where("minute >= 1000")
+    by = ["station_id", "line"]
+    return frequency.one_word(frequency.runs(frequency.hours(t, by, "day", "minute"), by), ["station_id"], by)
 
 
 @query("w12_run_merge", duck("""
@@ -632,10 +646,10 @@ def o08(spark, d):
 
 
 @query("o09_merged_board", duck(f"""
-WITH b AS (SELECT station_id, trip_id, dep_s FROM ({_STN}) WHERE station_id <= 6 AND dep_s BETWEEN 36000 AND 40000), e AS (SELECT station_id, max(dep_s) AS e, count(*) AS n FROM b GROUP BY station_id)
+WITH b AS (SELECT station_id, trip_id, dep_s FROM ({_STN}) WHERE dep_s BETWEEN 36000 AND 40000), e AS (SELECT station_id, max(dep_s) AS e, count(*) AS n FROM b GROUP BY station_id)
 SELECT station_id, trip_id, dep_s FROM b WHERE dep_s <= coalesce((SELECT min(e) FROM e WHERE n >= 10), dep_s)"""))
 def o09(spark, d):
-    b = _stations(spark, d).where("station_id <= 6 AND dep_s BETWEEN 36000 AND 40000").select("station_id", "trip_id", "dep_s")
+    b = _stations(spark, d).where("dep_s BETWEEN 36000 AND 40000").select("station_id", "trip_id", "dep_s")
     return topk.merged_board(b, "station_id", "dep_s", 10, ["station_id", "trip_id"])
 
 
@@ -692,9 +706,9 @@ def u02(spark, d):
     return view(spark, d, "dv_trips").select("service_date").distinct().orderBy("service_date")
 
 
-@query("u03_services_intersect", duck("WITH s AS (SELECT agency, list(DISTINCT service_date) AS days FROM {dv_trips} WHERE trip_id % 9 = 0 GROUP BY agency) SELECT a.agency AS one, b.agency AS two, list_has_any(a.days, b.days) AS meet FROM s a JOIN s b ON a.agency < b.agency"))
+@query("u03_services_intersect", duck("WITH s AS (SELECT agency, list(DISTINCT service_date) AS days FROM {dv_trips} GROUP BY agency) SELECT a.agency AS one, b.agency AS two, list_has_any(a.days, b.days) AS meet FROM s a JOIN s b ON a.agency < b.agency"))
 def u03(spark, d):
-    s = view(spark, d, "dv_trips").where("trip_id % 9 = 0").groupBy("agency").agg(F.collect_set("service_date").alias("days"))  # seven agencies
+    s = view(spark, d, "dv_trips").groupBy("agency").agg(F.collect_set("service_date").alias("days"))  # seven agencies
     a, b = s.alias("a"), s.alias("b")
     return a.join(b, F.col("a.agency") < F.col("b.agency")).select(F.col("a.agency").alias("one"), F.col("b.agency").alias("two"), sets.any_common(F.col("a.days"), F.col("b.days")).alias("meet"))
 
@@ -706,10 +720,10 @@ def u04(spark, d):
 
 
 @query("u05_union_sets", duck("""
-WITH RECURSIVE e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM {dv_hops} WHERE trip_id % 40 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+WITH RECURSIVE e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM {dv_hops}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT DISTINCT a AS x, a AS y FROM s UNION SELECT r.x, s.b FROM r JOIN s ON s.a = r.y) SELECT x AS node, min(y) AS root FROM r GROUP BY x"""))
 def u05(spark, d):
-    return graph.components(view(spark, d, "dv_hops").where("trip_id % 40 = 0").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")))
+    return graph.components(view(spark, d, "dv_hops").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")))
 
 
 @query("u06_days_around", duck("SELECT trip_id, service_date + CAST(r AS INT) AS service_date FROM {dv_trips}, (SELECT unnest([-1, 0, 1]) AS r)"))
@@ -790,9 +804,9 @@ def k09(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.substring(F.sha1(F.col("text").cast("binary")), 1, 16).alias("etag"))
 
 
-@query("r02_closed_rings", duck("WITH p AS (SELECT from_id AS k FROM {dv_hops} WHERE trip_id % 50 = 0 UNION ALL SELECT to_id FROM {dv_hops} WHERE trip_id % 50 = 0) SELECT k, count(*) AS ends FROM p GROUP BY k HAVING count(*) % 2 = 1"))
+@query("r02_closed_rings", duck("WITH p AS (SELECT from_id AS k FROM {dv_hops} UNION ALL SELECT to_id FROM {dv_hops}) SELECT k, count(*) AS ends FROM p GROUP BY k HAVING count(*) % 2 = 1"))
 def r02(spark, d):
-    h = view(spark, d, "dv_hops").where("trip_id % 50 = 0")
+    h = view(spark, d, "dv_hops")
     ends = h.select(F.col("from_id").alias("k")).unionByName(h.select(F.col("to_id").alias("k")))
     return ends.groupBy("k").agg(F.count(F.lit(1)).alias("ends")).where("ends % 2 = 1")
 

@@ -19,7 +19,7 @@ FROM (SELECT *, (l_orderkey % 24) * 3750 AS st, row_number() OVER w AS rn,
         sum(60 * CAST(l_quantity AS int)) OVER (PARTITION BY l_orderkey ORDER BY {ORDER} ROWS UNBOUNDED PRECEDING) AS q,
         60 * first_value(CAST(l_quantity AS int)) OVER w AS q0, count(*) OVER (PARTITION BY l_orderkey) AS n
       FROM {{lineitem}} WINDOW w AS (PARTITION BY l_orderkey ORDER BY {ORDER})) x
-WHERE n >= 2 AND rn <= 4""",
+WHERE n >= 2""",
     "dv_trips": """
 SELECT o_orderkey AS trip_id, o_orderpriority AS line, CASE o_orderstatus WHEN 'F' THEN 'tram' WHEN 'O' THEN 'bus' ELSE 'regional' END AS mode,
        o_custkey % 7 AS agency, CAST(o_orderdate AS date) AS service_date

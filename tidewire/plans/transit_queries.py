@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, text
 from ..operators import aggregates as ag
-from ..operators import joins, map_view, seqfacts
+from ..operators import frequency, joins, map_view
 from ..operators import sequences as seq
+from . import frequency_sql
 from .registry import query
 from .transit import duck, table, view
 
@@ -137,22 +138,6 @@ def q20(spark, d):
     return s.groupBy("station_id").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("service"), F.array_sort(F.collect_set("mode")).alias("modes"))
 
 
-@query("q21_line_facts")
-def q21(spark, d):
-    """Hourly words of each line's departures at its busiest station; tested with literal lists."""
-    s = view(spark, d, "dv_stop_times").join(view(spark, d, "dv_stops"), "stop_id").join(view(spark, d, "dv_trips"), "trip_id")
-    top = ag.busiest(s.select("line", "station_id", F.col("station_id").alias("o")), ["line"], "station_id", "o")
-    at = s.join(top.select("line", "station_id"), ["line", "station_id"]).withColumn("minute", F.floor(F.col("dep_s") / 60))
-    return seq.hourly_runs(at, ["line", "station_id"], "minute")
-
-
-@query("q23_described_stretch")
-def q23(spark, d):
-    """The longest stretch of hours that holds on all days of an agency; tested with literal lists."""
-    s = view(spark, d, "dv_stop_times").where("pos = 0").join(view(spark, d, "dv_trips"), "trip_id").withColumn("minute", F.floor(F.col("dep_s") / 60))
-    return seqfacts.stretches(s, ["agency"], F.month("service_date"), "minute")
-
-
 @query("q24_along_minutes", duck("SELECT line, CAST(floor(list_sort(list(d))[len(list(d)) // 2 + 1] / 60.0e0 + 0.5e0) AS BIGINT) AS minutes FROM (SELECT trip_id, max(arr_s) - min(dep_s) AS d FROM {dv_stop_times} GROUP BY trip_id) JOIN {dv_trips} USING (trip_id) GROUP BY line"))
 def q24(spark, d):
     s = view(spark, d, "dv_stop_times").groupBy("trip_id").agg((F.max("arr_s") - F.min("dep_s")).alias("d"))
@@ -265,11 +250,33 @@ def q30(spark, d):
     return graph.route_hops(hops, edges, "tile")
 
 
-@query("q22_stop_hours")
-def q22(spark, d):
-    """Hourly words of each station and line; tested with literal lists."""
+_CALLS_AT = "SELECT st.station_id, t.line, t.agency, s.trip_id, s.pos, month(t.service_date) AS month, CAST(floor(s.dep_s / 60.0e0) AS BIGINT) AS m FROM {dv_stop_times} s JOIN {dv_stops} st USING (stop_id) JOIN {dv_trips} t USING (trip_id)"
+
+
+def _calls_at(spark, d):
     s = view(spark, d, "dv_stop_times").join(view(spark, d, "dv_stops"), "stop_id").join(view(spark, d, "dv_trips"), "trip_id")
-    return seq.hourly_runs(s.withColumn("minute", F.floor(F.col("dep_s") / 60)), ["station_id", "line"], "minute")
+    return s.withColumns({"minute": F.floor(F.col("dep_s") / 60), "month": F.month("service_date"), "day": F.lit(0)})
+
+
+@query("q21_line_facts", duck(frequency_sql.hourly(f"""SELECT line, station_id, 0 AS day, m FROM ({_CALLS_AT}) JOIN (
+  SELECT line, station_id FROM ({_CALLS_AT}) GROUP BY line, station_id QUALIFY row_number() OVER (PARTITION BY line ORDER BY count(*) DESC, station_id) = 1) USING (line, station_id)""", ["line", "station_id"])))
+def q21(spark, d):
+    """Hourly words of each line's departures at its busiest station."""
+    s = _calls_at(spark, d)
+    top = ag.busiest(s.select("line", "station_id", F.col("station_id").alias("o")), ["line"], "station_id", "o")
+    return frequency.hourly(s.join(top.select("line", "station_id"), ["line", "station_id"]), ["line", "station_id"], "day", "minute")
+
+
+@query("q22_stop_hours", duck(frequency_sql.hourly(f"SELECT station_id, line, 0 AS day, m FROM ({_CALLS_AT})", ["station_id", "line"])))
+def q22(spark, d):
+    """Hourly words of each station and line."""
+    return frequency.hourly(_calls_at(spark, d), ["station_id", "line"], "day", "minute")
+
+
+@query("q23_described_stretch", duck(frequency_sql.stretches(f"SELECT agency, month AS day, m FROM ({_CALLS_AT}) WHERE pos = 0", ["agency"])))
+def q23(spark, d):
+    """The longest stretch of hours that one thing holds for on all days of an agency."""
+    return frequency.stretches(frequency.hours(_calls_at(spark, d).where("pos = 0"), ["agency"], "month", "minute"), ["agency"])
 
 
 @query("q02_join_platforms", duck("""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import ways
 from .gtfs_rt import fields
 
 KINDS = {
@@ -17,7 +18,10 @@ KINDS = {
     "way": "id BIGINT, refs ARRAY<BIGINT>, tags MAP<STRING, STRING>",
     "relation": "id BIGINT, tags MAP<STRING, STRING>, members ARRAY<STRUCT<kind: STRING, ref: BIGINT, role: STRING>>",
 }
+SORTED = b"Sort.Type_then_ID"
 BLOCKS = 8  # blocks of a partition
+KIND_FIELDS = {"node": 2, "way": 3, "relation": 4}  # of a block's groups
+ORDER = ["node", "way", "relation"]  # of the kinds in a file that says it is sorted
 
 
 def _open(path: str):
@@ -27,9 +31,14 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
-def blobs(path: str) -> list[tuple[int, int]]:
-    """(offset, size) of the data blobs: only their headers are read."""
-    out = []
+def _blob(f, at: int, size: int) -> bytes:
+    got = dict(fields(f.read_at(size, at)))
+    return zlib.decompress(got[3]) if 3 in got else got[1]
+
+
+def blobs(path: str) -> tuple[list[tuple[int, int]], bool]:
+    """((offset, size) of the data blobs, whether the file says that it is sorted by type, then id): only headers are read."""
+    out, is_sorted = [], False
     with _open(path) as f:
         at, end = 0, f.size()
         while at < end:
@@ -37,8 +46,45 @@ def blobs(path: str) -> list[tuple[int, int]]:
             head = dict(fields(f.read_at(n, at + 4)))
             if head[1] == b"OSMData":
                 out.append((at + 4 + n, head[3]))
+            else:
+                features = list(fields(_blob(f, at + 4 + n, head[3])))
+                is_sorted |= (4, SORTED) in features or (5, SORTED) in features
             at += 4 + n + head[3]
-    return out
+    return out, is_sorted
+
+
+def kinds_of(raw: bytes) -> list[str]:
+    """The kinds of elements that a block holds, in their order."""
+    names = {1: "node", 2: "node", 3: "way", 4: "relation"}
+    found = {names[n] for m, group in fields(raw) if m == 2 for n, _ in fields(group) if n in names}
+    return [k for k in ORDER if k in found]
+
+
+def span_of(path: str, spans: list[tuple[int, int]], kind: str) -> list[tuple[int, int]]:
+    """The blobs of a sorted file that may hold a kind: both ends of the range are found by halving, so about twice log2 of the blobs
+    are read and all others are skipped unread."""
+    with _open(path) as f:
+        seen: dict[int, int] = {}
+
+        def holds(i: int, last: bool) -> int:
+            """Place in ORDER of a blob's first or last kind."""
+            key = 2 * i + last
+            if key not in seen:
+                found = kinds_of(_blob(f, *spans[i])) or ["relation"]
+                seen[2 * i], seen[2 * i + 1] = ORDER.index(found[0]), ORDER.index(found[-1])
+            return seen[key]
+
+        def first(true) -> int:
+            low, high = 0, len(spans)
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (low, mid) if true(mid) else (mid + 1, high)
+            return low
+
+        want = ORDER.index(kind)
+        start = first(lambda i: holds(i, True) >= want)
+        stop = first(lambda i: holds(i, False) > want)
+    return spans[start:stop]
 
 
 def zigzag(v: int) -> int:
@@ -65,12 +111,13 @@ def running(numbers: list[int]) -> list[int]:
     return out
 
 
-def block_rows(raw: bytes, kind: str) -> Iterator[tuple]:
-    """Rows of one kind of an uncompressed block; groups of other kinds are passed over."""
-    texts, groups, grain, lat0, lon0 = [], [], 100, 0, 0
+def block_rows(raw: bytes, kind: str, keys: frozenset[str] = frozenset()) -> Iterator[tuple]:
+    """Rows of one kind of an uncompressed block; groups of other kinds are passed over, and so are ways and relations without any of the
+    keys, if there are keys, before their tags and references are read."""
+    raw_texts, groups, grain, lat0, lon0 = [], [], 100, 0, 0
     for n, v in fields(raw):
         if n == 1:
-            texts = [s.decode() for _, s in fields(v)]
+            raw_texts = [s for _, s in fields(v)]
         elif n == 2:
             groups.append(v)
         elif n == 17:
@@ -80,8 +127,18 @@ def block_rows(raw: bytes, kind: str) -> Iterator[tuple]:
         elif n == 20:
             lon0 = v
 
-    def tags(got: dict) -> dict[str, str]:
-        return {texts[k]: texts[v] for k, v in zip(packed(got.get(2, b"")), packed(got.get(3, b"")), strict=True)}
+    if not any(n == KIND_FIELDS[kind] for g in groups for n, _ in fields(g)):
+        return
+    texts = [s.decode() for s in raw_texts]
+    wanted = {i for i, s in enumerate(texts) if s in keys}
+    if keys and not wanted:
+        return
+
+    def tags(got: dict) -> dict[str, str] | None:
+        at = packed(got.get(2, b""))
+        if keys and wanted.isdisjoint(at):
+            return None
+        return {texts[k]: texts[v] for k, v in zip(at, packed(got.get(3, b"")), strict=True)}
 
     for group in groups:
         for n, v in fields(group):
@@ -91,12 +148,15 @@ def block_rows(raw: bytes, kind: str) -> Iterator[tuple]:
                     yield i, (lat0 + grain * lat) // 100, (lon0 + grain * lon) // 100
             elif n == 3 and kind == "way":
                 got = dict(fields(v))
-                yield got[1], running(packed(got.get(8, b""))), tags(got)
+                if (own := tags(got)) is not None:
+                    yield got[1], running(packed(got.get(8, b""))), own
             elif n == 4 and kind == "relation":
                 got = dict(fields(v))
+                if (own := tags(got)) is None:
+                    continue
                 names = ["node", "way", "relation"]
                 members = [{"kind": names[t], "ref": r, "role": texts[s]} for s, r, t in zip(packed(got.get(8, b"")), running(packed(got.get(9, b""))), packed(got.get(10, b"")), strict=True)]
-                yield got[1], tags(got), members
+                yield got[1], own, members
 
 
 class _Part(InputPartition):
@@ -105,22 +165,24 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, kind: str):
-        self.path, self.kind = path, kind
+    def __init__(self, path: str, kind: str, keys: frozenset[str]):
+        self.path, self.kind, self.keys = path, kind, keys
 
     def partitions(self) -> list[_Part]:
-        spans = blobs(self.path)
-        return [_Part(spans[i : i + BLOCKS]) for i in range(0, len(spans), BLOCKS)]
+        spans, is_sorted = blobs(self.path)
+        if is_sorted:
+            spans = span_of(self.path, spans, self.kind)
+        return [_Part(spans[i : i + BLOCKS]) for i in range(0, len(spans), BLOCKS)] or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         with _open(self.path) as f:
             for at, size in partition.spans:
-                blob = dict(fields(f.read_at(size, at)))
-                yield from block_rows(zlib.decompress(blob[3]) if 3 in blob else blob[1], self.kind)
+                yield from block_rows(_blob(f, at, size), self.kind, self.keys)
 
 
 class OsmSource(DataSource):
-    """spark.read.format("osm_pbf").option("kind", "way").load(path); kind is node, way or relation."""
+    """spark.read.format("osm_pbf").option("kind", "way").option("keys", "highway,railway").load(path); kind is node, way or relation. With
+    keys, ways and relations without any of these tags are passed over as the blocks are read."""
 
     @classmethod
     def name(cls) -> str:
@@ -130,30 +192,44 @@ class OsmSource(DataSource):
         return KINDS[self.options.get("kind", "way")]
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], self.options.get("kind", "way"))
+        keys = frozenset(k for k in self.options.get("keys", "").split(",") if k)
+        return _Reader(self.options["path"], self.options.get("kind", "way"), keys)
 
 
-def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def read(spark: SparkSession, path: str, kind: str, keys: list[str] | None = None) -> DataFrame:
     spark.dataSource.register(OsmSource)
-    return spark.read.format("osm_pbf").option("kind", kind).load(path)
+    return spark.read.format("osm_pbf").option("kind", kind).option("keys", ",".join(keys or [])).load(path)
+
+
+WAY_KEYS = ["highway", "railway", "route", "aerialway"]
 
 
-def network(spark: SparkSession, path: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the ways that have one of the keys: edges join neighbouring nodes of a way, and only nodes that edges use
-    are looked up. A way is cut where a node is missing from the extract."""
-    ways = read(spark, path, "way").where(F.arrays_overlap(F.map_keys("tags"), F.array(*[F.lit(k) for k in keys])))
-    pairs = ways.select(F.col("id").alias("way"), "tags", F.posexplode(F.arrays_zip(F.slice("refs", F.lit(1), F.greatest(F.size("refs") - 1, F.lit(0))).alias("a"), F.slice("refs", F.lit(2), F.greatest(F.size("refs") - 1, F.lit(0))).alias("b"))).alias("n", "p"))
-    pairs = pairs.select("way", "n", "tags", "p.a", "p.b").where("a <> b")
-    used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def networks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the networks of an extract's ways: (id, lat7, lon7) and (net, way, n, a, b, cost, direction, shared, main, speed).
+
+    An edge joins neighbouring nodes of a way; a way is cut where a node is missing from the extract. A way is on its own network and, at
+    SHARED_FACTOR times the cost, on those it is shared with. cost is in per cent; see ways.classify for the rest. Only nodes that edges
+    use are looked up."""
+    kept = read(spark, path, "way", WAY_KEYS).withColumn("way", ways.classify(F.col("tags"))).where("way IS NOT NULL")
+    n = F.greatest(F.size("refs") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("refs", F.lit(1), n).alias("a"), F.slice("refs", F.lit(2), n).alias("b"))
+    steps = kept.select("id", "way", F.posexplode(pairs).alias("n", "p")).select("id", "way", "n", "p.a", "p.b").where("a <> b")
+    used = steps.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     nodes = read(spark, path, "node").join(used, "id", "left_semi")
-    edges = pairs.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
+    for end in ("a", "b"):
+        steps = steps.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    own = F.array(F.struct(F.col("way.net").alias("net"), F.lit(False).alias("shared")))
+    nets = F.concat(own, F.transform("way.shared", lambda x: F.struct(x.alias("net"), F.lit(True).alias("shared"))))
+    cost = F.round(F.col("way.factor") * F.when(F.col("on.shared"), ways.SHARED_FACTOR).otherwise(1.0) * 100).cast("int")
+    edges = steps.withColumn("on", F.explode(nets)).select(
+        "on.net", F.col("id").alias("way"), "n", "a", "b", cost.alias("cost"), "way.direction", "on.shared", "way.main", "way.speed")
     return nodes, edges
 
 
 def boundaries(spark: SparkSession, path: str, levels: list[str]) -> DataFrame:
     """(area, name, level, lat1, lon1, lat2, lon2): border edges of named administrative areas; relation, way and node meet by join."""
     tag = lambda k: F.try_element_at("tags", F.lit(k))
-    areas = read(spark, path, "relation").where((tag("boundary") == "administrative") & tag("name").isNotNull() & tag("admin_level").isin(levels))
+    areas = read(spark, path, "relation", ["boundary"]).where((tag("boundary") == "administrative") & tag("name").isNotNull() & tag("admin_level").isin(levels))
     members = areas.select(F.col("id").alias("area"), tag("name").alias("name"), tag("admin_level").cast("int").alias("level"), F.explode("members").alias("m")).where("m.kind = 'way'")
     ways = read(spark, path, "way").select(F.col("id").alias("ref"), "refs")
     lines = members.select("area", "name", "level", F.col("m.ref").alias("ref")).join(ways, "ref")
@@ -163,32 +239,3 @@ def boundaries(spark: SparkSession, path: str, levels: list[str]) -> DataFrame:
     one = nodes.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     two = nodes.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     return pairs.select("area", "name", "level", "p.a", "p.b").join(one, "a").join(two, "b").drop("a", "b")
-
-
-def classify_way(tags, net: str):
-    """The cost of a way in per cent on a network, null where it is no way of it."""
-    highway, railway, route = (F.try_element_at(tags, F.lit(k)) for k in ("highway", "railway", "route"))
-    closed = F.try_element_at(tags, F.lit("access")).isin("no", "private") & ~F.coalesce(F.try_element_at(tags, F.lit("bus")), F.lit("")).isin("yes", "designated")
-    road = F.when(highway.isin("motorway", "trunk", "primary", "secondary", "tertiary", "busway"), 100).when(highway.isin("unclassified", "residential", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link"), 130).when(highway.isin("living_street", "service", "pedestrian"), 200)
-    rail = {"rail": ["rail", "light_rail", "narrow_gauge"], "tram": ["tram", "light_rail"], "subway": ["subway", "light_rail"]}
-    if net == "road":
-        return F.when(~F.coalesce(closed, F.lit(False)), road)
-    if net == "ferry":
-        return F.when(route == "ferry", 100)
-    return F.when(railway.isin(rail[net]), 100)
-
-
-def oneway(tags):
-    """1 along the way, -1 against it, 0 both ways."""
-    v = F.try_element_at(tags, F.lit("oneway"))
-    around = F.try_element_at(tags, F.lit("junction")).isin("roundabout", "circular")
-    return F.when(v.isin("yes", "true", "1"), 1).when(v.isin("-1", "reverse"), -1).when(v == "no", 0).when(around, 1).otherwise(0)
-
-
-def maxspeed(c):
-    """km/h of a maxspeed tag: a number, miles, or an implied German limit."""
-    number, mph = F.regexp_extract(c, r"^(\d+(?:\.\d+)?)$", 1), F.regexp_extract(c, r"^(\d+(?:\.\d+)?) ?mph$", 1)
-    return (
-        F.when(number != "", number.cast("double")).when(mph != "", mph.cast("double") * 1.609344).when(c == "DE:urban", 50.0)
-        .when(c == "DE:rural", 100.0).when(c == "DE:living_street", 7.0).when(c == "walk", 7.0)
-    )
