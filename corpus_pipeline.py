@@ -11,12 +11,14 @@ from tidewire.llm import crf, line_dedup, mixing, ngram_join, packing
 from tidewire.llm.common import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.35  # of a document's language: below it no language holds much more than a third of its words
+LEAST_CERTAINTY = 0.5  # of a document's words: below it the field cannot tell their languages
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known, lang set to it; null texts, texts without letters and undecided mixtures go."""
-    found = crf.languages(docs.select(*COLUMNS), "doc_id", "text", "lang").where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    """Documents whose words' languages are known, lang set to the largest; null texts, texts without letters and texts of words that the
+    field cannot tell go. Texts of several languages stay."""
+    found = crf.languages(docs.select(*COLUMNS), "doc_id", "text", "lang")
+    found = found.where((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_CERTAINTY))
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
@@ -44,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf of the domain-language-source tree cut to its share of four fifths of all tokens; no document twice."""
     levels = {"domain": F.expr(mixing.DOMAIN), "lang_leaf": F.col("lang"), "source_leaf": F.col("source")}
     weights = {"domain": mixing.WEIGHTS["domain"], "lang_leaf": mixing.WEIGHTS["lang"]}
-    return mixing.mix(docs.select(*COLUMNS), "doc_id", mixing.n_words(), levels, weights, 0.8, 1).select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS), "doc_id", mixing.n_words(), levels, weights, 0.8, 1, content="text").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

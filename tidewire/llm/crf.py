@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,20 @@ from .common import crc_mod
 BUCKETS = 1 << 16  # of the hashed features
 CACHE = 150_000  # words whose scores a worker remembers; forgetting them changes no result
 ROWS_PER_LANGUAGE = 400  # labelled documents that the field is fitted on, at most
-ROW_BYTES = 65_536  # longer documents are not fitted on
+ROW_CHARS = 16_384  # of a longer document, a run of so many characters is fitted on
+RUN, CONTEXT = 20_000, 200  # words of a longer text that are labelled together, and words on either side that they are labelled with
 LETTERS = re.compile(r"[^\W\d_]+")
 LEXICON_SHARE, LEXICON_LEAST = 0.8, 3
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased. Numbers that are no digits (fractions, exponents, Roman numerals) are no letters."""
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(run) for w in found for letters, run in groupby(w, str.isalpha) if letters]
+
+
 def word_features(word: str) -> list[int]:
     """Hashed affixes of 1 to 3 letters and n-grams of 2 and 3 letters, with the word's ends marked."""
     w = f"^{word}$"
@@ -82,7 +92,7 @@ class Field:
 def fit(texts: list[str], labels: list[str], seed: int = 5, sequences: int = 2_400, length: int = 48, epochs: int = 6) -> Field | None:
     """A field fitted on code-switched sequences: runs of 4 to 24 words of documents of random languages laid end to end, every
     word labelled with its document's language. Gradient steps with per-weight rates over mini-batches."""
-    docs = [(LETTERS.findall(t.lower()), lang) for t, lang in zip(texts, labels, strict=True)]
+    docs = [(words_of(t), lang) for t, lang in zip(texts, labels, strict=True)]
     docs = [(w, lang) for w, lang in docs if w]
     languages = sorted({lang for _, lang in docs})
     if not languages:
@@ -163,7 +173,7 @@ class Scored(dict):
         """Of each text, the table rows of its words, valid until forget()."""
         out = []
         for t in texts:
-            words = LETTERS.findall(t.lower())
+            words = words_of(t)
             out.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
         if self.new:
             self.table = np.concatenate([self.table, *[self.field.scores(self.new[i : i + 20_000]) for i in range(0, len(self.new), 20_000)]])
@@ -171,66 +181,85 @@ class Scored(dict):
         return out
 
 
-def label(field: Field, scored: Scored, texts: list[str]) -> list[tuple[str, float]]:
-    """(language, its mean marginal over the text's words) of whole texts; und where a text has no letters."""
+def label(field: Field, scored: Scored, texts: list[str]) -> list[tuple[str, float, float]]:
+    """(language, its mean marginal over the text's words, mean of the words' largest marginals) of whole texts; und where a text
+    has no letters. Texts of more than RUN words are labelled in runs, each within CONTEXT words of its surroundings."""
     scored.forget()
     rows = scored.rows(texts)
-    out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-    order = sorted((i for i, r in enumerate(rows) if len(r)), key=lambda i: len(rows[i]))
+    k = len(field.languages)
+    sums, best = np.zeros((len(texts), k)), np.zeros(len(texts))
+    runs = []  # (text, its words from, to, of which the inner ones count from, to)
+    for i, r in enumerate(rows):
+        for at in range(0, len(r), RUN):
+            low, high = max(0, at - CONTEXT), min(len(r), at + RUN + CONTEXT)
+            runs.append((i, low, high, at - low, min(at + RUN, len(r)) - low))
+    runs.sort(key=lambda x: x[2] - x[1])
     at = 0
-    while at < len(order):
+    while at < len(runs):
         end = at + 1  # of like length together: the padding stays small
-        while end < len(order) and end - at < 512 and (end - at + 1) * len(rows[order[end]]) <= 200_000:
+        while end < len(runs) and end - at < 512 and (end - at + 1) * (runs[end][2] - runs[end][1]) <= 200_000:
             end += 1
-        part = order[at:end]
-        lengths = np.array([len(rows[i]) for i in part])
-        padded = np.zeros((len(part), lengths[-1], len(field.languages)))
-        for r, i in enumerate(part):
-            padded[r, : lengths[r]] = scored.table[rows[i]]
-        marginal = forward_backward(padded, lengths, field.start, field.moves)[0].sum(axis=1) / lengths[:, None]
-        best = marginal.argmax(axis=1)
-        for r, i in enumerate(part):
-            out[i] = (field.languages[best[r]], float(min(1.0, marginal[r, best[r]])))
+        part = runs[at:end]
+        lengths = np.array([high - low for _, low, high, _, _ in part])
+        padded = np.zeros((len(part), lengths[-1], k))
+        for r, (i, low, high, _, _) in enumerate(part):
+            padded[r, : lengths[r]] = scored.table[rows[i][low:high]]
+        marginal = forward_backward(padded, lengths, field.start, field.moves)[0]
+        top = marginal.max(axis=2)
+        for r, (i, _, _, a, b) in enumerate(part):
+            sums[i] += marginal[r, a:b].sum(axis=0)
+            best[i] += top[r, a:b].sum()
         at = end
+    out = []
+    for i, r in enumerate(rows):
+        if len(r):
+            c = int(sums[i].argmax())
+            out.append((field.languages[c], float(min(1.0, sums[i, c] / len(r))), float(min(1.0, best[i] / len(r)))))
+        else:
+            out.append(("und", 0.0, 0.0))
     return out
 
 
 def training_rows(df: DataFrame, key: str, text: str, lang: str, folds: int, held: int) -> DataFrame:
-    """At most ROWS_PER_LANGUAGE labelled rows of every language, those of the smallest key hashes, outside the held fold."""
+    """At most ROWS_PER_LANGUAGE labelled rows of every language, those of the smallest key hashes, outside the held fold; of a text of more
+    than ROW_CHARS characters, a run of so many from a place that its key's hash says."""
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.where((crc_mod("id", folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= ROW_BYTES))
+    rows = rows.where((crc_mod("id", folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
     share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
     near = rows.join(F.broadcast(share), "lang").where(F.col("r") * F.col("c") <= F.lit((1 << 20) * 2 * ROWS_PER_LANGUAGE))  # a row a language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("r", "id", "text"))
-    return near.withColumn("n", rank).where(F.col("n") <= ROWS_PER_LANGUAGE).select("lang", "text", "r", "id")
+    start = F.pmod(F.xxhash64("id", "r"), F.greatest(F.char_length("text") - ROW_CHARS, F.lit(0)) + 1).cast("int") + 1
+    run = F.substring(F.col("text"), start, F.lit(ROW_CHARS))
+    return near.withColumn("n", rank).where(F.col("n") <= ROWS_PER_LANGUAGE).select("lang", run.alias("text"), "r", "id")
 
 
 def languages(df: DataFrame, key: str, text: str, lang: str, folds: int = 4, held: int = 2) -> DataFrame:
-    """df with held_out, lang_pred and score.
+    """df with held_out, lang_pred, score and certainty.
 
-    The field is fitted on a bounded sample (ROWS_PER_LANGUAGE rows a language, of at most ROW_BYTES; rows of the held
+    The field is fitted on a bounded sample (ROWS_PER_LANGUAGE rows a language, of each ROW_CHARS characters; rows of the held
     fold and without a label never); it labels the words of every whole text, and the text gets the language of the
-    largest mean marginal, its score. Only the text decides. Rows are labelled where they are scanned: no shuffle.
+    largest mean marginal, its score. certainty is the mean of the words' largest marginals: high also where a text's words
+    are of several languages. Only the text decides. Rows are labelled where they are scanned: no shuffle.
 
-    Null texts and texts without letters are und with score 0; without labelled rows all are. Null keys hash as the empty text. Rows
+    Null texts and texts without letters are und with score and certainty 0; without labelled rows all are. Null keys hash as the empty text. Rows
     repeated get equal results; ties go to the first language by name; an empty table stays empty; columns of df named like the
     results are replaced.
     """
     sample = sorted(tuple(r) for r in training_rows(df, key, text, lang, folds, held).select(
         "lang", "r", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "text").collect())  # bounded by the constants above
     field = fit([r[3] for r in sample], [r[0] for r in sample])
-    names = [c for c in df.columns if c not in {"held_out", "lang_pred", "score"}]
+    names = [c for c in df.columns if c not in {"held_out", "lang_pred", "score", "certainty"}]
     base = df.select(*names).withColumn("held_out", crc_mod(key, folds) == held)
-    out_names, at = [*base.columns, "lang_pred", "score"], base.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", lang_pred string, score double"
+    out_names, at = [*base.columns, "lang_pred", "score", "certainty"], base.columns.index(text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", lang_pred string, score double, certainty double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = Scored(field) if field else None
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            found = label(field, scored, texts) if field else [("und", 0.0)] * len(texts)
-            more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            found = label(field, scored, texts) if field else [("und", 0.0, 0.0)] * len(texts)
+            more = [pa.array([f[0] for f in found], pa.string()), *[pa.array([f[i] for f in found], pa.float64()) for i in (1, 2)]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=out_names)
 
     return base.mapInArrow(run, schema)
