@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,6 +49,42 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """df with two more columns: name, a gapless number from 0 in each group in the given order, for few groups of any size, and the group's
+    rows come back written (see materialise). Rows are range-sorted and counted by partition, so no task holds a group."""
+    spark = df.sparkSession
+    part, at, base, stand = fresh([*df.columns, name], "part", "at", "base", "stand")
+    names, place = [*df.columns, part, at], df.columns.index(group)
+    schema = StructType([*[StructField(f.name, f.dataType) for f in df.schema], StructField(part, IntegerType()), StructField(at, LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            values = batch.column(place)
+            out = np.empty(batch.num_rows, np.int64)
+            code = values.dictionary_encode()
+            index = code.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for i in np.unique(index):
+                where = np.flatnonzero(index == i)
+                key = code.dictionary[int(i)].as_py() if i >= 0 else None
+                out[where] = seen.get(key, 0) + np.arange(len(where))
+                seen[key] = seen.get(key, 0) + len(where)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(out), mine, np.int32)), pa.array(out)], names=names)
+
+    # equal rows are told apart by where they stand, so that many of them are no single range
+    rows = df.withColumn(stand, F.monotonically_increasing_id())
+    keys = [F.col(group), *order, F.col(stand)]
+    rows = rows.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).drop(stand).mapInArrow(run, schema)
+    rows = materialise(rows, "numbered")
+    counts = rows.groupBy(group, part).agg(F.max(at).alias(base))
+    before = F.coalesce(F.sum(F.col(base) + 1).over(Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_group, of_part = fresh(rows.columns, "group", "of")
+    counts = counts.select(F.col(group).alias(of_group), F.col(part).alias(of_part), before.alias(base))
+    near = F.col(group).eqNullSafe(F.col(of_group)) & (F.col(part) == F.col(of_part))
+    # a row a partition, and one more a group
+    return rows.join(F.broadcast(counts), near).select(*df.columns, (F.col(base) + F.col(at)).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 HEX53 = 13  # hexadecimal digits of a hash that are used: 52 bits, exact in a double
 
 
@@ -25,9 +27,9 @@ def shard(
     """Add shard, slot (gapless from 0 within the shard) and, where grown is given, grown_shard.
 
     The shard depends on the key and the weights alone. A further shard takes records only into
-    itself; a raised weight moves records only into that shard. Scores are narrow expressions. Slots are
-    numbered in two levels: 256 hash ranges per shard are counted, their prefix sums (shards x 256 rows)
-    give each range its base, and rows are numbered inside a range, so that no task holds a shard.
+    itself; a raised weight moves records only into that shard. Scores are narrow expressions. Slots follow
+    the shard's order of key hashes, then of the other columns, by a range sort over all rows, so that no task holds a shard or
+    all rows of a key.
 
     Null keys count as the text "null" and share a shard; repeated keys share a shard and get slots of
     their own; an empty table stays empty. Columns of df are kept; shard, slot and grown_shard replace
@@ -48,19 +50,9 @@ def shard(
         out = out.withColumn("grown_shard", F.when(_score(k, new, grown[-1]) < old, F.lit(new)).otherwise(F.col("shard")))
     else:
         out = out.withColumn("grown_shard", _winner(k, grown))
-    out = out.withColumns({"__h": F.md5(k.cast("binary")), "__r": F.substring(F.md5(k.cast("binary")), 1, 2)})
-    count = out.groupBy("shard", "__r").agg(F.count(F.lit(1)).alias("__n"))
-    base = count.select(
-        "shard", "__r",
-        (F.sum("__n").over(Window.partitionBy("shard").orderBy("__r")) - F.col("__n")).alias("__base"),
-    )
-    ties = [F.col(c) for c, t in out.select(*kept).dtypes if not t.startswith(("map", "variant"))]
-    w = Window.partitionBy("shard", "__r").orderBy("__h", *ties)
-    return (
-        out.withColumn("__i", F.row_number().over(w))
-        .join(F.broadcast(base), ["shard", "__r"])  # at most 256 rows a shard
-        .select(*kept, "shard", (F.col("__base") + F.col("__i") - 1).cast("long").alias("slot"), "grown_shard")
-    )
+    ties = [F.col(c) for c, t in df.select(*kept).dtypes if not t.startswith(("map", "variant"))]
+    out = numbered(out, "shard", [F.md5(k.cast("binary")), *ties], "slot")
+    return out.select(*kept, "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
 def op3(docs: DataFrame, shards: int = 40) -> DataFrame:
