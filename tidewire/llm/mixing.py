@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, fresh, materialise
 
 NONE = "(none)"
 
@@ -66,42 +66,44 @@ def budgets(leaves: DataFrame, levels: list[str], weights: Mapping[str, Mapping[
 
 def mix(
     df: DataFrame, key: str, tokens: Column, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, float]],
-    fraction: float = 0.5, max_epochs: int = 2, seed: int = 1,
+    fraction: float = 0.5, max_epochs: int = 2, seed: int = 1, content: str | None = None,
 ) -> DataFrame:
     """The selected records: columns of df, the levels, n_tokens and copies (how often the record is taken, at least 1).
 
     levels: the tree from the top down, as columns; weights: by level and name, 1 where a name is missing.
     The budget is fraction of all tokens. A leaf's target of e whole epochs and a rest takes every record e times,
-    and of epoch e's seeded order the longest prefix whose tokens fit the rest.
-
-    The prefix is found in two levels: token sums of 4,096 hash ranges per leaf, then rows inside a range, so that a
-    leaf of a third of the corpus is spread over 4,096 groups. Null names are the name "(none)"; null keys hash as "null"; null
-    texts and texts without words have 0 tokens and are taken with the prefix they stand in; rows repeated in full are
-    taken alike; an empty table gives an empty result. Columns of df named like a level, n_tokens or copies are replaced.
+    and of epoch e's seeded order the longest prefix whose tokens fit the rest. The order is that of a hash of seed, epoch, key and, if
+    given, the column content, which tells apart records that share a key.
+
+    The prefix is found in three levels: token sums of a leaf's 4,096 hash ranges, then of the hashes in a range, then the rows of
+    a hash. Windows run over sums alone, so a leaf of a third of the corpus is spread over 4,096 groups and a key that a third of
+    the rows repeat is one row of them. Null names are the name "(none)"; null keys hash as "null"; null texts and texts without
+    words have 0 tokens and are taken with the prefix they stand in; rows of equal key and content are taken alike, or not at all if
+    together they do not fit; an empty table gives an empty result. Columns of df named like a level, n_tokens or copies are replaced.
     """
     names = list(levels)
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__e").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
     kept = [c for c in df.columns if c not in {*names, "n_tokens", "copies"}]
+    digest, epochs, rest, at, span, total, before, upto = fresh(
+        [*df.columns, *names], "digest", "epochs", "rest", "at", "span", "total", "before", "upto")
     exprs = {"n_tokens": tokens.cast("long"), **{k: F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in levels.items()}}
-    rows = df.withColumns(exprs).select(*kept, *names, "n_tokens")
-    leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
-    whole = leaves.agg(F.floor(F.sum("tokens") * F.lit(float(fraction))).alias("__f"))
-    target = budgets(leaves, names, weights, F.coalesce(whole.scalar(), F.lit(0)), max_epochs)
-    target = target.select(
-        *names,
-        F.when(F.col("tokens") > 0, F.floor(F.col("target") / F.col("tokens"))).otherwise(0).cast("long").alias("__e"),
-        "target", "tokens",
-    ).withColumn("__rest", F.col("target") - F.col("__e") * F.col("tokens")).drop("target", "tokens")
-    # dealt by leaf and range: the join alone would leave the rows dealt by leaf
-    rows = rows.join(target, names).withColumn("__h", h).withColumn("__g", F.substring("__h", 1, 3)).repartition(*names, "__g")
-    # every range's tokens before it in its leaf's order
-    sums = rows.groupBy(*names, "__g").agg(F.sum("n_tokens").alias("__s"))
-    sums = sums.withColumn("__before", F.sum("__s").over(Window.partitionBy(*names).orderBy("__g")) - F.col("__s")).drop("__s")
-    # equal hashes (repeated keys) stand or fall together
-    local = F.sum("n_tokens").over(Window.partitionBy(*names, "__g").orderBy("__h"))
-    rows = rows.withColumn("__local", local).join(sums, [*names, "__g"])
-    fits = (F.col("__before") + F.col("__local") <= F.col("__rest")).cast("int")
-    return rows.withColumn("copies", (F.col("__e") + fits).cast("int")).where("copies > 0").select(*kept, *names, "n_tokens", "copies")
+    same = F.md5(F.coalesce(F.col(content).cast("string"), F.lit("")).cast("binary")) if content else F.lit("")
+    rows = df.withColumns({**exprs, digest: same}).select(*kept, *names, "n_tokens", digest)
+    leaves = materialise(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
+    whole = F.coalesce(leaves.agg(F.floor(F.sum("tokens") * F.lit(float(fraction))).alias(total)).scalar(), F.lit(0))
+    target = budgets(leaves, names, weights, whole, max_epochs)
+    full = F.when(F.col("tokens") > 0, F.floor(F.col("target") / F.col("tokens"))).otherwise(0).cast("long")
+    target = target.select(*names, full.alias(epochs), (F.col("target") - full * F.col("tokens")).alias(rest))
+    target = materialise(target, "targets")
+    said = F.concat_ws(":", F.lit(str(seed)), F.col(epochs).cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("null")), *([F.col(digest)] if content else []))
+    rows = rows.join(target, names).withColumn(at, F.md5(said.cast("binary"))).withColumn(span, F.substring(at, 1, 3)).drop(digest)
+    sums = materialise(rows.groupBy(*names, span, at).agg(F.sum("n_tokens").alias(total)), "sums")
+    spans = sums.groupBy(*names, span).agg(F.sum(total).alias(before))
+    spans = spans.withColumn(before, F.sum(before).over(Window.partitionBy(*names).orderBy(span)) - F.col(before))
+    sums = sums.withColumn(upto, F.sum(total).over(Window.partitionBy(*names, span).orderBy(at))).join(spans, [*names, span])
+    sums = sums.select(*names, span, at, (F.col(before) + F.col(upto)).alias(upto))
+    fits = (F.col(upto) <= F.col(rest)).cast("int")
+    out = rows.join(sums, [*names, span, at]).withColumn("copies", (F.col(epochs) + fits).cast("int"))
+    return out.where("copies > 0").select(*kept, *names, "n_tokens", "copies")
 
 
 # the weights of the production query; a source's domain is its number modulo 4
@@ -112,7 +114,7 @@ WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de
 def op7(docs: DataFrame, fraction: float = 0.6, max_epochs: int = 2) -> DataFrame:
     picked = mix(
         docs.select("doc_id", "text", "lang", "source"), "doc_id", n_words(),
-        {"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")}, WEIGHTS, fraction, max_epochs,
+        {"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")}, WEIGHTS, fraction, max_epochs, content="text",
     )
     return picked.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
@@ -138,7 +140,7 @@ OP7_SQL = f"""
 WITH d AS (
   SELECT doc_id, concat('d', coalesce(CAST(TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INTEGER) % 4 AS VARCHAR), '?')) AS domain,
          coalesce(lang, '{NONE}') AS lang, coalesce(source, '{NONE}') AS source,
-         CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens
+         CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens, md5(coalesce(text, '')) AS digest
   FROM documents
 ), leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
 b0 AS (SELECT least(CAST(floor(sum(tokens) * 0.6e0) AS HUGEINT), sum(tokens) * 2) AS b FROM leaf),
@@ -147,7 +149,7 @@ b0 AS (SELECT least(CAST(floor(sum(tokens) * 0.6e0) AS HUGEINT), sum(tokens) * 2
 {_level_sql(3, ["domain", "lang"], "source")},
 t AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END AS e, b, tokens FROM b3 JOIN leaf USING (domain, lang, source)),
 r AS (
-  SELECT d.*, e, b - e * tokens AS rest, md5('1:' || CAST(e AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  SELECT d.*, e, b - e * tokens AS rest, md5('1:' || CAST(e AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest) AS h
   FROM d JOIN t USING (domain, lang, source)
 ), s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) AS cum FROM r)
 SELECT doc_id, domain, lang, source, n_tokens, CAST(e + CASE WHEN cum <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies
