@@ -26,14 +26,21 @@ def centroids(vectors: DataFrame, rows: int, cells: int, seed: int) -> np.ndarra
     """Unit centroids by spherical k-means on a hash-chosen share of the vectors, about SAMPLE_ROWS of them."""
     share = min(1.0, SAMPLE_ROWS / rows)
     picked = vectors.where(F.pmod(F.xxhash64("vec", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
-    picked = picked.select(array_to_vector("vec").alias("features"))
+    longest = F.array_max(F.transform("vec", F.abs))
+    picked = picked.select(array_to_vector(F.transform("vec", lambda x: x / longest)).alias("features"))
     model = KMeans(k=cells, distanceMeasure="cosine", initMode="random", maxIter=4, seed=seed).fit(picked)
     c = np.array(model.clusterCenters())
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
 def _unit(column: pa.Array, dims: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    return unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in doubles; scaled by their largest component first, as squares of very large or small ones are no doubles."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -56,7 +63,7 @@ def homes(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
                 best[part] = near.max(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(best), *batch.columns], names=["cell", "near", "v", "m", "vec"])
 
-    return vectors.select("v", "m", "vec").mapInArrow(run, "cell int, near double, v long, m long, vec array<float>")
+    return vectors.select("v", "m", "vec").mapInArrow(run, f"cell int, near double, v long, m long, vec {dict(vectors.dtypes)['vec']}")
 
 
 def tiles(centres: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,15 +131,14 @@ def meetings(home: DataFrame, centres: np.ndarray, sizes: np.ndarray, lows: np.n
                     names=["i", "j", "on_left", "v", "m", "vec"],
                 )
 
-    return home.select("cell", "near", "v", "m", "vec").mapInArrow(run, "i int, j int, on_left boolean, v long, m long, vec array<float>")
+    return home.select("cell", "near", "v", "m", "vec").mapInArrow(run, f"i int, j int, on_left boolean, v long, m long, vec {dict(home.dtypes)['vec']}")
 
 
 def _block(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("v")
         same = rows["i"].iat[0] == rows["j"].iat[0]
-        x = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(np.stack(rows["vec"].to_numpy()))
         v, m, on_left = rows["v"].to_numpy(), rows["m"].to_numpy(), rows["on_left"].to_numpy()
         left, right = np.flatnonzero(on_left), np.flatnonzero(on_left if same else ~on_left)
         links, root = np.zeros(len(v)), np.arange(len(v))
@@ -188,7 +194,8 @@ def near_duplicates(
     different lengths never link. Null keys stand last: a component of null keys only has a null id. Repeated rows link with
     each other. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("vec"))
+    kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"  # no component loses digits
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("vec"))
     good = (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
     good = F.coalesce(good, F.lit(False))
     groups = rows.where(good).groupBy("vec").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("low"))
