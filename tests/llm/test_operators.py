@@ -223,6 +223,31 @@ def test_shards(spark, docs):
     assert sharding.op3(empty(docs)).count() == 0
 
 
+INNER = ("__h", "__e", "__id", "__ref", "_k", "_part", "_at", "_base", "_of", "_group", "_stand", "row", "ref", "id", "gone", "doc", "h", "span", "upto", "digest", "_digest", "_epochs", "_rest", "_span")
+
+
+def with_clashes(df):
+    return df.select(*df.columns, *[F.lit(f"own {c}").alias(c) for c in INNER if c not in df.columns])
+
+
+def test_columns_of_the_caller_stay_theirs(spark, docs):
+    df = with_clashes(docs.select("doc_id", "text", "lang", "source"))
+    for out in (sharding.shard(df, "doc_id", [1.0] * 4, [1.0] * 5), line_dedup.dedup_lines(df, "doc_id", "text"),
+                mixing.mix(df, "doc_id", mixing.n_words(), {"lang": F.col("lang"), "source": F.col("source")}, {}, 0.9, 1, content="text"),
+                crf.languages(df, "doc_id", "text", "lang")):
+        rows = out.select(*INNER).distinct().collect()
+        assert len(rows) == 1 and all(rows[0][c] == f"own {c}" for c in INNER)
+
+
+def test_slots_of_one_key_are_spread(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("k"), F.lit(1).alias("v"))
+    rows = sharding.shard(df, "k", [1.0] * 5).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 3000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_weights_draw_in_proportion(spark):
     n = Counter(r.shard for r in sharding.shard(spark.range(6000), "id", [1.0, 2.0, 3.0]).collect())
     assert abs(n[2] / 6000 - 0.5) < 0.03 and abs(n[0] / 6000 - 1 / 6) < 0.03
@@ -267,6 +292,13 @@ def test_vectors(spark, monkeypatch, block):
     assert vectors.op4(df.where("false")).count() == 0
 
 
+def test_vectors_of_doubles(spark):
+    rows = [(1, [1e39, 1.0]), (2, [1e39, 1.0]), (3, [1e-60, 0.0]), (4, [1e-60, 0.0]), (5, [1e-200, 1e-201]), (6, [1e300, 1e299]), (7, [0.0, 5e-324]), (8, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").unionByName(spark.range(100, 130).select(F.col("id").alias("vec_id"), F.array(-F.col("id") * 1.0, F.lit(1.0)).alias("embedding")))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.op4(df).collect()}
+    assert [got[i] for i in range(1, 9)] == [(5, 1)] * 6 + [(1, 7)] * 2
+
+
 def test_vector_recall(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     _, links = plain_links(rows, 0.95)
@@ -382,6 +414,67 @@ def test_blocks_of_short_lines_that_stand_alone_before(spark):
     assert out[33].text == rows[-2][1] and out[34].text == rows[-1][1]
 
 
+def plain_kept(rows, least):
+    """What may stay: of every run of lines of least words or more that an earlier document holds too, no line."""
+    lines = {d: [x.strip(" ") for x in t.split("\n")] for d, t in rows}
+    seen, out = set(), {}
+    for d, _ in sorted(rows):
+        mine, gone, runs = lines[d], set(), set()
+        for a in range(len(mine)):
+            words = 0
+            for b in range(a, len(mine)):
+                if not mine[b]:
+                    break
+                words += len(mine[b].split())
+                if words >= least:
+                    run = tuple(mine[a : b + 1])
+                    runs.add(run)
+                    if run in seen:
+                        gone |= set(range(a, b + 1))
+        seen |= runs
+        out[d] = "\n".join(x for i, x in enumerate(rows_text(rows, d)) if i not in gone)
+    return out
+
+
+def rows_text(rows, d):
+    return dict(rows)[d].split("\n")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_shared_blocks_stand_once(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice("abcdef") + str(rng.randrange(9)) for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    rows = []
+    for d in range(60):
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(50)
+            text += rng.choice([pool[at : at + rng.randrange(1, 6)], [f"own {d} {rng.random()} words of it"], [""], [rng.choice(pool)]])
+        rows.append((d, "\n".join(text)))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    want = plain_kept(rows, 5)
+    left = sum(len(t.split()) for t in got.values())
+    for d, _ in rows:  # no block of an earlier document stays, and no line goes that is in none
+        gone = Counter(rows_text(rows, d)) - Counter(got[d].split("\n"))
+        may = Counter(rows_text(rows, d)) - Counter(want[d].split("\n"))
+        assert not (may - gone), (d, may - gone)
+    assert left >= 0.9 * sum(len(t.split()) for t in want.values())
+
+
+def test_a_block_whose_lines_stand_elsewhere_first(spark):
+    rows = [(1, "one two three\nown words of the first document"), (2, "four five six\nown words of the second document"), (3, "third text is here now\none two three\nfour five six"),
+            (4, "fourth text is here now\none two three\nfour five six")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: "fourth text is here now"}
+
+
+def test_long_documents_of_many_lines(spark):
+    lines = [f"line number {i} of a long document" for i in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["head of the second document", *lines, "tail"]))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got[1].text == rows[0][1] and got[2].text == "head of the second document\ntail" and got[2].removed_lines == 20_000
+
+
 # ---- 7
 
 def plain_budget(tree, budget, weights):
@@ -427,6 +520,34 @@ def test_mix(spark, docs):
     assert sum(r.n_tokens * r.copies for r in out) <= 0.6 * total + 1
 
 
+def test_mix_takes_seeded_prefixes(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(60) if rng.random() < 0.8 else None, text_of(i % 70, rng.randrange(1, 9)), rng.choice("ab"), rng.choice("xyz")) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, p string, q string")
+    out = mixing.mix(df, "doc_id", mixing.n_words(), {"p": F.col("p"), "q": F.col("q")}, {"p": {"a": 3.0}}, 0.5, 2, 9, content="text")
+    got = Counter((r.doc_id, r.text, r.p, r.q, r.copies) for r in out.collect())
+    tree = Counter()
+    for _, t, p, q in rows:
+        tree[(p, q)] += len(t.split())
+    leaves = spark.createDataFrame([(*k, v) for k, v in tree.items()], "p string, q string, tokens long")
+    target = {(r.p, r.q): r.target for r in mixing.budgets(leaves, ["p", "q"], {"p": {"a": 3.0}}, F.lit(sum(tree.values()) // 2), 2).collect()}
+    want = Counter()
+    for leaf, tokens in tree.items():
+        whole, rest = divmod(target[leaf], tokens)
+        by_hash = defaultdict(list)
+        for d, t, p, q in rows:
+            if (p, q) == leaf:
+                key = f"9:{whole}:{'null' if d is None else d}:{hashlib.md5(t.encode()).hexdigest()}"
+                by_hash[hashlib.md5(key.encode()).hexdigest()].append((d, t))
+        taken = 0
+        for h in sorted(by_hash):
+            taken += sum(len(t.split()) for _, t in by_hash[h])
+            copies = whole + (taken <= rest)
+            for d, t in by_hash[h]:
+                want[(d, t, *leaf, copies)] += copies > 0
+    assert got == +want and want
+
+
 # ---- 8
 
 def png() -> bytes:
@@ -591,10 +712,29 @@ def test_code_switched_text_and_odd_rows(spark, docs):
     out = {(r.doc_id, r.text): r for r in crf.languages(docs, "doc_id", "text", "lang").collect()}
     assert len([1 for r in out.values() if r.lang_pred == "und"]) == 4  # null, empty, white space, digits
     assert crf.languages(empty(docs), "doc_id", "text", "lang").count() == 0
+    odd = spark.createDataFrame([(1, "² ½ Ⅷ 12"), (2, "x²"), (3, "日本")], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    odd = docs.select("doc_id", "text", "lang").where("doc_id < 30").unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1000))
+    got = {r.doc_id: r.lang_pred for r in crf.op10(odd).collect()}
+    assert got[1001] == "und" and got[1002] != "und" and got[1003] != "und"
     field = crf.fit(["der hund und die katze " * 6, "the dog and the cat are " * 6], ["de", "en"], sequences=200)
     marginal = crf.forward_backward(field.scores("der hund und die the dog and the".split())[None], np.array([8]), field.start, field.moves)[0][0]
     assert [field.languages[i] for i in marginal.argmax(axis=1)] == ["de"] * 4 + ["en"] * 4
 
 
+def test_long_texts_are_labelled_in_runs(monkeypatch):
+    field = crf.fit(["der hund und die katze " * 6, "the dog and the cat are " * 6], ["de", "en"], sequences=200)
+    text = " ".join(random.Random(4).choices(["der hund und die katze", "the dog and the cat are"], k=900))
+    whole = crf.label(field, crf.Scored(field), [text, "dog"])
+    monkeypatch.setattr(crf, "RUN", 500)
+    parts = crf.label(field, crf.Scored(field), [text, "dog"])
+    assert [x[0] for x in whole] == [x[0] for x in parts] and np.allclose([x[1:] for x in whole], [x[1:] for x in parts])
+
+
+def test_languages_of_long_labelled_texts_are_learnt(spark):
+    rows = [(i, f"{w} " * 20_000, lang) for i, (w, lang) in enumerate([("ñandú qué", "es"), ("über straße", "de")] * 6)]
+    got = crf.op10(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in got)
+
+
 def test_documents_schema():
     assert DOCS.count(",") == 4

@@ -35,6 +35,13 @@ def test_language_rejects_only_what_has_none(stages):
     assert gone == {(103, None), (104, ""), (105, "  \n\t "), (109, "123 456")}
 
 
+def test_texts_of_several_languages_stay(spark):
+    said = {"en": "the dog and the cat are in the house ", "de": "der hund und die katze sind in dem haus ", "fr": "le chien avec les chats dans une maison "}
+    found = [(i, said[x] * 6, x, "s", 1) for i, x in enumerate(["en", "de", "fr"] * 12)] + [(100, " ".join(said.values()) * 4, None, "s", 1)]
+    out = STAGES["language_id"](spark, spark.createDataFrame(found, DOCS), "unused")
+    assert {r.doc_id for r in out.collect()} == {f[0] for f in found}
+
+
 def test_line_dedup_empties_copies(stages):
     before, after = stages["line_dedup"]
     kept = dict(rows(after))

@@ -95,9 +95,10 @@ def _delete(least_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for later, lines, earlier in zip(f["later"], f["lines"], f["earlier"], strict=True):
+            for later, lines, earlier in zip(f["later"], f["lines"], f["their"], strict=True):
+                both = {r["h"] for r in lines} & {r["h"] for r in earlier}
                 gone = aligned_blocks(
-                    [(r["pos"], r["h"], r["words"]) for r in lines], [(r["pos"], r["h"]) for r in earlier], least_words)
+                    [(r["pos"], r["h"], r["words"]) for r in lines if r["h"] in both], [(r["pos"], r["h"]) for r in earlier if r["h"] in both], least_words)
                 if gone:
                     out.append((later["id"], later["ref"], sorted(gone)))
             yield pd.DataFrame(out, columns=["id", "ref", "gone"])
@@ -154,9 +155,9 @@ def dedup_lines(df: DataFrame, key: str, text: str, least_words: int = 5) -> Dat
     """df with the text's repeated blocks deleted, and removed_lines (how many lines were deleted, long).
 
     A line is what stands between line feeds, trimmed; empty lines take no part. A document comes before another by its
-    key, then by its text's hash. Every line that several documents hold pairs each of its later holders with its first
-    holder, so that pairs grow with the lines, however common one is, and every line survives in its first document. A pair's
-    shared lines are aligned (patience diff, repeated on the rest for moved blocks); aligned blocks of least_words words
+    key, then by its text's hash. Every line of least_words words or more that several documents hold pairs each of its later holders
+    with its first holder, so that pairs grow with the lines, however common one is, and every line survives in its first document;
+    shorter lines, the most common ones, pair none. A pair's shared lines are aligned (patience diff, repeated on the rest for moved blocks); aligned blocks of least_words words
     or more are deleted from the later document. Blocks of short lines whose lines have other first holders, each on its own, are
     found by their windows (the shortest runs of neighbouring lines that reach least_words): a window that an earlier document holds
     is deleted too, so that a block goes whichever earlier document holds it. Counts are pre-aggregated by line; the joins on a line's hash
@@ -180,16 +181,10 @@ def dedup_lines(df: DataFrame, key: str, text: str, least_words: int = 5) -> Dat
     item = F.struct("pos", "h", "words")
     by_doc = shared.groupBy("doc").agg(F.array_sort(F.collect_set(item)).alias("lines"))
     by_doc = materialise(by_doc, "holders")
-    pairs = shared.where("doc > first").select(F.col("doc").alias("later"), F.col("first").alias("earlier")).distinct()
+    pairs = shared.where((F.col("doc") > F.col("first")) & (F.col("words") >= least_words)).select(F.col("doc").alias("later"), F.col("first").alias("earlier")).distinct()
     late = by_doc.select(F.col("doc").alias("later"), "lines")
     early = by_doc.select(F.col("doc").alias("earlier"), F.col("lines").alias("their"))
-    both = pairs.join(late, "later").join(early, "earlier")
-    mine, theirs = F.transform("lines", lambda x: x["h"]), F.transform("their", lambda x: x["h"])
-    both = both.select(
-        "later",
-        F.filter("lines", lambda x: F.array_contains(theirs, x["h"])).alias("lines"),
-        F.filter("their", lambda x: F.array_contains(mine, x["h"])).alias("earlier"),
-    )
+    both = pairs.join(late, "later").join(early, "earlier").select("later", "lines", "their")
     gone = both.mapInPandas(_delete(least_words), "id long, ref long, gone array<int>")
     some = df.where(F.contains(F.col(text), F.lit("\n"))).select(doc.alias("doc"), F.col(text).alias("text"))
     runs = some.select("doc.id", "doc.ref", "text").mapInArrow(_windows(least_words), "id long, ref long, h long, pos int, n int")
@@ -198,12 +193,12 @@ def dedup_lines(df: DataFrame, key: str, text: str, least_words: int = 5) -> Dat
     known = runs.join(known, "h").where("doc > first")
     gone = gone.unionByName(known.select("id", "ref", F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1).alias("gone")))
     gone = gone.groupBy("id", "ref").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    out = df.select(*kept).withColumn("__d", doc).withColumns({"__id": F.col("__d.id"), "__ref": F.col("__d.ref")}).drop("__d")
-    out = out.join(gone.withColumnsRenamed({"id": "__id", "ref": "__ref", "gone": "__gone"}), ["__id", "__ref"], "left")
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    row = F.struct(*kept)  # no name of the caller's can clash with one of ours
+    out = df.select(doc.alias("doc"), row.alias("row")).select("doc.id", "doc.ref", "row").join(gone, ["id", "ref"], "left")
+    rest = F.array_join(F.filter(F.split(F.col("row")[text], "\n"), lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
     return out.select(
-        *[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in kept],
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("removed_lines"),
+        *[F.when(F.col("gone").isNull(), F.col("row")[c]).otherwise(rest).alias(c) if c == text else F.col("row")[c].alias(c) for c in kept],
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"),
     )
 
 
