@@ -250,12 +250,12 @@ def q30(spark, d):
     return graph.route_hops(hops, edges, "tile")
 
 
-_CALLS_AT = "SELECT st.station_id, t.line, t.agency, s.trip_id, s.pos, month(t.service_date) AS month, CAST(floor(s.dep_s / 60.0e0) AS BIGINT) AS m FROM {dv_stop_times} s JOIN {dv_stops} st USING (stop_id) JOIN {dv_trips} t USING (trip_id)"
+_CALLS_AT = "SELECT st.station_id, t.line, t.agency, s.trip_id, s.pos, quarter(t.service_date) AS quarter, CAST(floor(s.dep_s / 60.0e0) AS BIGINT) AS m FROM {dv_stop_times} s JOIN {dv_stops} st USING (stop_id) JOIN {dv_trips} t USING (trip_id)"
 
 
 def _calls_at(spark, d):
     s = view(spark, d, "dv_stop_times").join(view(spark, d, "dv_stops"), "stop_id").join(view(spark, d, "dv_trips"), "trip_id")
-    return s.withColumns({"minute": F.floor(F.col("dep_s") / 60), "month": F.month("service_date"), "day": F.lit(0)})
+    return s.withColumns({"minute": F.floor(F.col("dep_s") / 60), "quarter": F.quarter("service_date"), "day": F.lit(0)})
 
 
 @query("q21_line_facts", duck(frequency_sql.hourly(f"""SELECT line, station_id, 0 AS day, m FROM ({_CALLS_AT}) JOIN (
@@ -273,10 +273,10 @@ def q22(spark, d):
     return frequency.hourly(_calls_at(spark, d), ["station_id", "line"], "day", "minute")
 
 
-@query("q23_described_stretch", duck(frequency_sql.stretches(f"SELECT agency, month AS day, m FROM ({_CALLS_AT}) WHERE pos = 0", ["agency"])))
+@query("q23_described_stretch", duck(frequency_sql.stretches(f"SELECT agency, quarter AS day, m FROM ({_CALLS_AT})", ["agency"])))
 def q23(spark, d):
     """The longest stretch of hours that one thing holds for on all days of an agency."""
-    return frequency.stretches(frequency.hours(_calls_at(spark, d).where("pos = 0"), ["agency"], "month", "minute"), ["agency"])
+    return frequency.stretches(frequency.hours(_calls_at(spark, d), ["agency"], "quarter", "minute"), ["agency"])
 
 
 @query("q02_join_platforms", duck("""
