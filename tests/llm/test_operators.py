@@ -355,12 +355,16 @@ def plain_jaccard(rows, k, num, den):
     return Counter((rows[i][0], len(sets[i]), min([x for x in low[find(i)] if x is not None], default=None)) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("block", [3, 1024])
-def test_jaccard_join(spark, docs, monkeypatch, block):
-    if block == 3:
+@pytest.mark.parametrize("block", [300, 400_000])
+@pytest.mark.parametrize("paired", [2, 32])
+def test_jaccard_join(spark, docs, monkeypatch, block, paired):
+    if block == 300:
         monkeypatch.setattr(ngram_join, "HOT", 4)
         monkeypatch.setattr(ngram_join, "SLICE", 16)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "FAN", 2)
+        monkeypatch.setattr(ngram_join, "SLICE_BYTES", 6_000)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
     rng = random.Random(5)
     chain = [text_of(500, 80).split()]
     for _ in range(25):
@@ -368,6 +372,8 @@ def test_jaccard_join(spark, docs, monkeypatch, block):
         for _ in range(rng.randrange(3)):
             w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
         chain.append(w)
+    every = "every text of these slices says so at its end"
+    chain += [[*text_of(700 + i, 4 + i % 40).split(), *every.split()] for i in range(80)]  # tokens in every slice
     more = spark.createDataFrame([(1000 + i, " ".join(w)) for i, w in enumerate(chain)], "doc_id long, text string")
     df = docs.select("doc_id", "text").unionByName(more)
     rows = [tuple(r) for r in df.collect()]

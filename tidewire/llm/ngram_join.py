@@ -14,9 +14,12 @@ from .common import components, materialise, shuffle_partitions, text_key
 from .shingles import WordHashes, scramble, shingle_sets
 
 SLICE, SLICE_TOKENS = 8_000, 2_000_000  # documents and tokens that travel together, about
+SLICE_BYTES = 12_000_000  # of text of such a slice, about
 HOT = 32  # texts from which on the order of tokens tells no frequencies apart
 BUCKET_BYTES = 8_000_000  # of text whose tokens one bucket holds, about
-BLOCK = 1_024  # documents of a verified block
+FAN = 256  # slices whose tokens are merged before a bucket gets them
+PAIRED = 32  # holders of a prefix token up to which they are paired
+BLOCK_TOKENS = 400_000  # tokens of a part of a verified block, about
 ORDERS = (0x5BD1E9955BD1E995, 0xC2B2AE3D27D4EB4F)  # salts of the hash orders besides the frequency order
 
 
@@ -25,39 +28,49 @@ def _needed(n, num: int, den: int):
     return -(-num * n // den)
 
 
+ROWS = "bucket int, refs binary, counts binary, tokens binary"
+
+
+def _packed(to: np.ndarray, ref: np.ndarray, token: np.ndarray, kind: str) -> Iterator[tuple]:
+    if not len(to):
+        return
+    order = np.lexsort((ref, to))
+    to, ref, token = to[order], ref[order], token[order]
+    at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    for lo, hi in zip(at, [*at[1:], len(to)], strict=True):
+        r, c = np.unique(ref[lo:hi], return_counts=True)
+        yield int(to[lo]), r.tobytes(), c.astype("<u4").tobytes(), token[lo:hi].astype(kind).tobytes()
+
+
+def _rows_of(ref: np.ndarray, token: np.ndarray, buckets: int, held: int) -> list[tuple]:
+    """Rows for (key, bucket << 32 | token) pairs: a token that held or more texts here hold goes to its bucket alone, and to its texts'
+    homes, which are buckets -1 - (key mod buckets), as hot."""
+    order = np.sort(token)
+    each = order[held - 1 :][order[held - 1 :] == order[: len(order) - held + 1]] if len(order) >= held else order[:0]
+    each = each[np.r_[True, each[1:] != each[:-1]]] if len(each) else each
+    del order
+    hot = np.isin(token, each)
+    out = list(_packed(-1 - ref[hot] % buckets, ref[hot], token[hot], "<i8"))
+    cuts = np.flatnonzero(np.r_[True, each[1:] >> 32 != each[:-1] >> 32]) if len(each) else each
+    out += [(int(x[0] >> 32), b"", b"", (x & 0xFFFFFFFF).astype("<u4").tobytes()) for x in np.split(each, cuts[1:]) if len(x)]
+    token, ref = token[~hot], ref[~hot]
+    return out + list(_packed(token >> 32, ref, token & 0xFFFFFFFF, "<u4"))
+
+
 def _ship(k: int, buckets: int, held: int, docs: int):
     """The tokens of slices of texts, in rows of four kinds. To a token's bucket: (keys, counts, tokens) of the texts that hold its
-    tokens, and of tokens that held or more texts of the slice hold the tokens alone. To a text's home, which is bucket
-    -1 - (key mod buckets): its set size, and its hot tokens. So no bucket gets more than held keys a token and slice."""
+    tokens, and of tokens that held or more texts of the slice hold the tokens alone. To a text's home: its set size, and its hot
+    tokens. So no bucket gets more than held keys a token and slice."""
     names = ["bucket", "refs", "counts", "tokens"]
     kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
-    def packed(to: np.ndarray, ref: np.ndarray, token: np.ndarray, kind: str) -> Iterator[tuple]:
-        if not len(to):
-            return
-        order = np.lexsort((ref, to))
-        to, ref, token = to[order], ref[order], token[order]
-        at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-        for lo, hi in zip(at, [*at[1:], len(to)], strict=True):
-            r, c = np.unique(ref[lo:hi], return_counts=True)
-            yield int(to[lo]), r.tobytes(), c.astype("<u4").tobytes(), token[lo:hi].astype(kind).tobytes()
-
     def rows_of(refs: np.ndarray, sets: list[np.ndarray]) -> list[tuple]:
         sizes = np.array([len(s) for s in sets], np.int64)
         home = refs % buckets
         out = [(-1 - int(b), refs[home == b].tobytes(), sizes[home == b].astype("<u4").tobytes(), b"") for b in np.unique(home)]
         token = np.concatenate(sets)
         token = ((token >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | token & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        ref = np.repeat(refs, sizes)
-        order = np.sort(token)
-        each = order[held - 1 :][order[held - 1 :] == order[: len(order) - held + 1]] if len(order) >= held else order[:0]
-        each = each[np.r_[True, each[1:] != each[:-1]]] if len(each) else each
-        del order
-        hot = np.isin(token, each)
-        out += packed(-1 - ref[hot] % buckets, ref[hot], token[hot], "<i8")
-        out += [(int(b), b"", b"", (each[each >> 32 == b] & 0xFFFFFFFF).astype("<u4").tobytes()) for b in np.unique(each >> 32)]
-        token, ref = token[~hot], ref[~hot]
-        return out + list(packed(token >> 32, ref, token & 0xFFFFFFFF, "<u4"))
+        return out + _rows_of(np.repeat(refs, sizes), token, buckets, held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, sets, tokens = WordHashes(), {}, [], 0
@@ -80,7 +93,7 @@ def _ship(k: int, buckets: int, held: int, docs: int):
         if sets:
             yield flush()
 
-    return run, "bucket int, refs binary, counts binary, tokens binary"
+    return run, ROWS
 
 
 def _join(column: pd.Series, kind: str) -> np.ndarray:
@@ -90,6 +103,31 @@ def _join(column: pd.Series, kind: str) -> np.ndarray:
 SIZES, HELD_HOT = -1, -2  # what a row for a home holds, in place of a bucket
 
 
+def _holders(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hot tokens, tokens, their holders) of a bucket's rows, each holder of a token once: a copy that another slice sent too sent
+    the same tokens but those hot there, which are hot here."""
+    alone = rows["refs"].map(len) == 0
+    hot, rows = np.unique(_join(rows["tokens"][alone], "<u4")), rows[~alone]
+    refs, tokens = np.repeat(_join(rows["refs"], "<i8"), _join(rows["counts"], "<u4").astype(np.int64)), _join(rows["tokens"], "<u4")
+    order = np.lexsort((refs, tokens))
+    tokens, refs = tokens[order], refs[order]
+    once = np.r_[True, (tokens[1:] != tokens[:-1]) | (refs[1:] != refs[:-1])] if len(tokens) else np.zeros(0, bool)
+    return hot, tokens[once], refs[once]
+
+
+def _merged(buckets: int, held: int):
+    """A bucket's rows from FAN slices as those of one slice."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        b = int(rows["bucket"].iloc[0])
+        hot, tokens, refs = _holders(rows)
+        out = [(b, b"", b"", hot.tobytes())] if len(hot) else []
+        out += _rows_of(refs, b << 32 | tokens.astype(np.int64), buckets, held)
+        return pd.DataFrame(out, columns=["bucket", "refs", "counts", "tokens"])
+
+    return run, ROWS
+
+
 def _frequencies(buckets: int, most: int):
     """Of a token bucket, the tokens that two or more texts hold, with their frequency up to most, sent back by text."""
     columns = ["home", "bucket", "refs", "counts", "tokens", "dfs"]
@@ -100,15 +138,7 @@ def _frequencies(buckets: int, most: int):
             plain = rows["tokens"].map(len) == 0
             out = [(-1 - b, kind, b"".join(r["refs"]), b"".join(r["counts"]), b"".join(r["tokens"]), b"") for kind, r in ((SIZES, rows[plain]), (HELD_HOT, rows[~plain])) if len(r)]
             return pd.DataFrame(out, columns=columns)
-        alone = rows["refs"].map(len) == 0
-        hot, rows = np.unique(_join(rows["tokens"][alone], "<u4")), rows[~alone]
-        refs, counts, tokens = _join(rows["refs"], "<i8"), _join(rows["counts"], "<u4").astype(np.int64), _join(rows["tokens"], "<u4")
-        # a copy that another slice sent too sent the same tokens but those hot there, which are hot here
-        refs = np.repeat(refs, counts)
-        order = np.lexsort((refs, tokens))
-        tokens, refs = tokens[order], refs[order]
-        once = np.r_[True, (tokens[1:] != tokens[:-1]) | (refs[1:] != refs[:-1])] if len(tokens) else np.zeros(0, bool)
-        tokens, refs = tokens[once], refs[once]
+        hot, tokens, refs = _holders(rows)
         starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
         n = np.diff(np.r_[starts, len(tokens)])
         df = np.minimum(np.repeat(n, n), most)
@@ -118,13 +148,10 @@ def _frequencies(buckets: int, most: int):
         home = refs % buckets
         order = np.lexsort((refs, home))
         tokens, refs, df, home = tokens[order], refs[order], df[order], home[order]
-        edges = np.searchsorted(home, np.arange(buckets + 1))
-        out = []
-        for h in range(buckets):
-            lo, hi = edges[h], edges[h + 1]
-            if lo < hi:
-                r, c = np.unique(refs[lo:hi], return_counts=True)
-                out.append((h, b, r.tobytes(), c.astype("<u4").tobytes(), tokens[lo:hi].tobytes(), df[lo:hi].tobytes()))
+        out, found = [], np.unique(home)
+        for h, lo, hi in zip(found.tolist(), np.searchsorted(home, found), np.searchsorted(home, found, "right"), strict=True):
+            r, c = np.unique(refs[lo:hi], return_counts=True)
+            out.append((h, b, r.tobytes(), c.astype("<u4").tobytes(), tokens[lo:hi].tobytes(), df[lo:hi].tobytes()))
         return pd.DataFrame(out, columns=columns)
 
     return run, "home int, bucket int, refs binary, counts binary, tokens binary, dfs binary"
@@ -164,16 +191,24 @@ def _prefixes(num: int, den: int, most: int):
     return run, "ref long, n long, prefix array<long>"
 
 
-def _tokens(k: int):
+def _first(tokens: np.ndarray, salt: int, n: int) -> np.ndarray:
+    """The first n tokens in a hash order, sorted by that hash."""
+    with np.errstate(over="ignore"):
+        return np.sort(np.partition(scramble(tokens ^ np.uint64(salt)), n - 1)[:n])
+
+
+def _orders(k: int, num: int, den: int):
+    """(ref, tokens, one, two): a text's set, and its prefixes under the hash orders."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            text = batch.schema.get_field_index("text")
-            sets = shingle_sets(batch.column(text).to_pylist(), k, words)
-            columns = [c for i, c in enumerate(batch.columns) if i != text]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], names=[*[x for x in batch.schema.names if x != "text"], "tokens"])
+            sets = shingle_sets(batch.column(1).to_pylist(), k, words)
+            first = [[_first(s, salt, len(s) - _needed(len(s), num, den) + 1).view(np.int64) for s in sets] for salt in ORDERS]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), *[pa.array(f, pa.list_(pa.int64())) for f in first]], names=["ref", "tokens", "one", "two"])
 
-    return run
+    return run, "ref long, tokens binary, one array<long>, two array<long>"
 
 
 def _hits(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -198,10 +233,7 @@ def _verify(num: int, den: int):
         sets = [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
         n = np.array([len(s) for s in sets])
         keep = n - _needed(n, num, den) + 1
-        orders = []
-        with np.errstate(over="ignore"):
-            for salt in ORDERS:
-                orders.append([np.sort(np.partition(scramble(s ^ np.uint64(salt)), p - 1)[:p]) for s, p in zip(sets, keep, strict=True)])
+        orders = [[_first(s, salt, p) for s, p in zip(sets, keep, strict=True)] for salt in ORDERS]
         prefix = [np.asarray(p, np.int64) for p in rows["prefix"]]
         at_right = np.flatnonzero(right)
         owner = np.repeat(at_right, [len(prefix[i]) for i in at_right])
@@ -239,10 +271,14 @@ def jaccard_join(df: DataFrame, key: str, text: str, k: int = 5, num: int = 80,
 
     Equal texts are one set from the start. Token buckets count frequencies and tell each set which of its tokens others hold;
     a set whose frequency-order prefix holds none of them is out. A token that many texts of a slice hold is counted by its
-    slices and goes to its bucket without them, so a token that a third of the corpus holds is no group of that size. Sets that share prefix tokens (transitively) form
-    blocks; a block of more than BLOCK sets is verified in pairs of parts, each its own task, and yields a
-    spanning forest, so neither copies nor near copies are expanded into pairs. The bucket key is part of a
-    64-bit hash: a collision can add a candidate, never lose one.
+    slices and goes to its bucket without them, and slices are merged by FAN before a bucket gets them, so a token that a third
+    of the corpus holds is no group of that size.
+
+    The holders of a prefix token are candidate pairs, and pairs go on if their sizes allow a link and their prefixes under both hash
+    orders meet too. Of a prefix token with more than PAIRED holders no pairs are made: its holders are tied to the smallest of them.
+    What is tied or paired forms blocks, and blocks are verified in tasks of two parts of about BLOCK_TOKENS tokens, by the same
+    filters, then by whole sets. A block yields a spanning forest, so neither copies nor near copies are expanded into all pairs. Keys
+    of texts and tokens are 64-bit hashes; a token bucket tells apart 32 bits of them, which can add a candidate, never lose one.
 
     Null texts and texts without words have no shingles and link with nothing. Texts of any length are taken whole. Null keys stand
     last; a component of null keys has a null id. Repeated rows link with each other. An empty table gives an empty
@@ -254,26 +290,40 @@ def jaccard_join(df: DataFrame, key: str, text: str, k: int = 5, num: int = 80,
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 2 * max(shuffle_partitions(spark), -(-size // (2 * BUCKET_BYTES)))
     docs = rows.where("ref IS NOT NULL").select("ref", "text")
-    sets = docs.mapInArrow(*_ship(k, buckets, HOT, SLICE)).groupBy("bucket").applyInPandas(*_frequencies(buckets, HOT))
+    shipped = docs.mapInArrow(*_ship(k, buckets, HOT, SLICE))
+    if size > FAN * SLICE_BYTES:
+        shipped = materialise(shipped.withColumn("fan", F.pmod(F.xxhash64("refs", "tokens"), F.lit(-(-size // (FAN * SLICE_BYTES))))), "shipped")
+        merged = shipped.where("bucket >= 0").groupBy("bucket", "fan").applyInPandas(*_merged(buckets, HOT))
+        shipped = merged.unionByName(shipped.where("bucket < 0").drop("fan"))
+    sets = shipped.groupBy("bucket").applyInPandas(*_frequencies(buckets, HOT))
     sets = materialise(sets.groupBy("home").applyInPandas(*_prefixes(num, den, HOT)), "sets")
-    # blocks: documents that share prefix tokens, each token's holders tied to the smallest of them
-    held = sets.where("prefix IS NOT NULL").select("ref", F.explode("prefix").alias("token"))
-    hub = held.groupBy("token").agg(F.min("ref").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    blocks = components(held.join(hub, "token").where("ref <> hub").select(F.col("ref").alias("src"), F.col("hub").alias("dst")).distinct())
-    blocks = materialise(blocks.withColumnsRenamed({"node": "ref", "root": "block"}), "blocks")
-    parts = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nb"))
-    bins = max(1, blocks.count() // BLOCK * 2)  # small blocks are verified several in a task
+    held = sets.where("prefix IS NOT NULL").select("ref", "n", F.explode("prefix").alias("token"))
+    tied = held.groupBy("token").agg(F.min("ref").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    held = materialise(held.join(tied, "token"), "held")
+    hubs = held.where((F.col("c") > PAIRED) & (F.col("ref") != F.col("hub"))).select(F.col("ref").alias("src"), F.col("hub").alias("dst")).distinct()
+    few = held.where(F.col("c") <= PAIRED).groupBy("token").agg(F.collect_list(F.struct("ref", "n")).alias("all"))  # PAIRED at most
+    two = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a.ref < b.ref")
+    sizes = den * F.least("a.n", "b.n") >= num * F.greatest("a.n", "b.n")
+    pairs = materialise(two.where(sizes).select(F.col("a.ref").alias("src"), F.col("b.ref").alias("dst")).distinct(), "pairs")
+    hubs = materialise(hubs, "hubs")
+    asked = pairs.unionByName(hubs).select(F.explode(F.array("src", "dst")).alias("ref")).distinct()
+    texts = docs.join(asked, "ref", "left_semi").groupBy("ref").agg(F.first("text").alias("text"))
+    texts = materialise(texts.mapInArrow(*_orders(k, num, den)), "texts")
+    for end in ("src", "dst"):
+        pairs = pairs.join(texts.select(F.col("ref").alias(end), F.struct("one", "two").alias(f"of_{end}")), end)
+    meet = F.arrays_overlap("of_src.one", "of_dst.one") & F.arrays_overlap("of_src.two", "of_dst.two")
+    blocks = components(pairs.where(meet).select("src", "dst").unionByName(hubs))
+    blocks = blocks.withColumnsRenamed({"node": "ref", "root": "block"}).join(sets.select("ref", "n", "prefix"), "ref")
+    blocks = materialise(blocks, "blocks")
+    parts = blocks.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("nb"))
+    total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bins = max(1, 2 * total // BLOCK_TOKENS)  # small blocks are verified several in a task
     unit = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.col("block"))
-    mine = (
-        blocks.join(parts, "block").join(sets.select("ref", "prefix"), "ref")
-        .select("ref", "prefix", "nb", unit.alias("unit"), F.pmod(F.xxhash64("ref"), F.col("nb")).cast("int").alias("i"))
-    )
-    texts = docs.join(blocks.select("ref"), "ref", "left_semi").groupBy("ref").agg(F.first("text").alias("text"))
+    mine = blocks.join(parts, "block").select("ref", "prefix", "nb", unit.alias("unit"), F.pmod(F.xxhash64("ref"), F.col("nb")).cast("int").alias("i"))
     every = F.sequence(F.lit(0), F.col("nb") - 1)
     places = F.transform(every, lambda j: F.struct(
         F.least(F.col("i"), j).alias("a"), F.greatest(F.col("i"), j).alias("b"), (F.col("i") <= j).alias("on_left"), (F.col("i") >= j).alias("on_right")))
-    mine = mine.join(texts, "ref").mapInArrow(_tokens(k), "ref long, prefix array<long>, nb int, unit long, i int, tokens binary")
-    mine = mine.select("ref", "prefix", "tokens", (F.col("nb") == 1).alias("small"), "unit", F.inline(places))
+    mine = mine.join(texts.select("ref", "tokens"), "ref").select("ref", "prefix", "tokens", (F.col("nb") == 1).alias("small"), "unit", F.inline(places))
     edges = mine.groupBy("small", "unit", "a", "b").applyInPandas(*_verify(num, den))
     roots = components(materialise(edges, "links")).withColumnRenamed("node", "ref")
     known = sets.select("ref", "n").join(roots, "ref", "left").select("ref", "n", F.coalesce("root", "ref").alias("root"))
