@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,10 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it (spark.checkpoint.dir)."""
+    """The folder that all executors share, as the session names it (spark.checkpoint.dir). Only a session whose executors are threads
+    of the driver gets one of its own where none is named; on a cluster that is an error, as every machine would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: what is used twice is written there")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share: what is used twice is written there")
+        found = f"file://{tempfile.gettempdir()}/checkpoints/tidewire-{spark.sparkContext.applicationId}"
     return found
 
 
