@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .tables import materialise
+from .tables import discard, materialise
 
 
 def keep_groups_touching(rows: DataFrame, group: str, member: DataFrame, on: str) -> DataFrame:
@@ -33,7 +33,8 @@ def parent_closure(rows: DataFrame, key: str, parent: str, wanted: DataFrame) ->
         front = materialise(up.join(found, key, "left_anti"), "closure")
         if front.isEmpty():
             return found
-        found = materialise(found.unionByName(front), "closure")
+        old, found = found, materialise(found.unionByName(front), "closure")
+        discard(old)
 
 
 def stab(spans: DataFrame, start: str, end: str, instants: DataFrame, at: str, before: int = 0, after: int = 0, width: int = 3600) -> DataFrame:
