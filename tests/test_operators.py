@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import aggregates, frequency, graph, joins, map_view, search, sequences, sets, topk
+from tidewire.operators import aggregates, frequency, graph, joins, lines, map_view, search, sequences, sets, topk, tracks, vehicles
 
 
 def every(n, start, end):
@@ -155,7 +155,64 @@ def test_components_of_long_chains(spark):
 
 
 def test_merged_sequences():
-    assert graph.merged_sequence([([1, 2, 3, 4], 5), ([1, 9, 2, 3], 3), ([0, 1, 2], 1), ([3, 4, 5], 1), ([2, 7, 4], 1)]) == ([0, 1, 9, 2, 3, 4, 5], [[2, 7, 4]])
+    assert lines.merged([[1, 2, 3, 4], [1, 9, 2, 3], [0, 1, 2], [3, 4, 5], [2, 7, 4], [4, 8, 1], [8, 2]]) == ([0, 1, 9, 2, 3, 7, 4, 5], [[8]])
+    assert lines.branched_off([1, 2, 3], [3, 2, 9]) == 4 and lines.branched_off([1, 2, 3], [1, 7, 2]) == 0 and lines.branched_off([1, 2, 3], [3, 8]) == 0
+
+
+def test_ways_of_lines(spark):
+    runs = [([1, 2, 3, 4], 9), ([4, 3, 2, 1], 8), ([1, 2, 5, 3], 2), ([4, 3, 6], 1), ([3, 4], 1), ([1, 7], 1), ([4, 9], 1), ([8, 8], 1)]
+    df = spark.createDataFrame([("a", s, t) for s, t in runs] + [("b", [1, 2], 1)], "line string, stops array<long>, trips long")
+    got = {(r.line, r.direction): (r.list, sorted(map(list, r.branches))) for r in lines.ways(df, ["line"]).collect()}
+    assert got[("b", 0)] == ([1, 2], []) and set(got) == {("a", 0), ("a", 1), ("b", 0)}
+    # 1-7 goes on from the end of the way down, 4-9 from that of the way up, 8 is in neither and branches off the way up
+    assert got[("a", 0)] == ([1, 2, 5, 3, 4, 9], [[8]]) and got[("a", 1)] == ([4, 3, 2, 1, 7], [[6]])
+
+
+def test_names_and_places_in_addresses(spark):
+    df = spark.createDataFrame([(1, "a", 5, 49.1, 11.0), (2, "a", 7, 49.2, 11.0), (3, "a", 7, 49.1, 11.2), (4, "a", 7, 49.1, 11.1), (5, "b", 0, 0.0, 0.0)], "k int, n string, s int, lat double, lon double")
+    assert {r.n: r.k for r in lines.first_of_name(df, "n", "k", "s", "lat", "lon").collect()} == {"a": 4, "b": 5}
+    df = spark.createDataFrame([(1, "x", 49.123, 11.0), (2, "x", 49.2, 11.0), (3, "y", 49.1001, 11.0), (4, "y", 49.1002, 11.0), (5, "z", 1.0, 2.0)], "k int, n string, lat double, lon double")
+    assert {r.k: r.place for r in lines.places(df, "n", "lat", "lon").collect()} == {1: "49.12,11.00", 2: "49.20,11.00", 3: "49.1001,11.0000", 4: "49.1002,11.0000", 5: None}
+
+
+def plain_together(rows):
+    """Every vehicle against all places so far, in order."""
+    import math
+
+    groups, out = [], {}
+    for i, x, y, a, near in sorted(rows):
+        for f, fx, fy, fa in groups:
+            limit = 8 if near == f else 4
+            same = a is None and fa is None if a is None or fa is None else math.cos(a - fa) > 0.85
+            if abs(x - fx) <= limit and abs(y - fy) <= limit and same:
+                out[i] = f
+                break
+        else:
+            groups.append((i, x, y, a))
+            out[i] = i
+    return out
+
+
+def test_vehicles_at_one_place(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.uniform(0, 60), rng.uniform(-20, 20), rng.choice([None, 0.0, 0.3, 2.0, 6.2]), rng.choice([None, i - 1, i - 3])) for i in range(150)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "s int, id int, x double, y double, heading double, near int")
+    assert {r.id: r.first for r in vehicles.together(df, ["s"]).collect()} == plain_together(rows)
+
+
+def test_kinds_from_tracks(spark):
+    stops = {"T1": (49.5002, 11.0), "T2": (49.5002, 11.003), "T3": (49.5002, 11.006), "T4": (49.5002, 11.009), "B1": (49.5002, 11.012), "B2": (49.5002, 11.015), "B3": (49.5002, 11.018),
+             "R1": (49.5102, 11.002), "R2": (49.5102, 11.008), "R3": (49.5102, 11.014), "F1": (49.6, 11.0), "F2": (49.6, 11.01)}
+    routes = {"TRAM": "T1 T2 T3 T4", "BUS-AS-TRAM": "B1 B2 B3", "TRAM-TRAIN": "R1 R2 R3", "FAR": "F1 F2", "BUS-AS-UBAHN": "B1 B2", "THREE-OF-FIVE": "T1 T2 T3 B1 B2", "TWO-OF-FIVE": "T1 T2 B1 B2 B3"}
+    nodes = [(lat, 11.0 + i * 0.001) for lat in (49.5, 49.5103) for i in range(21)]
+    rails = [(n, lat, 11.0 + i * 0.001, lat, 11.0 + (i + 1) * 0.001) for n, (lat, i) in enumerate([(49.5001, i) for i in range(10)] + [(49.5101, i) for i in range(20)])]
+    s = spark.createDataFrame([(k, *v) for k, v in stops.items()], "stop_id string, lat double, lon double")
+    c = spark.createDataFrame([(r, x) for r, xs in routes.items() for x in xs.split()], "route string, stop_id string")
+    n, t = spark.createDataFrame(nodes, "lat double, lon double"), spark.createDataFrame(rails, "edge int, lat1 double, lon1 double, lat2 double, lon2 double")
+    assert {r.route for r in tracks.kinds_from_tracks(c, s, n, t).collect() if r.is_bus} == {"BUS-AS-TRAM", "BUS-AS-UBAHN", "TWO-OF-FIVE"}
+    assert not any(r.is_bus for r in tracks.kinds_from_tracks(c, s, n, t.where("false")).collect())
 
 
 def test_cheapest_path(spark):

@@ -1,4 +1,4 @@
-"""Graphs: connected components, cheapest paths, merged stop sequences."""
+"""Graphs: connected components, cheapest paths."""
 
 from __future__ import annotations
 
@@ -74,50 +74,3 @@ def route_hops(hops: DataFrame, edges: DataFrame, tile: str) -> DataFrame:
         return pd.DataFrame(out, columns=["from_id", "to_id", "cost", "path"])
 
     return hops.groupBy(tile).cogroup(edges.groupBy(tile)).applyInPandas(run, "from_id long, to_id long, cost double, path array<long>")
-
-
-def merged_sequence(runs: list[tuple[list[int], int]]) -> tuple[list[int], list[list[int]]]:
-    """(main list, branches) of stop sequences with their trip counts, the busiest first: a sequence that shares a stop adds what
-    lies between or beyond where the list has nothing there, and is a branch otherwise."""
-    main: list[int] = []
-    branches: list[list[int]] = []
-    for stops, _ in sorted(runs, key=lambda r: (-r[1], -len(r[0]), r[0])):
-        if not main:
-            main = list(stops)
-            continue
-        at = {s: i for i, s in enumerate(main)}
-        held = [i for i, s in enumerate(stops) if s in at]
-        if not held or any(at[stops[a]] >= at[stops[b]] for a, b in zip(held, held[1:], strict=False)):
-            branches.append(list(stops))
-            continue
-        new, fits = list(main), True
-        for a, b in zip(held, held[1:], strict=False):
-            inner = stops[a + 1 : b]
-            if inner:
-                if at[stops[b]] != at[stops[a]] + 1:
-                    fits = False
-                    break
-                i = new.index(stops[b])
-                new[i:i] = inner
-        if fits and held[0] > 0:
-            fits = at[stops[held[0]]] == 0
-            new = stops[: held[0]] + new if fits else new
-        if fits and held[-1] < len(stops) - 1:
-            fits = at[stops[held[-1]]] == len(main) - 1
-            new = new + stops[held[-1] + 1 :] if fits else new
-        if fits:
-            main = new
-        else:
-            branches.append(list(stops))
-    return main, branches
-
-
-def merge_ways(runs: DataFrame, group: list[str]) -> DataFrame:
-    """(group, main, branches) of (group, stops, n): the merge is a sequence of choices; a line has few distinct sequences."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        main, branches = merged_sequence([(list(s), int(n)) for s, n in zip(rows["stops"], rows["n"], strict=True)])
-        return pd.DataFrame([(*[rows[g].iloc[0] for g in group], main, branches)], columns=[*group, "main", "branches"])
-
-    kinds = dict(runs.dtypes)
-    return runs.groupBy(*group).applyInPandas(run, ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", main array<int>, branches array<array<int>>")

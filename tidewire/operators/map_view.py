@@ -75,6 +75,14 @@ def global_rank(rows: DataFrame, order: list[str]) -> DataFrame:
     return local.join(F.broadcast(before), "_p").withColumn("rank", F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
 
 
+def rank_in_groups(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with at, their number from 0 in their group's order, for groups of any size: the rank among all rows less that of the
+    group's first."""
+    ranked = materialise(global_rank(rows, [group, *order]), "ranked")
+    first = ranked.groupBy(group).agg(F.min("rank").alias("_first"))
+    return ranked.join(first, group).withColumn("at", F.col("rank") - F.col("_first")).drop("_first", "rank")
+
+
 def placed(vehicles: DataFrame) -> DataFrame:
     return vehicles.withColumns({"x": geo.mercator_x(F.col("lon")), "y": geo.mercator_y(F.col("lat"))})
 

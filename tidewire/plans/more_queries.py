@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, paths, realtime, text, ways
+from ..functions import geo, hashing, paths, realtime, text, ways
 from ..operators import aggregates as ag
-from ..operators import graph, joins, map_view, search
+from ..operators import frequency, graph, joins, lines, map_view, search, tracks, vehicles
 from ..operators import sequences as seq
 from ..operators.tables import materialise, shared_dir
 from ..sources import files, gtfs
+from . import frequency_sql
 from .registry import query
 from .transit import duck, table, view
 
@@ -282,12 +283,17 @@ def q11(spark, d):
 
 
 @query("q27_kinds_from_tracks", duck("""
-WITH s AS (SELECT line, st.stop_id, max(CASE WHEN st.in_region THEN 1 ELSE 0 END) AS near FROM {dv_stop_times} JOIN {dv_trips} USING (trip_id) JOIN {dv_stops} st USING (stop_id) WHERE mode = 'tram' GROUP BY ALL)
-SELECT line, CASE WHEN avg(near) < 0.6 THEN 'bus' ELSE 'tram' END AS mode FROM s GROUP BY line"""))
+WITH c AS (SELECT DISTINCT agency * 10 + stop_id % 3 AS route, stop_id FROM {dv_stop_times} JOIN {dv_trips} USING (trip_id) WHERE mode = 'tram'),
+s AS (SELECT route, avg(CASE WHEN stop_id % 5 IN (1, 2) THEN 1e0 ELSE 0e0 END) AS part FROM c WHERE stop_id % 7 <> 3 GROUP BY route)
+SELECT route, coalesce(part < 0.6, false) AS is_bus FROM (SELECT DISTINCT route FROM c) LEFT JOIN s USING (route)"""))
 def q27(spark, d):
-    s = view(spark, d, "dv_stop_times").join(view(spark, d, "dv_trips").where("mode = 'tram'"), "trip_id").join(view(spark, d, "dv_stops"), "stop_id")
-    s = s.select("line", "stop_id", F.col("in_region").cast("int").alias("near")).distinct()
-    return s.groupBy("line").agg(F.when(F.avg("near") < 0.6, "bus").otherwise("tram").alias("mode"))
+    """Tracks run along two of the five rows of stops; roads reach all stops but every seventh."""
+    stops = view(spark, d, "dv_stops").select("stop_id", "lat", "lon")
+    calls = view(spark, d, "dv_stop_times").join(view(spark, d, "dv_trips").where("mode = 'tram'"), "trip_id")
+    calls = calls.select((F.col("agency") * 10 + F.col("stop_id") % 3).alias("route"), "stop_id").distinct()
+    row = stops.where("stop_id % 5 IN (1, 2)").groupBy("lat").agg(F.min("lon").alias("lon1"), F.max("lon").alias("lon2"), F.min("stop_id").alias("edge"))
+    rails = row.select("edge", (F.col("lat") + 0.0001).alias("lat1"), "lon1", (F.col("lat") + 0.0001).alias("lat2"), "lon2")
+    return tracks.kinds_from_tracks(calls, stops, stops.where("stop_id % 7 <> 3"), rails)
 
 
 @query("q29_tiles", duck("SELECT stop_id, CAST(floor(lat / 0.05) AS BIGINT) + dy AS ty, CAST(floor(lon / 0.05) AS BIGINT) + dx AS tx FROM {dv_stops}, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)"))
@@ -312,9 +318,17 @@ def q32(spark, d):
     return h.select("from_id", "to_id").distinct().join(kept, ["from_id", "to_id"], "left_anti")
 
 
-@query("q42_vehicles_together", duck("SELECT from_id, to_id, count(*) AS n, min(trip_id) AS first FROM {dv_hops} WHERE 36000 BETWEEN from_dep AND to_arr GROUP BY ALL"))
+def _screens(spark, d):
+    """Customers as vehicles on small screens, some of them standing."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 400).alias("screen"), hashing.mix(F.col("c_custkey")).alias("m"))
+    return c.select("screen", "id", (F.col("m") % 120 * 1.0).alias("x"), (F.floor(F.col("m") / 1000) % 80 * 1.0).alias("y"),
+                    F.when(F.col("m") % 7 > 0, F.col("m") % 63 / 10.0).alias("heading"), F.when(F.col("m") % 5 == 0, F.col("id") - 1).alias("near"))
+
+
+@query("q42_vehicles_together")
 def q42(spark, d):
-    return view(spark, d, "dv_hops").where("36000 BETWEEN from_dep AND to_arr").groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("n"), F.min("trip_id").alias("first"))
+    """Tested on the tables against a plain version."""
+    return vehicles.together(_screens(spark, d), ["screen"])
 
 
 @query("q47_line_paths", duck("SELECT DISTINCT 'line/' || CAST(agency AS VARCHAR) || '/' || mode || '/' || regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g') AS path FROM {dv_trips}"))
@@ -322,16 +336,6 @@ def q47(spark, d):
     return view(spark, d, "dv_trips").select(text.line_path(F.col("agency").cast("string"), F.col("mode"), F.col("line")).alias("path")).distinct()
 
 
-@query("q16_line_ways")
-def q16(spark, d):
-    """Ways of each line and direction (up or down in station order), merged; the merge is tested with literal sequences."""
-    s = view(spark, d, "dv_stop_times").join(view(spark, d, "dv_stops").select("stop_id", "station_id"), "stop_id")
-    s = seq.drop_repeats(s, ["trip_id"], "pos", "station_id")
-    r = s.groupBy("trip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "station_id"))), lambda x: x["station_id"]).alias("stops")).where("size(stops) > 1")
-    r = r.join(view(spark, d, "dv_trips").select("trip_id", "line"), "trip_id").withColumn("up", F.element_at("stops", -1) >= F.element_at("stops", 1))
-    return graph.merge_ways(r.groupBy("line", "up", "stops").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["line", "up"])
-
-
 @query("g06_rejected_updates", duck("""
 WITH u AS (SELECT trip_id, CAST(pos AS INT) AS pos, CAST(event_id % 25 AS INT) AS stop_id FROM {dv_updates})
 SELECT DISTINCT u.trip_id FROM u JOIN {dv_stop_times} s ON s.trip_id = u.trip_id AND s.pos = u.pos WHERE s.stop_id <> u.stop_id"""))
@@ -379,9 +383,10 @@ def v14(spark, d):
     return view(spark, d, "dv_stop_times").join(u, ["trip_id", "pos"]).select("trip_id", "pos", "delay")
 
 
-@query("v16_delays_by_date", duck("SELECT CAST(ts AS DATE) AS day, list(event_id ORDER BY event_id) AS ids FROM {dv_updates} WHERE delay IS NOT NULL GROUP BY ALL"))
+@query("v16_delays_by_date", duck("SELECT CAST(ts AS DATE) AS day, event_id, delay FROM {dv_updates} WHERE delay IS NOT NULL"))
 def v16(spark, d):
-    return view(spark, d, "dv_updates").where("delay IS NOT NULL").groupBy(F.col("ts").cast("date").alias("day")).agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    """Known delays under their dates: rows, as a date's delays have no bound."""
+    return view(spark, d, "dv_updates").where("delay IS NOT NULL").select(F.col("ts").cast("date").alias("day"), "event_id", "delay")
 
 
 @query("v17_scheduled_times", duck("SELECT trip_id, pos, arr_s, dep_s FROM {dv_stop_times}"))
@@ -411,22 +416,30 @@ def v23(spark, d):
     return view(spark, d, "dv_stop_times").join(view(spark, d, "dv_stops"), "stop_id").groupBy("trip_id", "station_id").agg(F.min("dep_s").alias("dep_s"))
 
 
-@query("v25_station_naming", duck("WITH c AS (SELECT stop_id, count(*) AS c FROM {dv_stop_times} GROUP BY stop_id) SELECT town_id, arg_max(stop_id, c * 1000 - stop_id) AS stop_id FROM {dv_stops} JOIN c USING (stop_id) GROUP BY town_id"))
+@query("v25_station_naming", duck("""
+WITH c AS (SELECT stop_id, count(*) // 1000 AS c FROM {dv_stop_times} GROUP BY stop_id)
+SELECT town_id, stop_id FROM {dv_stops} JOIN c USING (stop_id) QUALIFY row_number() OVER (PARTITION BY town_id ORDER BY c DESC, lat, lon, stop_id) = 1"""))
 def v25(spark, d):
-    c = view(spark, d, "dv_stop_times").groupBy("stop_id").agg(F.count(F.lit(1)).alias("c"))
-    return view(spark, d, "dv_stops").join(c, "stop_id").groupBy("town_id").agg(F.max_by("stop_id", F.struct("c", -F.col("stop_id"))).alias("stop_id"))
+    """The station that an address means, service counted in thousands so that ties occur."""
+    c = view(spark, d, "dv_stop_times").groupBy("stop_id").agg(F.floor(F.count(F.lit(1)) / 1000).alias("c"))
+    return lines.first_of_name(view(spark, d, "dv_stops").join(c, "stop_id"), "town_id", "stop_id", "c", "lat", "lon")
 
 
-@query("v26_line_places", duck("WITH p AS (SELECT stop_id, round(lat, 1) AS short FROM {dv_stops}) SELECT p.stop_id, CASE WHEN count(*) OVER (PARTITION BY short) > 5 THEN round(lat, 4) ELSE short END AS place FROM p JOIN {dv_stops} s ON s.stop_id = p.stop_id"))
+@query("v26_line_places", duck("""
+WITH l AS (SELECT c_custkey AS k, c_nationkey * 3 + CAST(floor(c_acctbal) AS BIGINT) % 3 AS address, c_custkey % 40 * 0.0043e0 + 49 AS lat, c_custkey % 11 * 0.0251e0 + 11 AS lon FROM {customer}),
+w AS (SELECT *, printf('%.2f,%.2f', lat, lon) AS two, printf('%.4f,%.4f', lat, lon) AS four FROM l)
+SELECT k, CASE WHEN count(*) OVER (PARTITION BY address) > 1 THEN CASE WHEN count(DISTINCT two) OVER (PARTITION BY address) = count(*) OVER (PARTITION BY address) THEN two ELSE four END END AS place FROM w"""))
 def v26(spark, d):
-    s = view(spark, d, "dv_stops").withColumn("short", F.round("lat", 1))
-    n = F.count(F.lit(1)).over(Window.partitionBy("short"))
-    return s.select("stop_id", F.when(n > 5, F.round("lat", 4)).otherwise(F.col("short")).alias("place"))
+    c = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("k"), (F.col("c_nationkey") * 3 + F.floor("c_acctbal") % 3).alias("address"),
+        (F.col("c_custkey") % 40 * F.lit(0.0043) + 49).alias("lat"), (F.col("c_custkey") % 11 * F.lit(0.0251) + 11).alias("lon"))
+    return lines.places(c, "address", "lat", "lon").select("k", "place")
 
 
-@query("v27_trips_by_line", duck("SELECT line, list(trip_id ORDER BY trip_id) AS trips FROM {dv_trips} GROUP BY line"))
+@query("v27_trips_by_line", duck("SELECT line, trip_id, row_number() OVER (PARTITION BY line ORDER BY trip_id) - 1 AS at FROM {dv_trips}"))
 def v27(spark, d):
-    return view(spark, d, "dv_trips").groupBy("line").agg(F.array_sort(F.collect_list("trip_id")).alias("trips"))
+    """The trips of each line by their places in its list, for lines of any size."""
+    return map_view.rank_in_groups(view(spark, d, "dv_trips").select("line", "trip_id"), "line", ["trip_id"]).select("line", "trip_id", "at")
 
 
 @query("v31_kept_route_states", duck("WITH k AS (SELECT from_id, to_id, min(CASE WHEN trip_id % 3 = 0 THEN to_arr - from_dep END) AS s FROM {dv_hops} WHERE trip_id % 2 = 0 GROUP BY ALL), h AS (SELECT DISTINCT from_id, to_id FROM {dv_hops}) SELECT h.from_id, h.to_id, CASE WHEN k.from_id IS NULL THEN 'fresh' WHEN s IS NULL THEN 'none' ELSE 'kept' END AS state FROM h LEFT JOIN k ON k.from_id = h.from_id AND k.to_id = h.to_id"))
@@ -437,11 +450,31 @@ def v31(spark, d):
     return h.select("from_id", "to_id").distinct().join(k, ["from_id", "to_id"], "left").select("from_id", "to_id", state.alias("state"))
 
 
-@query("v36_run_of_the_hour", duck("SELECT o_orderkey, CASE WHEN o_custkey % 24 < 6 THEN 'none' WHEN o_custkey % 24 < 20 THEN 'every 10' ELSE 'every 20' END AS said FROM {orders}"))
+_TODAY = "SELECT agency, line, 0 AS day, CAST(floor(dep_s / 60.0e0) AS BIGINT) AS m FROM {dv_stop_times} JOIN {dv_trips} USING (trip_id) WHERE pos = 0 AND dep_s < 50000 + agency * 5000"
+
+
+@query("v36_today_said", duck(frequency_sql.hourly(_TODAY, ["agency", "line"]).replace("SELECT * FROM words", """
+, t AS (SELECT agency, line, min(m) AS first, max(m) AS last FROM d GROUP BY ALL), n AS (SELECT *, 600 + agency * 60 AS now FROM t)
+SELECT n.agency, n.line, CASE WHEN now > last THEN 'over' WHEN now < first THEN 'first' ELSE 'now' END AS said, w.kind, w.low, w.high, w."to" AS until, last
+FROM n LEFT JOIN words w ON w.agency = n.agency AND w.line = n.line AND now BETWEEN first AND last AND w."from" * 60 <= now AND now < w."to" * 60""")))
 def v36(spark, d):
-    runs = spark.createDataFrame([(0, 6, "none"), (6, 20, "every 10"), (20, 24, "every 20")], "start int, stop int, said string")
-    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 24).alias("h"))
-    return o.join(F.broadcast(runs), (F.col("h") >= F.col("start")) & (F.col("h") < F.col("stop"))).select("o_orderkey", "said")  # three rows
+    """What is said of the hour it is, of each line of an agency: its words, until when they hold, and the last departure."""
+    t = view(spark, d, "dv_stop_times").where("pos = 0").join(view(spark, d, "dv_trips"), "trip_id").where("dep_s < 50000 + agency * 5000")
+    t = t.select("agency", "line", F.floor(F.col("dep_s") / 60).alias("minute"), F.lit(0).alias("day"))
+    by, now = ["agency", "line"], 600 + F.col("agency") * 60
+    n = t.groupBy(*by).agg(F.min("minute").alias("first"), F.max("minute").alias("last"))
+    said = lines.today_said(now, F.col("first"), F.col("last"))
+    runs = frequency.hourly(t, by, "day", "minute").withColumnsRenamed({"agency": "_a", "line": "_l"})
+    here = (F.col("_a") == F.col("agency")) & (F.col("_l") == F.col("line")) & now.between(F.col("first"), F.col("last"))
+    here &= (F.col("from") * 60 <= now) & (now < F.col("to") * 60)
+    return n.join(runs, here, "left").select("agency", "line", said.alias("said"), "kind", "low", "high", F.col("to").alias("until"), "last")
+
+
+@query("v36_day_holds", duck("""
+SELECT event_id, CAST(ts AS DATE) <= DATE '2024-01-10' OR (CAST(ts AS DATE) = DATE '2024-01-11' AND value IS NOT NULL AND value <= 50) AS holds FROM {events}"""))
+def v36b(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", lines.day_holds(F.col("ts").cast("date"), F.lit("2024-01-10").cast("date"), F.col("value"), F.when(F.col("value").isNotNull(), F.lit(50.0))).alias("holds"))
 
 
 @query("v37_names_by_zoom", duck("SELECT trip_id, CASE WHEN trip_id % 3 = 0 THEN true ELSE mode = 'regional' AND trip_id % 3 = 1 END AS named FROM {dv_trips}"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, time
 from ..operators import aggregates as ag
-from ..operators import frequency, graph, joins, map_view, sets, topk
+from ..operators import frequency, graph, joins, lines, map_view, sets, topk, vehicles
 from ..operators import sequences as seq
 from . import frequency_sql
 from .registry import query
@@ -261,8 +261,7 @@ def w03(spark, d):
 
 @query("w04_relative_times", duck("SELECT trip_id, pos, arr_s - first_value(dep_s) OVER (PARTITION BY trip_id ORDER BY pos) AS arr FROM {dv_stop_times}"))
 def w04(spark, d):
-    first = F.first("dep_s").over(Window.partitionBy("trip_id").orderBy("pos"))
-    return view(spark, d, "dv_stop_times").select("trip_id", "pos", (F.col("arr_s") - first).alias("arr"))
+    return vehicles.relative_times(view(spark, d, "dv_stop_times")).select("trip_id", "pos", "arr")
 
 
 _STN = "SELECT s.trip_id, s.pos, st.station_id, s.dep_s, s.arr_s FROM {dv_stop_times} s JOIN {dv_stops} st ON st.stop_id = s.stop_id"
@@ -282,9 +281,8 @@ def w06(spark, d):
 
 @query("w07_hops", duck("SELECT DISTINCT mode, from_id, to_id FROM {dv_hops} h JOIN {dv_trips} t ON t.trip_id = h.trip_id"))
 def w07(spark, d):
-    w = Window.partitionBy("trip_id").orderBy("pos")
-    h = view(spark, d, "dv_stop_times").withColumn("to_id", F.lead("stop_id").over(w)).where("to_id <> stop_id")
-    return h.join(view(spark, d, "dv_trips"), "trip_id").select("mode", F.col("stop_id").alias("from_id"), "to_id").distinct()
+    h = vehicles.hops(view(spark, d, "dv_stop_times"))
+    return h.join(view(spark, d, "dv_trips"), "trip_id").select("mode", "from_id", "to_id").distinct()
 
 
 @query("w08_delta_coding", duck("SELECT event_id, CAST(floor(value * 100) AS BIGINT) - coalesce(lag(CAST(floor(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS delta, CAST(floor(value * 100) AS BIGINT) AS value FROM {events}"))
@@ -822,10 +820,24 @@ def r05(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.try_element_at(tags, F.lit("status")).alias("v"))
 
 
+LINE = ["agency", "mode", "line"]
+
+
 @query("q17_merged_sequences")
 def q17(spark, d):
-    """Tested with literal sequences."""
-    return graph.merge_ways(_runs(spark, d).groupBy("line", "stops").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["line"])
+    """The stations of every line and direction; tested on the tables against a plain version."""
+    return lines.ways(_line_runs(spark, d), LINE).select(*LINE, "direction", "list")
+
+
+@query("q16_line_ways")
+def q16(spark, d):
+    """The ways of every line, with what branches off them; tested on the tables against a plain version."""
+    return lines.ways(_line_runs(spark, d), LINE)
+
+
+def _line_runs(spark, d):
+    stops = F.col("stops").cast("array<long>").alias("stops")
+    return _runs(spark, d).where("size(stops) > 1").groupBy(*LINE, stops).agg(F.count(F.lit(1)).alias("trips"))
 
 
 @query("q44_hour_lines", duck(f"SELECT station_id, CAST(dep_s // 3600 AS INT) AS hour, list(CAST(dep_s % 3600 // 60 AS INT) ORDER BY dep_s, trip_id, pos) AS minutes FROM ({_STN}) GROUP BY ALL"))

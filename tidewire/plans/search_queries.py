@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import joins, search
+from ..operators import joins, map_view, search
+from ..operators.tables import materialise
 from .registry import query
 from .transit import duck, table, view
 
@@ -89,10 +90,10 @@ def v07(spark, d):
 
 @query("k07_search_list", duck("""
 WITH p AS (SELECT stop_id, name, CAST(floor(lat * 1e5 + 0.5e0) AS BIGINT) AS v FROM {dv_stops})
-SELECT list(name ORDER BY stop_id) AS names, list(d ORDER BY stop_id) AS dlat FROM (SELECT *, v - coalesce(lag(v) OVER (ORDER BY stop_id), 0) AS d FROM p)"""))
+SELECT stop_id, row_number() OVER (ORDER BY stop_id) AS rank, name, v - coalesce(lag(v) OVER (ORDER BY stop_id), 0) AS dlat FROM p"""))
 def k07(spark, d):
-    from ..operators import sequences as seq
-
-    s = view(spark, d, "dv_stops").select("stop_id", "name", geo.half_up(F.col("lat") * 1e5).alias("v"), F.lit(0).alias("g"))
-    g = seq.delta(s, ["g"], "stop_id", "v").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("stop_id", "name", "delta"))).alias("l"))
-    return g.select(F.transform("l", lambda x: x["name"]).alias("names"), F.transform("l", lambda x: x["delta"]).alias("dlat"))
+    """The columns of the search list, row by row: names in order, latitudes as steps from the row before, which is met by its rank."""
+    s = view(spark, d, "dv_stops").select("stop_id", "name", geo.half_up(F.col("lat") * 1e5).alias("v"))
+    s = materialise(map_view.global_rank(s, ["stop_id"]), "list")
+    before = s.select((F.col("rank") + 1).alias("rank"), F.col("v").alias("_b"))
+    return s.join(before, "rank", "left").select("stop_id", "rank", "name", (F.col("v") - F.coalesce("_b", F.lit(0))).alias("dlat"))

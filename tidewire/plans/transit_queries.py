@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, text
 from ..operators import aggregates as ag
-from ..operators import frequency, joins, map_view
+from ..operators import frequency, joins, map_view, vehicles
 from ..operators import sequences as seq
 from . import frequency_sql
 from .registry import query
@@ -23,16 +23,8 @@ p AS (SELECT trip_id, pos, CASE WHEN {NOW} <= dep_s OR arr2 IS NULL OR arr2 <= d
 
 
 def _vehicles(spark, d):
-    """Position of every trip under way: at a stop, or in proportion between two. Only the current section of a trip is kept."""
     k = view(spark, d, "dv_stop_times").join(view(spark, d, "dv_stops").select("stop_id", "lat", "lon"), "stop_id")
-    w = Window.partitionBy("trip_id").orderBy("pos")
-    n = k.withColumns({"arr2": F.lead("arr_s").over(w), "lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w)})
-    now = F.lit(NOW)
-    n = n.where((F.col("arr_s") <= now) & (F.col("arr2").isNull() | (now < F.col("arr2"))) & ((now <= F.col("dep_s") + 15) | F.col("arr2").isNotNull()))
-    still = (now <= F.col("dep_s")) | F.col("arr2").isNull() | (F.col("arr2") <= F.col("dep_s"))
-    share = (now - F.col("dep_s")) / F.nullif(F.col("arr2") - F.col("dep_s"), F.lit(0)).cast("double")
-    at = [F.when(still, F.col(c)).otherwise(F.col(c) + (F.col(f"{c}2") - F.col(c)) * share).alias(c) for c in ("lat", "lon")]
-    return n.select("trip_id", "pos", *at)
+    return vehicles.positions(k, F.lit(NOW))
 
 
 @query("q04_vehicles", duck(f"WITH {_VEH} SELECT p.trip_id, pos, mode, round(lat, 9) AS lat, round(lon, 9) AS lon FROM p JOIN {{dv_trips}} t ON t.trip_id = p.trip_id"))
@@ -52,9 +44,7 @@ def q05(spark, d):
 WITH k AS (SELECT trip_id, unnest([{{'t': arr_s, 'i': pos * 2}}, {{'t': dep_s, 'i': pos * 2 + 1}}]) AS s, lat FROM ({_KNOTS}))
 SELECT trip_id, list(s.t ORDER BY s.i) AS times FROM k WHERE s.t BETWEEN {NOW} - 3600 AND {NOW} + 90 GROUP BY trip_id"""))
 def q06(spark, d):
-    s = view(spark, d, "dv_stop_times").select("trip_id", F.inline(F.array(*[F.struct(F.col(c).alias("t"), (F.col("pos") * 2 + i).alias("i")) for i, c in enumerate(("arr_s", "dep_s"))])))
-    s = s.where(F.col("t").between(NOW - 3600, NOW + 90))
-    return s.groupBy("trip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("times"))
+    return vehicles.knots(view(spark, d, "dv_stop_times"), F.lit(NOW - 3600), F.lit(NOW + 90))
 
 
 @query("q07_position", duck(f"WITH {_VEH} SELECT trip_id, round(lat, 9) AS lat, round(lon, 9) AS lon FROM p"))
