@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import components, materialise, shuffle_partitions, text_key
 from .shingles import WordHashes, scramble, shingle_sets
 
-SLICE, SLICE_TOKENS = 8_000, 2_000_000  # documents and tokens that travel together, about
-SLICE_BYTES = 12_000_000  # of text of such a slice, about
+SLICE, SLICE_TOKENS = 4_000, 1_000_000  # documents and tokens that travel together, about
+SLICE_BYTES = 6_000_000  # of text of such a slice, about
 HOT = 32  # texts from which on the order of tokens tells no frequencies apart
 BUCKET_BYTES = 8_000_000  # of text whose tokens one bucket holds, about
 FAN = 256  # slices whose tokens are merged before a bucket gets them
@@ -307,7 +307,7 @@ def jaccard_join(df: DataFrame, key: str, text: str, k: int = 5, num: int = 80,
     pairs = materialise(two.where(sizes).select(F.col("a.ref").alias("src"), F.col("b.ref").alias("dst")).distinct(), "pairs")
     hubs = materialise(hubs, "hubs")
     asked = pairs.unionByName(hubs).select(F.explode(F.array("src", "dst")).alias("ref")).distinct()
-    texts = docs.join(asked, "ref", "left_semi").groupBy("ref").agg(F.first("text").alias("text"))
+    texts = docs.groupBy("ref").agg(F.first("text").alias("text")).join(asked, "ref", "left_semi")  # copies meet where they are read
     texts = materialise(texts.mapInArrow(*_orders(k, num, den)), "texts")
     for end in ("src", "dst"):
         pairs = pairs.join(texts.select(F.col("ref").alias(end), F.struct("one", "two").alias(f"of_{end}")), end)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE = 600_000  # word hashes that a worker remembers; forgetting them changes no result
+CACHE = 300_000  # word hashes that a worker remembers; forgetting them changes no result
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
