@@ -215,13 +215,6 @@ def test_kinds_from_tracks(spark):
     assert not any(r.is_bus for r in tracks.kinds_from_tracks(c, s, n, t.where("false")).collect())
 
 
-def test_cheapest_path(spark):
-    edges = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 1, 3, 5.0), (0, 7, 8, 1.0)], "tile int, a long, b long, cost double")
-    hops = spark.createDataFrame([(0, 1, 3), (0, 1, 8)], "tile int, from_id long, to_id long")
-    got = {(r.from_id, r.to_id): (r.cost, r.path) for r in graph.route_hops(hops, edges, "tile").collect()}
-    assert got == {(1, 3): (2.0, [1, 2, 3]), (1, 8): (None, None)}
-
-
 def test_stab_and_as_of(spark):
     spans = spark.createDataFrame([("a", 0, 7200), ("b", 3600, 3700)], "k string, s int, e int")
     at = spark.createDataFrame([(3590,), (7215,), (9000,)], "t int")

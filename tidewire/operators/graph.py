@@ -1,10 +1,7 @@
-"""Graphs: connected components, cheapest paths."""
+"""Graphs: connected components."""
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,41 +33,3 @@ def group_by_shared(rows: DataFrame, member: str, shared: str, within: list[str]
     edges = rows.join(hub, [*within, shared]).select(F.col(member).alias("src"), F.col("_h").alias("dst")).distinct()
     found = components(edges)
     return rows.select(member).distinct().join(found.withColumnRenamed("node", member), member, "left").select(member, F.coalesce("root", member).alias("root"))
-
-
-def cheapest(edges: pd.DataFrame, start: int, goal: int) -> tuple[float, list[int]] | None:
-    """Cost and nodes of the cheapest path over (a, b, cost) edges, both ways."""
-    beside: dict[int, list[tuple[int, float]]] = {}
-    for a, b, c in edges.itertuples(index=False):
-        beside.setdefault(a, []).append((b, c))
-        beside.setdefault(b, []).append((a, c))
-    best, back, queue = {start: 0.0}, {}, [(0.0, start)]
-    while queue:
-        cost, at = heapq.heappop(queue)
-        if at == goal:
-            path = [at]
-            while at in back:
-                at = back[at]
-                path.append(at)
-            return cost, path[::-1]
-        if cost > best[at]:
-            continue
-        for to, c in beside.get(at, ()):
-            if cost + c < best.get(to, float("inf")):
-                best[to], back[to] = cost + c, at
-                heapq.heappush(queue, (cost + c, to))
-    return None
-
-
-def route_hops(hops: DataFrame, edges: DataFrame, tile: str) -> DataFrame:
-    """(from_id, to_id, cost, path) of every hop over the edges of its tile. Edges are repeated in the tiles beside theirs by the
-    caller, so a hop's tile holds its surroundings; a tile is one task, and its size is the caller's."""
-
-    def run(h: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for a, b in h[["from_id", "to_id"]].itertuples(index=False):
-            found = cheapest(e[["a", "b", "cost"]], a, b)
-            out.append((a, b, found[0] if found else None, found[1] if found else None))
-        return pd.DataFrame(out, columns=["from_id", "to_id", "cost", "path"])
-
-    return hops.groupBy(tile).cogroup(edges.groupBy(tile)).applyInPandas(run, "from_id long, to_id long, cost double, path array<long>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, text
 from ..operators import aggregates as ag
-from ..operators import frequency, joins, map_view, vehicles
+from ..operators import frequency, joins, map_view, routing, vehicles
 from ..operators import sequences as seq
 from . import frequency_sql
 from .registry import query
@@ -228,16 +228,35 @@ def j19(spark, d):
     return map_view.snap(p, e, 600, 3).select("id", "from_id", "to_id", F.round("metres", 3).alias("metres"))
 
 
-@query("q30_cheapest_paths")
+_GRID = """n AS (SELECT stop_id AS id FROM {dv_stops}), g AS (
+  SELECT DISTINCT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b FROM {dv_hops} WHERE abs(from_id - to_id) IN (1, 5) AND NOT (abs(from_id - to_id) = 1 AND least(from_id, to_id) % 5 = 4)
+), e AS (SELECT a, b, 1 + (a * 7 + b) % 4 AS w FROM g UNION ALL SELECT b, a, 1 + (a * 7 + b) % 4 FROM g)"""
+
+
+@query("q30_cheapest_paths", duck(f"""
+WITH RECURSIVE {_GRID}, p AS (
+  SELECT 0 AS i, a AS start, a AS node, CAST(0 AS BIGINT) AS cost FROM (SELECT DISTINCT a FROM e)
+  UNION ALL
+  SELECT i + 1, start, node, min(cost) FROM (SELECT p.i, p.start, e.b AS node, p.cost + e.w AS cost FROM p JOIN e ON e.a = p.node) x WHERE i < 24 GROUP BY i, start, node
+)
+SELECT start AS from_id, node AS to_id, CAST(min(cost) AS DOUBLE) AS cost FROM p WHERE start < node GROUP BY ALL HAVING min(cost) <= 40"""))
 def q30(spark, d):
-    """Paths of hops over the hop graph, by tile; tested against literal graphs."""
-    from ..operators import graph
-
-    h = view(spark, d, "dv_hops").groupBy(F.col("from_id").cast("long").alias("a"), F.col("to_id").cast("long").alias("b")).agg(F.min(F.col("to_arr") - F.col("from_dep")).cast("double").alias("cost"))
-    tiles = F.explode(F.array(F.lit(0), F.lit(1))).alias("tile")
-    edges = h.select(tiles, "a", "b", "cost")
-    hops = h.where("a < b").select((F.col("a") % 2).cast("int").alias("tile"), F.col("a").alias("from_id"), F.col("b").alias("to_id"))
-    return graph.route_hops(hops, edges, "tile")
+    """The cheapest ways between all stops over the hops to neighbouring places of the map, by rounds of joins."""
+    h = view(spark, d, "dv_hops").select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).distinct()
+    apart = F.col("b") - F.col("a")
+    e = h.where((apart == 5) | ((apart == 1) & (F.col("a") % 5 != 4))).withColumn("w", 1 + (F.col("a") * 7 + F.col("b")) % 4)
+    number = F.col("a") * 100 + F.col("b")
+    at = [F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    one = e.select((number * 2).alias("arc"), number.alias("edge"), "a", "b", F.col("w").cast("double").alias("cost"), *at)
+    two = e.select((number * 2 + 1).alias("arc"), number.alias("edge"), F.col("b").alias("a"), F.col("a").alias("b"), F.col("w").cast("double").alias("cost"), *at)
+    # a stop is at the end of each of its edges
+    ends = e.select(F.col("a").alias("stop"), number.alias("edge"), F.lit(0.0).alias("t"), F.lit(0.0).alias("cost")).unionByName(
+        e.select(F.col("b").alias("stop"), number.alias("edge"), F.lit(1.0).alias("t"), F.lit(0.0).alias("cost")))
+    stops = ends.select(F.col("stop").alias("source")).distinct()
+    hops = stops.crossJoin(stops.withColumnRenamed("source", "target")).where("source < target")  # 25 stops
+    hops = hops.select((F.col("source") * 100 + F.col("target")).alias("hop"), "source", "target", F.lit(40.0).alias("most"))
+    found = routing.routes(hops, ends, one.unionByName(two)).where("reaches")
+    return hops.join(found, "hop").select(F.col("source").alias("from_id"), F.col("target").alias("to_id"), "cost")
 
 
 _CALLS_AT = "SELECT st.station_id, t.line, t.agency, s.trip_id, s.pos, quarter(t.service_date) AS quarter, CAST(floor(s.dep_s / 60.0e0) AS BIGINT) AS m FROM {dv_stop_times} s JOIN {dv_stops} st USING (stop_id) JOIN {dv_trips} t USING (trip_id)"
