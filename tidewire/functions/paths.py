@@ -51,7 +51,7 @@ def kept_points(lat: list[float], lon: list[float], tolerance: float) -> list[in
         for i in range(a + 1, b):
             px, py = (lon[i] - lon[a]) * k, lat[i] - lat[a]
             t = min(1.0, max(0.0, (px * ex + py * ey) / size)) if size else 0.0
-            d = math.hypot(px - t * ex, py - t * ey) * geo.METRES_PER_DEGREE
+            d = round(math.hypot(px - t * ex, py - t * ey) * geo.METRES_PER_DEGREE, 6)  # equals to the micrometre are ties
             if d > far:
                 far, at = d, i
         if far > tolerance:

@@ -11,7 +11,7 @@ from ..functions.text import compact, fold, folded_words
 # fixed values: umlauts as two letters, for the second spelling of a name
 TWO = {"ä": "ae", "ö": "oe", "ü": "ue"}
 # fixed values: abbreviations and the words they stand for
-SHORT = {"hbf": "hauptbahnhof", "bf": "bahnhof", "bhf": "bahnhof", "str": "strasse", "pl": "platz"}
+SHORT = {"hbf": "hauptbahnhof", "hauptbf": "hauptbahnhof", "bf": "bahnhof", "bhf": "bahnhof", "str": "strasse", "pl": "platz"}
 BEGIN, INSIDE, SPELLING = 0, 1, 2
 
 
@@ -58,8 +58,9 @@ def level_of(word: Column, typed: str) -> Column:
         def nearly(words: pd.Series) -> pd.Series:
             return words.map(lambda w: near_beginning(w or "", typed, slips))
 
-        first = F.lit(typed[0])
-        out = out.when(F.when(word.startswith(first), nearly(word)).otherwise(F.lit(False)), SPELLING)
+        # a swap of letters is two replacements, and the beginning may be so much longer or shorter
+        close = F.levenshtein(F.substring(word, 1, len(typed) + slips), F.lit(typed), 4 * slips) >= 0
+        out = out.when(F.when(word.startswith(F.lit(typed[0])) & close, nearly(word)).otherwise(F.lit(False)), SPELLING)
     return out
 
 

@@ -169,9 +169,21 @@ def m08(spark, d):
     return paths.lengths(_line(spark, d), ["trip_id"], "pos").groupBy("trip_id").agg(F.round(F.sum("step"), 3).alias("metres"))
 
 
-@query("m08_simplified_path")
+@query("m08_simplified_path", duck("""
+WITH RECURSIVE c AS (SELECT s.trip_id, s.pos, st.lat, st.lon, cos(radians(first_value(st.lat) OVER (PARTITION BY s.trip_id ORDER BY s.pos))) AS k
+  FROM {dv_stop_times} s JOIN {dv_stops} st ON st.stop_id = s.stop_id),
+v AS (SELECT a.trip_id, a.pos AS a, b.pos AS b, (b.lon - a.lon) * a.k AS ex, b.lat - a.lat AS ey, a.lon AS lon, a.lat AS lat, a.k FROM c a JOIN c b ON b.trip_id = a.trip_id AND b.pos > a.pos),
+t AS (SELECT v.*, c.pos, (c.lon - v.lon) * v.k AS px, c.lat - v.lat AS py, ex * ex + ey * ey AS size FROM v JOIN c ON c.trip_id = v.trip_id AND c.pos > v.a AND c.pos < v.b),
+u AS (SELECT *, CASE WHEN size > 0 THEN least(1, greatest(0, (px * ex + py * ey) / size)) ELSE 0 END AS s FROM t),
+far AS (SELECT trip_id, a, b, max(d) AS d, min(pos) FILTER (d = top) AS at_pos FROM (
+  SELECT *, max(d) OVER (PARTITION BY trip_id, a, b) AS top FROM (SELECT trip_id, a, b, pos, round(sqrt(pow(px - s * ex, 2) + pow(py - s * ey, 2)) * 111320, 6) AS d FROM u) x) y GROUP BY ALL),
+r AS (
+  SELECT trip_id, min(pos) AS a, max(pos) AS b FROM c GROUP BY trip_id
+  UNION ALL
+  SELECT trip_id, unnest([a, at_pos]), unnest([at_pos, b]) FROM (SELECT r.trip_id, r.a, r.b, at_pos FROM r JOIN far ON far.trip_id = r.trip_id AND far.a = r.a AND far.b = r.b WHERE far.d > 1.5) x
+)
+SELECT trip_id, list_sort(list_distinct(list_concat(list(a), list(b)))) AS kept FROM r GROUP BY trip_id"""))
 def m08b(spark, d):
-    """Tested with literal lines."""
     p = _line(spark, d).groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lat", "lon"))).alias("l"))
     at = lambda c: F.transform("l", lambda x: x[c])
     return p.select("trip_id", paths.simplified(at("lat"), at("lon")).alias("kept"))

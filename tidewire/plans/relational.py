@@ -180,7 +180,18 @@ def j20(spark, d):
     return h.join(k, ["from_id", "to_id"], "left").select("trip_id", "pos", "seconds", F.col("seconds").isNull().alias("straight"))
 
 
-@query("j21_greedy_match")
+@query("j21_greedy_match", duck("""
+WITH RECURSIVE p AS (
+  SELECT a.town_id, CAST(a.stop_id AS BIGINT) AS l, CAST(b.stop_id AS BIGINT) AS r, sqrt(pow((b.lon - a.lon) * cos(radians(a.lat)), 2) + pow(b.lat - a.lat, 2)) AS d
+  FROM {dv_stops} a JOIN {dv_stops} b ON a.town_id = b.town_id WHERE a.stop_id % 2 = 0 AND b.stop_id % 2 = 1
+), m AS (
+  SELECT town_id, CAST([] AS BIGINT[]) AS ls, CAST([] AS BIGINT[]) AS rs FROM (SELECT DISTINCT town_id FROM p)
+  UNION ALL
+  SELECT town_id, list_append(ls, n.l), list_append(rs, n.r) FROM (
+    SELECT m.town_id, m.ls, m.rs, (SELECT arg_min({'l': l, 'r': r}, round(d, 9) * 1e6 + l + r / 100e0) FROM p WHERE p.town_id = m.town_id AND NOT list_contains(m.ls, l) AND NOT list_contains(m.rs, r)) AS n FROM m) x
+  WHERE n IS NOT NULL
+)
+SELECT town_id, unnest(ls) AS left_id, unnest(rs) AS right_id FROM (SELECT town_id, arg_max(ls, len(ls)) AS ls, arg_max(rs, len(rs)) AS rs FROM m GROUP BY town_id)"""))
 def j21(spark, d):
     s = view(spark, d, "dv_stops")
     old = s.where("stop_id % 2 = 0").select("town_id", F.col("stop_id").cast("long").alias("left_id"), "lat", "lon")
@@ -442,12 +453,27 @@ def a07(spark, d):
     return out.select("station_id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
 
 
-@query("a08_places_near", None)
+_NEAR = "sqrt(pow(({1}.lon - {0}.lon) * cos(radians(({0}.lat + {1}.lat) / 2)), 2) + pow({1}.lat - {0}.lat, 2)) * 111320 <= 25"
+
+
+@query("a08_places_near", duck(f"""
+WITH c AS (SELECT st.station_id, t.mode, avg(st.lat + CASE WHEN t.mode = 'bus' THEN 0.0001e0 WHEN t.mode = 'tram' THEN 0.0005e0 ELSE 0 END) AS lat, avg(st.lon) AS lon, count(*) AS n
+  FROM {{dv_stop_times}} s JOIN {{dv_stops}} st ON st.stop_id = s.stop_id JOIN {{dv_trips}} t ON t.trip_id = s.trip_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY n DESC, mode) AS i FROM c),
+x AS (SELECT a.station_id, a.lat AS lat1, a.lon AS lon1, a.mode AS m1, b.mode AS m2, d.mode AS m3, b.lat AS lat2, b.lon AS lon2, d.lat AS lat3, d.lon AS lon3,
+  {_NEAR.format('a', 'b')} AS ab, {_NEAR.format('a', 'd')} AS ad, {_NEAR.format('b', 'd')} AS bd
+  FROM r a LEFT JOIN r b ON b.station_id = a.station_id AND b.i = 2 LEFT JOIN r d ON d.station_id = a.station_id AND d.i = 3 WHERE a.i = 1),
+f AS (
+  SELECT station_id, 0 AS place, lat1 AS lat, lon1 AS lon, list_sort(list_filter([m1, CASE WHEN ab THEN m2 END, CASE WHEN ad THEN m3 END], lambda v: v IS NOT NULL)) AS modes FROM x
+  UNION ALL SELECT station_id, 1, lat2, lon2, list_sort(list_filter([m2, CASE WHEN NOT ad AND bd THEN m3 END], lambda v: v IS NOT NULL)) FROM x WHERE NOT ab
+  UNION ALL SELECT station_id, CASE WHEN ab THEN 1 ELSE 2 END, lat3, lon3, [m3] FROM x WHERE NOT ad AND (ab OR NOT bd)
+)
+SELECT station_id, place, round(lat, 9) AS lat, round(lon, 9) AS lon, modes FROM f"""))
 def a08(spark, d):
-    """Tested with literal places."""
     m = _calls(spark, d).join(view(spark, d, "dv_trips").select("trip_id", "mode"), "trip_id")
-    middles = ag.centroid(m.withColumn("lat", F.col("lat") + F.when(F.col("mode") == "bus", 0.0001).otherwise(0.0)), ["station_id", "mode"], "lat", "lon", F.lit(1))
-    return ag.merge_near(middles, "station_id")
+    moved = F.col("lat") + F.when(F.col("mode") == "bus", 0.0001).when(F.col("mode") == "tram", 0.0005).otherwise(0.0)
+    middles = ag.centroid(m.withColumn("lat", moved), ["station_id", "mode"], "lat", "lon", F.lit(1))
+    return ag.merge_near(middles, "station_id").select("station_id", "place", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "modes")
 
 
 @query("a09_headsign_top2", duck("SELECT line, mode, n FROM (SELECT line, mode, count(*) AS n FROM {dv_trips} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY line ORDER BY n DESC, mode) <= 2"))
@@ -651,11 +677,19 @@ def o09(spark, d):
     return topk.merged_board(b, "station_id", "dep_s", 10, ["station_id", "trip_id"])
 
 
-@query("o10_picks_apart")
+@query("o10_picks_apart", duck(f"""
+WITH RECURSIVE c AS (SELECT st.stop_id, st.lat, st.lon, count(*) AS c FROM {{dv_stop_times}} s JOIN {{dv_stops}} st ON st.stop_id = s.stop_id GROUP BY ALL),
+far AS (SELECT a.stop_id AS i, b.stop_id AS j FROM c a JOIN c b ON {_M} < 4000),
+p AS (
+  SELECT 0 AS n, CAST([] AS INT[]) AS ids
+  UNION ALL
+  SELECT n + 1, list_append(ids, best) FROM (
+    SELECT n, ids, (SELECT arg_max(stop_id, c * 1000 - stop_id) FROM c WHERE NOT EXISTS (SELECT 1 FROM far WHERE far.i = c.stop_id AND list_contains(p.ids, far.j))) AS best FROM p WHERE n < 5) x WHERE best IS NOT NULL
+)
+SELECT ids[n] AS stop_id, CAST(n - 1 AS INT) AS place FROM p WHERE n > 0"""))
 def o10(spark, d):
-    """Tested with literal places."""
     c = view(spark, d, "dv_stop_times").groupBy("stop_id").agg(F.count(F.lit(1)).alias("c"))
-    return topk.picks(view(spark, d, "dv_stops").join(c, "stop_id"), "stop_id", "c", "lat", "lon", 4_000)
+    return topk.picks(view(spark, d, "dv_stops").join(c, "stop_id"), "stop_id", "c", "lat", "lon", 4_000).select("stop_id", "place")
 
 
 @query("o11_held_departures", duck("""
