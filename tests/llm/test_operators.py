@@ -172,6 +172,11 @@ def test_packing_holds_every_id_once(spark, docs):
         ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
         want[(r.doc_id, len(ids), zlib.crc32(ids.tobytes()) if len(ids) < 64 else None)] += 1
     pieces = packing.pack(docs, packing.tokenizer_path(), 64, 2).collect()
+    ids_of = defaultdict(list)
+    for r in rows:
+        ids_of[r.doc_id].append(np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4"))
+    for p in pieces:
+        assert any(len(ids) == p.doc_tokens and zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for ids in ids_of[p.doc_id])
     by_seq = defaultdict(list)
     for p in pieces:
         by_seq[p.sequence_id].append((p.offset, p.length))
@@ -563,6 +568,103 @@ def png() -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
 
 
+def box(kind, data):
+    return struct.pack(">I", 8 + len(data)) + kind + data
+
+
+MP4 = box(b"ftyp", b"isom\0\0\2\0isomiso2") + box(b"free", b"") + box(b"moov", b"x" * 20) + box(b"mdat", b"frames")
+WEBP = b"RIFF" + struct.pack("<I", 4 + 8 + 6) + b"WEBP" + b"VP8 " + struct.pack("<I", 5) + b"abcde\0"
+
+
+def ogg(pages):
+    out = b""
+    for n, p in enumerate(pages):
+        head = b"OggS\0" + bytes([(n == 0) * 2 + (n == len(pages) - 1) * 4]) + b"\0" * 16
+        body = bytes([len(p) // 255 + 1]) + b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) + p
+        out += head + struct.pack("<I", media.crc(head + bytes(4) + body, media.CRC32, 32)) + body
+    return out
+
+
+def flac(frames, known=True):
+    info = b"\0" * 10 + ((len(frames) * 192 if known else 0) | 44100 << 44).to_bytes(8, "big") + b"\0" * 16
+    out = b"fLaC" + b"\x00\0\0\x22" + info + b"\x81\0\0\4pads"
+    for n, body in enumerate(frames):
+        head = bytes([0xFF, 0xF8, 0x19, 0x08, n])
+        head += bytes([media.crc(head, media.CRC8, 8)])
+        out += head + body + struct.pack(">H", media.crc(head + body, media.CRC16, 16))
+    return out
+
+
+def gif():
+    return b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0" * 6 + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\0\x3b"
+
+
+def bmp(width=1, height=1):
+    return b"BM" + struct.pack("<IIII", 54 + 4 * height, 0, 54, 40) + struct.pack("<iiHHI", width, height, 1, 24, 0) + b"\0" * (20 + 4 * height)
+
+
+JPEG = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04\0\0\x12\xff\x00\x34\xff\xd0\x11\xff\xd9"
+FORMS = {
+    "image/png": png(), "image/gif": gif(), "image/bmp": bmp(), "image/jpeg": JPEG, "image/webp": WEBP, "audio/wav": media.to_wav(b"ab"),
+    "audio/flac": flac([b"one", b"two" * 9]), "audio/ogg": ogg([b"a" * 300, b"b"]), "video/mp4": MP4,
+}
+
+
+@pytest.mark.parametrize("kind", FORMS)
+def test_every_format_is_confirmed_with_its_length_and_refused_when_cut(kind):
+    signatures, data = media.automaton(), FORMS[kind]
+    assert media.sniff_bytes(data, signatures)[0] == kind
+    padded = b"some text " + data
+    # nothing says where a container ends that goes on in boxes of its kinds, so what follows is no such box
+    assert media.sniff_bytes(padded + b" and more text", signatures)[1] == [(kind, 10, len(data))]
+    for cut in range(1, len(data)):
+        got = media.sniff_bytes(data[:cut], signatures)
+        assert got[0] is None or (kind == "video/mp4" and cut >= data.index(b"mdat") - 4), cut
+    assert media.sniff_bytes(data + data, signatures)[1][:1] == [(kind, len(data), len(data))] or kind == "video/mp4"
+
+
+def test_media_of_unknown_length_or_wrong_sums():
+    signatures = media.automaton()
+    assert media.sniff_bytes(flac([b"one", b"two"], known=False), signatures)[0] == "audio/flac"
+    broken = bytearray(flac([b"one", b"two"]))
+    broken[-4] ^= 1
+    assert media.sniff_bytes(bytes(broken), signatures) == (None, [])
+    assert media.sniff_bytes(bmp(width=9)[:58], signatures)[0] is None and media.sniff_bytes(gif().replace(b"\x2c\0\0", b"\x2c\1\0"), signatures)[0] is None
+    inside = box(b"ftyp", b"isom\0\0\2\0isomiso2") + box(b"moov", b"") + box(b"mdat", png())
+    assert media.sniff_bytes(inside, signatures) == ("video/mp4", [("image/png", len(inside) - len(png()), len(png()))])
+
+
+def test_scans_of_many_restarts_take_linear_time():
+    import time
+
+    start = time.time()
+    data = b"\xff\xd8" + b"\xff\xda\x00\x04\0\0" * 50_000 + b"\xff\xd9"
+    assert media.sniff_bytes(data, media.automaton())[0] in (None, "image/jpeg") and time.time() - start < 5
+
+
+def plain_sniff(data):
+    """Every position against every signature."""
+    found, whole = [], None
+    for at in range(len(data)):
+        for magic, offset, kind in media.SIGNATURES:
+            if data[at + offset : at + offset + len(magic)] == magic and (n := media.VALIDATORS[kind](memoryview(data), at)):
+                kind = media.RIFF_TYPES[data[at + 8 : at + 12]] if kind == "riff" else kind
+                if at:
+                    found.append((kind, at, n))
+                else:
+                    whole = whole or kind
+    return whole, sorted(found)
+
+
+def test_sniffing_against_every_position():
+    rng, signatures = random.Random(9), media.automaton()
+    for _ in range(60):
+        parts = [rng.choice([*FORMS.values(), b"BM", b"RIFF", b"\xff\xd8\xff", b"OggS", b"plain words ", bytes(rng.randrange(256) for _ in range(20))]) for _ in range(rng.randrange(1, 6))]
+        data = b"".join(p[: len(p) - rng.choice([0, 0, 1])] for p in parts)
+        kind, inside = media.sniff_bytes(data, signatures)
+        assert (kind, sorted(inside)) == plain_sniff(data)
+
+
 def test_sniff_corrects_and_carves(spark):
     gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0" * 6 + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\0\x3b"
     bmp = b"BM" + struct.pack("<IIII", 58, 0, 54, 40) + struct.pack("<IIHHI", 1, 1, 1, 24, 0) + b"\0" * 24

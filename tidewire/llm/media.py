@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,6 +43,9 @@ def _png(b: memoryview, at: int) -> int:
     return 0
 
 
+MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.S)  # in entropy-coded bytes: FF and neither 00 nor a restart
+
+
 def _jpeg(b: memoryview, at: int) -> int:
     p, seen = at + 2, False
     while p + 4 <= len(b) and b[p] == 0xFF:
@@ -55,30 +59,30 @@ def _jpeg(b: memoryview, at: int) -> int:
         if n < 2 or p + 2 + n > len(b):
             return 0
         p += 2 + n
-        if mark == 0xDA:  # entropy-coded bytes: a marker is FF and neither 00 nor a restart
-            seen, raw = True, bytes(b[p:])
-            q = 0
-            while True:
-                q = raw.find(b"\xff", q)
-                if q < 0 or q + 1 >= len(raw):
-                    return 0
-                if raw[q + 1] == 0 or 0xD0 <= raw[q + 1] <= 0xD7:
-                    q += 2
-                    continue
-                break
-            p += q
+        if mark == 0xDA:
+            found = MARKER.search(b, p)
+            if found is None:
+                return 0
+            seen, p = True, found.start()
     return p + 2 - at if seen and bytes(b[p : p + 2]) == b"\xff\xd9" else 0
 
 
 def _gif(b: memoryview, at: int) -> int:
+    """At least one image whose code size and sub-blocks are sound, then the trailer."""
     if at + 13 > len(b):
         return 0
     p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
+    width, height = struct.unpack("<HH", b[at + 6 : at + 10])
+    images = 0
     while p < len(b):
         if b[p] == 0x3B:
-            return p + 1 - at
-        if b[p] == 0x2C and p + 10 <= len(b):
-            p += 10 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0) + 1
+            return p + 1 - at if images else 0
+        if b[p] == 0x2C and p + 11 <= len(b):
+            left, top, wide, high = struct.unpack("<HHHH", b[p + 1 : p + 9])
+            p += 10 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0)
+            if p >= len(b) or not 2 <= b[p] <= 11 or left + wide > width or top + high > height:
+                return 0
+            images, p = images + 1, p + 1
         elif b[p] == 0x21:
             p += 2
         else:
@@ -90,12 +94,13 @@ def _gif(b: memoryview, at: int) -> int:
 
 
 def _bmp(b: memoryview, at: int) -> int:
-    if at + 30 > len(b):
+    """A known header whose rows of pixels, if they are not compressed, fit the size that it says."""
+    if at + 54 > len(b):
         return 0
-    size, zero, offset, header = struct.unpack("<IIII", b[at + 2 : at + 18])
-    planes, depth = struct.unpack("<HH", b[at + 26 : at + 30])
-    good = zero == 0 and header in (40, 56, 108, 124) and planes == 1 and depth in (1, 4, 8, 16, 24, 32) and 14 + header <= offset <= size
-    return size if good and at + size <= len(b) else 0
+    size, zero, offset, header, width, height, planes, depth, packed = struct.unpack("<IIIIiiHHI", b[at + 2 : at + 34])
+    known = zero == 0 and header in (40, 56, 108, 124) and planes == 1 and depth in (1, 4, 8, 16, 24, 32) and width > 0 and height != 0 and packed <= 6
+    rows = 0 if packed in (1, 2, 4, 5) else (width * depth + 31) // 32 * 4 * abs(height)
+    return size if known and 14 + header <= offset and offset + rows <= size and at + size <= len(b) else 0
 
 
 def _riff(b: memoryview, at: int) -> int:
@@ -111,33 +116,114 @@ def _riff(b: memoryview, at: int) -> int:
     return end - at if p in (end, end + 1) else 0
 
 
+def _crc_table(bits: int, polynomial: int) -> list[int]:
+    top, mask = 1 << (bits - 1), (1 << bits) - 1
+    out = []
+    for i in range(256):
+        c = i << (bits - 8)
+        for _ in range(8):
+            c = ((c << 1) ^ polynomial if c & top else c << 1) & mask
+        out.append(c)
+    return out
+
+
+#: fixed values: the polynomials of the check sums of frames and pages
+CRC8, CRC16, CRC32 = _crc_table(8, 0x07), _crc_table(16, 0x8005), _crc_table(32, 0x04C11DB7)
+
+
+def crc(data: bytes, table: list[int], bits: int) -> int:
+    c = 0
+    for x in data:
+        c = table[(c >> (bits - 8)) ^ x] ^ (c << 8 & (1 << bits) - 1)
+    return c
+
+
 def _ogg(b: memoryview, at: int) -> int:
+    """Pages with right check sums, from one that begins a stream to one that ends it."""
     p = at
-    while p + 27 <= len(b) and bytes(b[p : p + 4]) == b"OggS" and b[p + 4] == 0:
-        n = b[p + 26]
-        if p + 27 + n > len(b):
+    while p + 27 <= len(b) and bytes(b[p : p + 4]) == b"OggS" and b[p + 4] == 0 and (p > at or b[p + 5] & 2):
+        n = p + 27 + b[p + 26]
+        end = n + sum(b[p + 27 : n])
+        if n > len(b) or end > len(b):
             return 0
-        kind, p = b[p + 5], p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if p > len(b):
+        page = bytes(b[p : p + 22]) + bytes(4) + bytes(b[p + 26 : end])
+        if crc(page, CRC32, 32) != struct.unpack("<I", b[p + 22 : p + 26])[0]:
             return 0
-        if kind & 4:
-            return p - at
+        if b[p + 5] & 4:
+            return end - at
+        p = end
     return 0
 
 
+def _flac_frame(b: memoryview, p: int) -> tuple[int, int] | None:
+    """(length of a frame's header, its samples) where one with a right check sum stands at p."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8:
+        return None
+    size, rate = b[p + 2] >> 4, b[p + 2] & 15
+    if size == 0 or rate == 15 or b[p + 3] >> 4 > 10 or b[p + 3] & 1:
+        return None
+    lead = b[p + 4]
+    n = p + 5 + (0 if lead < 0x80 else next((i for i in range(1, 7) if not lead << (i + 1) & 0x80), 6))
+    samples = 192 if size == 1 else 144 << size if size <= 5 else 0 if size <= 7 else 1 << size
+    for code, extra in ((6, 1), (7, 2)):
+        if size == code:
+            samples = int.from_bytes(b[n : n + extra], "big") + 1
+            n += extra
+    n += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if n >= len(b):
+        return None
+    return (n + 1 - p, samples) if crc(b[p:n], CRC8, 8) == b[n] else None
+
+
 def _flac(b: memoryview, at: int) -> int:
-    """Frames carry no length: a valid stream reaches to the end of the bytes."""
-    return len(b) - at if at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and bytes(b[at + 5 : at + 8]) == b"\0\0\x22" else 0
+    """Stream information, further blocks, then frames up to the samples that it says (of an unknown number, all frames there are); a frame
+    ends where its check sum comes out and the next frame, or nothing more, is due."""
+    p, total, last = at + 4, None, False
+    while not last:
+        if p + 4 > len(b):
+            return 0
+        kind, n = b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
+        if kind == 127 or p + 4 + n > len(b) or (total is None) != (kind == 0) or (kind == 0 and n != 34):
+            return 0
+        if kind == 0:
+            total = int.from_bytes(b[p + 17 : p + 22], "big") & 0xFFFFFFFFF
+        last, p = bool(b[p] & 0x80), p + 4 + n
+    done, end = 0, 0
+    while frame := _flac_frame(b, p):
+        done += frame[1]
+        check, end = 0, 0
+        for q in range(p, len(b)):
+            check = (check << 8 & 0xFFFF) ^ CRC16[check >> 8 ^ b[q]]
+            if check == 0 and q >= p + frame[0] + 2 and (q + 1 == len(b) or (total and done >= total) or _flac_frame(b, q + 1)):
+                end = q + 1
+                break
+        if not end:
+            return 0
+        p = end
+        if total and done >= total:
+            break
+    return end - at if end and (not total or done >= total) else 0
+
+
+#: fixed values: the kinds of boxes at the top of the container
+BOXES = {b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"uuid", b"moof", b"mfra", b"sidx", b"ssix", b"styp", b"meta", b"pdin", b"emsg", b"prft"}
 
 
 def _mp4(b: memoryview, at: int) -> int:
-    p, boxes = at, 0
+    """A file type box with its brands, then boxes of known kinds, with a movie or a fragment among them; a length of 1 is followed
+    by one of 64 bits, one of 0 reaches to the end."""
+    p, seen = at, []
     while p + 8 <= len(b):
         n, kind = struct.unpack(">I4s", b[p : p + 8])
-        if n < 8 or p + n > len(b) or not all(32 <= c < 127 for c in kind):
+        if n == 1 and p + 16 <= len(b):
+            n = struct.unpack(">Q", b[p + 8 : p + 16])[0]
+        elif n == 0 and kind == b"mdat":
+            n = len(b) - p
+        if kind not in BOXES or n < 8 or p + n > len(b) or (not seen and (kind != b"ftyp" or n < 16 or n % 4)):
             break
-        p, boxes = p + n, boxes + 1
-    return p - at if boxes >= 2 else 0
+        seen.append(kind)
+        p += n
+    return p - at if {b"moov", b"moof"} & set(seen) else 0
 
 
 VALIDATORS = {
