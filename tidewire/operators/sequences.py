@@ -98,12 +98,19 @@ def islands(rows: DataFrame, group: list[str], number: str) -> DataFrame:
     return x.groupBy(*group, "_g").agg(F.min(number).alias("start"), F.max(number).alias("stop"), F.count(F.lit(1)).alias("n")).drop("_g")
 
 
+def shared_lists(lists: DataFrame, key: str, values: str) -> DataFrame:
+    """lists with id, the smallest key that has the same list. Lists meet by their 64-bit hash and are told apart by themselves, so two
+    lists of one hash stay two; a sort compares hashes before lists."""
+    x = lists.withColumn("_h", F.xxhash64(values))
+    return x.withColumn("id", F.min(key).over(Window.partitionBy("_h", values))).drop("_h")
+
+
 def dictionary_encode(rows: DataFrame, group: str, pos: str, values: list[str]) -> tuple[DataFrame, DataFrame]:
     """(dictionary, members): each distinct ordered list of values once, with the smallest group that has it as its id."""
     item = F.struct(F.col(pos), *values)
     lists = rows.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("l")).select(group, F.transform("l", lambda s: F.struct(*[s[v].alias(v) for v in values])).alias("list"))
-    members = lists.withColumn("id", F.min(group).over(Window.partitionBy("list")))
-    book = lists.groupBy("list").agg(F.min(group).alias("id"), F.count(F.lit(1)).alias("n")).select("id", "list", "n")
+    members = shared_lists(lists, group, "list")
+    book = lists.groupBy(F.xxhash64("list").alias("_h"), "list").agg(F.min(group).alias("id"), F.count(F.lit(1)).alias("n")).select("id", "list", "n")
     return book, members.select(group, "id")
 
 

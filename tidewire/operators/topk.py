@@ -9,13 +9,19 @@ from ..functions import geo
 from .tables import materialise
 
 
+SALTS = 16  # parts of a group that are cut to what may be on its board before they meet
+
+
 def board(rows: DataFrame, group: list[str], order: list[str], in_window: str, limit: int = 40, least: int = 10) -> DataFrame:
-    """Per group the first limit rows inside the window; where these are fewer than least, the first least rows of all."""
-    by = Window.partitionBy(*group)
+    """Per group the first limit rows inside the window; where these are fewer than least, the first least rows of all. Parts of a
+    group are cut to limit and least rows first, so the rows of the busiest group are never sorted in one task."""
     inside = F.col(in_window)
-    x = rows.withColumns({
-        "_w": F.sum(inside.cast("int")).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)),
-        "_a": F.row_number().over(by.orderBy(*order)), "_n": F.sum(inside.cast("int")).over(by)})
+    upto = lambda w: F.sum(inside.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    part = Window.partitionBy(*group, "_s").orderBy(*order)
+    x = rows.withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(SALTS))).withColumns({"_w": upto(part), "_a": F.row_number().over(part)})
+    x = x.where((inside & (F.col("_w") <= limit)) | (F.col("_a") <= least)).drop("_s")
+    by = Window.partitionBy(*group)
+    x = x.withColumns({"_w": upto(by.orderBy(*order)), "_a": F.row_number().over(by.orderBy(*order)), "_n": F.sum(inside.cast("int")).over(by)})
     enough = F.least(F.col("_n"), F.lit(limit)) >= least
     return x.where((enough & inside & (F.col("_w") <= limit)) | (~enough & (F.col("_a") <= least))).drop("_w", "_a", "_n")
 

@@ -901,8 +901,7 @@ def q10(spark, d):
     delays = seq.carry_forward(u, ["trip_id"], "pos", F.lit(None).cast("int"), plausible, F.col("event_type") == "error")
     delays = delays.select("trip_id", F.col("pos").cast("int").alias("pos"), F.col("dep_delay").alias("delay"))
     s = view(spark, d, "dv_stop_times")
-    last = F.max("pos").over(Window.partitionBy("trip_id"))
-    calls = s.withColumn("_last", last).where("pos < _last AND dep_s BETWEEN 25200 AND 122400").join(view(spark, d, "dv_stops").select("stop_id", "station_id"), "stop_id")
+    calls = s.where("pos < last_pos AND dep_s BETWEEN 25200 AND 122400").join(view(spark, d, "dv_stops").select("stop_id", "station_id"), "stop_id")
     calls = calls.join(view(spark, d, "dv_trips").select("trip_id", "line", "mode"), "trip_id").join(delays, ["trip_id", "pos"], "left")
     x = calls.select("station_id", "trip_id", "pos", "line", "mode", F.col("dep_s").alias("planned"), "delay", (F.col("dep_s") + F.coalesce("delay", F.lit(0))).alias("expected"))
     x = x.where(F.col("expected").between(36_000 - 30, 122_400)).withColumn("w", (F.col("planned") <= 43_200) & (F.col("expected") <= 43_200))

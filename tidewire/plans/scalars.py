@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, realtime, text, time
+from ..operators.sequences import shared_lists
 from .registry import query
 from .transit import duck, table, view
 
@@ -313,3 +314,10 @@ def o07(spark, d):
     """Places in curve order; tested against a plain loop."""
     s = view(spark, d, "dv_stops").select("stop_id", geo.half_up(F.col("lat") * 1e5).alias("lat5"), geo.half_up(F.col("lon") * 1e5).alias("lon5"))
     return s.withColumn("along", geo.curve_of(F.col("lat5"), F.col("lon5"))).orderBy("along", "stop_id")
+
+
+@query("m03_shared_lists", duck("SELECT trip_id, min(trip_id) OVER (PARTITION BY l) AS id FROM (SELECT trip_id, list(stop_id ORDER BY pos) AS l FROM {dv_stop_times} GROUP BY trip_id)"))
+def m03(spark, d):
+    """The trips of each list of stops, by the list's hash, told apart where hashes collide."""
+    l = view(spark, d, "dv_stop_times").groupBy("trip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stop_id"))), lambda x: x["stop_id"]).alias("l"))
+    return shared_lists(l, "trip_id", "l").select("trip_id", "id")
