@@ -21,14 +21,14 @@ def agreed(rows: DataFrame, group: list[str], delay: str, reported: str) -> Data
     return top.select(*group, F.when(F.col("_o") > 0, F.col("_own")).otherwise(F.col("_all")).alias("agreed"))
 
 
-def upper_median(c: Column) -> Column:
-    """The middle value, the upper of two. The values of a group are collected: groups are a day's departures."""
-    listed = F.array_sort(F.collect_list(c))
-    return F.element_at(listed, (F.size(listed) / 2).cast("int") + 1)
+def upper_median(value: str) -> Column:
+    """The middle value of an expression, the upper of two: the lower one of its negatives. An aggregate keeps distinct values with
+    their counts, and parts of a group are aggregated where they lie."""
+    return F.expr(f"-percentile_disc(0.5) WITHIN GROUP (ORDER BY -({value}))")
 
 
-def minutes_median(c: Column) -> Column:
-    return half_up(upper_median(c) / 60)
+def minutes_median(value: str) -> Column:
+    return half_up(upper_median(value) / 60)
 
 
 def calls_per_stop(members: DataFrame, book: DataFrame) -> DataFrame:

@@ -517,4 +517,4 @@ def v15(spark, d):
 
 @query("a17_median_by_day", duck("SELECT agency, list_sort(list(n))[len(list(n)) // 2 + 1] AS median FROM (SELECT agency, service_date, count(*) AS n FROM {dv_trips} GROUP BY ALL) GROUP BY agency"))
 def a17b(spark, d):
-    return view(spark, d, "dv_trips").groupBy("agency", "service_date").count().groupBy("agency").agg(ag.upper_median(F.col("count")).alias("median"))
+    return view(spark, d, "dv_trips").groupBy("agency", "service_date").count().groupBy("agency").agg(ag.upper_median("count").cast("long").alias("median"))

@@ -43,7 +43,7 @@ def j03(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "benchmark"), F.col("doc_id") == F.col("item_id")).select("doc_id", "item_id")
 
 
-@query("j04_semi_join_pushdown", duck(f"SELECT * FROM {{dv_stop_times}} WHERE trip_id IN (SELECT s.trip_id FROM {_R} WHERE in_region)"))
+@query("j04_semi_join_pushdown", duck(f"SELECT trip_id, pos, stop_id, arr_s, dep_s FROM {{dv_stop_times}} WHERE trip_id IN (SELECT s.trip_id FROM {_R} WHERE in_region)"))
 def j04(spark, d):
     return joins.keep_groups_touching(view(spark, d, "dv_stop_times"), "trip_id", view(spark, d, "dv_stops").where("in_region"), "stop_id").select("trip_id", "pos", "stop_id", "arr_s", "dep_s")
 
@@ -520,7 +520,7 @@ def a13(spark, d):
 @query("a14_upper_median", duck(f"SELECT line, list_sort(list(end_s - start_s))[len(list(end_s)) // 2 + 1] AS median FROM ({_SPANS}) JOIN {{dv_trips}} USING (trip_id) GROUP BY line"))
 def a14(spark, d):
     j = _spans(spark, d).join(view(spark, d, "dv_trips"), "trip_id")
-    return j.groupBy("line").agg(ag.upper_median(F.col("end_s") - F.col("start_s")).alias("median"))
+    return j.groupBy("line").agg(ag.upper_median("end_s - start_s").cast("int").alias("median"))
 
 
 @query("a15_distinct_sorted", duck("SELECT user_id, list_sort(list(DISTINCT event_type)) AS kinds FROM {events} GROUP BY user_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, text
 from ..operators import aggregates as ag
-from ..operators import frequency, joins, map_view, routing, vehicles
+from ..operators import frequency, graph, joins, map_view, routing, vehicles
 from ..operators import sequences as seq
 from . import frequency_sql
 from .registry import query
@@ -33,11 +33,16 @@ def q04(spark, d):
 
 
 @query("q05_coupling_units", duck("""
-WITH h AS (SELECT trip_id, from_id, to_id, from_dep, min(trip_id) OVER (PARTITION BY from_id, to_id, from_dep // 1800) AS unit FROM {dv_hops} WHERE 36000 BETWEEN from_dep AND to_arr) SELECT trip_id, unit FROM h"""))
+WITH RECURSIVE h AS (SELECT trip_id, from_id, to_id, from_dep, to_arr, mode, year(service_date) AS day FROM {dv_hops} JOIN {dv_trips} USING (trip_id) WHERE 36000 BETWEEN from_dep AND to_arr),
+e AS (SELECT DISTINCT a.trip_id AS a, b.trip_id AS b FROM h a JOIN h b USING (from_id, to_id, from_dep, to_arr, mode, day)),
+r AS (SELECT DISTINCT trip_id, trip_id AS seen FROM h UNION SELECT r.trip_id, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT trip_id, min(seen) AS unit FROM r GROUP BY trip_id"""))
 def q05(spark, d):
-    h = view(spark, d, "dv_hops").where(f"{NOW} BETWEEN from_dep AND to_arr")
-    w = Window.partitionBy("from_id", "to_id", F.floor(F.col("from_dep") / 1800))
-    return h.select("trip_id", F.min("trip_id").over(w).alias("unit"))
+    """Trips that travel a hop at the same times, in one mode and on one day, are coupled, and so are those coupled with them. Days are
+    years here, as the tables have few trips a day."""
+    h = view(spark, d, "dv_hops").where(f"{NOW} BETWEEN from_dep AND to_arr").join(view(spark, d, "dv_trips"), "trip_id")
+    h = h.select("trip_id", "mode", F.year("service_date").alias("day"), F.struct("from_id", "to_id", "from_dep", "to_arr").alias("hop"))
+    return graph.group_by_shared(h, "trip_id", "hop", ["mode", "day"]).select("trip_id", F.col("root").alias("unit"))
 
 
 @query("q06_knots", duck(f"""
@@ -131,7 +136,7 @@ def q20(spark, d):
 @query("q24_along_minutes", duck("SELECT line, CAST(floor(list_sort(list(d))[len(list(d)) // 2 + 1] / 60.0e0 + 0.5e0) AS BIGINT) AS minutes FROM (SELECT trip_id, max(arr_s) - min(dep_s) AS d FROM {dv_stop_times} GROUP BY trip_id) JOIN {dv_trips} USING (trip_id) GROUP BY line"))
 def q24(spark, d):
     s = view(spark, d, "dv_stop_times").groupBy("trip_id").agg((F.max("arr_s") - F.min("dep_s")).alias("d"))
-    return s.join(view(spark, d, "dv_trips"), "trip_id").groupBy("line").agg(ag.minutes_median(F.col("d")).alias("minutes"))
+    return s.join(view(spark, d, "dv_trips"), "trip_id").groupBy("line").agg(ag.minutes_median("d").alias("minutes"))
 
 
 @query("q25_days_said", duck("SELECT agency, min(few) AS few, max(few) AS many, min(first) AS first, max(last) AS last FROM (SELECT agency, service_date, count(*) AS few, min(dep_s) AS first, max(dep_s) AS last FROM {dv_stop_times} JOIN {dv_trips} USING (trip_id) WHERE pos = 0 GROUP BY ALL) GROUP BY agency"))
