@@ -307,7 +307,8 @@ def jaccard_join(df: DataFrame, key: str, text: str, k: int = 5, num: int = 80,
     pairs = materialise(two.where(sizes).select(F.col("a.ref").alias("src"), F.col("b.ref").alias("dst")).distinct(), "pairs")
     hubs = materialise(hubs, "hubs")
     asked = pairs.unionByName(hubs).select(F.explode(F.array("src", "dst")).alias("ref")).distinct()
-    texts = docs.groupBy("ref").agg(F.first("text").alias("text")).join(asked, "ref", "left_semi")  # copies meet where they are read
+    # copies meet where they are read; asked has each key once, and an inner join stays above the aggregate, whatever its size
+    texts = docs.groupBy("ref").agg(F.first("text").alias("text")).join(asked, "ref")
     texts = materialise(texts.mapInArrow(*_orders(k, num, den)), "texts")
     for end in ("src", "dst"):
         pairs = pairs.join(texts.select(F.col("ref").alias(end), F.struct("one", "two").alias(f"of_{end}")), end)
