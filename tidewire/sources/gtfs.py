@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import time
 from ..functions.text import tidy_name
 from ..operators import joins, sequences, sets
+from .store import open_file
 
 DATASET_VERSION = 1
 TABLES = {
@@ -26,25 +27,24 @@ TABLES = {
 }
 
 
-def unzip(spark: SparkSession, path: str, lines: int = 50_000) -> DataFrame:
-    """(file, part, text) of the text members of zip files: a member is read as a stream and cut at line ends, so a row is at most
-    so many lines whatever the member's size. The zip itself is one binary row; feeds of several GB are unpacked first."""
+def unzip(spark: SparkSession, path: str, lines: int = 50_000, only: str | None = None) -> DataFrame:
+    """(file, part, text) of the text members of a zip file, or of one of them: the driver reads the directory alone, each member is a task that
+    streams it and cuts it at line ends, so a row is at most so many lines, whatever the sizes of member and zip."""
+    with open_file(path) as f, zipfile.ZipFile(f) as z:
+        names = [n for n in z.namelist() if not n.endswith("/") and only in (None, n)]
 
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for content in f["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.endswith("/"):
-                            continue
-                        with z.open(name) as raw:
-                            text = io.TextIOWrapper(raw, "utf-8-sig", newline=None)
-                            part = 0
-                            while rows := [line for _, line in zip(range(lines), text, strict=False)]:
-                                yield pd.DataFrame({"file": [name], "part": [part], "text": ["".join(rows)]})
-                                part += 1
+        for frame in frames:
+            for name in frame["file"]:
+                with open_file(path) as f, zipfile.ZipFile(f) as z, z.open(name) as raw:
+                    text = io.TextIOWrapper(raw, "utf-8-sig", newline=None)
+                    part = 0
+                    while rows := [line for _, line in zip(range(lines), text, strict=False)]:
+                        yield pd.DataFrame({"file": [name], "part": [part], "text": ["".join(rows)]})
+                        part += 1
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(members, "file string, part int, text string")
+    files = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, len(names)))
+    return files.mapInPandas(members, "file string, part int, text string")
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -53,7 +53,7 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     missing optional one is empty. line is the row's place in the file."""
     needed, optional = TABLES[table]
     if path.endswith(".zip"):
-        parts = unzip(spark, path).where(F.col("file") == f"{table}.txt")
+        parts = unzip(spark, path, only=f"{table}.txt")
         rows = parts.select("part", F.posexplode(F.split("text", r"\r?\n")).alias("n", "value"))
         rows = rows.select((F.col("part").cast("long") * 1_000_000 + F.col("n")).alias("line"), "value").where(F.col("value") != "")
     else:

@@ -6,12 +6,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import ways
 from .gtfs_rt import fields
+from .store import open_file
 
 KINDS = {
     "node": "id BIGINT, lat7 BIGINT, lon7 BIGINT",
@@ -24,13 +26,6 @@ KIND_FIELDS = {"node": 2, "way": 3, "relation": 4}  # of a block's groups
 ORDER = ["node", "way", "relation"]  # of the kinds in a file that says it is sorted
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return system.open_input_file(inner)
-
-
 def _blob(f, at: int, size: int) -> bytes:
     got = dict(fields(f.read_at(size, at)))
     return zlib.decompress(got[3]) if 3 in got else got[1]
@@ -39,7 +34,7 @@ def _blob(f, at: int, size: int) -> bytes:
 def blobs(path: str) -> tuple[list[tuple[int, int]], bool]:
     """((offset, size) of the data blobs, whether the file says that it is sorted by type, then id): only headers are read."""
     out, is_sorted = [], False
-    with _open(path) as f:
+    with open_file(path) as f:
         at, end = 0, f.size()
         while at < end:
             (n,) = struct.unpack(">i", f.read_at(4, at))
@@ -63,7 +58,7 @@ def kinds_of(raw: bytes) -> list[str]:
 def span_of(path: str, spans: list[tuple[int, int]], kind: str) -> list[tuple[int, int]]:
     """The blobs of a sorted file that may hold a kind: both ends of the range are found by halving, so about twice log2 of the blobs
     are read and all others are skipped unread."""
-    with _open(path) as f:
+    with open_file(path) as f:
         seen: dict[int, int] = {}
 
         def holds(i: int, last: bool) -> int:
@@ -87,28 +82,20 @@ def span_of(path: str, spans: list[tuple[int, int]], kind: str) -> list[tuple[in
     return spans[start:stop]
 
 
-def zigzag(v: int) -> int:
-    return (v >> 1) ^ -(v & 1)
-
-
-def packed(data: bytes) -> list[int]:
-    out, value, shift = [], 0, 0
-    for b in data:
-        value |= (b & 0x7F) << shift
-        if b < 0x80:
-            out.append(value)
-            value = shift = 0
-        else:
-            shift += 7
-    return out
+def packed(data: bytes) -> np.ndarray:
+    """The numbers of a packed field: each byte's seven bits, shifted by its place in its number."""
+    x = np.frombuffer(data, np.uint8)
+    if not len(x):
+        return np.empty(0, np.int64)
+    starts = np.r_[0, np.flatnonzero(x < 0x80)[:-1] + 1]
+    place = np.arange(len(x)) - np.repeat(starts, np.diff(np.r_[starts, len(x)]))
+    return np.add.reduceat((x & 0x7F).astype(np.uint64) << (7 * place).astype(np.uint64), starts).view(np.int64)
 
 
-def running(numbers: list[int]) -> list[int]:
-    out, total = [], 0
-    for n in numbers:
-        total += zigzag(n)
-        out.append(total)
-    return out
+def running(data: bytes) -> list[int]:
+    """A packed field of zigzag steps as running sums."""
+    n = packed(data)
+    return np.cumsum((n >> 1) ^ -(n & 1)).tolist()
 
 
 def block_rows(raw: bytes, kind: str, keys: frozenset[str] = frozenset()) -> Iterator[tuple]:
@@ -135,27 +122,27 @@ def block_rows(raw: bytes, kind: str, keys: frozenset[str] = frozenset()) -> Ite
         return
 
     def tags(got: dict) -> dict[str, str] | None:
-        at = packed(got.get(2, b""))
+        at = packed(got.get(2, b"")).tolist()
         if keys and wanted.isdisjoint(at):
             return None
-        return {texts[k]: texts[v] for k, v in zip(at, packed(got.get(3, b"")), strict=True)}
+        return {texts[k]: texts[v] for k, v in zip(at, packed(got.get(3, b"")).tolist(), strict=True)}
 
     for group in groups:
         for n, v in fields(group):
             if n == 2 and kind == "node":
                 got = dict(fields(v))
-                for i, lat, lon in zip(*[running(packed(got[k])) for k in (1, 8, 9)], strict=True):
+                for i, lat, lon in zip(*[running(got[k]) for k in (1, 8, 9)], strict=True):
                     yield i, (lat0 + grain * lat) // 100, (lon0 + grain * lon) // 100
             elif n == 3 and kind == "way":
                 got = dict(fields(v))
                 if (own := tags(got)) is not None:
-                    yield got[1], running(packed(got.get(8, b""))), own
+                    yield got[1], running(got.get(8, b"")), own
             elif n == 4 and kind == "relation":
                 got = dict(fields(v))
                 if (own := tags(got)) is None:
                     continue
                 names = ["node", "way", "relation"]
-                members = [{"kind": names[t], "ref": r, "role": texts[s]} for s, r, t in zip(packed(got.get(8, b"")), running(packed(got.get(9, b""))), packed(got.get(10, b"")), strict=True)]
+                members = [{"kind": names[t], "ref": r, "role": texts[s]} for s, r, t in zip(packed(got.get(8, b"")).tolist(), running(got.get(9, b"")), packed(got.get(10, b"")).tolist(), strict=True)]
                 yield got[1], own, members
 
 
@@ -175,7 +162,7 @@ class _Reader(DataSourceReader):
         return [_Part(spans[i : i + BLOCKS]) for i in range(0, len(spans), BLOCKS)] or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        with _open(self.path) as f:
+        with open_file(self.path) as f:
             for at, size in partition.spans:
                 yield from block_rows(_blob(f, at, size), self.kind, self.keys)
 
