@@ -7,15 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import materialise
+
 SHORT_WAIT, FEW = 15, 3  # minutes up to which a wait is said as such; departures an hour up to which they are counted
 LEAST_HOURS = 3  # of a stretch
 RUN = "struct<from:int,to:int,kind:string,low:int,high:int>"
 
 
 def gaps(rows: DataFrame, group: list[str], day: str, minute: str) -> DataFrame:
-    """(group, day, h, n, least, longest, before, closes, reaches, exact): what one day's departures say of an hour that they run through.
+    """(group, day, h, first, n, least, longest, before, closes, reaches, exact): what one day's departures say of an hour that they run through.
 
-    n departures; the least and longest wait after one (across the hour if there is none); before: the wait before each, if it is the
+    The first of n departures; the least and longest wait after one (across the hour if there is none); before: the wait before each, if it is the
     same for all; then whether the wait after the hour's last is at most that (closes), or else would reach the hour's end (reaches), or is
     just that (exact). Days of one departure say nothing."""
     by_day = [*group, day]
@@ -26,12 +28,12 @@ def gaps(rows: DataFrame, group: list[str], day: str, minute: str) -> DataFrame:
     after = F.floor((F.col("m") + F.col("on")) / 60).cast("int")
     empty = x.where(after > F.col("h") + 1).select(*by_day, F.explode(F.sequence(F.col("h") + 1, after - 1)).alias("h"), "on")
     own = x.groupBy(*by_day, "h").agg(
-        F.count(F.lit(1)).cast("int").alias("n"), F.min("on").alias("least"), F.max("on").alias("longest"), F.max("m").alias("m"), F.max_by("on", "m").alias("wait"),
+        F.min("m").alias("first"), F.count(F.lit(1)).cast("int").alias("n"), F.min("on").alias("least"), F.max("on").alias("longest"), F.max("m").alias("m"), F.max_by("on", "m").alias("wait"),
         F.when((F.min("back") == F.max("back")) & (F.count("back") == F.count(F.lit(1))), F.min("back")).alias("before"))
     own = own.select(
-        *by_day, "h", "n", "least", "longest", "before", (F.col("wait") <= F.col("before")).alias("closes"),
+        *by_day, "h", "first", "n", "least", "longest", "before", (F.col("wait") <= F.col("before")).alias("closes"),
         (F.col("m") + F.col("before") >= (F.col("h") + 1) * 60).alias("reaches"), (F.col("wait") == F.col("before")).alias("exact"))
-    nothing = {"n": F.lit(0), "least": F.col("on"), "longest": F.col("on"), "before": F.lit(None).cast("int")} | {c: F.lit(False) for c in ("closes", "reaches", "exact")}
+    nothing = {"first": F.lit(None).cast("int"), "n": F.lit(0), "least": F.col("on"), "longest": F.col("on"), "before": F.lit(None).cast("int")} | {c: F.lit(False) for c in ("closes", "reaches", "exact")}
     return own.unionByName(empty.withColumns(nothing).drop("on"))
 
 
@@ -51,10 +53,9 @@ def hours(rows: DataFrame, group: list[str], day: str, minute: str) -> DataFrame
     every: all waits are the same (beat), and several departures leave or the wait is in whole hours; none: no departure; atMost: more than FEW
     departures and waits up to SHORT_WAIT; perHour: the fewest and most departures. An hour that keeps the beat of the hours before or
     after it is on it too."""
-    each = gaps(rows, group, day, minute)
-    span = each.groupBy(*group, day).agg(F.min("h").alias("a"), F.max("h").alias("b"))
-    first = rows.groupBy(*group, day).agg(F.min(F.col(minute).cast("int")).alias("m"))
-    span = span.join(first, [*group, day]).groupBy(*group).agg(F.max(F.ceil(F.col("m") / 60).cast("int")).alias("a"), F.min("b").alias("b"))
+    each = materialise(gaps(rows, group, day, minute), "gaps")
+    span = each.groupBy(*group, day).agg(F.min("first").alias("m"), F.max("h").alias("b"))
+    span = span.groupBy(*group).agg(F.max(F.ceil(F.col("m") / 60).cast("int")).alias("a"), F.min("b").alias("b"))
     x = each.groupBy(*group, "h").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("least").alias("least"), F.max("longest").alias("longest"),
         F.when((F.min("before") == F.max("before")) & (F.count("before") == F.count(F.lit(1))), F.min("before")).alias("keeps"),

@@ -130,6 +130,18 @@ def first_of_name(stations: DataFrame, name: str, key: str, service: str, lat: s
     return stations.groupBy(name).agg(F.min_by(key, order).alias(key))
 
 
+def towns_along(calls: DataFrame) -> DataFrame:
+    """calls (trip_id, pos, town_id) with town: that of each call, null on trips that stay in one town."""
+    by = Window.partitionBy("trip_id")
+    return calls.withColumn("town", F.when(F.min("town_id").over(by) != F.max("town_id").over(by), F.col("town_id")))
+
+
+def headsigns(calls: DataFrame, own: Column, name: str) -> DataFrame:
+    """calls (trip_id, pos) with sign: the call's own, else the name of the trip's last stop."""
+    whole = Window.partitionBy("trip_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return calls.withColumn("sign", F.coalesce(own, F.last(name).over(whole)))
+
+
 def day_holds(today: Column, day: Column, now: Column, last: Column) -> Column:
     """Whether what is said of a service day still holds: on that date, and on the one after it up to its last departure."""
     return day.isNull() | (today <= day) | (F.coalesce((today == F.date_add(day, 1)) & (now <= last), F.lit(False)))

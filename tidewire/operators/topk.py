@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -26,6 +26,12 @@ def board(rows: DataFrame, group: list[str], order: list[str], in_window: str, l
     return x.where((enough & inside & (F.col("_w") <= limit)) | (~enough & (F.col("_a") <= least))).drop("_w", "_a", "_n")
 
 
+def first_rows(rows: DataFrame, group: list[str], order: list[Column | str], k: int) -> DataFrame:
+    """The first k rows of each group; Spark cuts groups to k rows before they are shuffled."""
+    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return rows.withColumn("_n", n).where(F.col("_n") <= k).drop("_n")
+
+
 def merged_board(rows: DataFrame, source: str, leaves: str, least: int, order: list[str]) -> DataFrame:
     """Boards of several stops as one, cut where the first full board ends (boards of fewer than least rows reach as far as asked)."""
     ends = rows.groupBy(source).agg(F.max(leaves).alias("e"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).agg(F.min("e").alias("_cut"))

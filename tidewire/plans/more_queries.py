@@ -123,17 +123,15 @@ def o12(spark, d):
 
 @query("x06_towns_along", duck("SELECT s.trip_id, s.pos, CASE WHEN min(town_id) OVER (PARTITION BY s.trip_id) <> max(town_id) OVER (PARTITION BY s.trip_id) THEN town_id END AS town FROM {dv_stop_times} s JOIN {dv_stops} st ON st.stop_id = s.stop_id"))
 def x06(spark, d):
-    w = Window.partitionBy("trip_id")
     s = view(spark, d, "dv_stop_times").join(view(spark, d, "dv_stops"), "stop_id")
-    return s.select("trip_id", "pos", F.when(F.min("town_id").over(w) != F.max("town_id").over(w), F.col("town_id")).alias("town"))
+    return lines.towns_along(s).select("trip_id", "pos", "town")
 
 
 @query("x13_headsign_at", duck("SELECT s.trip_id, s.pos, CASE WHEN s.trip_id % 2 = 0 THEN 'via ' || CAST(s.pos AS VARCHAR) ELSE last_value(st.name) OVER (PARTITION BY s.trip_id ORDER BY s.pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS sign FROM {dv_stop_times} s JOIN {dv_stops} st ON st.stop_id = s.stop_id"))
 def x13(spark, d):
-    w = Window.partitionBy("trip_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = view(spark, d, "dv_stop_times").join(view(spark, d, "dv_stops"), "stop_id")
     own = F.when(F.col("trip_id") % 2 == 0, F.concat(F.lit("via "), F.col("pos").cast("string")))
-    return s.select("trip_id", "pos", F.coalesce(own, F.last("name").over(w)).alias("sign"))
+    return lines.headsigns(s, own, "name").select("trip_id", "pos", "sign")
 
 
 @query("x19_language_pick", duck("SELECT lang, coalesce(min(doc_id) FILTER (WHERE source = 'src1'), min(doc_id)) AS doc_id FROM {documents} GROUP BY lang"))

@@ -361,8 +361,8 @@ def w14(spark, d):
 
 @query("w15_top_k_per_group", duck("SELECT o_custkey, o_orderkey FROM {orders} QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3"))
 def w15(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("n")).where("n <= 3").drop("n")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return topk.first_rows(o, ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3).select("o_custkey", "o_orderkey")
 
 
 @query("w16_trip_order", duck(f"SELECT trip_id, row_number() OVER (PARTITION BY service_date ORDER BY start_s, trip_id) AS by_start, row_number() OVER (PARTITION BY service_date ORDER BY end_s, trip_id) AS by_end FROM ({_SPANS}) JOIN {{dv_trips}} USING (trip_id)"))

@@ -309,9 +309,17 @@ def f10(spark, d):
     return view(spark, d, "dv_trips").where(text.in_choice(keys, F.col("mode"), F.lit("x"), F.col("agency").cast("string"))).select("trip_id")
 
 
-@query("o07_hilbert_order")
+@query("o07_hilbert_order", duck("""
+WITH RECURSIVE p AS (SELECT stop_id, CAST(floor(lat * 1e5 + 0.5e0) AS BIGINT) AS lat5, CAST(floor(lon * 1e5 + 0.5e0) AS BIGINT) AS lon5 FROM {dv_stops}),
+w AS (
+  SELECT stop_id, lon5 + 18000000 AS x, lat5 + 9000000 AS y, CAST(0 AS BIGINT) AS along, 25 AS b FROM p
+  UNION ALL
+  SELECT stop_id, CASE WHEN ry = 1 THEN x WHEN rx = 1 THEN 67108863 - y ELSE y END, CASE WHEN ry = 1 THEN y WHEN rx = 1 THEN 67108863 - x ELSE x END, along * 4 + xor(3 * rx, ry), b - 1
+  FROM (SELECT *, (x >> b) & 1 AS rx, (y >> b) & 1 AS ry FROM w WHERE b >= 0) v
+)
+SELECT stop_id, lat5, lon5, along FROM p JOIN w USING (stop_id) WHERE b = -1"""))
 def o07(spark, d):
-    """Places in curve order; tested against a plain loop."""
+    """Places in curve order."""
     s = view(spark, d, "dv_stops").select("stop_id", geo.half_up(F.col("lat") * 1e5).alias("lat5"), geo.half_up(F.col("lon") * 1e5).alias("lon5"))
     return s.withColumn("along", geo.curve_of(F.col("lat5"), F.col("lon5"))).orderBy("along", "stop_id")
 

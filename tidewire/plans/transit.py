@@ -47,15 +47,16 @@ def names_in(text: str) -> list[str]:
     return [n for n in dict.fromkeys(re.findall(r"\{(\w+)\}", text)) if n in TABLES or n in VIEWS]
 
 
+ONCE = {"dv_stop_times", "dv_trips", "dv_hops"}
 _derived: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view, or a table, as a DataFrame. The calls, which nearly all other views and queries are over, are derived once a session
-    and folder of tables, and read back from then on."""
+    """A derived view, or a table, as a DataFrame. Calls, trips and hops, which nearly all queries are over, are derived once a session and
+    folder of tables, and read back from then on."""
     if name not in VIEWS:
         return table(spark, sf_dir, name)
-    if name == "dv_stop_times":
+    if name in ONCE:
         at = (spark.sparkContext.applicationId, sf_dir, name)
         if at not in _derived:
             text = VIEWS[name]

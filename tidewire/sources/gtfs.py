@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import time
 from ..functions.text import tidy_name
 from ..operators import joins, sequences, sets
+from ..operators.tables import materialise
 from .store import open_file
 
 DATASET_VERSION = 1
@@ -82,7 +83,7 @@ def import_feed(spark: SparkSession, path: str, box: tuple[float, float, float,
         "trip_id", F.col("stop_sequence").cast("int").alias("stop_seq"), "stop_id",
         time.parse_time(F.col("arrival_time")).alias("arr_s"), time.parse_time(F.col("departure_time")).alias("dep_s"), F.nullif("stop_headsign", F.lit("")).alias("headsign"))
     times = joins.keep_groups_touching(times, "trip_id", inside, "stop_id")
-    times = sequences.fill_times(times, ["trip_id"], "stop_seq", "arr_s", "dep_s")
+    times = materialise(sequences.fill_times(times, ["trip_id"], "stop_seq", "arr_s", "dep_s"), "stop_times")  # read by all that follows
     trips = read_table(spark, path, "trips").join(times.select("trip_id").distinct(), "trip_id", "left_semi")
     trips = trips.join(read_table(spark, path, "routes").drop("line"), "route_id").select(
         "trip_id", "route_id", "service_id", F.nullif("trip_headsign", F.lit("")).alias("headsign"), F.col("route_type").cast("int").alias("route_type"), F.col("route_short_name").alias("short"))
