@@ -360,8 +360,7 @@ def plain_jaccard(rows, k, num, den):
     return Counter((rows[i][0], len(sets[i]), min([x for x in low[find(i)] if x is not None], default=None)) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("block", [300, 400_000])
-@pytest.mark.parametrize("paired", [2, 32])
+@pytest.mark.parametrize(("block", "paired"), [(300, 2), (300, 32), (400_000, 32)])
 def test_jaccard_join(spark, docs, monkeypatch, block, paired):
     if block == 300:
         monkeypatch.setattr(ngram_join, "HOT", 4)
