@@ -27,7 +27,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     nothing reads again, go with it; the session's setting for that is put back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
