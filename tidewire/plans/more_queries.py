@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, paths, realtime, text, ways
 from ..operators import aggregates as ag
-from ..operators import frequency, graph, joins, lines, map_view, search, tracks, vehicles
+from ..operators import frequency, graph, joins, lines, map_view, search, towns, tracks, vehicles
 from ..operators import sequences as seq
 from ..operators.tables import materialise, shared_dir
 from ..sources import files, gtfs
@@ -313,12 +313,25 @@ def q29(spark, d):
     return s.select("stop_id", (F.floor(F.col("lat") / 0.05) + F.col("dy")).alias("ty"), (F.floor(F.col("lon") / 0.05) + F.col("dx")).alias("tx"))
 
 
-@query("q33_towns_of_stations", duck("SELECT stop_id, CASE WHEN lat BETWEEN 49.01 AND 49.05 AND lon BETWEEN 10.92 AND 10.97 THEN 2 ELSE 1 END AS town FROM {dv_stops} WHERE lat BETWEEN 48.99 AND 49.07 AND lon BETWEEN 10.89 AND 11.0"))
-def q33(spark, d):
-    from .relational import _areas
+#: areas as boxes: number, level, name, south, west, north, east; the last one's border is not whole
+BOXES = [
+    (1, 6, "District", 48.99, 10.89, 49.07, 11.0), (2, 8, "Town", 49.01, 10.92, 49.05, 10.97), (3, 8, "Village", 48.99, 10.89, 49.01, 10.92), (4, 6, "City", 48.99, 11.0, 49.09, 11.03),
+    (5, 4, "State", 48.9, 10.8, 49.2, 11.2), (6, 9, "Quarter", 49.0, 10.99, 49.1, 11.0), (7, 8, "Torn", 49.05, 10.89, 49.07, 10.92),
+]
+_IN = " WHEN ".join(f"lat >= {s}e0 AND lat < {n}e0 AND lon >= {w}e0 AND lon < {e}e0 THEN {k}" for k, level, _, s, w, n, e in sorted(BOXES, key=lambda b: -b[1]) if k in (2, 3, 4))
 
-    inside = joins.point_in_polygon(view(spark, d, "dv_stops"), ("lat", "lon"), "stop_id", _areas(spark), "area")
-    return inside.groupBy("stop_id").agg(F.max("area").alias("town"))  # the inner area has the larger number
+
+@query("q33_towns_of_stations", duck(f"""
+SELECT stop_id, t.area, t.name, t.district FROM (SELECT stop_id, CASE WHEN {_IN} END AS area FROM {{dv_stops}}) s
+JOIN (VALUES (2, 'Town', 'District'), (3, 'Village', 'District'), (4, 'City', NULL)) AS t(area, name, district) ON t.area = s.area"""))
+def q33(spark, d):
+    """Municipalities and a district without any are towns; the district and the state around them are none."""
+    areas = spark.createDataFrame([b[:3] for b in BOXES], "area int, level int, name string")
+    sides = [(k, *p, *q) for k, _, _, s, w, n, e in BOXES for p, q in (((s, w), (n, w)), ((n, w), (n, e)), ((n, e), (s, e)), ((s, e), (s, w)))]
+    edges = spark.createDataFrame(sides[:-1], "area int, lat1 double, lon1 double, lat2 double, lon2 double")
+    found = materialise(towns.among(areas, edges), "towns")
+    at = towns.of_stations(view(spark, d, "dv_stops"), "stop_id", found, edges)
+    return at.join(found, "area").select("stop_id", "area", "name", "district")
 
 
 @query("q32_fresh_hops_routed", duck("SELECT DISTINCT from_id, to_id FROM {dv_hops} EXCEPT SELECT from_id, to_id FROM {dv_hops} WHERE trip_id % 2 = 0"))
