@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import materialise, text_key
 
 LAST = (1 << 63) - 1
+SALTS = 16  # parts of the holders of a line
 WINDOW = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
@@ -147,6 +148,13 @@ def _windows(least_words: int):
     return run
 
 
+def _with_first(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """rows (h, doc, pos) with first, of held (h, first): each h of held stands SALTS times, so that the rows of a line that a third
+    of the corpus holds are dealt over as many tasks."""
+    salted = held.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).drop("salt")
+
+
 def _line(x: Column) -> Column:
     return F.trim(x)
 
@@ -161,7 +169,7 @@ def dedup_lines(df: DataFrame, key: str, text: str, least_words: int = 5) -> Dat
     or more are deleted from the later document. Blocks of short lines whose lines have other first holders, each on its own, are
     found by their windows (the shortest runs of neighbouring lines that reach least_words): a window that an earlier document holds
     is deleted too, so that a block goes whichever earlier document holds it. Counts are pre-aggregated by line; the joins on a line's hash
-    have one row a line on one side, so a line that a third of the corpus holds is a skewed probe side, which AQE splits.
+    have one row a line on one side and are salted, so a line that a third of the corpus holds is dealt over SALTS tasks.
 
     Null texts stay null and empty texts empty. Null keys come last, in their hash order. Rows of equal key and text are one
     document: all keep or lose the same lines. A document may lose all its lines: its text is then empty, and its row
@@ -176,7 +184,7 @@ def dedup_lines(df: DataFrame, key: str, text: str, least_words: int = 5) -> Dat
         .select("doc", "pos", text_key(_line(F.col("line"))).alias("h"), F.regexp_count(F.col("line"), F.lit(r"\S+")).alias("words"))
     )
     held = lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "first")
-    shared = materialise(lines.join(held, "h"), "lines")
+    shared = materialise(_with_first(lines, held), "lines")
     # copies of a row explode alike; a document's lines count once
     item = F.struct("pos", "h", "words")
     by_doc = shared.groupBy("doc").agg(F.array_sort(F.collect_set(item)).alias("lines"))
@@ -190,7 +198,7 @@ def dedup_lines(df: DataFrame, key: str, text: str, least_words: int = 5) -> Dat
     runs = some.select("doc.id", "doc.ref", "text").mapInArrow(_windows(least_words), "id long, ref long, h long, pos int, n int")
     runs = materialise(runs, "windows").withColumn("doc", F.struct("id", "ref"))
     known = runs.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "first")
-    known = runs.join(known, "h").where("doc > first")
+    known = _with_first(runs, known).where("doc > first")
     gone = gone.unionByName(known.select("id", "ref", F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1).alias("gone")))
     gone = gone.groupBy("id", "ref").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     row = F.struct(*kept)  # no name of the caller's can clash with one of ours
