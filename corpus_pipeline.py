@@ -11,14 +11,16 @@ from tidewire.llm import crf, line_dedup, mixing, ngram_join, packing
 from tidewire.llm.common import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_CERTAINTY = 0.5  # of a document's words: below it the field cannot tell their languages
+LEAST_CERTAINTY, LEAST_WORDS = 0.75, 8  # of a text's words, from so many on: below it the field cannot tell their languages
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words' languages are known, lang set to the largest; null texts, texts without letters and texts of words that the
-    field cannot tell go. Texts of several languages stay."""
+    field cannot tell (random letters, other scripts and languages) go. Texts of several languages stay, and so do texts of too few words to
+    tell."""
     found = crf.languages(docs.select(*COLUMNS), "doc_id", "text", "lang")
-    found = found.where((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_CERTAINTY))
+    told = (F.col("certainty") >= LEAST_CERTAINTY) | (F.regexp_count("text", F.lit(r"\p{L}+")) < LEAST_WORDS)
+    found = found.where((F.col("lang_pred") != "und") & told)
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

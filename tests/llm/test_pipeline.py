@@ -37,8 +37,9 @@ def test_language_rejects_only_what_has_none(stages):
 
 def test_texts_of_several_languages_stay(spark):
     said = {"en": "the dog and the cat are in the house ", "de": "der hund und die katze sind in dem haus ", "fr": "le chien avec les chats dans une maison "}
-    found = [(i, said[x] * 6, x, "s", 1) for i, x in enumerate(["en", "de", "fr"] * 12)] + [(100, " ".join(said.values()) * 4, None, "s", 1)]
-    out = STAGES["language_id"](spark, spark.createDataFrame(found, DOCS), "unused")
+    found = [(i, said[x] * 6, x, "s", 1) for i, x in enumerate(["en", "de", "fr"] * 12)] + [(100, " ".join(said.values()) * 4, None, "s", 1), (101, "Qzx.", None, "s", 1)]
+    junk = [(200, "Это просто русский текст для проверки этого правила, и он довольно длинный " * 3, None, "s", 1), (201, " ".join("qzxkvjwq xkqzjvw vqxzkj zzqkxv wqjvxk kxqzvj jqvwkz xqzkvj qxjwkv".split()) * 3, None, "s", 1)]
+    out = STAGES["language_id"](spark, spark.createDataFrame(found + junk, DOCS), "unused")
     assert {r.doc_id for r in out.collect()} == {f[0] for f in found}
 
 
