@@ -11,7 +11,7 @@ from tidewire.llm import crf, line_dedup, mixing, ngram_join, packing
 from tidewire.llm.common import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_CERTAINTY, LEAST_WORDS = 0.75, 8  # of a text's words, from so many on: below it the field cannot tell their languages
+LEAST_CERTAINTY, LEAST_WORDS = 0.75, 20  # of a text's words, from so many on: below it the field cannot tell their languages
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
