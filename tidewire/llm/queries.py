@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, ctw, html_text, line_dedup, media, mixing, ngram_join, packing, sharding, vectors
+from . import crf, ctw, html_text, importance, line_dedup, media, mixing, ngram_join, packing, sharding, vectors
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.op10(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op11(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.op12(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
+def op13_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op13(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,10 +75,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_media_sniffing,
         op9_context_tree_scoring,
         op10_crf_language,
+
+        op12_importance_resampling,
+
     )
 }
 SQL: dict[str, str] = {
     "op4_vector_near_dedup": vectors.OP4_SQL,
     "op5_ngram_jaccard_join": ngram_join.sql(4, 85, 100),
     "op7_hierarchical_mix": mixing.OP7_SQL,
+    "op12_importance_resampling": importance.OP12_SQL,
 }
