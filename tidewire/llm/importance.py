@@ -21,8 +21,10 @@ def ngrams(words: Column, n: int) -> Column:
     """All runs of 1 to n consecutive words, joined by one space, with repeats."""
     parts = [words]
     for k in range(2, n + 1):
-        runs = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i, k=k: F.array_join(F.slice(words, i, k), " "))
-        parts.append(F.when(F.size(words) >= k, runs).otherwise(F.array().cast("array<string>")))
+        # a run's words side by side, each from a list that begins one later
+        length = F.greatest(F.size(words) - (k - 1), F.lit(0))
+        runs = F.arrays_zip(*[F.slice(words, i + 1, length).alias(f"w{i}") for i in range(k)])
+        parts.append(F.transform(runs, lambda r, k=k: F.concat_ws(" ", *[r[f"w{i}"] for i in range(k)])))
     return F.concat(*parts) if n > 1 else words
 
 

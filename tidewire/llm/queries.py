@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, ctw, html_text, importance, line_dedup, media, mixing, ngram_join, packing, sharding, vectors
+from . import alignment, crf, ctw, html_text, importance, line_dedup, media, mixing, ngram_join, packing, secret_scan, sharding, vectors
 from .common import table
 
 
@@ -76,7 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_context_tree_scoring,
         op10_crf_language,
 
+        op11_tokenizer_alignment,
         op12_importance_resampling,
+        op13_grammar_secrets,
 
     )
 }
