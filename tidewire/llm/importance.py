@@ -23,8 +23,9 @@ def ngrams(words: Column, n: int) -> Column:
     for k in range(2, n + 1):
         # a run's words side by side, each from a list that begins one later
         length = F.greatest(F.size(words) - (k - 1), F.lit(0))
-        runs = F.arrays_zip(*[F.slice(words, i + 1, length).alias(f"w{i}") for i in range(k)])
-        parts.append(F.transform(runs, lambda r, k=k: F.concat_ws(" ", *[r[f"w{i}"] for i in range(k)])))
+        names = [f"w{i}" for i in range(k)]
+        runs = F.arrays_zip(*[F.slice(words, i + 1, length).alias(w) for i, w in enumerate(names)])
+        parts.append(F.transform(runs, lambda r: F.concat_ws(" ", *[r[w] for w in names])))  # noqa: B023
     return F.concat(*parts) if n > 1 else words
 
 

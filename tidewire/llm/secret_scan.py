@@ -25,6 +25,7 @@ LEAST = 16  # characters of a candidate
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 SAMPLE, LONGEST = 1000, 128  # labelled values a kind that automata are fitted on, and their characters
 ALPHA = 0.05  # of the tests that two states are compatible
+BACK = 1000.0  # pairs that single characters' shares count for in the background, so that characters which are rare there stay unlikely after each other
 MARGIN = 40.0  # bits by which the format must beat the background
 SLACK = 0.5  # bits a character that a candidate may stay behind the least likely labelled value
 
@@ -153,8 +154,8 @@ class Grammar:
             if values:
                 found = self.automata[kind] = Automaton.infer(values)
                 found.floor = min(found.bits(v) / len(v) for v in values) - SLACK
-        share = (pairs + 0.5) / (pairs + 0.5).sum(axis=1, keepdims=True)
-        self.background = np.log2(share)
+        single = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * _WIDTH)
+        self.background = np.log2((pairs + BACK * single) / (pairs.sum(axis=1, keepdims=True) + BACK))
         self.known: dict[bytes, str | None] = {}
 
     def kind_of(self, value: bytes) -> str | None:
