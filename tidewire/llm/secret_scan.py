@@ -24,6 +24,7 @@ SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-
 LEAST = 16  # characters of a candidate
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 SAMPLE, LONGEST = 1000, 128  # labelled values a kind that automata are fitted on, and their characters
+FEWEST = 20  # labelled values that tell a kind's format
 ALPHA = 0.05  # of the tests that two states are compatible
 BACK = 1000.0  # pairs that single characters' shares count for in the background, so that characters which are rare there stay unlikely after each other
 MARGIN = 40.0  # bits by which the format must beat the background
@@ -151,7 +152,7 @@ class Grammar:
     def __init__(self, labelled: dict[str, list[bytes]], pairs: np.ndarray):
         self.automata: dict[str, Automaton] = {}
         for kind, values in sorted(labelled.items()):
-            if values:
+            if len(values) >= FEWEST:
                 found = self.automata[kind] = Automaton.infer(values)
                 found.floor = min(found.bits(v) / len(v) for v in values) - SLACK
         single = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * _WIDTH)
@@ -230,7 +231,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def infer(docs: DataFrame, text: str, labelled: DataFrame | None = None) -> Grammar:
     """The grammar of docs: for each kind an automaton from at most SAMPLE distinct values of at most LONGEST bytes, those of smallest hash, that
     the known patterns label in all texts; and counts of character pairs outside of them over all texts. labelled (kind string, value string) adds labelled
-    values, under the same bound. Only these bounded pieces reach the driver: SAMPLE values a kind, and a count for each pair of characters."""
+    values, under the same bound. A kind with fewer than FEWEST of them gets none. Only these bounded pieces reach the driver: SAMPLE values a kind, and a count for each pair of characters."""
     found = materialise(docs.select(text).mapInArrow(_gather, "kind string, h long, value binary, n long"), "labels")
     values = found.where("kind <> 'pair'").select("kind", "h", "value")
     names = list(KINDS)
