@@ -199,8 +199,8 @@ def test_secrets_of_known_patterns_and_learned_formats(spark, docs):
 
 def test_labels_from_elsewhere_and_any_key_name(spark):
     labelled = spark.createDataFrame([("jwt", "ey" + key_of(i)[3:] + "." + key_of(i + 1)[3:]) for i in range(50)] + [("jwt", None), (None, "x")], "kind string, value string")
-    docs = spark.createDataFrame([("a", "see ey" + key_of(90)[3:] + "." + key_of(91)[3:]), ("a", None), (None, "")], "spans string, text string")
-    found = secret_scan.scan(docs, "spans", "text", secret_scan.infer(docs, "text", labelled)).collect()
+    docs = spark.createDataFrame([*(("b", text_of(i)) for i in range(40)), ("a", "see ey" + key_of(90)[3:] + "." + key_of(91)[3:]), ("a", None), (None, "")], "spans string, text string")
+    found = [r for r in secret_scan.scan(docs, "spans", "text", secret_scan.infer(docs, "text", labelled)).collect() if r["_spans"] != "b" or r["spans"]]
     assert sorted((r["_spans"] or "", r["spans"]) for r in found) == [("", ""), ("a", ""), ("a", "like_jwt:4:63")]
 
 
