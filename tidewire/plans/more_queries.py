@@ -13,6 +13,7 @@ from ..operators import frequency, graph, joins, lines, map_view, search, towns,
 from ..operators import sequences as seq
 from ..operators.tables import materialise, shared_dir
 from ..sources import files, gtfs
+from ..sources.derived import derived
 from . import frequency_sql
 from .registry import query
 from .transit import duck, table, view
@@ -529,3 +530,19 @@ def v15(spark, d):
 @query("a17_median_by_day", duck("SELECT agency, list_sort(list(n))[len(list(n)) // 2 + 1] AS median FROM (SELECT agency, service_date, count(*) AS n FROM {dv_trips} GROUP BY ALL) GROUP BY agency"))
 def a17b(spark, d):
     return view(spark, d, "dv_trips").groupBy("agency", "service_date").count().groupBy("agency").agg(ag.upper_median("count").cast("long").alias("median"))
+
+
+@query("v29_reused_extent", duck("SELECT stop_id, count(*) AS calls, true AS reused FROM {dv_stop_times} JOIN {dv_stops} USING (stop_id) WHERE lat BETWEEN 49.02 AND 49.06 AND lon BETWEEN 10.9 AND 11.0 GROUP BY stop_id"))
+def v29(spark, d):
+    """Calls of an area, from the stored table of a wider one."""
+    name, sources = "calls_of_area", [f"{d}/{t}.parquet" for t in ("lineitem", "nation")]
+
+    def area(extent):
+        s, w, n, e = extent
+        return lambda: view(spark, d, "dv_stop_times").join(view(spark, d, "dv_stops"), "stop_id").where(F.col("lat").between(s, n) & F.col("lon").between(w, e))
+
+    wide, narrow = (49.0, 10.8, 49.07, 11.1), (49.02, 10.9, 49.06, 11.0)
+    derived(spark, name, sources, area(wide), extent=wide)
+    held, reused = derived(spark, name, sources, area(narrow), extent=narrow)
+    inside = F.col("lat").between(49.02, 49.06) & F.col("lon").between(10.9, 11.0)
+    return held.where(inside).groupBy("stop_id").agg(F.count(F.lit(1)).alias("calls")).withColumn("reused", F.lit(reused))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.tables import materialise
+from ..sources.derived import derived
 
 ORDER = "l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity"
 
@@ -48,22 +49,26 @@ def names_in(text: str) -> list[str]:
 
 
 ONCE = {"dv_stop_times", "dv_trips", "dv_hops"}
-_derived: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def tables_of(name: str) -> set[str]:
+    """The tables that a view, or a table, is derived from."""
+    return {name} if name not in VIEWS else {t for n in names_in(VIEWS[name]) for t in tables_of(n)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view, or a table, as a DataFrame. Calls, trips and hops, which nearly all queries are over, are derived once a session and
-    folder of tables, and read back from then on."""
+    """A derived view, or a table, as a DataFrame. Calls, trips and hops, which nearly all queries are over, are derived once and read back for as long as
+    the files of their tables and the text of the view stay the same."""
     if name not in VIEWS:
         return table(spark, sf_dir, name)
-    if name in ONCE:
-        at = (spark.sparkContext.applicationId, sf_dir, name)
-        if at not in _derived:
-            text = VIEWS[name]
-            _derived[at] = materialise(spark.sql(text, **{n: view(spark, sf_dir, n) for n in names_in(text)}), name)
-        return _derived[at]
-    text = VIEWS[name]
-    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in names_in(text)})
+
+    def make() -> DataFrame:
+        return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in names_in(VIEWS[name])})
+
+    if name not in ONCE:
+        return make()
+    version = hashlib.sha256(duck(f"SELECT * FROM {{{name}}}").encode()).hexdigest()[:16]
+    return derived(spark, name, [f"{sf_dir}/{t}.parquet" for t in sorted(tables_of(name))], make, version)[0]
 
 
 def duck(text: str) -> str:
