@@ -154,9 +154,82 @@ def test_components_of_long_chains(spark):
     assert graph.components(edges.where("false")).count() == 0
 
 
-def test_merged_sequences():
-    assert lines.merged([[1, 2, 3, 4], [1, 9, 2, 3], [0, 1, 2], [3, 4, 5], [2, 7, 4], [4, 8, 1], [8, 2]]) == ([0, 1, 9, 2, 3, 7, 4, 5], [[8]])
-    assert lines.branched_off([1, 2, 3], [3, 2, 9]) == 4 and lines.branched_off([1, 2, 3], [1, 7, 2]) == 0 and lines.branched_off([1, 2, 3], [3, 8]) == 0
+def plain_ways(runs):
+    """{direction: (list, branches)} of one line's runs, call by call."""
+
+    def rank(run):
+        return -run[1], -len(run[0]), run[0]
+
+    def place(stops, s):
+        return max((i for i, x in enumerate(stops) if x == s), default=None)
+
+    def fold(stops, order, grow):
+        """The parts of stops that find no place in order, which grows if it may."""
+        loose, part, last = [], [], None
+        for s in [*stops, None]:
+            if s is not None and s not in order:
+                part.append(s)
+                continue
+            if part:
+                a, b = place(order, last), place(order, s)
+                at = 0 if a is None and b == 0 else len(order) if b is None and a == len(order) - 1 else b if None not in (a, b) and b > a else None
+                if at is None:
+                    loose.append(part)
+                elif grow:
+                    order[at:at] = part
+                part = []
+            last = s
+        return loose
+
+    def merge(mine):
+        mine = sorted(mine, key=rank)
+        order, loose = list(mine[0][0]), []
+        for stops, _ in mine[1:]:
+            loose += fold(stops, order, True)
+        seen, branches = set(order), []
+        for part in loose:
+            own = [s for i, s in enumerate(part) if s not in seen and s not in part[:i]]
+            seen.update(own)
+            branches += [own] if own else []
+        return order, branches
+
+    runs = sorted(runs, key=rank)
+    main, sides = runs[0][0], ([runs[0]], [], [])
+    for stops, n in runs[1:]:
+        at = [place(main, s) for s in stops if s in main]
+        way = sum((b > a) - (b < a) for a, b in zip(at, at[1:], strict=False))
+        sides[2 if way == 0 else 0 if way > 0 else 1].append((stops, n))
+    if sides[1]:
+        orders = [merge(x)[0] for x in sides[:2]]
+        for stops, n in sides[2]:
+            costs = []
+            for order in orders:
+                at = [place(order, s) for s in stops if s in order]
+                costs.append(sum(map(len, fold(stops, list(order), False))) + len(order) * sum(b < a for a, b in zip(at, at[1:], strict=False)))
+            sides[costs[1] < costs[0]].append((stops, n))
+    else:
+        sides[0].extend(sides[2])
+    return {i: merge(x) for i, x in enumerate(sides[:2]) if x}
+
+
+def test_ways_of_random_lines(spark):
+    import random
+
+    rng = random.Random(4)
+    by_line, rows = {}, []
+    for line in range(60):
+        runs = {}
+        base = list(range(10))
+        for _ in range(rng.randrange(1, 14)):
+            stops = base[:: rng.choice([1, 1, -1])]
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(stops) + 1)
+                stops = rng.choice([stops[:i], stops[i:], [*stops[:i], rng.randrange(14), *stops[i:]], [*stops[:i], rng.randrange(20), rng.randrange(20), *stops[i:]]]) or stops
+            runs[tuple(stops)] = rng.randrange(1, 6)
+        by_line[line] = [(list(s), n) for s, n in runs.items()]
+        rows += [(line, list(s), n) for s, n in runs.items()]
+    got = {(r.line, r.direction): (r.list, r.branches) for r in lines.ways(spark.createDataFrame(rows, "line int, stops array<long>, trips long"), ["line"]).collect()}
+    assert got == {(line, i): way for line, runs in by_line.items() for i, way in plain_ways(runs).items()}
 
 
 def test_ways_of_lines(spark):

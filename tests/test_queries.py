@@ -46,33 +46,17 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_ways_of_all_lines(spark):
-    """Directions of all runs in Python, no run left out of the merge."""
     from collections import defaultdict
 
-    from tidewire.operators import lines
     from tidewire.plans import QUERIES
     from tidewire.plans.relational import LINE, _line_runs
 
+    from .test_operators import plain_ways
+
     by_line = defaultdict(list)
     for r in _line_runs(spark, SF).collect():
         by_line[tuple(r[c] for c in LINE)].append((list(r.stops), r.trips))
-    want = {}
-    for line, runs in by_line.items():
-        runs.sort(key=lines.busy_first)
-        along, sides = {s: i for i, s in enumerate(runs[0][0])}, ([runs[0]], [], [])
-        for stops, n in runs[1:]:
-            at = [along[s] for s in stops if s in along]
-            steps = [(b > a) - (b < a) for a, b in zip(at, at[1:], strict=False)]
-            sides[2 if sum(steps) == 0 else 0 if sum(steps) > 0 else 1].append((stops, n))
-        if sides[1]:
-            both = [lines.merged([s for s, _ in x])[0] for x in sides[:2]]
-            for s, n in sides[2]:
-                sides[lines.branched_off(both[1], s) < lines.branched_off(both[0], s)].append((s, n))
-        else:
-            sides[0].extend(sides[2])
-        for i in (0, 1):
-            if sides[i]:
-                want[(*line, i)] = lines.merged([s for s, _ in sorted(sides[i], key=lines.busy_first)])
+    want = {(*line, i): way for line, runs in by_line.items() for i, way in plain_ways(runs).items()}
     got = {(*[r[c] for c in LINE], r.direction): (r.list, r.branches) for r in QUERIES["q16_line_ways"](spark, SF).collect()}
     assert got == want and len(want) > 20
 

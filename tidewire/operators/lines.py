@@ -2,117 +2,111 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import materialise
+
 UP, DOWN, UNSURE = 0, 1, 2
 
 
-def missing(stops: list[int], index: dict[int, int]) -> Iterator[tuple[int | None, list[int], int | None]]:
-    """(place before, stops, place after) of every part of stops that index, the places of a list, does not have; index may change
-    between parts."""
-    part: list[int] = []
-    before = None
-    for s in [*stops, None]:
-        if s is not None and s not in index:
-            part.append(s)
-            continue
-        if part:
-            yield index.get(before), part, index.get(s)
-            part = []
-        before = s
-
-
-def slot(before: int | None, after: int | None, n: int) -> int | None:
-    """Where in a list of n stops a part goes whose neighbours have these places: between them, or beyond an end; else nowhere."""
-    if before is None:
-        return 0 if after == 0 else None
-    if after is None:
-        return n if before == n - 1 else None
-    return after if after > before else None
-
-
-def merged(runs: list[list[int]]) -> tuple[list[int], list[list[int]]]:
-    """(list, branches) of the runs of one direction, the busiest first: each run's parts that the list has not go into it where it has
-    nothing, or are branches. A stop is on one branch at most, and on none if it is in the list."""
-    main, off = list(runs[0]), []
-    for stops in runs[1:]:
-        index = {s: i for i, s in enumerate(main)}
-        for before, part, after in missing(stops, index):
-            at = slot(before, after, len(main))
-            if at is None:
-                off.append(part)
-            else:
-                main[at:at] = part
-                index.update((s, i) for i, s in enumerate(main))
-    seen, branches = set(main), []
-    for part in off:
-        own = [s for s in dict.fromkeys(part) if s not in seen]
-        seen.update(own)
-        if own:
-            branches.append(own)
-    return main, branches
-
-
-def branched_off(main: list[int], stops: list[int]) -> int:
-    """How many stops of a run would be on branches off the list; a step back along the list counts as all of it."""
-    index = {s: i for i, s in enumerate(main)}
-    off = sum(len(part) for before, part, after in missing(stops, index) if slot(before, after, len(main)) is None)
-    places = [index[s] for s in stops if s in index]
-    return off + len(main) * sum(b < a for a, b in zip(places, places[1:], strict=False))
-
-
-def busy_first(run: tuple[list[int], int]) -> tuple:
-    stops, trips = run
-    return -trips, -len(stops), stops
+def _calls(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _run, _k, _stop) of runs (keys, stops, trips): _run from 1 is a run's rank, the busiest first, of as busy ones the longer, then the first."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("trips"), F.desc(F.size("stops")), "stops"))
+    return runs.withColumn("_run", rank).select(*keys, "_run", F.posexplode("stops").alias("_k", "_stop"))
+
+
+def _parts(calls: DataFrame, order: DataFrame, keys: list[str], run: list[str]) -> DataFrame:
+    """(keys, run, _start, _part, _at) of every part of calls, stops in a row that the list order (keys, _at, _stop) lacks. _at is where in the list it may go:
+    between its neighbours where they follow each other there, or beyond the end that its only neighbour is; else null."""
+    index = order.groupBy(*keys, "_stop").agg(F.max("_at").alias("_at"))
+    size = order.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    by = Window.partitionBy(*keys, *run).orderBy("_k")
+    known = calls.join(index, [*keys, "_stop"], "left").withColumns({
+        "_island": F.count("_at").over(by),
+        "_before": F.last("_at", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)),
+        "_after": F.first("_at", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    parts = known.where("_at IS NULL").groupBy(*keys, *run, "_island").agg(
+        F.min("_k").alias("_start"), F.array_sort(F.collect_list(F.struct("_k", "_stop"))).alias("_p"), F.min("_before").alias("_before"), F.min("_after").alias("_after"))
+    between = F.when(F.col("_after") > F.col("_before"), F.col("_after"))
+    at = F.when(F.col("_before").isNull(), F.when(F.col("_after") == 0, 0)).when(F.col("_after").isNull(), F.when(F.col("_before") == F.col("_size") - 1, F.col("_size"))).otherwise(between)
+    return parts.join(size, keys).select(*keys, *run, "_start", F.col("_p._stop").alias("_part"), at.cast("int").alias("_at"))
+
+
+def _merged(runs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(list, parts): (keys, _at, _stop), the busiest run with what the others add to it, and (keys, _run, _start, _part), the parts that found no place.
+
+    The list of a key only changes by inserts, and all parts up to the next one meet the same list. So a round puts in, for all keys at once, the first
+    part in order that has a place; those before it are settled. Runs that the list holds whole are dropped, and so are keys without
+    a further insert: rounds are the inserts of one key, at most its stops."""
+    calls = materialise(_calls(runs, keys), "calls")
+    order = materialise(calls.where("_run = 1").select(*keys, F.col("_k").cast("int").alias("_at"), "_stop"), "order")
+    calls = calls.where("_run > 1")
+    cursor = order.select(*keys).distinct().withColumns({"_r": F.lit(1), "_s": F.lit(-1)})
+    settled = None
+    while True:
+        parts = _parts(calls, order, keys, ["_run"]).join(cursor, keys).where("_run > _r OR (_run = _r AND _start > _s)").drop("_r", "_s")
+        parts = materialise(parts, "parts")
+        first = parts.where("_at IS NOT NULL").groupBy(*keys).agg(F.min(F.struct("_run", "_start", "_part", "_at")).alias("_n"))
+        first = first.select(*keys, F.col("_n._run").alias("_r"), F.col("_n._start").alias("_s"), F.col("_n._part").alias("_new"), F.col("_n._at").alias("_p"))
+        passed = parts.join(first.select(*keys, "_r", "_s"), keys, "left").where("_at IS NULL AND (_r IS NULL OR _run < _r OR (_run = _r AND _start < _s))")
+        passed = passed.select(*keys, "_run", "_start", "_part")
+        settled = passed if settled is None else settled.unionByName(passed)
+        if first.isEmpty():
+            return order, settled
+        shift = F.when(F.col("_at") >= F.col("_p"), F.size("_new")).otherwise(0)
+        moved = order.join(first, keys, "left").select(*keys, (F.col("_at") + F.coalesce(shift, F.lit(0))).cast("int").alias("_at"), "_stop")
+        put = first.select(*keys, "_p", F.posexplode("_new").alias("_i", "_stop")).select(*keys, (F.col("_p") + F.col("_i")).cast("int").alias("_at"), "_stop")
+        order = materialise(moved.unionByName(put), "order")
+        cursor = first.select(*keys, "_r", "_s")
+        # of keys with an insert, the calls of runs that still lack a stop
+        lacking = parts.join(cursor, keys).where("_run >= _r").select(*keys, "_run").distinct()
+        calls = materialise(calls.join(lacking, [*keys, "_run"], "left_semi"), "calls")
 
 
 def ways(runs: DataFrame, line: list[str]) -> DataFrame:
-    """(line, direction, list, branches, trips) of (line, stops, trips): one or two ways of each line.
+    """(line, direction, list, branches) of (line, stops, trips): one or two ways of each line.
 
     The busiest run (of as busy ones the longer, then the first) is the way UP. Others go up or down along it by more of their steps between
-    stops that it has too: joins and windows over (line, stop). A run without more of either goes where it adds the fewest stops on
-    branches, up if no run goes down. Runs whose stops are all in the busiest run add none to a list, so only those with others, each
-    run once, come to the merge of their line, whose choices depend on each other."""
-    x = runs.withColumn("_run", F.xxhash64("stops"))
+    stops that it has too. A run without more of either goes where fewer of its stops would be on branches, a step back along the list counting
+    as all of it; up if no run goes down. A stop is on one branch at most, the first, and on none if it is in the list. All of it is joins and windows over
+    (line, run, stop), so neither a line nor a direction is a group of Python."""
+    keys = [*line, "direction"]
+    x = materialise(runs.withColumn("_id", F.xxhash64("stops")), "runs")
     rank = F.row_number().over(Window.partitionBy(*line).orderBy(F.desc("trips"), F.desc(F.size("stops")), "stops"))
-    busiest = x.withColumn("_i", rank).where("_i = 1").select(*line, F.col("_run").alias("_top"), F.col("stops").alias("_main"))
+    busiest = x.withColumn("_i", rank).where("_i = 1").select(*line, F.col("_id").alias("_top"), F.col("stops").alias("_main"))
     along = busiest.select(*line, F.posexplode("_main").alias("_at", "_stop")).groupBy(*line, "_stop").agg(F.max("_at").alias("_at"))
-    calls = x.select(*line, "_run", F.posexplode("stops").alias("_k", "_stop")).join(along, [*line, "_stop"], "left")
-    known = calls.where("_at IS NOT NULL").withColumn("_step", F.col("_at") - F.lag("_at").over(Window.partitionBy(*line, "_run").orderBy("_k")))
-    steps = known.groupBy(*line, "_run").agg(F.sum(F.signum("_step")).alias("_sum"))
-    new = calls.groupBy(*line, "_run").agg(F.max(F.col("_at").isNull()).alias("_new"))
-    side = F.when(F.col("_run") == F.col("_top"), UP).when(F.col("_sum") > 0, UP).when(F.col("_sum") < 0, DOWN).otherwise(UNSURE)
-    x = x.join(busiest, line).join(steps, [*line, "_run"], "left").join(new, [*line, "_run"]).withColumn("_side", side)
-    # the busiest run down starts the list down, so it comes to the merge too
-    first = F.row_number().over(Window.partitionBy(*line, "_side").orderBy(F.desc("trips"), F.desc(F.size("stops")), "stops"))
-    x = x.withColumn("_i", first)
-    merge = (F.col("_i") == 1) | F.col("_new") | (F.col("_side") != UP)
-    kinds = dict(runs.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sides: dict[int, list[tuple[list[int], int]]] = {}
-        for stops, trips, side in zip(rows["stops"], rows["trips"], rows["_side"], strict=True):
-            sides.setdefault(side, []).append((stops.tolist(), trips))
-        for mine in sides.values():
-            mine.sort(key=busy_first)
-        if sides.get(DOWN):
-            lists = [merged([s for s, _ in sides[side]])[0] for side in (UP, DOWN)]
-            for s, t in sides.get(UNSURE, ()):
-                sides[DOWN if branched_off(lists[1], s) < branched_off(lists[0], s) else UP].append((s, t))
-        else:
-            sides[UP] += sides.get(UNSURE, [])
-        out = []
-        for side in (UP, DOWN):
-            if mine := sorted(sides.get(side, ()), key=busy_first):
-                out.append((*[rows[c].iloc[0] for c in line], side, *merged([s for s, _ in mine])))
-        return pd.DataFrame(out, columns=[*line, "direction", "list", "branches"])
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in line) + ", direction int, list array<long>, branches array<array<long>>"
-    return x.where(merge).select(*line, "stops", "trips", "_side").groupBy(*line).applyInPandas(run, schema)
+    calls = x.select(*line, "_id", F.posexplode("stops").alias("_k", "_stop")).join(along, [*line, "_stop"])
+    step = F.signum(F.col("_at") - F.lag("_at").over(Window.partitionBy(*line, "_id").orderBy("_k")))
+    steps = calls.withColumn("_step", step).groupBy(*line, "_id").agg(F.sum("_step").alias("_sum"))
+    side = F.when(F.col("_id") == F.col("_top"), UP).when(F.col("_sum") > 0, UP).when(F.col("_sum") < 0, DOWN).otherwise(UNSURE)
+    x = x.join(busiest, line).join(steps, [*line, "_id"], "left").select(*line, "_id", "stops", "trips", side.alias("direction"))
+    x = materialise(x, "sides")
+    sides = x.groupBy(*line).agg(F.max(F.col("direction") == DOWN).alias("_down"), F.max(F.col("direction") == UNSURE).alias("_open"))
+    torn = sides.where("_down AND _open").select(*line)
+    lists, _ = _merged(x.join(torn, line, "left_semi").where(F.col("direction") != UNSURE).drop("_id"), keys)
+    unsure = x.where(F.col("direction") == UNSURE).join(torn, line, "left_semi").select(*line, "_id", "stops")
+    tries = unsure.withColumn("direction", F.explode(F.array(F.lit(UP), F.lit(DOWN))))
+    tried = tries.select(*keys, "_id", F.posexplode("stops").alias("_k", "_stop"))
+    off = _parts(tried, lists, keys, ["_id"]).where("_at IS NULL").groupBy(*keys, "_id").agg(F.sum(F.size("_part")).alias("_off"))
+    index = lists.groupBy(*keys, "_stop").agg(F.max("_at").alias("_at"))
+    back = F.col("_at") < F.lag("_at").over(Window.partitionBy(*keys, "_id").orderBy("_k"))
+    backs = tried.join(index, [*keys, "_stop"]).withColumn("_back", back).groupBy(*keys, "_id").agg(F.count_if("_back").alias("_backs"))
+    size = lists.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    cost = F.coalesce("_off", F.lit(0)) + F.coalesce("_backs", F.lit(0)) * F.col("_size")
+    costs = tries.drop("stops").join(size, keys).join(off, [*keys, "_id"], "left").join(backs, [*keys, "_id"], "left")
+    chosen = costs.groupBy(*line, "_id").agg(F.min_by("direction", F.struct(cost, F.col("direction"))).alias("_to"))
+    x = x.join(chosen, [*line, "_id"], "left")
+    x = x.withColumn("direction", F.when(F.col("direction") == UNSURE, F.coalesce("_to", F.lit(UP))).otherwise(F.col("direction"))).drop("_to", "_id")
+    order, settled = _merged(materialise(x, "sides"), keys)
+    listed = order.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_stop")))["_stop"].alias("list"))  # a line's stops
+    loose = settled.select(*keys, "_run", "_start", F.posexplode("_part").alias("_i", "_stop")).join(order.select(*keys, "_stop"), [*keys, "_stop"], "left_anti")
+    own = loose.groupBy(*keys, "_stop").agg(F.min(F.struct("_run", "_start", "_i")).alias("_o"))
+    branch = own.groupBy(*keys, "_o._run", "_o._start").agg(F.array_sort(F.collect_list(F.struct("_o._i", "_stop")))["_stop"].alias("_b"))
+    branches = branch.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_run", "_start", "_b")))["_b"].alias("branches"))
+    none = F.array().cast(f"array<{dict(runs.dtypes)['stops']}>")
+    return listed.join(branches, keys, "left").select(*keys, "list", F.coalesce("branches", none).alias("branches"))
 
 
 def places(lines: DataFrame, address: str, lat: str, lon: str) -> DataFrame:
