@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 HOT = 1 << 16  # id pairs whose counts are broadcast
-CHUNK = 1 << 22  # bytes of texts that are aligned at once
+CHUNK = 1 << 20  # bytes of texts that are aligned at once
 _LATIN = 0x250  # below it, both forms of the byte-level tokenizer split a text alike
 
 
