@@ -219,12 +219,12 @@ def test_ways_of_random_lines(spark):
     by_line, rows = {}, []
     for line in range(60):
         runs = {}
-        base = list(range(10))
-        for _ in range(rng.randrange(1, 14)):
+        base = list(range(7))
+        for _ in range(rng.randrange(1, 7)):
             stops = base[:: rng.choice([1, 1, -1])]
             for _ in range(rng.randrange(4)):
                 i = rng.randrange(len(stops) + 1)
-                stops = rng.choice([stops[:i], stops[i:], [*stops[:i], rng.randrange(14), *stops[i:]], [*stops[:i], rng.randrange(20), rng.randrange(20), *stops[i:]]]) or stops
+                stops = rng.choice([stops[:i], stops[i:], [*stops[:i], rng.randrange(9), *stops[i:]], [*stops[:i], rng.randrange(10), rng.randrange(10), *stops[i:]]]) or stops
             runs[tuple(stops)] = rng.randrange(1, 6)
         by_line[line] = [(list(s), n) for s, n in runs.items()]
         rows += [(line, list(s), n) for s, n in runs.items()]

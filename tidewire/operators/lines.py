@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .tables import materialise
+from .tables import discard, materialise
 
 UP, DOWN, UNSURE = 0, 1, 2
 
@@ -40,29 +42,29 @@ def _merged(runs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     The list of a key only changes by inserts, and all parts up to the next one meet the same list. So a round puts in, for all keys at once, the first
     part in order that has a place; those before it are settled. Runs that the list holds whole are dropped, and so are keys without
     a further insert: rounds are the inserts of one key, at most its stops."""
-    calls = materialise(_calls(runs, keys), "calls")
-    order = materialise(calls.where("_run = 1").select(*keys, F.col("_k").cast("int").alias("_at"), "_stop"), "order")
-    calls = calls.where("_run > 1")
+    every = materialise(_calls(runs, keys), "calls")
+    order = materialise(every.where("_run = 1").select(*keys, F.col("_k").cast("int").alias("_at"), "_stop"), "order")
+    every = calls = every.where("_run > 1")
     cursor = order.select(*keys).distinct().withColumns({"_r": F.lit(1), "_s": F.lit(-1)})
-    settled = None
+    settled = []
     while True:
         parts = _parts(calls, order, keys, ["_run"]).join(cursor, keys).where("_run > _r OR (_run = _r AND _start > _s)").drop("_r", "_s")
-        parts = materialise(parts, "parts")
+        placed = Observation()
+        parts = materialise(parts.observe(placed, F.count("_at").alias("n")), "parts")
         first = parts.where("_at IS NOT NULL").groupBy(*keys).agg(F.min(F.struct("_run", "_start", "_part", "_at")).alias("_n"))
         first = first.select(*keys, F.col("_n._run").alias("_r"), F.col("_n._start").alias("_s"), F.col("_n._part").alias("_new"), F.col("_n._at").alias("_p"))
-        passed = parts.join(first.select(*keys, "_r", "_s"), keys, "left").where("_at IS NULL AND (_r IS NULL OR _run < _r OR (_run = _r AND _start < _s))")
-        passed = passed.select(*keys, "_run", "_start", "_part")
-        settled = passed if settled is None else settled.unionByName(passed)
-        if first.isEmpty():
-            return order, settled
+        cursor = first.select(*keys, "_r", "_s")
+        passed = parts.join(cursor, keys, "left").where("_at IS NULL AND (_r IS NULL OR _run < _r OR (_run = _r AND _start < _s))")
+        settled.append(passed.select(*keys, "_run", "_start", "_part"))
+        if not placed.get["n"]:
+            return order, functools.reduce(DataFrame.unionByName, settled)
         shift = F.when(F.col("_at") >= F.col("_p"), F.size("_new")).otherwise(0)
         moved = order.join(first, keys, "left").select(*keys, (F.col("_at") + F.coalesce(shift, F.lit(0))).cast("int").alias("_at"), "_stop")
         put = first.select(*keys, "_p", F.posexplode("_new").alias("_i", "_stop")).select(*keys, (F.col("_p") + F.col("_i")).cast("int").alias("_at"), "_stop")
-        order = materialise(moved.unionByName(put), "order")
-        cursor = first.select(*keys, "_r", "_s")
+        old, order = order, materialise(moved.unionByName(put), "order")
+        discard(old)
         # of keys with an insert, the calls of runs that still lack a stop
-        lacking = parts.join(cursor, keys).where("_run >= _r").select(*keys, "_run").distinct()
-        calls = materialise(calls.join(lacking, [*keys, "_run"], "left_semi"), "calls")
+        calls = every.join(parts.join(cursor, keys).where("_run >= _r").select(*keys, "_run").distinct(), [*keys, "_run"], "left_semi")
 
 
 def ways(runs: DataFrame, line: list[str]) -> DataFrame:
