@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .topk import first_rows
+
 DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 
 
@@ -42,8 +44,8 @@ def any_common(left: Column, right: Column) -> Column:
     return F.arrays_overlap(left, right)
 
 
-def held_board(answer: DataFrame, reserve: DataFrame, keys: list[str], leaves: str, now: int, limit: int) -> DataFrame:
-    """The answer's rows and those of the reserve that it lacks, still to leave, in order, at most limit."""
-    extra = reserve.join(answer.select(*keys), keys, "left_anti").withColumn("held", F.lit(True))
+def held_board(answer: DataFrame, reserve: DataFrame, group: list[str], keys: list[str], leaves: str, now: int, limit: int) -> DataFrame:
+    """Of each group the answer's rows and those of the reserve that it lacks, still to leave: the first limit of them."""
+    extra = reserve.join(answer.select(*group, *keys), [*group, *keys], "left_anti").withColumn("held", F.lit(True))
     both = answer.withColumn("held", F.lit(False)).unionByName(extra)
-    return both.where(F.col(leaves) >= now - 30).orderBy(leaves, *keys).limit(limit)
+    return first_rows(both.where(F.col(leaves) >= now - 30), group, [leaves, *keys], limit)

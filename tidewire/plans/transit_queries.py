@@ -11,6 +11,7 @@ from ..operators import frequency, graph, joins, map_view, routing, vehicles
 from ..operators import sequences as seq
 from . import frequency_sql
 from .registry import query
+from .relational import boxes
 from .transit import duck, table, view
 
 NOW = 36_000
@@ -192,18 +193,20 @@ def k05(spark, d):
     return view(spark, d, "dv_stops").select("stop_id", F.to_json(F.struct("stop_id", "name")).alias("json"))
 
 
-@query("f01_point_in_region", duck("SELECT a.stop_id AS stop_id, CAST(min(greatest(abs(floor(a.lat / 0.01) - floor(b.lat / 0.01)), abs(floor(a.lon / 0.015) - floor(b.lon / 0.015)))) AS BIGINT) AS distance FROM {dv_stops} a JOIN {dv_stops} b ON b.stop_id % 6 = 0 GROUP BY a.stop_id HAVING distance <= 8"))
+@query("f01_point_in_region", duck("SELECT a.stop_id AS stop_id, CAST(min(greatest(abs(floor(a.lat / 0.01) - floor(b.lat / 0.01)), abs(floor(a.lon / 0.015) - floor(b.lon / 0.015)))) AS BIGINT) AS distance FROM {dv_stops} a JOIN {dv_stops} b ON b.in_region GROUP BY a.stop_id HAVING distance <= 8"))
 def f01(spark, d):
     s = view(spark, d, "dv_stops")
-    cells = map_view.spread(map_view.cells(s.where("stop_id % 6 = 0")), 8)
+    cells = map_view.spread(map_view.cells(s.where("in_region")), 8)
     return map_view.cells(s, "stop_id").join(cells, ["row", "col"]).select("stop_id", "distance")
 
 
-@query("f02_rasterise", duck("SELECT CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col FROM range(4890, 4915) AS x(r), range(720, 745) AS y(c) WHERE (r + 0.5) * 0.01 >= 48.99 AND (r + 0.5) * 0.01 < 49.07 AND (c + 0.5) * 0.015 >= 10.89 AND (c + 0.5) * 0.015 < 11.0"))
+@query("f02_rasterise", duck("""
+WITH o AS (SELECT town_id AS area, min(lat) - 0.0077 AS s, min(lon) - 0.0077 AS w, max(lat) + 0.0077 AS n, max(lon) + 0.0077 AS e FROM {dv_stops} GROUP BY town_id)
+SELECT area, CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col FROM o, range(4880, 4930) AS x(r), range(700, 760) AS y(c)
+WHERE (r + 0.5) * 0.01 >= s AND (r + 0.5) * 0.01 < n AND (c + 0.5) * 0.015 >= w AND (c + 0.5) * 0.015 < e"""))
 def f02(spark, d):
-    ring = [(48.99, 10.89), (49.07, 10.89), (49.07, 11.0), (48.99, 11.0)]
-    edges = spark.createDataFrame([(1, *ring[i], *ring[(i + 1) % 4]) for i in range(4)], "area int, lat1 double, lon1 double, lat2 double, lon2 double")
-    return map_view.rasterise(edges).select("row", "col")
+    """The cells of the boxes of all towns."""
+    return map_view.rasterise(boxes(view(spark, d, "dv_stops"), "town_id", 0.0077)).select("area", "row", "col")
 
 
 @query("f03_spread", duck("SELECT CAST(floor(lat / 0.01) AS BIGINT) + dr AS row, CAST(floor(lon / 0.015) AS BIGINT) + dc AS col, min(greatest(abs(dr), abs(dc))) AS distance FROM {dv_stops}, (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc) GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY 1, 2")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import sets
@@ -11,11 +11,16 @@ VERSION = 1
 
 
 def write_dataset(tables: dict[str, DataFrame], folder: str, scope: str) -> None:
-    """One Parquet folder a table; the meta table is written last, so a dataset without one is no dataset."""
+    """One Parquet folder a table; the meta table is written last, so a dataset without one is no dataset, and says how many
+    rows each table got."""
     spark = next(iter(tables.values())).sparkSession
+    rows = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    spark.createDataFrame([(VERSION, scope, sorted(tables))], "version int, scope string, tables array<string>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{name}")
+        rows[name] = seen.get["n"]
+    head = [(VERSION, scope, sorted(tables), rows)]
+    spark.createDataFrame(head, "version int, scope string, tables array<string>, rows map<string, long>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
 
 
 def read_head(spark: SparkSession, folder: str) -> dict | None:
