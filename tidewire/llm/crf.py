@@ -220,46 +220,112 @@ def label(field: Field, scored: Scored, texts: list[str]) -> list[tuple[str, flo
     return out
 
 
+class Letters:
+    """How letters follow each other in each language: shares of trigrams within words, backed by bigrams and single letters."""
+
+    BACK = 10.0  # how often the shorter context's shares count for
+    SHARE = 0.25  # of the usual bits a letter, what a text in one of the languages has at least
+
+    def __init__(self, texts: list[str], langs: list[str]):
+        lowered = [t.lower() for t in texts]
+        counts = Counter(c for t in lowered for c in t if c.isalpha())
+        total = sum(counts.values())
+        kept = sorted(c for c, n in counts.items() if n >= total * 1e-5)
+        self.size = len(kept) + 2  # 0: between words, 1: any other letter; -1: a digit
+        self.of = np.fromiter(((1 if chr(i).isalpha() else -chr(i).isdigit()) for i in range(1 << 16)), np.int32, 1 << 16)
+        for i, c in enumerate(kept):
+            if ord(c) < 1 << 16:
+                self.of[ord(c)] = i + 2
+        v, tables = self.size, []
+        for lang in sorted(set(langs)):
+            codes = np.maximum(self.codes(" ".join(t for t, x in zip(lowered, langs, strict=True) if x == lang)), 0)
+            three = np.bincount((np.where(codes[1:-1] > 0, codes[:-2], 0) * v + codes[1:-1]) * v + codes[2:], minlength=v**3).reshape(v, v, v).astype(float)
+            two, one = three.sum(axis=0), three.sum(axis=(0, 1))
+            for n in (three, two, one):
+                n[..., 0] = 0  # only letters are told
+            share = (one + 0.5 * (np.arange(v) > 0)) / (one.sum() + 0.5 * (v - 1))
+            share = (two + self.BACK * share) / (two.sum(axis=1, keepdims=True) + self.BACK)
+            share = (three + self.BACK * share) / (three.sum(axis=2, keepdims=True) + self.BACK)
+            with np.errstate(divide="ignore"):
+                tables.append(np.log2(share * (v - 1)).ravel())
+        self.gain = np.stack(tables, axis=1).astype(np.float32)  # bits over letters drawn at random
+        found = [bits / n for bits, n in map(self._bits, texts) if n]
+        self.usual = float(np.median(found)) if found else 0.0
+
+    def codes(self, lowered: str) -> np.ndarray:
+        """Letters and digits of a text between two breaks on either side."""
+        points = np.frombuffer(f"  {lowered}  ".encode("utf-32-le"), np.uint32)
+        return self.of[points] if points.max() < 1 << 16 else np.where(points < 1 << 16, self.of[np.minimum(points, (1 << 16) - 1)], 0)
+
+    def _bits(self, text: str) -> tuple[float, int]:
+        """(bits, letters) of a text's words, each in the language it fits best."""
+        codes = self.codes(text.lower())
+        here = np.flatnonzero(codes > 0)
+        if not len(here):
+            return 0.0, 0
+        if (codes < 0).any():
+            filled = np.flatnonzero(codes)
+            first = np.flatnonzero(np.diff(filled, prepend=-2) > 1)
+            plain = np.repeat(np.minimum.reduceat(codes[filled], first) > 0, np.diff(first, append=len(filled)))
+            if plain.any():
+                here = filled[plain]
+            codes = np.maximum(codes, 0)
+        before = codes[here - 1]
+        gain = self.gain[(np.where(before > 0, codes[here - 2], 0) * self.size + before) * self.size + codes[here]]
+        words = np.flatnonzero(np.diff(here, prepend=-2) > 1)
+        return float(np.add.reduceat(gain, words, dtype=np.float64).max(axis=1).sum()), len(here)
+
+    def evidence(self, text: str) -> float:
+        """Bits by which the text's letters are likelier in the languages' words than drawn at random, less SHARE of what a text of the labelled ones
+        usually has; 0 without letters. Words with digits count only where there are no others."""
+        bits, n = self._bits(text)
+        return bits - self.SHARE * self.usual * n
+
+
 def training_rows(df: DataFrame, key: str, text: str, lang: str, folds: int, held: int) -> DataFrame:
-    """At most ROWS_PER_LANGUAGE labelled rows of every language, those of the smallest key hashes, outside the held fold; of a text of more
-    than ROW_CHARS characters, a run of so many from a place that its key's hash says."""
+    """At most ROWS_PER_LANGUAGE labelled rows of every language, those of the smallest hashes of key and text, outside the held fold; of a
+    text of more than ROW_CHARS characters, a run of so many from a place that its hash says. Rows of equal key and text count once; rows that share
+    only their key are told apart."""
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where((crc_mod("id", folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
-    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
-    near = rows.join(F.broadcast(share), "lang").where(F.col("r") * F.col("c") <= F.lit((1 << 20) * 2 * ROWS_PER_LANGUAGE))  # a row a language
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("r", "id", "text"))
+    rows = rows.withColumn("r", F.xxhash64("id", "text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("r"))  # tasks keep so many a language before the shuffle
+    last = rows.select("lang", "r").distinct().withColumn("n", rank).where(F.col("n") <= ROWS_PER_LANGUAGE).groupBy("lang").agg(F.max("r").alias("last"))
+    near = rows.join(F.broadcast(last), "lang").where(F.col("r") <= F.col("last")).dropDuplicates(["lang", "r"])  # a row a language
     start = F.pmod(F.xxhash64("id", "r"), F.greatest(F.char_length("text") - ROW_CHARS, F.lit(0)) + 1).cast("int") + 1
     run = F.substring(F.col("text"), start, F.lit(ROW_CHARS))
-    return near.withColumn("n", rank).where(F.col("n") <= ROWS_PER_LANGUAGE).select("lang", run.alias("text"), "r", "id")
+    return near.select("lang", run.alias("text"), "r", "id")
 
 
 def languages(df: DataFrame, key: str, text: str, lang: str, folds: int = 4, held: int = 2) -> DataFrame:
-    """df with held_out, lang_pred, score and certainty.
+    """df with held_out, lang_pred, score, certainty and evidence.
 
     The field is fitted on a bounded sample (ROWS_PER_LANGUAGE rows a language, of each ROW_CHARS characters; rows of the held
     fold and without a label never); it labels the words of every whole text, and the text gets the language of the
     largest mean marginal, its score. certainty is the mean of the words' largest marginals: high also where a text's words
-    are of several languages. Only the text decides. Rows are labelled where they are scanned: no shuffle.
+    are of several languages. evidence: the bits by which the text's words are likelier in the languages (of the same sample) than letters drawn
+    at random, less a quarter of the usual; negative for random letters and other scripts. Only the text decides. Rows are labelled where they are scanned: no shuffle.
 
-    Null texts and texts without letters are und with score and certainty 0; without labelled rows all are. Null keys hash as the empty text. Rows
+    Null texts and texts without letters are und with score, certainty and evidence 0; without labelled rows all are. Null keys hash as the empty text. Rows
     repeated get equal results; ties go to the first language by name; an empty table stays empty; columns of df named like the
     results are replaced.
     """
     sample = sorted(tuple(r) for r in training_rows(df, key, text, lang, folds, held).select(
         "lang", "r", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "text").collect())  # bounded by the constants above
     field = fit([r[3] for r in sample], [r[0] for r in sample])
-    names = [c for c in df.columns if c not in {"held_out", "lang_pred", "score", "certainty"}]
+    letters = Letters([r[3] for r in sample], [r[0] for r in sample]) if field else None
+    names = [c for c in df.columns if c not in {"held_out", "lang_pred", "score", "certainty", "evidence"}]
     base = df.select(*names).withColumn("held_out", crc_mod(key, folds) == held)
-    out_names, at = [*base.columns, "lang_pred", "score", "certainty"], base.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", lang_pred string, score double, certainty double"
+    out_names, at = [*base.columns, "lang_pred", "score", "certainty", "evidence"], base.columns.index(text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", lang_pred string, score double, certainty double, evidence double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = Scored(field) if field else None
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             found = label(field, scored, texts) if field else [("und", 0.0, 0.0)] * len(texts)
-            more = [pa.array([f[0] for f in found], pa.string()), *[pa.array([f[i] for f in found], pa.float64()) for i in (1, 2)]]
+            known = [letters.evidence(t) for t in texts] if letters else [0.0] * len(texts)
+            more = [pa.array([f[0] for f in found], pa.string()), *[pa.array([f[i] for f in found], pa.float64()) for i in (1, 2)], pa.array(known, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=out_names)
 
     return base.mapInArrow(run, schema)

@@ -17,6 +17,9 @@ from .common import materialise, text_key
 
 LAST = (1 << 63) - 1
 SALTS = 16  # parts of the holders of a line
+PARTNERS = 1000  # later documents for each copy of a first holder's lines
+GAP = 2  # lines between two aligned ones of a block, in either document
+LONE_WORDS = 12  # of a line that goes on its own
 WINDOW = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
@@ -63,10 +66,11 @@ def patience(later: list[int], earlier: list[int]) -> list[tuple[int, int]]:
     return sorted(found.items())
 
 
-def aligned_blocks(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]], least_words: int) -> list[int]:
+def aligned_blocks(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]], least_words: int, lone_words: int = LONE_WORDS) -> list[int]:
     """Line numbers of later to delete. later: (line number, hash, words), earlier: (line number, hash), both the lines that
-    the two documents share, in order. Alignment is repeated on what is left, so that moved blocks and repeated lines are found
-    too; a block (lines that follow each other in both documents) counts from least_words words on."""
+    the two documents share, in order. Aligned lines are one block while at most GAP lines stand between them in either document, so a
+    passage with an edited line is one; a block of several lines counts from least_words words on, a line of its own, which may be a
+    coincidence, from lone_words on. Alignment is repeated on what no block has, so that moved passages and repeated ones are found too."""
     gone: list[int] = []
     rest, other = list(later), list(earlier)
     while rest and other:
@@ -74,13 +78,13 @@ def aligned_blocks(later: list[tuple[int, int, int]], earlier: list[tuple[int, i
         if not match:  # what is left stands more than once: its first occurrences are paired
             first_l = {h: i for i, (_, h, _) in reversed(list(enumerate(rest)))}
             first_e = {h: i for i, (_, h) in reversed(list(enumerate(other)))}
-            match = sorted((i, first_e[h]) for h, i in first_l.items() if h in first_e)
+            match = _longest_rise(sorted((i, first_e[h]) for h, i in first_l.items() if h in first_e))
         if not match:
             break
         run: list[tuple[int, int]] = []
-        for i, j in [*match, (len(rest) + 1, -1)]:
-            if run and not (i == run[-1][0] + 1 and j == run[-1][1] + 1 and rest[i][0] == rest[run[-1][0]][0] + 1 and other[j][0] == other[run[-1][1]][0] + 1):
-                if sum(rest[x][2] for x, _ in run) >= least_words:
+        for i, j in [*match, (-1, -1)]:
+            if run and (i < 0 or rest[i][0] - rest[run[-1][0]][0] > GAP + 1 or other[j][0] - other[run[-1][1]][0] > GAP + 1):
+                if sum(rest[x][2] for x, _ in run) >= (least_words if len(run) > 1 else lone_words):
                     gone += [rest[x][0] for x, _ in run]
                 run = []
             run.append((i, j))
@@ -149,7 +153,7 @@ def _windows(least_words: int):
 
 
 def _with_first(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """rows (h, doc, pos) with first, of held (h, first): each h of held stands SALTS times, so that the rows of a line that a third
+    """rows (h, doc, pos) with first and held, of held (h, first, held): each h of held stands SALTS times, so that the rows of a line that a third
     of the corpus holds are dealt over as many tasks."""
     salted = held.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     return rows.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).drop("salt")
@@ -163,13 +167,13 @@ def dedup_lines(df: DataFrame, key: str, text: str, least_words: int = 5) -> Dat
     """df with the text's repeated blocks deleted, and removed_lines (how many lines were deleted, long).
 
     A line is what stands between line feeds, trimmed; empty lines take no part. A document comes before another by its
-    key, then by its text's hash. Every line of least_words words or more that several documents hold pairs each of its later holders
-    with its first holder, so that pairs grow with the lines, however common one is, and every line survives in its first document;
-    shorter lines, the most common ones, pair none. A pair's shared lines are aligned (patience diff, repeated on the rest for moved blocks); aligned blocks of least_words words
-    or more are deleted from the later document. Blocks of short lines whose lines have other first holders, each on its own, are
-    found by their windows (the shortest runs of neighbouring lines that reach least_words): a window that an earlier document holds
-    is deleted too, so that a block goes whichever earlier document holds it. Counts are pre-aggregated by line; the joins on a line's hash
-    have one row a line on one side and are salted, so a line that a third of the corpus holds is dealt over SALTS tasks.
+    key, then by its text's hash. Rare lines pair documents: of a document's lines of least_words words or more that others hold, and of its windows (the
+    shortest runs of shorter neighbouring lines that reach so many), each pairs it with the first document that holds it. A rarer line of the
+    passage has the same or a nearer partner, and a common one adds one pair a document, not one a pair of its holders, so pairs grow with the lines and nothing
+    is capped. A pair's shared lines are aligned (patience diff, repeated on the rest for moved passages), and the aligned blocks are deleted from the later document:
+    see aligned_blocks. So a short line that recurs on its own, or in another order far from its neighbours, stays. Counts are
+    pre-aggregated by hash; the joins on a hash have one row a hash on one side and are salted, and a document that is the first of many gets
+    a copy for every PARTNERS of them, so neither a line nor a first holder that a third of the corpus shares is one task.
 
     Null texts stay null and empty texts empty. Null keys come last, in their hash order. Rows of equal key and text are one
     document: all keep or lose the same lines. A document may lose all its lines: its text is then empty, and its row
@@ -183,23 +187,26 @@ def dedup_lines(df: DataFrame, key: str, text: str, least_words: int = 5) -> Dat
         .where(_line(F.col("line")) != "")
         .select("doc", "pos", text_key(_line(F.col("line"))).alias("h"), F.regexp_count(F.col("line"), F.lit(r"\S+")).alias("words"))
     )
-    held = lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "first")
+    held = lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("h", "first", F.col("n").alias("held"))
     shared = materialise(_with_first(lines, held), "lines")
     # copies of a row explode alike; a document's lines count once
     item = F.struct("pos", "h", "words")
     by_doc = shared.groupBy("doc").agg(F.array_sort(F.collect_set(item)).alias("lines"))
     by_doc = materialise(by_doc, "holders")
-    pairs = shared.where((F.col("doc") > F.col("first")) & (F.col("words") >= least_words)).select(F.col("doc").alias("later"), F.col("first").alias("earlier")).distinct()
-    late = by_doc.select(F.col("doc").alias("later"), "lines")
-    early = by_doc.select(F.col("doc").alias("earlier"), F.col("lines").alias("their"))
-    both = pairs.join(late, "later").join(early, "earlier").select("later", "lines", "their")
-    gone = both.mapInPandas(_delete(least_words), "id long, ref long, gone array<int>")
     some = df.where(F.contains(F.col(text), F.lit("\n"))).select(doc.alias("doc"), F.col(text).alias("text"))
     runs = some.select("doc.id", "doc.ref", "text").mapInArrow(_windows(least_words), "id long, ref long, h long, pos int, n int")
     runs = materialise(runs, "windows").withColumn("doc", F.struct("id", "ref"))
-    known = runs.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "first")
-    known = _with_first(runs, known).where("doc > first")
-    gone = gone.unionByName(known.select("id", "ref", F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1).alias("gone")))
+    known = runs.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("h", "first", F.col("n").alias("held"))
+    by_window = _with_first(runs, known).where("doc > first").select(F.col("doc").alias("later"), F.col("first").alias("earlier"), "held")
+    by_line = shared.where((F.col("doc") > F.col("first")) & (F.col("words") >= least_words)).select(F.col("doc").alias("later"), F.col("first").alias("earlier"), "held")
+    pairs = by_line.unionByName(by_window).withColumn("copies", F.expr(f"CAST(div(held, {PARTNERS}) + 1 AS INT)"))
+    pairs = materialise(pairs.groupBy("later", "earlier").agg(F.max("copies").alias("copies")), "pairs")
+    copies = pairs.groupBy("earlier").agg(F.max("copies").alias("copies"))
+    late = by_doc.select(F.col("doc").alias("later"), "lines")
+    early = by_doc.select(F.col("doc").alias("earlier"), F.col("lines").alias("their")).join(copies, "earlier").select("earlier", "their", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"))
+    pairs = pairs.select("later", "earlier", F.pmod(F.xxhash64("later"), F.col("copies")).cast("int").alias("part"))
+    both = pairs.join(late, "later").join(early, ["earlier", "part"]).select("later", "lines", "their")
+    gone = both.mapInPandas(_delete(least_words), "id long, ref long, gone array<int>")
     gone = gone.groupBy("id", "ref").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     row = F.struct(*kept)  # no name of the caller's can clash with one of ours
     out = df.select(doc.alias("doc"), row.alias("row")).select("doc.id", "doc.ref", "row").join(gone, ["id", "ref"], "left")
