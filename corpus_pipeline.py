@@ -11,16 +11,14 @@ from tidewire.llm import crf, line_dedup, mixing, ngram_join, packing
 from tidewire.llm.common import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_CERTAINTY, LEAST_WORDS = 0.75, 20  # of a text's words, from so many on: below it the field cannot tell their languages
+LEAST_EVIDENCE = -10.0  # bits: beyond a thousand to one against all languages, however long the text
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose words' languages are known, lang set to the largest; null texts, texts without letters and texts of words that the
-    field cannot tell (random letters, other scripts and languages) go. Texts of several languages stay, and so do texts of too few words to
-    tell."""
+    """Documents in the languages of the labels, lang set to the largest; null texts, texts without letters and texts whose words speak
+    by more than ten bits against all of the languages (random letters, other scripts) go. Texts of several languages stay."""
     found = crf.languages(docs.select(*COLUMNS), "doc_id", "text", "lang")
-    told = (F.col("certainty") >= LEAST_CERTAINTY) | (F.regexp_count("text", F.lit(r"\p{L}+")) < LEAST_WORDS)
-    found = found.where((F.col("lang_pred") != "und") & told)
+    found = found.where((F.col("lang_pred") != "und") & (F.col("evidence") > LEAST_EVIDENCE))
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
