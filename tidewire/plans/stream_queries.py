@@ -1,4 +1,4 @@
-"""Realtime semantics as batch queries over the events table, and one run of the stream itself."""
+"""Realtime semantics as streams over the events table, each run to its end."""
 
 from __future__ import annotations
 
@@ -20,37 +20,86 @@ def _updates(spark, d):
     return e.select(F.col("user_id").alias("trip_id"), F.col("ts").cast("date").alias("service_date"), (F.col("event_id") % 4).cast("int").alias("pos"), kind.alias("kind"), delay.alias("delay"), F.col("ts").cast("timestamp").alias("feed_ts"), "event_id")
 
 
-@query("g03_snapshot_replace", duck("SELECT user_id, count(*) AS n FROM {events} WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM {events}) GROUP BY user_id"))
+def _stream(spark, parts, late: str, at: str = "feed_ts"):
+    """(stream, folder) of tables that arrive one after the other, each as one file."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in").withWatermark(at, late), base
+
+
+def _keys(spark, parts, late: str, ttl_s: float | None):
+    """What keyed state holds at the stream's end."""
+    stream, base = _stream(spark, parts, late)
+    with realtime.rocks(spark):
+        query = realtime.keep_keys(realtime.newest(stream, ttl_s), f"{base}/out", f"{base}/check", once=True)
+        query.awaitTermination()
+    return realtime.current(spark, f"{base}/out")["keys"]
+
+
+@query("g03_snapshot_replace", duck("SELECT user_id AS trip_id, CAST(count(*) AS INT) AS delay FROM {events} WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM {events}) GROUP BY user_id"))
 def g03(spark, d):
+    """Two snapshots in a row, all days but the last and the last: what stays is the second, whole."""
     e = table(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
-    newest = e.agg(F.max("day").alias("day"))
-    return e.join(F.broadcast(newest), "day", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))  # one row
+    newest = F.broadcast(e.agg(F.max("day").alias("last")))  # one row
+    n = e.crossJoin(newest).groupBy("user_id", (F.col("day") == F.col("last")).alias("now")).agg(F.count(F.lit(1)).cast("int").alias("delay"), F.max("last").alias("last"))
+    at = F.when(F.col("now"), F.col("last")).otherwise(F.date_sub("last", 1)).cast("timestamp")
+    rows = n.select(F.col("user_id").cast("long").alias("trip_id"), F.col("last").alias("service_date"), F.lit(0).alias("pos"), F.lit("SCHEDULED").alias("kind"), "delay", at.alias("feed_ts"), "now")
+    stream, base = _stream(spark, [rows.where("NOT now").drop("now"), rows.where("now").drop("now")], "6 hours")
+    realtime.keep_current(stream, f"{base}/out", f"{base}/check", once=True).awaitTermination()
+    return realtime.current(spark, f"{base}/out")["delays"].select("trip_id", F.col("dep_delay").alias("delay"))
 
 
-@query("g04_stale_state", duck("SELECT event_id FROM {events} WHERE ts >= (SELECT max(ts) FROM {events}) - INTERVAL 180 MINUTE"))
+@query("g04_stale_state", duck("SELECT user_id, max(event_id) AS event_id FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS last, max(ts) OVER () AS top FROM {events}) WHERE ts = last AND date_trunc('milliseconds', last) > date_trunc('milliseconds', top) - INTERVAL 180 MINUTE GROUP BY user_id"))
 def g04(spark, d):
-    e = table(spark, d, "events")
-    top = F.broadcast(e.agg(F.max("ts").alias("top")))  # one row
-    return e.crossJoin(top).where(F.col("ts") >= F.col("top") - F.expr("INTERVAL '180' MINUTE")).select("event_id")
+    """The users whose newest event keyed state still holds, three hours of event time being its time to live."""
+    m = realtime.as_messages(table(spark, d, "events").select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id")
+    half = m.agg(F.percentile_approx("feed_ts", 0.5)).first()[0]
+    held = _keys(spark, [m.where(F.col("feed_ts") <= F.lit(half)), m.where(F.col("feed_ts") > F.lit(half))], "0 seconds", 180 * 60)
+    return held.select(F.get_json_object("key", "$.user_id").cast("long").alias("user_id"), F.col("version").alias("event_id"))
 
 
 @query("g05_last_write_wins", duck("""
-SELECT user_id AS trip_id, CAST(ts AS DATE) AS service_date, CAST(event_id % 4 AS INT) AS pos, arg_max(CASE WHEN event_type = 'error' THEN 'NO_DATA' ELSE 'SCHEDULED' END, event_id) AS kind, max(event_id) AS event_id FROM {events} GROUP BY ALL"""))
+SELECT user_id AS trip_id, CAST(ts AS DATE) AS service_date, max_by(CASE WHEN event_type = 'error' THEN 'NO_DATA' ELSE 'SCHEDULED' END, {'t': ts, 'v': event_id}) AS kind, max_by(event_id, {'t': ts, 'v': event_id}) AS event_id FROM {events} GROUP BY ALL""".replace("{'t': ts, 'v': event_id}", "row(ts, event_id)")))
 def g05(spark, d):
-    u = _updates(spark, d).select("trip_id", "service_date", "pos", "kind", "event_id", F.col("event_id").alias("v"))
-    return sets.last_wins(u, ["trip_id", "service_date", "pos"], "v").select("trip_id", "service_date", "pos", "kind", "event_id")
+    """The last message of every trip and date, messages arriving in three files out of order, one of them twice."""
+    u = _updates(spark, d).select("trip_id", "service_date", "kind", "feed_ts", "event_id")
+    m = realtime.as_messages(u, ["trip_id", "service_date"], "feed_ts", "event_id")
+    parts = [m.where(F.pmod("version", F.lit(3)) == i) for i in (2, 0, 1)]
+    held = _keys(spark, [parts[0].unionByName(parts[0]), *parts[1:]], "60 days", None)
+    key = F.from_json("key", "trip_id long, service_date date")
+    return held.select(key["trip_id"].alias("trip_id"), key["service_date"].alias("service_date"), F.get_json_object("value", "$.kind").alias("kind"), F.col("version").alias("event_id"))
 
 
 @query("g07_matched_count", duck("SELECT count(*) AS matched FROM {events} WHERE user_id IN (SELECT l_orderkey FROM {lineitem})"))
 def g07(spark, d):
-    k = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("user_id"))
-    return table(spark, d, "events").join(k, "user_id", "left_semi").agg(F.count(F.lit(1)).alias("matched"))
+    """What the running query observes of updates whose trip the timetable has, summed over its micro-batches."""
+    k = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("user_id")).distinct()
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    stream, base = _stream(spark, [e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1")], "6 hours", "ts")
+    known = stream.join(k, "user_id", "left_semi").observe("live", F.count(F.lit(1)).alias("matched"))
+    query = known.writeStream.format("noop").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
+    query.awaitTermination()
+    seen = [p["observedMetrics"]["live"]["matched"] for p in query.recentProgress if "live" in p["observedMetrics"]]
+    return spark.createDataFrame([(sum(seen),)], "matched long")
 
 
-@query("g08_late_window", duck("SELECT CAST(floor(epoch(ts) / 21600) AS BIGINT) AS w, count(*) AS n FROM {events} GROUP BY ALL"))
+@query("g08_late_window", duck("""
+WITH e AS (SELECT CAST(floor(epoch(ts) / 21600) AS BIGINT) AS w, event_id % 3 = 0 AS late FROM {events}), m AS (SELECT epoch(date_trunc('milliseconds', max(ts))) - 21600 AS mark FROM {events} WHERE event_id % 3 <> 0)
+SELECT w, count(*) AS n FROM e, m WHERE NOT late OR (w + 1) * 21600 > mark GROUP BY w"""))
 def g08(spark, d):
-    w = F.floor(F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col("ts")) / 21_600)
-    return table(spark, d, "events").groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows a window of six hours where a third of them comes after all others: those of windows that ended six hours before the newest so far are too late."""
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3 == 0).alias("late"))
+    # a batch drops what was late for the one before it, so one without rows comes between
+    stream, base = _stream(spark, [e.where(x).drop("late") for x in ("NOT late", "false", "late")], "6 hours", "ts")
+    counts = stream.groupBy(F.window("ts", "6 hours")).agg(F.count(F.lit(1)).alias("n"))
+
+    def add(batch, number):
+        batch.select(F.col("window.start").alias("at"), "n").write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    counts.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{base}/out").groupBy("at").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.floor(F.unix_seconds("at") / 21_600).alias("w"), "n")
 
 
 @query("q34_stream_snapshot", duck("""
@@ -72,4 +121,4 @@ def q34(spark, d):
         realtime.latest(rows).coalesce(1).write.mode("append").parquet(f"{base}/in")
     query = realtime.keep_current(realtime.read_updates(spark, f"{base}/in"), f"{base}/out", f"{base}/check", once=True)
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("trip_id", "service_date", "pos", "arr_delay", "dep_delay")
+    return realtime.current(spark, f"{base}/out")["delays"].select("trip_id", "service_date", "pos", "arr_delay", "dep_delay")

@@ -123,11 +123,20 @@ def _decode(part: int, schema: str, language: str, wanted):
     return run
 
 
+def updates_of(messages: DataFrame, wanted=None) -> DataFrame:
+    """The stop updates of messages (content); wanted(trip_id) drops a trip while it is decoded."""
+    return messages.select("content").mapInPandas(_decode(3, UPDATES, "", wanted), UPDATES)
+
+
+def alerts_of(messages: DataFrame, language: str = "de") -> DataFrame:
+    """A row for each trip or stop that an alert of messages (content) is about."""
+    return messages.select("content").mapInPandas(_decode(5, ALERTS, language, None), ALERTS).withColumn("warning", F.coalesce(F.col("severity") >= 3, F.lit(False)))
+
+
 def trip_updates(spark: SparkSession, path: str, wanted=None) -> DataFrame:
     """The stop updates of the messages in path; wanted(trip_id) drops a trip while it is decoded."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_decode(3, UPDATES, "", wanted), UPDATES)
+    return updates_of(spark.read.format("binaryFile").load(path), wanted)
 
 
 def alerts(spark: SparkSession, path: str, language: str = "de") -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_decode(5, ALERTS, language, None), ALERTS).withColumn(
-        "warning", F.coalesce(F.col("severity") >= 3, F.lit(False)))
+    return alerts_of(spark.read.format("binaryFile").load(path), language)
