@@ -68,6 +68,25 @@ def test_routes(spark, max_turn):
             found += 1
             assert all(arcs[x][1] == arcs[y][0] for x, y in zip(got[i].path, got[i].path[1:], strict=False))
     assert found > 5
+    rounds, guided = [], []
+    plainly = {r.hop: (r.cost, r.path) for r in routing.routes(h, ends, ways, max_turn, report=rounds).collect()}
+    headed = {r.hop: (r.cost, r.path) for r in routing.routes(h, ends, ways, max_turn, stops=s, report=guided).collect()}
+    assert headed == plainly == {i: (r.cost, r.path) for i, r in got.items()}
+    assert sum(n for _, n in guided) < 0.8 * sum(n for _, n in rounds), (guided, rounds)
+
+
+def test_far_hops_go_by_main_arcs(spark):
+    n = spark.createDataFrame([(i, 49.0, 11.0 + i / 100) for i in range(6)] + [(10 + i, 49.01, 11.0 + i / 100) for i in range(6)], "id long, lat double, lon double")
+    # a straight byway along the south, and a main road along the north that costs more
+    south = [(i, i, i + 1, 100, 0, False) for i in range(5)]
+    north = [(20 + i, 10 + i, 11 + i, 150, 0, True) for i in range(5)]
+    across = [(40, 0, 10, 100, 0, False), (41, 5, 15, 100, 0, False)]
+    e = spark.createDataFrame([*south, *north, *across], "edge long, a long, b long, cost int, direction int, main boolean")
+    s = spark.createDataFrame([(1, 49.0, 11.0), (2, 49.0, 11.05)], "stop long, lat double, lon double")
+    h = spark.createDataFrame([(7, 1, 2, 50_000.0, True), (8, 1, 2, 50_000.0, False)], "hop int, source long, target long, most double, far boolean")
+    ends = routing.candidates(s, n, e, 5.0, 2.0)
+    got = {r.hop: [x // 2 for x in r.path] for r in routing.routes(h, ends, routing.arcs(n, e), stops=s, near_m=1200.0).collect()}
+    assert got[8] == [0, 1, 2, 3, 4] and [x for x in got[7] if x >= 20] == [40, 20, 21, 22, 23, 24, 41]
 
 
 def test_ways_beyond_the_network(spark):
