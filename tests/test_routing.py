@@ -100,3 +100,25 @@ def test_ways_beyond_the_network(spark):
     assert (r.path, r.reaches) == ([0, 2], False)
     (r,) = routing.routes(h, ends, routing.arcs(n, e)).collect()
     assert (r.cost, r.path, r.reaches) == (None, None, False)
+
+
+def test_segments_are_kept_routed_or_straight(spark):
+    from tidewire.operators import segments
+
+    nodes = spark.createDataFrame([(i, 49.0, 11.0 + i / 100) for i in range(4)] + [(9, 49.5, 11.5)], "id long, lat double, lon double")
+    edges = spark.createDataFrame(
+        [("road", 0, 0, 1, 100, 0, True, 10), ("road", 1, 1, 2, 100, 0, True, 20), ("road", 2, 2, 3, 100, 0, True, 10), ("rail", 3, 0, 3, 100, 1, True, None)],
+        "net string, edge long, a long, b long, cost int, direction int, main boolean, speed int")
+    stops = spark.createDataFrame([(1, 49.0, 11.005), (2, 49.0, 11.025), (3, 49.5, 11.5), (4, 49.0, 11.0)], "stop_id long, lat double, lon double")
+    hops = spark.createDataFrame([("road", 1, 2), ("road", 1, 2), ("road", 2, 1), ("road", 1, 3), ("rail", 4, 2), ("rail", 2, 4), ("road", 4, 1), ("road", 4, 2)], "net string, from_id long, to_id long")
+    kept = spark.createDataFrame([("road", 4, 1, [(49.0, 11.0, 0.0), (49.1, 11.0, 0.5), (49.0, 11.005, 1.0)]), ("road", 4, 2, None)], f"net string, from_id long, to_id long, points {segments.POINTS}")
+    found = {(r.net, r.from_id, r.to_id): (r.state, [(round(p.lat, 6), round(p.lon, 6), round(p.share, 6)) for p in r.points]) for r in segments.build(hops, stops, nodes, edges, kept, radius_m=20.0).collect()}
+    assert len(found) == 7
+    # half of the first edge, the fast one and half of the last: its twice as long way takes as much as each of the halves
+    assert found["road", 1, 2] == ("routed", [(49.0, 11.005, 0.0), (49.0, 11.01, 0.333333), (49.0, 11.02, 0.666667), (49.0, 11.025, 1.0)])
+    assert found["road", 2, 1] == ("routed", [(49.0, 11.025, 0.0), (49.0, 11.02, 0.333333), (49.0, 11.01, 0.666667), (49.0, 11.005, 1.0)])
+    assert found["road", 1, 3] == ("straight", [(49.0, 11.005, 0.0), (49.5, 11.5, 1.0)])
+    assert found["rail", 4, 2] == ("routed", [(49.0, 11.0, 0.0), (49.0, 11.025, 1.0)]) and found["rail", 2, 4][0] == "straight"  # one way only
+    assert found["road", 4, 1][0] == "kept" and len(found["road", 4, 1][1]) == 3
+    assert found["road", 4, 2] == ("straight", [(49.0, 11.0, 0.0), (49.0, 11.025, 1.0)])
+    assert segments.build(hops.where("false"), stops, nodes, edges).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, text
 from ..operators import aggregates as ag
-from ..operators import frequency, graph, joins, map_view, routing, vehicles
+from ..operators import frequency, graph, joins, map_view, routing, segments, vehicles
 from ..operators import sequences as seq
 from . import frequency_sql
 from .registry import query
@@ -247,9 +247,10 @@ WITH RECURSIVE {_GRID}, p AS (
   UNION ALL
   SELECT i + 1, start, node, min(cost) FROM (SELECT p.i, p.start, e.b AS node, p.cost + e.w AS cost FROM p JOIN e ON e.a = p.node) x WHERE i < 24 GROUP BY i, start, node
 )
-SELECT start AS from_id, node AS to_id, CAST(min(cost) AS DOUBLE) AS cost FROM p WHERE start < node GROUP BY ALL HAVING min(cost) <= 40"""))
+SELECT start AS from_id, node AS to_id, CAST(min(cost) AS DOUBLE) AS cost FROM p JOIN (SELECT DISTINCT least(from_id, to_id) AS start, greatest(from_id, to_id) AS node FROM {{dv_hops}}) USING (start, node)
+GROUP BY ALL HAVING min(cost) <= 40"""))
 def q30(spark, d):
-    """The cheapest ways between all stops over the hops to neighbouring places of the map, by rounds of joins."""
+    """The cheapest ways of all hops over those to neighbouring places of the map, by rounds of joins."""
     h = view(spark, d, "dv_hops").select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).distinct()
     apart = F.col("b") - F.col("a")
     e = h.where((apart == 5) | ((apart == 1) & (F.col("a") % 5 != 4))).withColumn("w", 1 + (F.col("a") * 7 + F.col("b")) % 4)
@@ -260,13 +261,47 @@ def q30(spark, d):
     # a stop is at the end of each of its edges
     ends = e.select(F.col("a").alias("stop"), number.alias("edge"), F.lit(0.0).alias("t"), F.lit(0.0).alias("cost")).unionByName(
         e.select(F.col("b").alias("stop"), number.alias("edge"), F.lit(1.0).alias("t"), F.lit(0.0).alias("cost")))
-    stops = ends.select(F.col("stop").alias("source")).distinct()
-    hops = stops.crossJoin(stops.withColumnRenamed("source", "target")).where("source < target")  # 25 stops
+    on = ends.select("stop").distinct()
+    hops = h.select(F.col("a").alias("source"), F.col("b").alias("target")).join(on.withColumnRenamed("stop", "source"), "source", "left_semi").join(on.withColumnRenamed("stop", "target"), "target", "left_semi")
     hops = hops.select((F.col("source") * 100 + F.col("target")).alias("hop"), "source", "target", F.lit(40.0).alias("most"))
     found = routing.routes(hops, ends, one.unionByName(two)).where("reaches")
     return hops.join(found, "hop").select(F.col("source").alias("from_id"), F.col("target").alias("to_id"), "cost")
 
 
+_METRES = "sqrt(pow(({1}.lon - {0}.lon) * cos(radians(({0}.lat + {1}.lat) / 2)), 2) + pow({1}.lat - {0}.lat, 2)) * 111320"
+
+
+@query("q32_segments", duck(f"""
+WITH RECURSIVE g AS (SELECT DISTINCT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b FROM {{dv_hops}} WHERE abs(from_id - to_id) = 5 OR (abs(from_id - to_id) = 1 AND least(from_id, to_id) % 5 <> 4)),
+e AS (SELECT u.stop_id AS a, v.stop_id AS b, (g.a * 7 + g.b) % 4 < 3 AS main, {_METRES.format('u', 'v')} AS w FROM g JOIN {{dv_stops}} u ON u.stop_id IN (g.a, g.b) JOIN {{dv_stops}} v ON v.stop_id IN (g.a, g.b) AND v.stop_id <> u.stop_id),
+h AS (SELECT f.stop_id AS from_id, t.stop_id AS to_id, {_METRES.format('f', 't')} AS straight FROM (SELECT DISTINCT from_id, to_id FROM {{dv_hops}}) x JOIN {{dv_stops}} f ON f.stop_id = from_id JOIN {{dv_stops}} t ON t.stop_id = to_id),
+n AS (SELECT u.stop_id AS a, v.stop_id AS b FROM {{dv_stops}} u, {{dv_stops}} v WHERE {_METRES.format('u', 'v')} <= 2500),
+p AS (
+  SELECT 0 AS i, from_id, to_id, straight, from_id AS node, 0e0 AS cost FROM h WHERE from_id % 3 <> 0
+  UNION ALL
+  SELECT i + 1, from_id, to_id, straight, node, min(cost) FROM (
+    SELECT p.i, p.from_id, p.to_id, p.straight, e.b AS node, p.cost + e.w AS cost FROM p JOIN e ON e.a = p.node LEFT JOIN n s ON s.a = e.b AND s.b = p.from_id LEFT JOIN n t ON t.a = e.b AND t.b = p.to_id
+    WHERE (p.straight <= 7000 OR e.main OR s.a IS NOT NULL OR t.a IS NOT NULL) AND p.cost + e.w <= 1.3e0 * p.straight) x
+  WHERE i < 12 GROUP BY i, from_id, to_id, straight, node
+), r AS (SELECT from_id, to_id, min(cost) AS cost FROM p WHERE node = to_id GROUP BY ALL)
+SELECT 'road' AS net, h.from_id, h.to_id, CASE WHEN h.from_id % 3 = 0 AND (h.from_id + h.to_id) % 5 <> 0 THEN 'kept' WHEN cost IS NOT NULL THEN 'routed' ELSE 'straight' END AS state, round(coalesce(cost, straight), 3) AS metres, 1e0 AS share
+FROM h LEFT JOIN r USING (from_id, to_id)"""))
+def q32_segments(spark, d):
+    """The ways of all hops, over those to neighbouring places of the map as the network; a third of the stops' ways are kept from before."""
+    s = view(spark, d, "dv_stops")
+    h = view(spark, d, "dv_hops").select(F.lit("road").alias("net"), "from_id", "to_id").distinct()
+    apart = F.col("b") - F.col("a")
+    g = h.select("net", F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).distinct().where((apart == 5) | ((apart == 1) & (F.col("a") % 5 != 4)))
+    edges = g.select("net", (F.col("a") * 100 + F.col("b")).alias("edge"), "a", "b", F.lit(100).alias("cost"), F.lit(0).alias("direction"), ((F.col("a") * 7 + F.col("b")) % 4 < 3).alias("main"), F.lit(14).alias("speed"))
+    nodes = s.select(F.col("stop_id").alias("id"), "lat", "lon")
+    line = [s.select(F.col("stop_id").alias(c), F.struct("lat", "lon", F.lit(x).alias("share")).alias(f"p{x}")) for c, x in (("from_id", 0.0), ("to_id", 1.0))]
+    kept = h.where("from_id % 3 = 0").join(line[0], "from_id").join(line[1], "to_id")
+    kept = kept.select("net", "from_id", "to_id", F.when((F.col("from_id") + F.col("to_id")) % 5 != 0, F.array("`p0.0`", "`p1.0`")).alias("points"))
+    found = segments.build(h, s, nodes, edges, kept, (1.3, 0.0), 5.0, 2.0, 7_000.0, 2_500.0)
+    points = F.col("points")
+    return found.select("net", "from_id", "to_id", "state", F.round(segments.metres_of(points), 3).alias("metres"), F.round(F.element_at(points, -1)["share"], 9).alias("share"))
+
+
 _CALLS_AT = "SELECT st.station_id, t.line, t.agency, s.trip_id, s.pos, quarter(t.service_date) AS quarter, CAST(floor(s.dep_s / 60.0e0) AS BIGINT) AS m FROM {dv_stop_times} s JOIN {dv_stops} st USING (stop_id) JOIN {dv_trips} t USING (trip_id)"
 
 
