@@ -887,3 +887,14 @@ def test_a_language_whose_rows_share_an_id_is_learned(spark, shared):
     english = [(1000 + i, text_of(i, 12, "the dog and cat with house tree cloud".split()), "en") for i in range(1500)]
     found = crf.op10(spark.createDataFrame(german + english, "doc_id long, text string, lang string"))
     assert {r.doc_id: r.lang_pred for r in found.where(f"doc_id in ({shared}, 1003, 1004)").collect()} == {shared: "de", 1003: "en", 1004: "en"}
+
+
+def test_levels_of_any_name(spark):
+    df = spark.createDataFrame([(i, f"a b c {i}", f"x{i % 3}", f"y{i % 2}") for i in range(60)], "doc_id long, text string, cap string, tokens string")
+    weights = {"cap": {"x0": 3.0}, "tokens": {"y0": 2.0}}
+    one = mixing.mix(df, "doc_id", mixing.n_words(), {"cap": F.col("cap"), "tokens": F.col("tokens"), "_w": F.lit("z")}, weights, 0.5, 1)
+    two = mixing.mix(df, "doc_id", mixing.n_words(), {"p": F.col("cap"), "q": F.col("tokens"), "r": F.lit("z")}, {"p": weights["cap"], "q": weights["tokens"]}, 0.5, 1)
+    assert one.columns == ["doc_id", "text", "cap", "tokens", "_w", "n_tokens", "copies"]
+    assert sorted(one.select("doc_id", "cap", "tokens", "copies").collect()) == sorted(two.select("doc_id", "p", "q", "copies").collect())
+    with pytest.raises(ValueError):
+        mixing.mix(df, "doc_id", mixing.n_words(), {"copies": F.col("cap")}, {}, 0.5, 1)

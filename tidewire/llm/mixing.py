@@ -79,13 +79,18 @@ def mix(
     a hash. Windows run over sums alone, so a leaf of a third of the corpus is spread over 4,096 groups and a key that a third of
     the rows repeat is one row of them. Null names are the name "(none)"; null keys hash as "null"; null texts and texts without
     words have 0 tokens and are taken with the prefix they stand in; rows of equal key and content are taken alike, or not at all if
-    together they do not fit; an empty table gives an empty result. Columns of df named like a level, n_tokens or copies are replaced.
+    together they do not fit; an empty table gives an empty result. Columns of df named like a level, n_tokens or copies are
+    replaced; levels may have any other name.
     """
-    names = list(levels)
-    kept = [c for c in df.columns if c not in {*names, "n_tokens", "copies"}]
+    if clash := {"n_tokens", "copies"} & set(levels):
+        raise ValueError(f"levels named like results: {clash}")
+    kept = [c for c in df.columns if c not in {*levels, "n_tokens", "copies"}]
     digest, epochs, rest, at, span, total, before, upto = fresh(
-        [*df.columns, *names], "digest", "epochs", "rest", "at", "span", "total", "before", "upto")
-    exprs = {"n_tokens": tokens.cast("long"), **{k: F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in levels.items()}}
+        [*df.columns, *levels], "digest", "epochs", "rest", "at", "span", "total", "before", "upto")
+    # inside, levels have names that meet none of budgets' own
+    names = fresh([*df.columns, *levels], *[f"level{i}" for i in range(len(levels))])
+    weights = {n: weights.get(level, {}) for n, level in zip(names, levels, strict=True)}
+    exprs = {"n_tokens": tokens.cast("long"), **{n: F.coalesce(c.cast("string"), F.lit(NONE)) for n, c in zip(names, levels.values(), strict=True)}}
     same = F.md5(F.coalesce(F.col(content).cast("string"), F.lit("")).cast("binary")) if content else F.lit("")
     rows = df.withColumns({**exprs, digest: same}).select(*kept, *names, "n_tokens", digest)
     leaves = materialise(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
@@ -103,7 +108,7 @@ def mix(
     sums = sums.select(*names, span, at, (F.col(before) + F.col(upto)).alias(upto))
     fits = (F.col(upto) <= F.col(rest)).cast("int")
     out = rows.join(sums, [*names, span, at]).withColumn("copies", (F.col(epochs) + fits).cast("int"))
-    return out.where("copies > 0").select(*kept, *names, "n_tokens", "copies")
+    return out.where("copies > 0").select(*kept, *[F.col(n).alias(level) for n, level in zip(names, levels, strict=True)], "n_tokens", "copies")
 
 
 # the weights of the production query; a source's domain is its number modulo 4
