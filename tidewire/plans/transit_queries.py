@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, text
 from ..operators import aggregates as ag
-from ..operators import frequency, graph, joins, map_view, routing, segments, vehicles
+from ..operators import frequency, graph, joins, map_view, numbers, routing, segments, vehicles
 from ..operators import sequences as seq
 from . import frequency_sql
 from .registry import query
@@ -176,6 +176,34 @@ def q36(spark, d):
     return s.withColumn("n", n).select("stop_id", text.stop_path(F.lower(F.regexp_replace("short", "[^a-zA-Z0-9]+", "-")), F.col("n")).alias("path"))
 
 
+_STATIONS = """SELECT c_custkey AS id, concat('n', c_nationkey * 6 + c_custkey % 6) AS name, c_acctbal AS service, 49.0e0 + (c_custkey * 7919 % 2000) / 1e5 AS lat, 11.0e0 + (c_custkey * 10477 % 2000) / 1e5 AS lon FROM {customer}"""
+
+
+@query("q36_kept_numbers", duck(f"""
+WITH RECURSIVE c AS ({_STATIONS}), one AS (SELECT * FROM c WHERE id % 7 <> 0), two AS (SELECT id, name, service, lat + 0.0007e0 * (id % 3) AS lat, lon FROM c WHERE id % 5 <> 0),
+k AS (SELECT name, round(lat, 5) AS lat, round(lon, 5) AS lon, number FROM (SELECT id, name, lat, lon, CASE WHEN n < 2 THEN 0 ELSE row_number() OVER (PARTITION BY name ORDER BY f DESC, CASE WHEN high >= wide * cos(radians(mid)) THEN lat ELSE lon END, id) END AS number FROM (
+  SELECT *, max(lat) OVER r - min(lat) OVER r AS high, max(lon) OVER r - min(lon) OVER r AS wide, (max(lat) OVER r + min(lat) OVER r) / 2 AS mid FROM (
+    SELECT *, count(*) OVER (PARTITION BY name) AS n, row_number() OVER (PARTITION BY name ORDER BY service DESC, lat, lon, id) = 1 AS f FROM one) WINDOW r AS (PARTITION BY name, f))) WHERE number > 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY away, number, id) AS i FROM (
+  SELECT two.name, two.id, k.number, sqrt(pow((k.lon - two.lon) * cos(radians((two.lat + k.lat) / 2)), 2) + pow(k.lat - two.lat, 2)) * 111320 AS away FROM two JOIN k USING (name)) WHERE away <= 300),
+g AS (SELECT name, 0::BIGINT AS i, []::BIGINT[] AS ids, []::BIGINT[] AS numbers FROM (SELECT DISTINCT name FROM p)
+  UNION ALL SELECT g.name, p.i, CASE WHEN list_contains(ids, p.id) OR list_contains(numbers, p.number) THEN ids ELSE list_append(ids, p.id) END,
+    CASE WHEN list_contains(ids, p.id) OR list_contains(numbers, p.number) THEN numbers ELSE list_append(numbers, p.number) END FROM g JOIN p ON p.name = g.name AND p.i = g.i + 1),
+m AS (SELECT unnest(ids) AS id, unnest(numbers) AS number FROM (SELECT arg_max(ids, i) AS ids, arg_max(numbers, i) AS numbers FROM g GROUP BY name)),
+t AS (SELECT name, max(number) AS top FROM k GROUP BY name),
+f AS (SELECT two.*, top, count(*) OVER (PARTITION BY two.name) AS left_n, row_number() OVER (PARTITION BY two.name ORDER BY service DESC, lat, lon, id) = 1 AND top IS NULL AS f
+  FROM two LEFT JOIN t USING (name) WHERE id NOT IN (SELECT id FROM m) AND (top IS NOT NULL OR (SELECT count(*) FROM two z WHERE z.name = two.name) > 1)),
+r AS (SELECT *, max(lat) OVER w - min(lat) OVER w AS high, max(lon) OVER w - min(lon) OVER w AS wide, (max(lat) OVER w + min(lat) OVER w) / 2 AS mid FROM f WINDOW w AS (PARTITION BY name, f)),
+n AS (SELECT id, number FROM m UNION ALL SELECT id, coalesce(top, 0) + row_number() OVER (PARTITION BY name ORDER BY f DESC, CASE WHEN high >= wide * cos(radians(mid)) THEN lat ELSE lon END, id) FROM r)
+SELECT two.id, two.name, CAST(coalesce(number, 0) AS INT) AS number FROM two LEFT JOIN n USING (id)"""))
+def q36_kept(spark, d):
+    """The numbers of all stations after two imports in a row: some came, some went, some moved."""
+    c = spark.sql(_STATIONS, customer=table(spark, d, "customer"))
+    none = spark.createDataFrame([], "name string, lat double, lon double, number int")
+    _, entries = numbers.numbered(c.where("id % 7 <> 0"), none)
+    return numbers.numbered(c.where("id % 5 <> 0").withColumn("lat", F.col("lat") + F.lit(0.0007) * (F.col("id") % 3)), entries)[0]
+
+
 @query("q48_place_lookup", duck("SELECT CAST(floor(lat * 1e5 + 0.5e0) AS BIGINT) AS lat5, CAST(floor(lon * 1e5 + 0.5e0) AS BIGINT) AS lon5, min(station_id) AS station_id FROM {dv_stops} GROUP BY ALL"))
 def q48(spark, d):
     return view(spark, d, "dv_stops").groupBy(geo.half_up(F.col("lat") * 1e5).alias("lat5"), geo.half_up(F.col("lon") * 1e5).alias("lon5")).agg(F.min("station_id").alias("station_id"))
