@@ -288,9 +288,13 @@ def training_rows(df: DataFrame, key: str, text: str, lang: str, folds: int, hel
     only their key are told apart."""
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where((crc_mod("id", folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.withColumn("r", F.xxhash64("id", "text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("r"))  # tasks keep so many a language before the shuffle
-    last = rows.select("lang", "r").distinct().withColumn("n", rank).where(F.col("n") <= ROWS_PER_LANGUAGE).groupBy("lang").agg(F.max("r").alias("last"))
+    rows = rows.withColumn("r", F.shiftrightunsigned(F.xxhash64("id", "text"), 1))
+    told = rows.select("lang", "r").distinct()
+    count = F.broadcast(told.groupBy("lang").agg(F.count(F.lit(1)).alias("c")))  # a row a language
+    # the hashes are spread evenly: four times as many as are wanted lie below this bound, or all
+    few = told.join(count, "lang").where(F.shiftrightunsigned("r", 43) * F.col("c") <= F.lit((1 << 20) * 4 * ROWS_PER_LANGUAGE))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("r"))
+    last = few.withColumn("n", rank).where(F.col("n") <= ROWS_PER_LANGUAGE).groupBy("lang").agg(F.max("r").alias("last"))
     near = rows.join(F.broadcast(last), "lang").where(F.col("r") <= F.col("last")).dropDuplicates(["lang", "r"])  # a row a language
     start = F.pmod(F.xxhash64("id", "r"), F.greatest(F.char_length("text") - ROW_CHARS, F.lit(0)) + 1).cast("int") + 1
     run = F.substring(F.col("text"), start, F.lit(ROW_CHARS))
