@@ -53,3 +53,29 @@ def test_reuse_by_version_scope_sources_extent_and_age(spark, tmp_path):
         if scope == "x":
             shutil.rmtree(place.removeprefix("file:"))
     assert ask(scope="x") == (9, False)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_a_search_reads_one_part_of_the_index_a_word(spark):
+    from pyspark.sql import functions as F
+
+    from tidewire.operators import search
+    from tidewire.plans.search_queries import _index, _parts
+
+    stored, parts = _index(spark, SF), _parts(spark, SF)
+    plain = search.tokens(parts, "p_partkey", "p_name")
+    for typed in ("small", "smlal bo", "idg", "w", "bolt cold", "zzz", "3", "é"):
+        found = search.search_stops(stored, parts, "p_partkey", typed, "p_size")
+        assert found.collect() == search.search_stops(plain, parts, "p_partkey", typed, "p_size").collect(), typed
+    plan = search.search_stops(stored, parts, "p_partkey", "smlal bo", "p_size")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(letter") >= 2
+    one = stored.where(F.col("letter") == "b")
+    assert {f.split("letter=")[1][0] for f in (r[0] for r in one.select(F.input_file_name()).distinct().collect())} == {"b"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_bucketed_tables_meet_without_a_shuffle(spark):
+    from tidewire.plans.more_queries import _bucketed_calls
+
+    plan = _bucketed_calls(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan

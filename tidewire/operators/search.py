@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,19 @@ def tokens(names: DataFrame, key: str, name: str) -> DataFrame:
     return names.select(key, F.posexplode(words).alias("n", "word"))
 
 
+def letter_of(word: Column) -> Column:
+    """The part of the index that words with this first letter are in: a letter or digit, or that of all others."""
+    first = F.substring(word, 1, 1)
+    return F.when(first.rlike("[a-z0-9]"), first).otherwise("_")
+
+
+def index(words: DataFrame, key: str) -> DataFrame:
+    """(key, word, letter) of tokens, to be stored by letter: every word once for each letter it holds. A word that begins with what is typed, holds it, or begins nearly so
+    holds its first letter, so a search reads one part for each typed word (see search_stops)."""
+    letters = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: letter_of(F.substr("word", i))))
+    return words.where("word <> ''").select(key, "word", F.explode(letters).alias("letter")).repartition("letter", F.pmod(F.xxhash64("word"), F.lit(8))).sortWithinPartitions("letter", "word")
+
+
 def near_beginning(word: str, typed: str, slips: int) -> bool:
     """Whether some beginning of word is typed with at most slips insertions, deletions, replacements and swaps of
     neighbouring letters. The first letters must be equal."""
@@ -67,11 +82,12 @@ def level_of(word: Column, typed: str) -> Column:
 def search_stops(words: DataFrame, names: DataFrame, key: str, typed: str, score: str, limit: int = 20, towns: DataFrame | None = None) -> DataFrame:
     """(key, level, score): names for all typed words, the best level of a name's words for each and the worst of these for the
     name; only the best level that anything reaches is kept beyond word beginnings and insides. Each typed word is one
-    scan of the token table with a minimum a name; towns (key, level) may match in a name's place."""
+    scan of the token table with a minimum a name, of a stored index (words with a column letter) a scan of one part; towns (key, level) may match in a name's place."""
     parts = [w for w in _fold_text(typed) if w]
     found = None
     for p in dict.fromkeys(parts):
-        one = words.withColumn("_l", level_of(F.col("word"), p)).where("_l IS NOT NULL").groupBy(key).agg(F.min("_l").alias("_l"))
+        part = words.where(F.col("letter") == (p[0] if re.match("[a-z0-9]", p) else "_")) if "letter" in words.columns else words
+        one = part.withColumn("_l", level_of(F.col("word"), p)).where("_l IS NOT NULL").groupBy(key).agg(F.min("_l").alias("_l"))
         if towns is not None:
             one = one.unionByName(towns.where(F.col("word") == p).select(key, F.lit(BEGIN).alias("_l"))).groupBy(key).agg(F.min("_l").alias("_l"))
         found = one.withColumnRenamed("_l", "level") if found is None else found.join(one, key).select(key, F.greatest("level", "_l").alias("level"))
@@ -84,7 +100,6 @@ def search_stops(words: DataFrame, names: DataFrame, key: str, typed: str, score
 
 
 def _fold_text(typed: str) -> list[str]:
-    import re
     import unicodedata
 
     plain = "".join(c for c in unicodedata.normalize("NFD", typed.lower().replace("ß", "ss")) if not unicodedata.combining(c))

@@ -22,18 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and read it back: the lineage ends there, and a lost executor loses nothing. The write's shuffle files, which
-    nothing reads again, go with it; the session's setting for that is put back."""
+def write(df: DataFrame, name: str, by: list[str] | None = None) -> str:
+    """Write df to a new folder, one below it for each value of by, and return its path. The write's shuffle files, which nothing reads
+    again, go with it; the session's setting for that is put back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by or []).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df once and read it back: the lineage ends there, and a lost executor loses nothing."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
 
 
 def discard(*tables: DataFrame) -> None:

@@ -13,7 +13,7 @@ from ..operators import frequency, graph, joins, lines, map_view, search, towns,
 from ..operators import sequences as seq
 from ..operators.tables import materialise, shared_dir
 from ..sources import files, gtfs
-from ..sources.derived import derived
+from ..sources.derived import bucketed, derived
 from . import frequency_sql
 from .registry import query
 from .transit import duck, table, view
@@ -547,3 +547,15 @@ def v29(spark, d):
     held, reused = derived(spark, name, sources, area(narrow), extent=narrow)
     inside = F.col("lat").between(49.02, 49.06) & F.col("lon").between(10.9, 11.0)
     return held.where(inside).groupBy("stop_id").agg(F.count(F.lit(1)).alias("calls")).withColumn("reused", F.lit(reused))
+
+
+@query("v27_bucketed_trips", duck("SELECT t.line, s.stop_id, count(*) AS calls, min(s.dep_s) AS first FROM {dv_trips} t JOIN {dv_stop_times} s ON s.trip_id = t.trip_id GROUP BY ALL"))
+def v27b(spark, d):
+    """The calls of lines from trips and calls that lie in buckets by trip: the join moves no row."""
+    return _bucketed_calls(spark, d).groupBy("line", "stop_id").agg(F.count(F.lit(1)).alias("calls"), F.min("dep_s").alias("first"))
+
+
+def _bucketed_calls(spark, d):
+    sources = [f"{d}/{t}.parquet" for t in ("lineitem", "orders")]
+    trips, calls = (bucketed(spark, name, sources, lambda n=name: view(spark, d, n), ["trip_id"], 16) for name in ("dv_trips", "dv_stop_times"))
+    return trips.select("trip_id", "line").hint("merge").join(calls.select("trip_id", "stop_id", "dep_s"), "trip_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import joins, map_view, search
 from ..operators.tables import materialise
+from ..sources.derived import derived
 from .registry import query
 from .transit import duck, table, view
 
@@ -46,6 +47,38 @@ def q37(spark, d):
     return search.search_stops(search.tokens(_parts(spark, d), "p_partkey", "p_name"), _parts(spark, d), "p_partkey", "ar", "p_size")
 
 
+def _index(spark, d):
+    """The stored index of the parts' names, made again when they change."""
+    make = lambda: search.index(search.tokens(_parts(spark, d), "p_partkey", "p_name"), "p_partkey")
+    return derived(spark, "part_index", [f"{d}/part.parquet"], make, by=["letter"])[0]
+
+
+@query("v02_stored_index", duck(f"""
+WITH w AS (SELECT p_partkey, unnest(list_distinct({_PW})) AS word FROM {{part}}), l AS (SELECT p_partkey, word, unnest(list_distinct(string_split(word, ''))) AS c FROM w)
+SELECT CASE WHEN regexp_matches(c, '[a-z0-9]') THEN c ELSE '_' END AS letter, count(*) AS entries, count(DISTINCT word) AS words FROM l GROUP BY 1"""))
+def v02(spark, d):
+    """What each part of the index holds."""
+    return _index(spark, d).groupBy("letter").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("word").alias("words"))
+
+
+def _rung(w: str, typed: str, slips: int) -> str:
+    near = f"WHEN {w}[1] = '{typed[0]}' AND len(list_filter(range({len(typed) - slips}, {len(typed) + slips + 1}), lambda n: damerau_levenshtein({w}[:n], '{typed}') <= {slips})) > 0 THEN 2" if slips else ""
+    return f"CASE WHEN starts_with({w}, '{typed}') THEN 0 WHEN contains({w}, '{typed}') THEN 1 {near} END"
+
+
+def _ladder(one: str, two: str) -> str:
+    level = [f"min({_rung('w', t, search.slips_of(t))})" for t in (one, two)]
+    return duck(f"""
+WITH m AS (SELECT p_partkey, greatest({level[0]}, {level[1]}) AS level FROM (SELECT p_partkey, unnest({_PW}) AS w FROM {{part}}) GROUP BY p_partkey HAVING {level[0]} IS NOT NULL AND {level[1]} IS NOT NULL)
+SELECT m.p_partkey, level, p_size FROM m JOIN {{part}} p ON p.p_partkey = m.p_partkey WHERE level < 2 OR (SELECT min(level) FROM m) = 2 ORDER BY level, p_size DESC, p_partkey LIMIT 20""")
+
+
+@query("v10_search_ladder", _ladder("smlal", "bo"))
+def v10(spark, d):
+    """Two typed words, one with a slip, from the stored index: two of its parts are read."""
+    return search.search_stops(_index(spark, d), _parts(spark, d), "p_partkey", "smlal bo", "p_size")
+
+
 @query("q38_nearly_begins", duck(f"""
 WITH w AS (SELECT p_partkey, ({_PW})[1] AS word FROM {{part}}),
 l AS (SELECT *, CASE WHEN starts_with(word, 'smlal') THEN 0 WHEN contains(word, 'smlal') THEN 1

@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.tables import materialise, shared_dir
+from ..operators.tables import shared_dir, write
 
 Extent = tuple[float, float, float, float]  # south, west, north, east
 ENTRIES = "name string, version string, scope string, sources string, south double, west double, north double, east double, made_at timestamp, place string"
@@ -69,10 +70,11 @@ def superseded(found: DataFrame) -> DataFrame:
 
 def derived(
     spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame], version: str = "1", scope: str = "", extent: Extent | None = None, most_age_s: float | None = None,
+    by: list[str] | None = None,
 ) -> tuple[DataFrame, bool]:
     """(table, whether it was there already): the stored table of this name if it was made by the same version, for the same scope, from sources
     whose files have not changed since, for an extent that covers the asked one (None: everywhere), and at most so long ago; otherwise what
-    make returns, stored in the shared folder and entered.
+    make returns, stored in the shared folder, by the values of the columns by, its last ones, and entered.
 
     The newest fitting table is taken. A table whose files are gone is made again. A table is entered after it is whole, so that readers never meet half of
     one; two sessions that make the same table at once enter both, and either serves. A source that changes while its table is made
@@ -92,15 +94,23 @@ def derived(
                 break
     if found is not None:
         return spark.read.schema(found[1]).parquet(found[0]), True
-    table = materialise(make(), name)
-    place = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else None
-    if place is not None:
-        now = dt.datetime.now()
-        row = (name, version, scope, key[4], *(map(float, extent) if extent else (None,) * 4), now, place)
-        spark.createDataFrame([row], ENTRIES).coalesce(1).write.mode("append").parquet(f"{shared_dir(spark)}/derived")
-        _known[(*key, now, extent)] = place, table.schema
-    return table, False
+    table = make()
+    place, now = write(table, name, by), dt.datetime.now()
+    row = (name, version, scope, key[4], *(map(float, extent) if extent else (None,) * 4), now, place)
+    spark.createDataFrame([row], ENTRIES).coalesce(1).write.mode("append").parquet(f"{shared_dir(spark)}/derived")
+    _known[(*key, now, extent)] = place, table.schema
+    return spark.read.schema(table.schema).parquet(place), False
 
 
 def _young(made: dt.datetime, most_age_s: float | None) -> bool:
     return most_age_s is None or (dt.datetime.now() - made).total_seconds() <= most_age_s
+
+
+def bucketed(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame], keys: list[str], buckets: int) -> DataFrame:
+    """make's rows as a table of the session's catalog, in the shared folder, dealt into buckets by keys and sorted by them in each: tables with the same keys and number
+    meet in a join without a shuffle, and a lookup reads one bucket. Made again when a file of sources changes. A bucket is one file."""
+    table = f"{name}_{fingerprint(spark, sources)[:16]}_{buckets}"
+    if not spark.catalog.tableExists(table):
+        rows = make().repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, keys[0], *keys[1:]).sortBy(keys[0], *keys[1:])
+        rows.option("path", f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}").saveAsTable(table)
+    return spark.table(table)
