@@ -301,8 +301,8 @@ def training_rows(df: DataFrame, key: str, text: str, lang: str, folds: int, hel
     return near.select("lang", run.alias("text"), "r", "id")
 
 
-def languages(df: DataFrame, key: str, text: str, lang: str, folds: int = 4, held: int = 2) -> DataFrame:
-    """df with held_out, lang_pred, score, certainty and evidence.
+def languages(df: DataFrame, key: str, text: str, lang: str, folds: int = 4, held: int = 2, evidence: bool = False) -> DataFrame:
+    """df with held_out, lang_pred, score, certainty and, where it is asked for, evidence.
 
     The field is fitted on a bounded sample (ROWS_PER_LANGUAGE rows a language, of each ROW_CHARS characters; rows of the held
     fold and without a label never); it labels the words of every whole text, and the text gets the language of the
@@ -317,19 +317,20 @@ def languages(df: DataFrame, key: str, text: str, lang: str, folds: int = 4, hel
     sample = sorted(tuple(r) for r in training_rows(df, key, text, lang, folds, held).select(
         "lang", "r", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "text").collect())  # bounded by the constants above
     field = fit([r[3] for r in sample], [r[0] for r in sample])
-    letters = Letters([r[3] for r in sample], [r[0] for r in sample]) if field else None
+    letters = Letters([r[3] for r in sample], [r[0] for r in sample]) if field and evidence else None
     names = [c for c in df.columns if c not in {"held_out", "lang_pred", "score", "certainty", "evidence"}]
     base = df.select(*names).withColumn("held_out", crc_mod(key, folds) == held)
-    out_names, at = [*base.columns, "lang_pred", "score", "certainty", "evidence"], base.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", lang_pred string, score double, certainty double, evidence double"
+    out_names, at = [*base.columns, "lang_pred", "score", "certainty", *(["evidence"] if evidence else [])], base.columns.index(text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", lang_pred string, score double, certainty double" + (", evidence double" if evidence else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = Scored(field) if field else None
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             found = label(field, scored, texts) if field else [("und", 0.0, 0.0)] * len(texts)
-            known = [letters.evidence(t) for t in texts] if letters else [0.0] * len(texts)
-            more = [pa.array([f[0] for f in found], pa.string()), *[pa.array([f[i] for f in found], pa.float64()) for i in (1, 2)], pa.array(known, pa.float64())]
+            more = [pa.array([f[0] for f in found], pa.string()), *[pa.array([f[i] for f in found], pa.float64()) for i in (1, 2)]]
+            if evidence:
+                more.append(pa.array([letters.evidence(t) if letters else 0.0 for t in texts], pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=out_names)
 
     return base.mapInArrow(run, schema)
