@@ -17,7 +17,7 @@ LEAST_EVIDENCE = -10.0  # bits: beyond a thousand to one against all languages,
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the languages of the labels, lang set to the largest; null texts, texts without letters and texts whose words speak
     by more than ten bits against all of the languages (random letters, other scripts) go. Texts of several languages stay."""
-    found = crf.languages(docs.select(*COLUMNS), "doc_id", "text", "lang")
+    found = crf.languages(docs.select(*COLUMNS), "doc_id", "text", "lang", evidence=True)
     found = found.where((F.col("lang_pred") != "und") & (F.col("evidence") > LEAST_EVIDENCE))
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
