@@ -881,7 +881,7 @@ def test_documents_schema():
     assert DOCS.count(",") == 4
 
 
-@pytest.mark.parametrize("shared", [1, 3, 5, 8, 9])
+@pytest.mark.parametrize("shared", [1, 3, 4, 8, 9])  # ids of the folds that are learned from
 def test_a_language_whose_rows_share_an_id_is_learned(spark, shared):
     german = [(shared, text_of(i, 12, "der hund und die katze mit haus baum wolke".split()), "de") for i in range(1500)]
     english = [(1000 + i, text_of(i, 12, "the dog and cat with house tree cloud".split()), "en") for i in range(1500)]
