@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThanOrEqual, StringContains, StringStartsWith
 
 from tidewire.sources import files, gtfs, gtfs_rt, osm
 from tidewire.streaming import realtime
@@ -148,6 +149,88 @@ def test_blocks_of_other_kinds_are_skipped_unread(tmp_path, monkeypatch):
     assert len(read) <= 12
 
 
+def test_filters_reach_the_extract(spark, tmp_path, monkeypatch):
+    """Blocks that hold neither the kind nor the ids are not read: all of them are spoilt, and the rows are still right."""
+    path = str(tmp_path / "s.osm.pbf")
+    parts = [("n", i) for i in range(0, 40, 2)] + [("w", i) for i in range(0, 60, 2)] + [("r", 7)]
+    with open(path, "wb") as out:
+        for n, (kind, i) in enumerate(parts):
+            one = str(tmp_path / "one")
+            tags = {"highway": "primary" if i % 4 else "service", "name": f"w{i}"}
+            pbf(one, [(i, 49.0, 11.0), (i + 1, 49.0, 11.0)] if kind == "n" else [], [(i, [1, 2], tags), (i + 1, [3, 4], {"railway": "tram"})] if kind == "w" else [], [(i, {"boundary": "administrative"}, [])] if kind == "r" else [], sort=n == 0)
+            raw = open(one, "rb").read()
+            out.write(raw if n == 0 else raw[raw.index(b"OSMData") - 6 :])
+    every = osm.read(spark, path)
+    assert {r["kind"]: r["n"] for r in every.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"node": 40, "way": 60, "relation": 1}
+    two = every.where("kind = 'node' AND id = 3").unionByName(every.where("kind = 'way' AND id = 4"))
+    assert sorted((r.kind, r.id) for r in two.collect()) == [("node", 3), ("way", 4)] and every.count() == 101
+    some = osm.read(spark, path, where=[EqualTo(("kind",), "node"), In(("id",), (3, 99))])
+    assert [tuple(r) for r in some.select("id", "lat7", "tags").collect()] == [(3, 490000000, None)] and some.where("id = 99").count() == 0
+    with pytest.raises(Exception, match="not tested"):
+        osm.read(spark, path, where=[IsNotNull(("refs",))]).count()
+
+    spans, _ = osm.blobs(path)
+    read, plain = set(), osm._blob
+    monkeypatch.setattr(osm, "_blob", lambda f, at, size: read.add(at) or plain(f, at, size))
+    found = osm.span_of(path, spans, "way", 21, 24)
+    assert found == spans[30:33] and len(read) <= 24
+    assert osm.span_of(path, spans, "way", 400, 500) == [] and osm.span_of(path, spans, "node", None, 1) == spans[:1]
+    read = set()
+    osm.span_of(path, spans, "way", 21, 24)
+    raw = bytearray(open(path, "rb").read())
+    for at, size in spans:
+        if at not in read and (at, size) not in found:
+            raw[at : at + size] = b"\xff" * size
+    spoilt = str(tmp_path / "spoilt.osm.pbf")
+    open(spoilt, "wb").write(raw)
+    span = [GreaterThan(("id",), 20), LessThanOrEqual(("id",), 24)]
+    right = [(21, (3, 4)), (22, (1, 2)), (23, (3, 4)), (24, (1, 2))]
+    for ways in (osm.read(spark, spoilt, "way", where=span), osm.read(spark, spoilt, push=True).where("kind = 'way' AND id > 20 AND id <= 24")):
+        assert sorted((r.id, tuple(r.refs)) for r in ways.collect()) == right
+    columns = "kind STRING, id BIGINT, highway STRING, name STRING"
+    tags = osm.read(spark, spoilt, "way", schema=columns, where=[*span, IsNotNull(("highway",))])
+    assert sorted((r.id, r.highway, r.name) for r in tags.collect()) == [(22, "primary", "w22"), (24, "service", "w24")]
+    fresh = lambda: osm.read(spark, spoilt, schema=columns, push=True).where("kind = 'way' AND id BETWEEN 21 AND 24")
+    assert [r.id for r in fresh().where("highway = 'service' AND name LIKE 'w%'").collect()] == [24]
+    assert fresh().where("highway IS NULL").count() == 2
+    with pytest.raises(Exception, match="(?i)wire|zlib|error"):
+        osm.read(spark, spoilt, "way").count()
+
+
+def test_what_the_extract_reader_takes(tmp_path):
+    reader = osm._Pushed("x", frozenset(osm.ORDER), osm.Wanted(("kind", "id", "highway")))
+    rest = [StringContains(("highway",), "a"), IsNotNull(("tags",))]
+    assert list(reader.pushFilters([EqualTo(("kind",), "way"), GreaterThan(("id",), 4), In(("id",), (3, 9, 12)), IsNotNull(("id",)), In(("highway",), ("a", None)), *rest])) == rest
+    assert reader.kinds == {"way"} and (reader.wanted.low, reader.wanted.high, reader.wanted.ids) == (5, 12, {3, 9, 12}) and reader.wanted.needed == {"highway": {"a"}}
+    assert [i for i in range(15) if reader.wanted.has_id(i)] == [9, 12]
+
+
+def test_filters_reach_live_messages(spark, tmp_path):
+    """What is not asked for is not decoded: its stop updates and texts are spoilt."""
+    spoilt = varint(2 << 3 | 2) + varint(1) + b"\x07"
+    good = lambda t, d: data(3, data(1, data(1, t) + data(3, d)) + data(2, number(1, 1) + data(4, "A") + data(3, number(1, 60))))
+    bad = data(3, data(1, data(1, "X9") + data(3, "20261001")) + spoilt)
+    alert = lambda t, title: data(5, data(5, data(4, data(1, t))) + data(10, title) + number(14, 3))
+    (tmp_path / "in").mkdir()
+    for n, trips in enumerate((["T1", "T2"], ["T1", "U1"])):
+        body = b"".join(data(2, good(t, f"2026100{n + 1}")) for t in trips) + data(2, bad) + data(2, alert("T1", data(1, data(1, "zu")))) + data(2, alert("X9", b"\x07"))
+        (tmp_path / "in" / f"{n}.pb").write_bytes(data(1, number(3, 1700 + n)) + body)
+    (tmp_path / "in" / "_none").write_bytes(b"\x07")
+    rows = lambda *where: gtfs_rt.trip_updates(spark, str(tmp_path / "in"), where=where)
+    got = lambda df: sorted((r.trip_id, r.start_date, r.feed_ts) for r in df.collect())
+    first = [("T1", "20261001", 1700), ("T1", "20261002", 1701)]
+    assert got(rows(EqualTo(("trip_id",), "T1"))) == first
+    assert got(gtfs_rt.trip_updates(spark, str(tmp_path / "in"), push=True).where("trip_id = 'T1' AND dep_delay = 60")) == first
+    some = rows(In(("trip_id",), ("T1", "T2", "U1", "Z")))
+    assert got(some.where("trip_id = 'T2'").unionByName(some.where("trip_id = 'U1'"))) == [("T2", "20261001", 1700), ("U1", "20261002", 1701)] and some.count() == 4
+    assert got(rows(StringStartsWith(("trip_id",), "T"), EqualTo(("start_date",), "20261001"))) == [("T1", "20261001", 1700), ("T2", "20261001", 1700)]
+    assert got(gtfs_rt.trip_updates(spark, str(tmp_path / "in" / "1*.pb"), where=[EqualTo(("trip_id",), "U1")])) == [("U1", "20261002", 1701)]
+    assert [(r.title, r.warning) for r in gtfs_rt.alerts(spark, str(tmp_path / "in"), where=[EqualTo(("trip_id",), "T1")]).where("stop_id IS NULL").collect()] == [("zu", True)] * 2
+    for bad_where in ([], [GreaterThanOrEqual(("dep_delay",), 60)]):
+        with pytest.raises(Exception, match="wire type|not tested"):
+            rows(*bad_where).count()
+
+
 def test_geojson(spark, tmp_path):
     ring = [[11.0, 49.0], [11.2, 49.0], [11.2, 49.2], [11.0, 49.0]]
     doc = {"type": "FeatureCollection", "features": [{"geometry": {"type": "Polygon", "coordinates": [ring]}}, {"geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}]}

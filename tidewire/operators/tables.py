@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def write(df: DataFrame, name: str, by: list[str] | None = None) -> str:
+def write(df: DataFrame, name: str, by: list[str] | None = None, form: str = "parquet") -> str:
     """Write df to a new folder, one below it for each value of by, and return its path. The write's shuffle files, which nothing reads
     again, go with it; the session's setting for that is put back."""
     spark = df.sparkSession
@@ -30,7 +30,7 @@ def write(df: DataFrame, name: str, by: list[str] | None = None) -> str:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.partitionBy(*by or []).parquet(path)
+        df.write.partitionBy(*by or []).format(form).save(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return path
