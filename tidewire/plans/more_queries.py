@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, paths, realtime, text, ways
 from ..operators import aggregates as ag
-from ..operators import frequency, graph, joins, lines, map_view, search, towns, tracks, vehicles
+from ..operators import frequency, graph, joins, lines, map_view, search, tiles, towns, tracks, vehicles
 from ..operators import sequences as seq
 from ..operators.tables import materialise, shared_dir
 from ..sources import files, gtfs
@@ -315,6 +315,34 @@ def q29(spark, d):
     return s.select("stop_id", (F.floor(F.col("lat") / 0.05) + F.col("dy")).alias("ty"), (F.floor(F.col("lon") / 0.05) + F.col("dx")).alias("tx"))
 
 
+#: edges between stops that are hops of the timetable, the stops of each part, and the parts' edges
+_PARTS = """
+WITH n AS (SELECT stop_id AS id, CAST(floor(lat / 0.025e0) AS BIGINT) AS hy, CAST(floor(lon / 0.025e0) AS BIGINT) AS hx FROM {dv_stops}),
+e AS (SELECT DISTINCT CAST(from_id AS BIGINT) AS a, CAST(to_id AS BIGINT) AS b FROM {dv_hops}),
+t AS (SELECT DISTINCT hy + dy AS ty, hx + dx AS tx FROM n, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)),
+w AS (SELECT ty, tx, id, hy = ty AND hx = tx AS home FROM t JOIN n ON abs(hy - ty) <= 1 AND abs(hx - tx) <= 1),
+p AS (SELECT DISTINCT ty, tx, a, b FROM (SELECT ty, tx, a, b FROM e JOIN w ON w.id = e.a UNION ALL SELECT ty, tx, a, b FROM e JOIN w ON w.id = e.b))
+"""
+
+
+def _parts(spark, d):
+    nodes = view(spark, d, "dv_stops").select(F.col("stop_id").cast("long").alias("id"), "lat", "lon")
+    edges = view(spark, d, "dv_hops").select(F.col("from_id").cast("long").alias("a"), F.col("to_id").cast("long").alias("b")).distinct()
+    return tiles.parts(nodes, edges, 0.025)
+
+
+@query("q29_part_edges", duck(f"{_PARTS} SELECT ty, tx, a, b FROM p"))
+def q29_part_edges(spark, d):
+    return _parts(spark, d)[1]
+
+
+@query("q29_part_nodes", duck(f"""{_PARTS} SELECT ty, tx, id, home, FALSE AS border FROM w UNION ALL
+SELECT DISTINCT ty, tx, id, FALSE, TRUE FROM (SELECT ty, tx, a AS id FROM p UNION ALL SELECT ty, tx, b FROM p) m
+WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.ty = m.ty AND w.tx = m.tx AND w.id = m.id)"""))
+def q29_part_nodes(spark, d):
+    return _parts(spark, d)[0].select("ty", "tx", "id", "home", "border")
+
+
 #: areas as boxes: number, level, name, south, west, north, east; the last one's border is not whole
 BOXES = [
     (1, 6, "District", 48.99, 10.89, 49.07, 11.0), (2, 8, "Town", 49.01, 10.92, 49.05, 10.97), (3, 8, "Village", 48.99, 10.89, 49.01, 10.92), (4, 6, "City", 48.99, 11.0, 49.09, 11.03),
