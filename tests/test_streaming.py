@@ -81,3 +81,23 @@ def test_live_messages_as_one_query(spark, tmp_path):
     assert run() == (delays, notes, status)
     (tmp_path / "in" / "3.pb").write_bytes(message(1060, update("T3", stop(0, 600))))
     assert run() == ({("T3", 0): 600}, [], (1060, 1))
+
+
+def test_state_that_never_ages_needs_no_python(spark, tmp_path):
+    at = lambda s: dt.datetime(2026, 10, 1, 10) + dt.timedelta(seconds=s)
+    schema = "key string, feed_ts timestamp, version long, value string"
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    batches = [
+        [("a", at(0), 1, "a1"), ("a", at(0), 1, "a1"), ("b", at(9), 1, "b1")],
+        [("a", at(9000), 1, "a2"), ("b", at(9), 0, "older version"), ("b", at(8), 7, "late")],
+        [("a", at(50), 3, "late"), ("c", at(-90_000), 1, "long past"), ("b", at(9), 2, "b2")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        changes = realtime.newest(spark.readStream.schema(schema).parquet(source).withWatermark("feed_ts", "0 seconds"), None)
+        with realtime.rocks(spark):
+            query = realtime.keep_keys(changes, state, str(tmp_path / "check"), once=True)
+            query.awaitTermination()
+        plan = query._jsq.lastProgress().prettyJson()
+        assert '"operatorName" : "stateStoreSave"' in plan and "transformWithState" not in plan
+    assert {r.key: r.value for r in realtime.current(spark, state)["keys"].collect()} == {"a": "a2", "b": "b2", "c": "long past"}

@@ -24,7 +24,7 @@ def _stream(spark, parts, late: str, at: str = "feed_ts"):
     """(stream, folder) of tables that arrive one after the other, each as one file."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        part.repartition(1).write.mode("append").parquet(f"{base}/in")  # many tasks make the rows, one writes them
     return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in").withWatermark(at, late), base
 
 

@@ -70,7 +70,7 @@ def current(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
 
 
 def _start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, every: str, once: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
@@ -134,8 +134,8 @@ def fresh(state: DataFrame, now: str) -> DataFrame:
 class Newest(StatefulProcessor):
     """Of each key what its newest message says, until it is ttl_s old by the stream's event time."""
 
-    def __init__(self, ttl_s: float | None):
-        self.ttl_ms = None if ttl_s is None else int(ttl_s * 1000)
+    def __init__(self, ttl_s: float):
+        self.ttl_ms = int(ttl_s * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -149,13 +149,12 @@ class Newest(StatefulProcessor):
         if held is not None and (held[0], held[1]) >= last:
             return  # late or repeated: what is held is as new
         newest = frame[(at == last[0]) & (frame["version"] == last[1])]
-        if self.ttl_ms is not None:
-            ends = last[0] // 1000 + self.ttl_ms
-            if ends <= timerValues.getCurrentWatermarkInMs():
-                return  # too old already
-            if held is not None:
-                self.handle.deleteTimer(held[0] // 1000 + self.ttl_ms)
-            self.handle.registerTimer(ends)
+        ends = last[0] // 1000 + self.ttl_ms
+        if ends <= timerValues.getCurrentWatermarkInMs():
+            return  # too old already
+        if held is not None:
+            self.handle.deleteTimer(held[0] // 1000 + self.ttl_ms)
+        self.handle.registerTimer(ends)
         self.held.update((int(last[0]), int(last[1]), ""))
         yield self._out(key, newest["feed_ts"].iloc[0], int(last[1]), newest["value"].iloc[0], False)
 
@@ -174,9 +173,15 @@ class Newest(StatefulProcessor):
 def newest(messages: DataFrame, ttl_s: float | None = STALE_S) -> DataFrame:
     """The stream of changes (key, feed_ts, version, value, gone) of messages (key string, feed_ts timestamp with a watermark, version long, value
     string): a row whenever a later message, by feed_ts and then version, replaces what is held of its key, and one with gone where what is held
-    has become ttl_s old (None: never). A late or repeated message changes nothing. Keys are dealt out; of each a task holds one row."""
+    has become ttl_s old (None: never). A late or repeated message changes nothing. Keys are dealt out; of each a task holds one row.
+
+    What never ages needs no timers, so it is a streaming maximum without Python; it says again what is held of a key whose messages changed nothing."""
+    m = messages.select("key", "feed_ts", "version", "value")
+    if ttl_s is None:
+        held = m.groupBy("key").agg(F.max(F.struct("feed_ts", "version", "value")).alias("_v"))
+        return held.select("key", "_v.feed_ts", "_v.version", "_v.value", F.lit(False).alias("gone"))
     out = "key string, feed_ts timestamp, version long, value string, gone boolean"
-    return messages.select("key", "feed_ts", "version", "value").groupBy("key").transformWithStateInPandas(Newest(ttl_s), out, "Update", "EventTime")
+    return m.groupBy("key").transformWithStateInPandas(Newest(ttl_s), out, "Update", "EventTime")
 
 
 @contextlib.contextmanager
