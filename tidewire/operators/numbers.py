@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from . import joins
 from .tables import discard, materialise
 
 KEPT_M = 300.0  # how far a station may have moved to keep its number
@@ -43,6 +45,73 @@ def nearest_first(pairs: DataFrame, left: str, right: str, order: list[Column])
         discard(old)
 
 
+def _places(rows: DataFrame, at: list[str], key: str, order: list[str], apart: list) -> tuple[DataFrame, DataFrame]:
+    """(members, places) of rows (key, at): rows of one place, and of one value of apart, are one place with its smallest key as _p, its _n members numbered by
+    order as _i."""
+    by = Window.partitionBy(*at, *apart)
+    members = rows.withColumns({"_p": F.min(key).over(by), "_n": F.count(F.lit(1)).over(by), "_i": F.row_number().over(by.orderBy(*order))})
+    members = materialise(members, "members")
+    places = members.where("_i = 1").select("_p", *at, "_n", F.lit(0).cast("long").alias("_off"), F.col(order[0]).alias("_head"))
+    return members, materialise(places, "places")
+
+
+def _used(places: DataFrame, best: DataFrame, key: str, members: DataFrame, order: str) -> DataFrame:
+    """places after the pairs of best took their first _t members: those with members left, _head being the next one."""
+    gone = best.select(F.col(key).alias("_p"), "_t")
+    left = places.join(gone, "_p", "left").withColumn("_off", F.col("_off") + F.coalesce("_t", F.lit(0))).where("_off < _n")
+    moved = left.where("_t IS NOT NULL").drop("_head", "_t").join(members.select("_p", (F.col("_i") - 1).cast("long").alias("_off"), F.col(order).alias("_head")).distinct(), ["_p", "_off"])
+    return materialise(left.where("_t IS NULL").drop("_t").unionByName(moved), "places")
+
+
+def nearest_kept(stations: DataFrame, kept: DataFrame) -> DataFrame:
+    """(id, _e, number): what nearest_first gives over all pairs of stations (id, name, lat, lon) and kept (_e, name, _lat, _lon, number) of one name within
+    KEPT_M, ordered by metres, number, id, without making all pairs.
+
+    Pairs are made in rings, nearest first, of what the rings before left over, and between places rather than rows: of two places that have no other pair as
+    near, all members pair at once in order. Where pairs are equally far, a round takes one."""
+    kept = kept.select("name", "_lat", "_lon", "number", "_e").distinct()
+    again = F.when(F.count(F.lit(1)).over(Window.partitionBy("_e")) > 1, F.col("_e"))  # a number with several places is used once
+    s_rows, s = _places(stations.select("id", "name", "lat", "lon"), ["name", "lat", "lon"], "id", ["id"], [])
+    k_rows, k = _places(kept.withColumn("_again", again), ["name", "_lat", "_lon"], "_e", ["number", "_e"], ["_again"])
+    taken, inner = [], -1.0
+    for outer in (KEPT_M / 64, KEPT_M / 16, KEPT_M / 4, KEPT_M):
+        near = joins.within(s.select(F.col("_p").alias("_s"), "name", "lat", "lon"), k.select(F.col("_p").alias("_k"), "name", "_lat", "_lon"), outer, ("lat", "lon"), ("_lat", "_lon"), ["name"])
+        now = materialise(near.where(F.col("metres") > inner).select("_s", "_k", F.col("metres").alias("away")), "pairs")
+        inner = outer
+        while True:
+            left = s.select(F.col("_p").alias("_s"), (F.col("_n") - F.col("_off")).alias("_sn"), F.col("_off").alias("_so"), F.col("_head").alias("_sh"))
+            right = k.select(F.col("_p").alias("_k"), (F.col("_n") - F.col("_off")).alias("_kn"), F.col("_off").alias("_ko"), F.col("_head").alias("_kh")).distinct()
+            x = now.join(left, "_s").join(right, "_k").withColumn("_rank", F.struct("away", "_kh", "_sh", "_s", "_k"))
+            both, alone = [], []
+            for side in ("_s", "_k"):
+                by = Window.partitionBy(side)
+                x = x.withColumns({f"{side}_first": F.min("_rank").over(by), f"{side}_away": F.min("away").over(by)})
+                x = x.withColumn(f"{side}_as_near", F.count_if(F.col("away") == F.col(f"{side}_away")).over(by))
+                both.append(F.col("_rank") == F.col(f"{side}_first"))
+                alone.append(F.col(f"{side}_as_near") == 1)
+            t = F.when(alone[0] & alone[1], F.least("_sn", "_kn")).otherwise(F.lit(1)).cast("long")
+            seen = Observation()
+            x = x.select("_s", "_k", "away", "_so", "_ko", (both[0] & both[1]).alias("_both"), t.alias("_t"))
+            x = materialise(x.observe(seen, F.count_if("_both").alias("n")), "pairs")
+            discard(now)
+            now = x.select("_s", "_k", "away")
+            if not seen.get["n"]:
+                break
+            best = materialise(x.where("_both").select("_s", "_k", "_so", "_ko", "_t").dropDuplicates(["_s", "_k"]), "taken")
+            taken.append(best)
+            old_s, old_k = s, k
+            s, k = _used(s, best, "_s", s_rows, "id"), _used(k, best, "_k", k_rows, "number")
+            discard(old_s, old_k)
+        discard(now)
+    if not taken:
+        return stations.join(kept.select("_e", "number").limit(0)).select("id", "_e", "number")
+    each = functools.reduce(DataFrame.unionByName, taken).withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), "_t")))
+    each = each.select("_s", "_k", (F.col("_so") + F.col("_j")).alias("_si"), (F.col("_ko") + F.col("_j")).alias("_ki"))
+    each = each.join(s_rows.select(F.col("_p").alias("_s"), F.col("_i").cast("long").alias("_si"), "id"), ["_s", "_si"])
+    numbers = k_rows.select(F.col("_p").alias("_k"), F.col("_i").cast("long").alias("_ki"), "_e", "number").distinct()
+    return each.join(numbers, ["_k", "_ki"]).select("id", "_e", "number")
+
+
 def numbered(stations: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(numbers, entries) of stations (id, name, service, lat, lon), name being the address, and kept (name, lat, lon, number) of the imports before.
 
@@ -51,8 +120,7 @@ def numbered(stations: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame
     name, with none kept, has number 0. numbers: (id, name, number). entries: what the next import is given, places that are not used kept as they are, so
     that a stop which comes back gets its own number again."""
     kept = materialise(kept.select("name", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "number").withColumn("_e", F.xxhash64("name", "number")), "kept")
-    near = stations.join(kept, "name").withColumn("away", geo.metres(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("away") <= KEPT_M)
-    matched = materialise(nearest_first(near.select("id", "_e", "number", "away"), "id", "_e", [F.col("away"), F.col("number")]), "matched")
+    matched = materialise(nearest_kept(stations, kept), "matched")
     top = kept.groupBy("name").agg(F.max("number").alias("_top"))
     size = stations.groupBy("name").agg(F.count(F.lit(1)).alias("_size"))
     fresh = stations.join(matched.select("id"), "id", "left_anti").join(size, "name").join(top, "name", "left").where("_size > 1 OR _top IS NOT NULL")
