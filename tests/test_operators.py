@@ -336,3 +336,11 @@ def test_thinning_keeps_screens_within_budget(spark):
 def test_global_rank(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"))
     assert all(r.rank == r.k + 1 for r in map_view.global_rank(df, ["k"]).collect())
+
+
+def test_next_other_is_one_sort(spark):
+    df = spark.createDataFrame([(g, i, v) for g, vs in enumerate([[None, 5, None, 5, 6, None, 7], [1, 1], [2]]) for i, v in enumerate(vs)], "g int, p int, v int")
+    out = sequences.next_other(df, ["g"], "p", "v")
+    assert [r.following for r in out.orderBy("g", "p").collect()] == [None, 6, None, 6, 7, None, None, None, None, None]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan

@@ -81,3 +81,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_two_moments_are_one_sort(spark):
+    from tidewire.plans import QUERIES
+
+    plan = QUERIES["m12_lite_two_moments"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "Union" not in plan

@@ -56,13 +56,14 @@ def drop_repeats(rows: DataFrame, group: list[str], pos: str, value: str) -> Dat
 
 
 def next_other(rows: DataFrame, group: list[str], pos: str, value: str) -> DataFrame:
-    """rows with following: the first later value that differs. Runs of equal values are numbered; each run asks the next."""
-    w = Window.partitionBy(*group).orderBy(pos)
-    x = rows.withColumn("_c", F.coalesce((F.lag(value).over(w) != F.col(value)).cast("int"), F.lit(0)))
-    x = x.withColumn("_r", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = x.groupBy(*group, "_r").agg(F.first(value).alias("_v"))
-    runs = runs.withColumn("following", F.lead("_v").over(Window.partitionBy(*group).orderBy("_r"))).drop("_v")
-    return x.join(runs, [*group, "_r"]).drop("_c", "_r")
+    """rows with following: the first later value that differs; rows without a value have none and are passed over. Read from the end, a row that another
+    value comes after holds that value, and the others hold what the row behind them does: one sort of the rows, and no join."""
+    back = Window.partitionBy(*group).orderBy(F.desc(pos))
+    v = F.col(value)
+    x = rows.withColumn("_v", F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.withColumn("_v", F.when(F.col("_v") != v, F.col("_v")))
+    held = F.last("_v", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("following", F.when(v.isNotNull(), held)).drop("_v")
 
 
 def delta(rows: DataFrame, group: list[str], pos: str, value: str) -> DataFrame:
@@ -119,11 +120,16 @@ def served_range(rows: DataFrame, group: list[str], pos: str, skipped: Column) -
     return rows.where(~skipped).groupBy(*group).agg(F.min(pos).alias("first"), F.max(pos).alias("last"))
 
 
-def position_at(knots: DataFrame, group: list[str], t: str, now: Column, values: list[str], tie: str) -> DataFrame:
-    """Values at now, in proportion between the knots around it (equal times in the order of tie); at the ends the end knots'."""
+def position_at(knots: DataFrame, group: list[str], t: str, now: Column, values: list[str], tie: str, at: str | None = None) -> DataFrame:
+    """Values at now, in proportion between the knots around it (equal times in the order of tie); at the ends the end knots'. now is one time or, where at
+    names a column for it, an array of distinct times: the knots are sorted once for all of them."""
     w = Window.partitionBy(*group).orderBy(t, tie)
     x = knots.select(*group, F.col(t).alias("_t"), *values, F.lead(t).over(w).alias("_u"), *[F.lead(v).over(w).alias(f"_{v}") for v in values], F.row_number().over(w).alias("_n"))
-    here = ((F.col("_t") <= now) & ((now < F.col("_u")) | F.col("_u").isNull())) | ((F.col("_n") == 1) & (now < F.col("_t")))
+    here = lambda now: ((F.col("_t") <= now) & ((now < F.col("_u")) | F.col("_u").isNull())) | ((F.col("_n") == 1) & (now < F.col("_t")))
+    if at is None:
+        x, keys = x.where(here(now)), group
+    else:
+        x, keys = x.withColumn(at, F.explode(F.filter(now, here))), [*group, at]
+        now = F.col(at)
     share = F.when((now < F.col("_t")) | F.col("_u").isNull() | (F.col("_u") == F.col("_t")), F.lit(0.0)).otherwise((now - F.col("_t")) / (F.col("_u") - F.col("_t")))
-    return x.where(here).select(*group, *[(F.col(v) + F.when(share == 0, F.lit(0.0)).otherwise((F.col(f"_{v}") - F.col(v)) * share)).alias(v) for v in values])
-
+    return x.select(*keys, *[(F.col(v) + F.when(share == 0, F.lit(0.0)).otherwise((F.col(f"_{v}") - F.col(v)) * share)).alias(v) for v in values])

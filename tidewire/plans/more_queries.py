@@ -233,11 +233,9 @@ h AS (SELECT *, CASE WHEN now < t OR u IS NULL OR u = t THEN 0e0 ELSE (now - t)
 SELECT trip_id, CAST(now AS BIGINT) AS now, round(lat + CASE WHEN f = 0 THEN 0 ELSE (lat2 - lat) * f END, 9) AS lat FROM h"""))
 def m12(spark, d):
     k = _line(spark, d).select("trip_id", "pos", (F.col("dep_s") * 1.0).alias("t"), "lat")
-    out = None
-    for now in (30_000, 30_060):
-        p = seq.position_at(k, ["trip_id"], "t", F.lit(float(now)), ["lat"], "pos").select("trip_id", F.lit(now).cast("long").alias("now"), F.round("lat", 9).alias("lat"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    moments = F.array(*[F.lit(float(now)) for now in (30_000, 30_060)])
+    p = seq.position_at(k, ["trip_id"], "t", moments, ["lat"], "pos", at="now")
+    return p.select("trip_id", F.col("now").cast("long").alias("now"), F.round("lat", 9).alias("lat"))
 
 
 @query("m13_delay_class", duck("SELECT event_id, CASE WHEN delay IS NULL THEN 'none' WHEN floor(delay / 60.0e0 + 0.5e0) < 2 THEN 'ok' WHEN floor(delay / 60.0e0 + 0.5e0) < 5 THEN 'minor' WHEN floor(delay / 60.0e0 + 0.5e0) < 10 THEN 'major' ELSE 'severe' END AS class FROM {dv_updates}"))
