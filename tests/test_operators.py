@@ -344,3 +344,18 @@ def test_next_other_is_one_sort(spark):
     assert [r.following for r in out.orderBy("g", "p").collect()] == [None, 6, None, 6, 7, None, None, None, None, None]
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_many_runs_have_their_rounds_after_the_first(spark, monkeypatch):
+    """The runs of a line in two lots, the first of which has its rounds before the second, make the same ways."""
+    import random
+
+    monkeypatch.setattr(lines, "FEW_RUNS", 3)
+    rng = random.Random(11)
+    by_line, rows = {}, []
+    for line in range(12):
+        runs = {tuple(rng.sample(range(9), rng.randrange(2, 6))): rng.randrange(1, 5) for _ in range(rng.choice([1, 3, 9]))}
+        by_line[line] = [(list(s), n) for s, n in runs.items()]
+        rows += [(line, list(s), n) for s, n in runs.items()]
+    got = {(r.line, r.direction): (r.list, r.branches) for r in lines.ways(spark.createDataFrame(rows, "line int, stops array<long>, trips long"), ["line"]).collect()}
+    assert got == {(line, i): way for line, runs in by_line.items() for i, way in plain_ways(runs).items()}

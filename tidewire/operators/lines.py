@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .tables import discard, materialise
 
 UP, DOWN, UNSURE = 0, 1, 2
+FEW_RUNS = 1000  # the runs of a line, busiest first, that have their rounds first
 
 
 def _calls(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,10 +42,24 @@ def _merged(runs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
     The list of a key only changes by inserts, and all parts up to the next one meet the same list. So a round puts in, for all keys at once, the first
     part in order that has a place; those before it are settled. Runs that the list holds whole are dropped, and so are keys without
-    a further insert: rounds are the inserts of one key, at most its stops."""
+    a further insert: rounds are the inserts of one key, at most its stops. Most inserts come from the first runs, so these have their rounds
+    before the many later ones are looked at."""
     every = materialise(_calls(runs, keys), "calls")
     order = materialise(every.where("_run = 1").select(*keys, F.col("_k").cast("int").alias("_at"), "_stop"), "order")
-    every = calls = every.where("_run > 1")
+    settled, low, most = [], 1, every.agg(F.max("_run")).first()[0] or 1
+    for high in (FEW_RUNS, None):
+        if most <= low:
+            break
+        chunk = calls = every.where(F.col("_run") > low) if high is None else every.where(F.col("_run").between(low + 1, high))
+        order, parts = _inserted(calls, chunk, order, keys)
+        settled, low = [*settled, *parts], high
+    if not settled:
+        settled = [every.where("false").select(*keys, "_run", F.lit(0).alias("_start"), F.array("_stop").alias("_part"))]
+    return order, functools.reduce(DataFrame.unionByName, settled)
+
+
+def _inserted(calls: DataFrame, every: DataFrame, order: DataFrame, keys: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """(order, settled) after the rounds over some runs in a row, all calls of which are every."""
     cursor = order.select(*keys).distinct().withColumns({"_r": F.lit(1), "_s": F.lit(-1)})
     settled = []
     while True:
@@ -53,11 +68,12 @@ def _merged(runs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
         parts = materialise(parts.observe(placed, F.count("_at").alias("n")), "parts")
         first = parts.where("_at IS NOT NULL").groupBy(*keys).agg(F.min(F.struct("_run", "_start", "_part", "_at")).alias("_n"))
         first = first.select(*keys, F.col("_n._run").alias("_r"), F.col("_n._start").alias("_s"), F.col("_n._part").alias("_new"), F.col("_n._at").alias("_p"))
+        first = materialise(first, "first")  # a row a key
         cursor = first.select(*keys, "_r", "_s")
         passed = parts.join(cursor, keys, "left").where("_at IS NULL AND (_r IS NULL OR _run < _r OR (_run = _r AND _start < _s))")
         settled.append(passed.select(*keys, "_run", "_start", "_part"))
         if not placed.get["n"]:
-            return order, functools.reduce(DataFrame.unionByName, settled)
+            return order, settled
         shift = F.when(F.col("_at") >= F.col("_p"), F.size("_new")).otherwise(0)
         moved = order.join(first, keys, "left").select(*keys, (F.col("_at") + F.coalesce(shift, F.lit(0))).cast("int").alias("_at"), "_stop")
         put = first.select(*keys, "_p", F.posexplode("_new").alias("_i", "_stop")).select(*keys, (F.col("_p") + F.col("_i")).cast("int").alias("_at"), "_stop")
